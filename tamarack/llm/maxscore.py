@@ -47,7 +47,7 @@ def top_k(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids:
     vectors, ids = vectors[order], ids[order]
     m, n, width = len(queries), len(ids), vectors.shape[1]
     top = max(abs(int(queries.min(initial=0))), abs(int(queries.max(initial=0)))) * max(abs(int(vectors.min(initial=0))), abs(int(vectors.max(initial=0)))) * max(width, 1)
-    kind = np.float64 if 4 * top < 2**53 else object
+    kind = float if 4 * top < 2**53 else object
     q, x = queries.astype(kind), np.ascontiguousarray(vectors.T.astype(kind))
     low, high = (x.min(1), x.max(1)) if n else (np.zeros(width, kind), np.zeros(width, kind))
     least = np.minimum(q * low, q * high)  # a dimension's smallest contribution to each query
@@ -59,8 +59,9 @@ def top_k(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids:
     own = query_ids[:, None] == ids
     # a first bar: the k-th best of a few whole scores
     seed = np.linspace(0, n - 1, min(n, max(4 * k, 256))).astype(int) if n else np.empty(0, int)
-    first = np.where(own[:, seed], -np.inf, (q @ x[:, seed]).astype(np.float64))
-    bar = np.partition(first, -k, 1)[:, -k] if len(seed) >= k else np.full(m, -np.inf)
+    never = -4 * top - 1  # under any score
+    first = np.where(own[:, seed], kind(never) if kind is float else never, q @ x[:, seed])
+    bar = np.sort(first, 1)[:, -k] if len(seed) >= k else np.full(m, never)
     partial = np.zeros((m, n), kind)
     done, alive = 0, ~own
     while done < width:

@@ -150,9 +150,9 @@ def _fits(a: str, b: str) -> F.Column:
 
 def _confirmed(pairs: DataFrame, signed: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the candidate pairs ``a, b`` whose full sets reach the threshold, as ``src, dst``."""
-    side = lambda x: signed.select(F.col("doc_id").alias(x), F.col("registers").alias(f"reg_{x}"), F.col("n_shingles").alias(f"n_{x}"))
+    side = lambda x: signed.select(F.col("doc_id").alias(x), F.col("registers").alias(f"reg_{x}"), F.col("n_shingles").alias(f"n_{x}")).hint("merge")
     likely = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_likely, "a long, b long")
-    of = lambda x: sets.select(F.col("doc_id").alias(x), F.col("members").alias(f"m_{x}"))
+    of = lambda x: sets.select(F.col("doc_id").alias(x), F.col("members").alias(f"m_{x}")).hint("merge")
     common = F.size(F.array_intersect("m_a", "m_b"))
     union = F.size("m_a") + F.size("m_b") - common
     links = likely.join(of("a"), "a").join(of("b"), "b").where(common * DENOMINATOR >= union * NUMERATOR)
@@ -210,7 +210,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     sizes = signed.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"))
     central = materialize(live.groupBy("rep").agg(F.sum("members").alias("central")).join(sizes, "rep"), "central")
-    sets = docs.select("doc_id", "text").join(central.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    sets = docs.select("doc_id", "text").join(central.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
     sets = materialize(sets.mapInArrow(_members, "doc_id long, members array<long>"), "sets")
     top = F.max(F.struct("central", (-F.col("rep")).alias("minus"), "n")).alias("top")
     leader = materialize(live.select("key", "rep").join(central, "rep").groupBy("key").agg(top), "leaders")
@@ -231,7 +231,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("leader", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "c")
     )
-    loaded = tasks.join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    loaded = tasks.join(sets.withColumnRenamed("doc_id", "rep").hint("merge"), "rep")
     more = materialize(loaded.groupBy("leader", "lo", "hi").applyInArrow(_block_links, "src long, dst long"), "more")
     final = connected_components(links.unionByName(more))
 

@@ -66,7 +66,7 @@ def budgets(tokens: Mapping[tuple[str, ...], int], weight: Callable[[tuple[str,
             if d < len(leaf):
                 children[leaf[:d]].add(leaf[d])
     out: dict[tuple[str, ...], int] = {}
-    todo = [((), total)]
+    todo = [((), total)] if tokens else []
     while todo:
         node, budget = todo.pop()
         if node not in children:

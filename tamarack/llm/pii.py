@@ -92,13 +92,18 @@ class Mapped:
     def rewrite(self, edits: list[tuple[int, int, str]]) -> Mapped:
         """Apply ordered edits (start, end, output); an output character stands for its whole edit."""
         out, at = Mapped("", [], [], []), 0
-        parts = []
+        parts, gone = [], []
         for s, e, new in [*edits, (len(self.text), len(self.text), "")]:
             parts += [self.text[at:s], new]
             out.start += self.start[at:s] + [self.start[s]] * len(new) if new else self.start[at:s]
             out.end += self.end[at:s] + [self.end[e - 1]] * len(new) if new else self.end[at:s]
             out.new += self.new[at:s] + [True] * len(new)
+            if e > s and not new:
+                gone.append(len(out.new))  # what follows a removed character counts as rewritten
             at = e
+        for i in gone:
+            if i < len(out.new):
+                out.new[i] = True
         out.text = "".join(parts)
         return out
 
@@ -111,7 +116,7 @@ LOOK_ALIKE = dict(
         strict=True,
     )
 )
-INVISIBLE = "​‌‍⁠﻿­᠎͏"
+INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\u00ad\u180e\u034f"
 
 
 @cache
@@ -183,12 +188,12 @@ def join_spelled_digits(m: Mapped) -> Mapped:
 
 
 _AT = r"(?:\s*[\[({<]\s*(?:at|arroba|arobase|@)\s*[\])}>]\s*|\s+at\s+|\s*_at_\s*|\s+arroba\s+|\s+arobase\s+)"
-_DOT = r"(?:\s*[\[({<]\s*(?:dot|punkt|point|punto|\.)\s*[\])}>]\s*|\s+(?:dot|punkt|point|punto)\s+|\s*_dot_\s*)"
-_ADDRESS = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:\.|{_DOT})[A-Za-z0-9_%+-]+)*?(?P<at>{_AT}|@)[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)+", re.I)
+_DOT = r"(?:\s*[\[({<]\s*(?:dot|punkt|point|punto|\.)\s*[\])}>]\s*|\s+dot\s+|\s*_dot_\s*)"
+_ADDRESS = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:\.|{_DOT})[A-Za-z0-9_%+-]+)*?(?P<at>{_AT}|@)[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)*(?:\.|{_DOT})[A-Za-z][A-Za-z0-9-]+", re.I)
 _BRACKET_AT = re.compile(r"\s*[\[({<]\s*(?:at|arroba|arobase|@)\s*[\])}>]\s*", re.I)
 _DOTS = re.compile(_DOT, re.I)
 _ATS = re.compile(_AT, re.I)
-_HINT = re.compile(r"[\[({<]\s*(?:at|arroba|arobase|@|dot|punkt|point|punto|\.)\s*[\])}>]|_at_|_dot_|(?<!\w)(?:dot|punkt|point|punto)(?!\w)", re.I)
+_HINT = re.compile(r"[\[({<]\s*(?:at|arroba|arobase|@|dot|punkt|point|punto|\.)\s*[\])}>]|_at_|_dot_|(?<!\w)dot(?!\w)", re.I)
 REACH = 300
 
 
