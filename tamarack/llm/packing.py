@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import cache
 from zlib import crc32
 
 import numpy as np
@@ -23,49 +24,64 @@ from .common import materialize, ranked
 
 CAPACITY = 4096
 END = 1
-CACHE = 400_000
+CACHE = 800_000
 
 
-class WordEncoder:
+class WordEncoder(dict):
     """Token ids of whole texts by a tokenizer that drops white space between words.
 
     Such a tokenizer treats what stands between blanks on its own, so the ids of a text
-    are the joined ids of its blank-separated parts; parts seen before are looked up.
+    are the joined ids of its blank-separated parts; parts seen before are looked up. It
+    also cuts between a letter or digit and a punctuation mark and ignores case, so a new
+    part is put together from known ones where it can be. One encoder lives as long as
+    its worker; it forgets all parts when it knows ``CACHE`` of them.
     """
 
     def __init__(self, path: str) -> None:
         import os
 
+        super().__init__({"": b""})
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {"": b""}
+
+    def __missing__(self, part: str) -> bytes:
+        if part.isascii() and (low := part.lower()) != part:
+            ids = self[low]
+        elif part[-1] in ".,;:!?" and len(part) > 1 and part[-2].isalnum():
+            ids = self[part[:-1]] + self[part[-1]]
+        else:
+            ids = np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(part) <= 64:
+            self[part] = ids
+        return ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text (null: none)."""
-        parts = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        new = list({p for ps in parts for p in ps} - self.known.keys())
-        if len(self.known) + len(new) > CACHE:
-            self.known = {"": b""}
-            new = list({p for ps in parts for p in ps} - {""})
-        for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[p] = np.array(e.ids, "<u4").tobytes()
-        find = self.known.__getitem__
-        return [b"".join(map(find, ps)) for ps in parts]
+        if len(self) > CACHE:
+            self.clear()
+            self[""] = b""
+        find = self.__getitem__
+        return [b"".join(map(find, t.replace("\n", " ").split(" "))) if t else b"" for t in texts]
+
+
+@cache
+def encoder(path: str) -> WordEncoder:
+    return WordEncoder(path)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` of each document's tokens and end mark."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_path)
+        encode = encoder(tokenizer_path).encode
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 rows = []
-                for doc, ids in zip(part["doc_id"].to_pylist(), encoder.encode(part["text"].to_pylist()), strict=True):
+                for doc, ids in zip(part["doc_id"].to_pylist(), encode(part["text"].to_pylist()), strict=True):
                     ids += END.to_bytes(4, "little")
                     for i in range(0, len(ids) // 4, capacity):
                         own = ids[4 * i : 4 * (i + capacity)]

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -89,6 +90,12 @@ class ViterbiCounter:
         return total
 
 
+@cache
+def counter_of(vocabulary: str) -> ViterbiCounter:
+    """One counter per worker, kept between tasks."""
+    return ViterbiCounter(load_pieces(vocabulary))
+
+
 def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     """``doc_id, n_tokens`` of every whole text under the vocabulary file at ``vocabulary``.
 
@@ -97,7 +104,7 @@ def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = ViterbiCounter(load_pieces(vocabulary))
+        counter = counter_of(vocabulary)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([counter.count(t.as_py()) for t in b["text"]], pa.int64())], ["doc_id", "n_tokens"])
 
