@@ -46,6 +46,22 @@ class WordEncoder(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        words = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(words.values(), default=0) + 1, bool)
+        self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
+
+    def learn(self, words: list[str]) -> None:
+        """Look up plain words many at a time: a word's ids run up to one that ends a word."""
+        groups = [words[i : i + 256] for i in range(0, len(words), 256)]
+        for group, got in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(group):  # else each word is encoded when it is met
+                raw = ids.tobytes()
+                begin = 0
+                for word, end in zip(group, cuts.tolist(), strict=True):
+                    self[word] = raw[4 * begin : 4 * end]
+                    begin = end
 
     def __missing__(self, part: str) -> bytes:
         if part.isascii() and (low := part.lower()) != part:
@@ -63,8 +79,19 @@ class WordEncoder(dict):
         if len(self) > CACHE:
             self.clear()
             self[""] = b""
+        parts = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
+        ids = [list(map(self.get, ps)) for ps in parts]
+        plain = set()
+        for ps, got in zip(parts, ids, strict=True):
+            if None in got:
+                for part in {p for p, g in zip(ps, got, strict=True) if g is None}:
+                    word = part.lower() if part.isascii() else part
+                    word = word[:-1] if word[-1] in ".,;:!?" else word
+                    if word.isalpha() and max(word) < "\u0100" and word not in self:
+                        plain.add(word)
+        self.learn(sorted(plain))
         find = self.__getitem__
-        return [b"".join(map(find, t.replace("\n", " ").split(" "))) if t else b"" for t in texts]
+        return [b"".join(map(find, ps) if None in got else got) for ps, got in zip(parts, ids, strict=True)]
 
 
 @cache
