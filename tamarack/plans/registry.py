@@ -8,3 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def _load() -> None:
+    from . import metric_queries, text_queries  # noqa: F401  (they register themselves)
+
+
+_load()
