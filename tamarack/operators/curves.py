@@ -48,16 +48,16 @@ def _both(value: Column) -> Column:
 def auroc() -> Column:
     """Tie-aware Mann-Whitney area, to aggregate a score table; null with one class."""
     wins = F.sum(F.col("pos") * (F.col("n_neg") - F.col("fp") + F.col("neg") / 2))
-    return _both(wins / (F.max("n_pos") * F.max("n_neg")))
+    return _both(F.try_divide(wins, F.max("n_pos") * F.max("n_neg")))
 
 
 def average_precision() -> Column:
-    return _both(F.sum(F.col("pos") / F.col("n_pos") * F.col("tp") / (F.col("tp") + F.col("fp"))))
+    return _both(F.sum(F.try_divide(F.col("pos"), F.col("n_pos")) * F.col("tp") / (F.col("tp") + F.col("fp"))))
 
 
 def recall_at_fpr_roc(target: float = 0.01) -> Column:
     """Best recall among thresholds whose false-positive rate is within the target."""
-    within = F.when(F.col("fp") / F.col("n_neg") <= target, F.col("tp") / F.col("n_pos"))
+    within = F.when(F.try_divide(F.col("fp"), F.col("n_neg")) <= target, F.try_divide(F.col("tp"), F.col("n_pos")))
     return _both(F.coalesce(F.max(within), F.lit(0.0)))
 
 
@@ -88,7 +88,7 @@ def recall_at_fpr_cum(preds: DataFrame, by: list[str], target: float = 0.01, key
     """
     scores = score_table(preds, by)
     limit = F.floor(F.lit(target) * F.col("n_neg"))
-    exact = F.when((limit + 1) / F.col("n_neg") <= target, limit + 1).otherwise(limit)
+    exact = F.when(F.try_divide(limit + 1, F.col("n_neg")) <= target, limit + 1).otherwise(limit)
     marked = scores.withColumn("allowed", exact).withColumn("before", F.col("fp") - F.col("neg"))
     whole = marked.where("fp <= allowed").groupBy(*by).agg(F.min("p").alias("low"))
     split = marked.where("fp > allowed and before <= allowed").select(*by, F.col("p").alias("edge"), (F.col("allowed") - F.col("before")).alias("left"))
@@ -105,7 +105,7 @@ def recall_at_fpr_cum(preds: DataFrame, by: list[str], target: float = 0.01, key
 
 def roc_points(preds: DataFrame, by: list[str]) -> DataFrame:
     t = score_table(preds, by)
-    return t.select(*by, "p", (F.col("fp") / F.col("n_neg")).alias("fpr"), (F.col("tp") / F.col("n_pos")).alias("tpr"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
+    return t.select(*by, "p", F.try_divide(F.col("fp"), F.col("n_neg")).alias("fpr"), F.try_divide(F.col("tp"), F.col("n_pos")).alias("tpr"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
 
 
 def trapezoid_pr_area(preds: DataFrame, by: list[str]) -> DataFrame:

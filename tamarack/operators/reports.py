@@ -83,9 +83,10 @@ def explode_curves(df: DataFrame) -> DataFrame:
 def within(df: DataFrame, anchors: DataFrame, ts: str, anchor: str, seconds: int = 7200) -> DataFrame:
     """Rows within ``seconds`` of an anchor. Both sides meet in time buckets of that width, so
     this is an equi-join with at most three buckets per anchor and not a product."""
-    bucket = F.floor(F.unix_micros(F.col(ts)) / (seconds * 1_000_000))
-    near = anchors.withColumn("_b", F.explode(F.array(*(F.floor(F.unix_micros(F.col(anchor)) / (seconds * 1_000_000)) + i for i in (-1, 0, 1)))))
-    gap = F.abs(F.unix_micros(F.col(ts)) - F.unix_micros(F.col(anchor))) / 1_000_000
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    bucket = F.floor(micros(ts) / (seconds * 1_000_000))
+    near = anchors.withColumn("_b", F.explode(F.array(*(F.floor(micros(anchor) / (seconds * 1_000_000)) + i for i in (-1, 0, 1)))))
+    gap = F.abs(micros(ts) - micros(anchor)) / 1_000_000
     return df.withColumn("_b", bucket).join(near, "_b").drop("_b").withColumn("seconds", gap).where(F.col("seconds") <= seconds)
 
 

@@ -134,13 +134,19 @@ def temperature_by_search(y: np.ndarray, p: np.ndarray, low: float = 0.05, high:
 def platt(y: np.ndarray, p: np.ndarray) -> tuple[float, float]:
     """Slope and offset of a logistic fit on logits, nearly without penalty."""
     x = np.column_stack([logits(p, 1e-7), np.ones(len(p))])
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + 5e-7 * w[0] ** 2)
+
     w = np.array([1.0, 0.0])
     for _ in range(50):
         q = sigmoid(np.clip(x @ w, -35, 35))
-        penalty = np.array([1e-6, 0.0])
-        grad = x.T @ (q - y) + penalty * w
-        hess = (x * (q * (1 - q))[:, None]).T @ x + np.diag(penalty + 1e-9)
-        step = np.clip(np.linalg.solve(hess, grad), -2, 2)
+        grad = x.T @ (q - y) + np.array([1e-6, 0.0]) * w
+        hess = (x * (q * (1 - q))[:, None]).T @ x + np.diag([1e-6, 1e-9])
+        step = np.linalg.solve(hess, grad)
+        while loss(w - step) > loss(w) and np.abs(step).max() > 1e-12:
+            step = step / 2
         w = w - step
         if np.abs(step).max() < 1e-9:
             break
