@@ -463,7 +463,7 @@ def veto_gate(spark: SparkSession, d: str) -> DataFrame:
     return _rav(spark, d).select("query_id", R6(vectors.veto(F.lit(0.4), F.col("margin"))).alias("p"))
 
 
-@query("WITH a AS (SELECT max(ts) AS t FROM events) SELECT event_id, CAST(abs(epoch(ts) - epoch(t)) AS BIGINT) AS seconds FROM events, a WHERE abs(epoch(ts) - epoch(t)) <= 7200")
+@query("WITH a AS (SELECT max(ts) AS t FROM events) SELECT event_id, CAST(abs(epoch_us(ts) - epoch_us(t)) // 1000000 AS BIGINT) AS seconds FROM events, a WHERE abs(epoch_us(ts) - epoch_us(t)) <= 7200000000")
 def closest_runs(spark: SparkSession, d: str) -> DataFrame:
     """Events within two hours of the last one."""
     e = table(spark, d, "events").select("event_id", "ts")
