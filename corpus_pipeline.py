@@ -17,9 +17,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep each repeated line in its first document only; every document stays."""
-    carry = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    out = linededup.dedup_lines(docs, carry=carry).withColumnRenamed("kept_text", "text")
-    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    packed = docs.select("doc_id", "text", F.struct(F.lit(1).alias("_"), *rest).alias("_rest"))  # one column, so no name can clash
+    out = linededup.dedup_lines(packed, carry=("_rest",))
+    size = F.char_length("kept_text").cast("long")
+    col = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": size} | {c: F.col("_rest").getField(c) for c in rest if c != "n_chars"}
+    return out.select(*(col[c].alias(c) for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
