@@ -1,8 +1,10 @@
+from pyspark.sql import functions as F
+
 from corpus_pipeline import STAGES, run
 from tamarack.llm import toxicity
 from tamarack.llm.common import materialize
 
-from .helpers import rows
+from .helpers import rows, table
 from .test_linededup import brute as line_brute
 from .test_minhash import brute as near_brute
 from .test_mixing import brute as mix_brute
@@ -40,3 +42,19 @@ def test_stages_against_brute_force(spark, sf_dir):
 
 def test_run(spark, sf_dir):
     assert run(spark, sf_dir).count() > 0
+
+
+def test_odd_rows_and_columns(spark, sf_dir):
+    texts = [None, "", "a line of some text\nb", "a line of some text\nb", "word " * 3000, "x"]
+    docs = table(spark, texts)
+    for c in ("n_lines", "n_dropped", "kept_text", "component_id", "kept", "score", "_lines", "epoch", "domain", "sequence_id"):
+        docs = docs.withColumn(c, F.lit("extra"))
+    columns = docs.columns
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+        if name != "packing":
+            assert docs.columns == columns and docs.where("kept_text = 'extra'").count() == docs.count() > 0
+    empty = table(spark, texts).where("doc_id < 0")
+    for name, stage in STAGES:
+        empty = materialize(stage(spark, empty, sf_dir), name)
+        assert empty.count() == 0
