@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+_OWN: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
@@ -18,9 +21,11 @@ def scratch_root(spark: SparkSession) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = tempfile.mkdtemp(prefix="tamarack-")
-        spark.sparkContext.setCheckpointDir(root)
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = tempfile.mkdtemp(prefix="tamarack-")
+            spark.sparkContext.setCheckpointDir(_OWN[app])
+        root = _OWN[app]
     return root.rstrip("/")
 
 
