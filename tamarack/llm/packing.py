@@ -24,7 +24,7 @@ from .common import materialize, ranked
 
 CAPACITY = 4096
 END = 1
-CACHE = 800_000
+CACHE = 600_000
 
 
 class WordEncoder(dict):
