@@ -81,7 +81,7 @@ def heuristic_score(text: Column) -> dict[str, Column]:
     matched = F.array_compact(F.array(*(F.when(t.rlike(FLAGS + r), F.lit(i)) for i, r in enumerate(fixed.HEURISTIC_RULES))))
     rules = F.size(matched)
     bits = entropy(F.lower(t), 0.0, n)
-    punct, upper = _share(t, _PUNCT, n), _share(t, r"\p{Lu}", n)
+    punct, upper = _share(t, _PUNCT, n), _share(t, r"\p{IsUppercase}", n)
     newline = t.rlike("(?iu)" + fixed.NEWLINE_COMMAND).cast("int")
     raw = rules * 0.55 + F.when(n > 300, 0.15).otherwise(0.0) + punct * 0.8 + upper * 0.4 + newline * 0.3 - bits * 0.04
     return {"prob": 1 / (1 + F.exp(-raw + 1.2)), "rule_score": rules, "matched": matched, "length": n, "entropy": bits, "punct_density": punct, "upper_ratio": upper, "has_newline_cmd": newline == 1}

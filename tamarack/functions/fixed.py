@@ -27,6 +27,8 @@ MAX_DECODE_PASSES = 3
 MIN_ENCODED_CHARS = 12
 MIN_PERCENT_ESCAPES = 3
 MIN_PRINTABLE = 0.9
+#: Python's ``\w`` as a Java class; Java's own has combining marks too, and no fractions or raised digits.
+WORD = r"[\p{L}\p{N}_]"
 ROT13_NEEDLES = (" the ", " and ", " ignore", " system", " prompt", " assistant", " user", " please", " you ")
 
 # --- rule sets --------------------------------------------------------------------

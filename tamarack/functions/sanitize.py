@@ -13,13 +13,13 @@ FLAGS = "(?iuU)"
 
 
 def _trim(s: Column) -> Column:
-    return F.regexp_replace(s, r"(?U)\A\s+|\s+\z", "")
+    return F.regexp_replace(s, r"(?U)\A[\s\x1C-\x1F]+|[\s\x1C-\x1F]+\z", "")
 
 
 def rule_strip(s: Column) -> Column:
     for rule in fixed.STRIP_RULES:
         s = F.regexp_replace(s, FLAGS + rule, "[STRIPPED]")
-    return _trim(F.regexp_replace(s, r"(?U)\s+", " "))
+    return _trim(F.regexp_replace(s, r"(?U)[\s\x1C-\x1F]+", " "))
 
 
 def context_isolation(s: Column) -> Column:

@@ -54,7 +54,7 @@ def simhash64(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     Bit i is set where at least half of the tokens' digests have it; a text without words
     has all bits set. Token bits are the first 64 of md5, so SQL engines agree.
     """
-    words = F.slice(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"\w+"), F.lit(0)), 1, SIMHASH_TOKENS)
+    words = F.slice(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(fixed.WORD + "+"), F.lit(0)), 1, SIMHASH_TOKENS)
     long = df.select(key, F.explode_outer(words).alias("token"))
     halves = [F.conv(F.substring(F.md5(F.col("token").cast("binary")), at, 8), 16, 10).cast("long") for at in (1, 9)]
     bits = [F.sum(F.when(halves[i // 32].bitwiseAND(1 << (31 - i % 32)) != 0, 1).otherwise(-1)) >= 0 for i in range(64)]

@@ -13,6 +13,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import fixed
+
 
 class Scorer(Protocol):
     """Anything with a column of attack probabilities."""
@@ -25,7 +27,7 @@ def vocabulary(docs: DataFrame, text: str = "text", most: int = 5000) -> DataFra
 
     Counting is two partial aggregates: within documents, then over them.
     """
-    words = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_][a-z0-9_]+"), F.lit(0))).alias("term"))
+    words = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower(text), F.lit(fixed.WORD + "{2,}"), F.lit(0))).alias("term"))
     per = words.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     terms = per.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
     n = docs.agg(F.count(F.lit(1)).alias("docs"))

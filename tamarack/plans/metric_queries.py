@@ -396,6 +396,18 @@ def near_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
     return integrity.near_dup_pairs(integrity.simhash64(_ascii_docs(spark, d)))
 
 
+@query()
+def simhash_whole(spark: SparkSession, d: str) -> DataFrame:
+    """``simhash`` of every document; words in any script."""
+    return integrity.simhash64(table(spark, d, "documents"))
+
+
+@query()
+def near_dup_pairs_whole(spark: SparkSession, d: str) -> DataFrame:
+    """``near_dup_pairs`` over every document."""
+    return integrity.near_dup_pairs(integrity.simhash64(table(spark, d, "documents")))
+
+
 _SPLIT = "r AS (SELECT doc_id, toxic, row_number() OVER (PARTITION BY toxic ORDER BY md5(doc_id || ':1337'), doc_id) AS rn, count(*) OVER (PARTITION BY toxic) AS n FROM labels), sp AS (SELECT doc_id, toxic, CASE WHEN rn <= ceil(n * 0.15) THEN 'test' WHEN rn <= ceil(n * 0.15) + ceil(n * 0.15) THEN 'val' ELSE 'train' END AS split FROM r)"
 
 

@@ -36,9 +36,19 @@ def _collapse_sql(s: str) -> str:
 @query(f"SELECT doc_id, {_collapse_sql('t')} AS collapsed FROM (SELECT doc_id, 'A!!!!  b.... ??  ' || text AS t FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F\\p{{L}}]'))")
 def collapse_runs(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F\p{L}]"))
+    return _collapsed(docs)
+
+
+def _collapsed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", canonical.collapse_runs(F.concat(F.lit("A!!!!  b.... ??  "), "text")).alias("collapsed"))
 
 
+@query()
+def collapse_runs_whole(spark: SparkSession, d: str) -> DataFrame:
+    """``collapse_runs`` over every document; DuckDB has no back-reference to say it in SQL."""
+    return _collapsed(table(spark, d, "documents"))
+
+
 @query("SELECT doc_id, substr(text, 1, 60) AS decoded FROM documents WHERE length(text) >= 60 AND NOT regexp_matches(substr(text, 1, 60), '[^ -~]')")
 def decode_base64(spark: SparkSession, d: str) -> DataFrame:
     head = F.substring("text", 1, 60)
@@ -218,7 +228,17 @@ def demo_rule_strip(spark: SparkSession, d: str) -> DataFrame:
     "length(text) - length(stripped) AS delta, lower(substr(stripped, 1, 120)) AS head FROM s WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')"
 )
 def sanitize_report(spark: SparkSession, d: str) -> DataFrame:
-    rows = prompts(spark, d).where(~F.col("text").rlike(r"[^\x00-\x7F]")).withColumn("stripped", sanitize.rule_strip(F.col("text")))
+    return _report(prompts(spark, d).where(~F.col("text").rlike(r"[^\x00-\x7F]")))
+
+
+@query()
+def sanitize_report_whole(spark: SparkSession, d: str) -> DataFrame:
+    """``sanitize_report`` over every prompt."""
+    return _report(prompts(spark, d))
+
+
+def _report(rows: DataFrame) -> DataFrame:
+    rows = rows.withColumn("stripped", sanitize.rule_strip(F.col("text")))
     before, after = F.length("text").cast("long"), F.length("stripped").cast("long")
     return rows.select("doc_id", before.alias("length_before"), after.alias("length_after"), (before - after).alias("delta"), F.lower(F.substring("stripped", 1, 120)).alias("head"))
 
@@ -311,6 +331,16 @@ _HEUR = " + ".join(f"CAST(regexp_matches(t, {_RE2(r)}) AS INTEGER)" for r in fix
 )
 def heuristic_score(spark: SparkSession, d: str) -> DataFrame:
     rows = prompts(spark, d).where(~sanitize._trim(F.col("text")).rlike(r"[^\x00-\x7F]"))
+    return _heuristic(rows)
+
+
+@query()
+def heuristic_score_whole(spark: SparkSession, d: str) -> DataFrame:
+    """``heuristic_score`` over every prompt."""
+    return _heuristic(prompts(spark, d))
+
+
+def _heuristic(rows: DataFrame) -> DataFrame:
     h = features.heuristic_score(F.col("text"))
     return rows.select("doc_id", h["rule_score"].cast("int").alias("rule_score"), R6(h["prob"]).alias("prob"))
 
@@ -344,6 +374,14 @@ def tfidf_terms(spark: SparkSession, d: str) -> DataFrame:
     return vocabulary(docs, most=5000)
 
 
+@query()
+def tfidf_terms_whole(spark: SparkSession, d: str) -> DataFrame:
+    """``tfidf_terms`` over every document; words in any script."""
+    from ..operators.models import vocabulary
+
+    return vocabulary(table(spark, d, "documents"), most=5000)
+
+
 # --- coercions --------------------------------------------------------------------
 _RAW = "CASE CAST(doc_id % 12 AS INTEGER) WHEN 0 THEN '1' WHEN 1 THEN ' True ' WHEN 2 THEN 'Malicious' WHEN 3 THEN 'no' WHEN 4 THEN 'BENIGN' WHEN 5 THEN '7' WHEN 6 THEN '-3' WHEN 7 THEN 'maybe' WHEN 8 THEN NULL WHEN 9 THEN '1.5' WHEN 10 THEN 'prompt_injection' ELSE '' END"
 
