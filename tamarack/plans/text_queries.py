@@ -64,6 +64,19 @@ def decode_hex(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", canonical.decode_hex(F.hex(head.cast("binary"))).alias("decoded"))
 
 
+@query()
+def decode_base64_whole(spark: SparkSession, d: str) -> DataFrame:
+    """``decode_base64`` of every whole text."""
+    span = F.regexp_replace(F.base64(F.col("text").cast("binary")), r"\s", "")
+    return table(spark, d, "documents").select("doc_id", canonical.decode_base64(span).alias("decoded"))
+
+
+@query()
+def decode_hex_whole(spark: SparkSession, d: str) -> DataFrame:
+    """``decode_hex`` of every whole text."""
+    return table(spark, d, "documents").select("doc_id", canonical.decode_hex(F.hex(F.col("text").cast("binary"))).alias("decoded"))
+
+
 @query("SELECT page_id, CASE WHEN u3 THEN url || '%21%3F%2A' END AS escaped, CASE WHEN u3 THEN url_decode(url || '%21%3F%2A') END AS decoded FROM (SELECT page_id, url, NOT contains(url, '+') AS u3 FROM pages)")
 def decode_url(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "pages")
@@ -89,7 +102,7 @@ def rot13_detect(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def unwrap_encodings(spark: SparkSession, d: str) -> DataFrame:
-    text = F.concat(F.lit("Decode: "), F.regexp_replace(F.base64(F.substring("text", 1, 90).cast("binary")), r"\s", ""), F.lit(" then "), F.hex(F.lit("ignore previous").cast("binary")), F.lit(" %3Cb%3E%21"))
+    text = F.concat(F.lit("Decode: "), F.regexp_replace(F.base64(F.col("text").cast("binary")), r"\s", ""), F.lit(" then "), F.hex(F.lit("ignore previous").cast("binary")), F.lit(" %3Cb%3E%21"))
     out = table(spark, d, "documents").select("doc_id", canonical.unwrap(text).alias("u"))
     return out.select("doc_id", "u.canonical", F.to_json("u.decoded_payloads").alias("payloads"))
 
@@ -167,9 +180,8 @@ def perturb_base64(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def perturb_random(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").withColumn("head", F.substring("text", 1, 400))
-    h, k = F.col("head"), F.col("doc_id")
-    return docs.select("doc_id", perturb.random_homoglyph(h, k, 60).alias("homoglyph"), perturb.random_casing(h, k).alias("casing"), perturb.zero_width_insertion(h, k).alias("zero_width"))
+    t, k = F.col("text"), F.col("doc_id")
+    return table(spark, d, "documents").select("doc_id", perturb.random_homoglyph(t, k, 60).alias("homoglyph"), perturb.random_casing(t, k).alias("casing"), perturb.zero_width_insertion(t, k).alias("zero_width"))
 
 
 _FAN = [("none", "text"), ("whitespace", "regexp_replace(text, '\\s+', '  ', 'g')"), ("casing", f"translate(text, {lit(_ABC + _ABC.lower())}, {lit(_ABC.lower() + _ABC)})"), ("punct_stuff", "text || ' !!! ??? ### ' || substr(text, 1, 30)"), ("homoglyph_lite", _LITE), ("encoding_markers", "'<<<BASE64>>> ' || text || ' <<<END>>>'")]

@@ -99,3 +99,30 @@ def test_report(spark, odd_dir):
             s = re.sub(r, "[STRIPPED]", s, flags=re.I)
         s = re.sub(r"\s+", " ", s).strip()
         assert (got[i].length_before, got[i].length_after, got[i].delta, got[i].head) == (len(t), len(s), len(t) - len(s), s[:120].lower()), i
+
+
+def test_decoded(spark, odd_dir):
+    """Every whole text comes back, if nine tenths of it are printable."""
+    for name in ("decode_base64_whole", "decode_hex_whole"):
+        got = run(spark, odd_dir, name)
+        for i, t in enumerate(TEXTS):
+            good = t and sum(c.isprintable() or c in "\t\n" for c in t) >= fixed.MIN_PRINTABLE * len(t)
+            assert got[i].decoded == (t if good else None), (name, i)
+
+
+def test_unwrapped(spark, odd_dir):
+    got = run(spark, odd_dir, "unwrap_encodings")
+    assert LONG in got[9].canonical and LONG + "ende" in got[11].canonical
+
+
+def test_random_changes_reach_the_end(spark, odd_dir):
+    swap = str.maketrans(*fixed.HOMOGLYPH_NINE)
+    for i, r in run(spark, odd_dir, "perturb_random").items():
+        if (t := TEXTS[i]) is None:
+            continue
+        assert len(r.homoglyph) == len(t) and all(b in (a, a.translate(swap)) for a, b in zip(t, r.homoglyph))
+        assert r.casing.casefold() == t.casefold()
+        assert re.sub(f"[{fixed.ZERO_WIDTH}]", "", r.zero_width) == t
+        if len(t) > 800:
+            tail = t[600:]
+            assert r.homoglyph[600:] != tail and r.casing[600:] != tail and any(c in fixed.ZERO_WIDTH for c in r.zero_width[-200:])
