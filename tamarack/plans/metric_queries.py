@@ -491,6 +491,15 @@ def union_labeled(spark: SparkSession, d: str) -> DataFrame:
     return union(docs, table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text"))
 
 
+@query("SELECT doc_id AS id, text, CAST(1 AS INTEGER) AS label FROM documents UNION ALL SELECT item_id, text, 0 FROM benchmark")
+def union_labeled_whole(spark: SparkSession, d: str) -> DataFrame:
+    """``union_labeled`` of both whole tables."""
+    from ..sources.corpus import union_labeled as union
+
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return union(docs, table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text"))
+
+
 @query(f"{_SCORES}, f AS (SELECT CASE WHEN model LIKE 'HG\\_%' ESCAPE '\\' THEN 1 ELSE 0 END AS hybrid, count(*) AS n, round(max(auroc), 6) AS best FROM m GROUP BY 1) SELECT CAST(hybrid AS INTEGER) AS hybrid, n, best FROM f")
 def predicates(spark: SparkSession, d: str) -> DataFrame:
     hybrid = F.col("model").startswith("HG_").cast("int").alias("hybrid")

@@ -126,3 +126,9 @@ def test_random_changes_reach_the_end(spark, odd_dir):
         if len(t) > 800:
             tail = t[600:]
             assert r.homoglyph[600:] != tail and r.casing[600:] != tail and any(c in fixed.ZERO_WIDTH for c in r.zero_width[-200:])
+
+
+def test_union(spark, sf_dir):
+    docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet").count() for t in ("documents", "benchmark"))
+    got = QUERIES["union_labeled_whole"](spark, sf_dir)
+    assert {r.label: r["count"] for r in got.groupBy("label").count().collect()} == {1: docs, 0: items}
