@@ -1,7 +1,8 @@
 """Personal data in disguised text, with spans in the source text.
 
 Plain identifiers are found as they stand. Then small transducers rewrite disguises -
-look-alike letters and digits, invisible characters, spelled digits, "at" and "dot" - and
+look-alike letters and digits, invisible characters, dots between numbers, spelled digits,
+"at" and "dot" - and
 keep for every character they write the source characters it came from. Identifiers that
 touch a rewritten place are mapped back to source spans (in code points) and added; a
 plain match is never moved or removed.
@@ -187,20 +188,54 @@ def join_spelled_digits(m: Mapped) -> Mapped:
     return m.rewrite(edits) if edits else m
 
 
+_DOT_WORD = r"(?:dot|punkt|point|punto)"
+_OCTET = rf"(?:(?<![0-9])[0-9]++|(?<!\w)(?:{_SPELLED})(?:[\s,_-]{{1,3}}(?:{_SPELLED})){{0,2}}(?![^\W_]))"
+_NUMBER_DOT = rf"(?:\.|\s*[\[({{<]\s*(?:{_DOT_WORD}|\.)\s*[\])}}>]\s*|[\s,]+{_DOT_WORD}[\s,]+|_dot_)"
+_QUAD = re.compile(rf"{_OCTET}(?:{_NUMBER_DOT}{_OCTET}){{3,}}", re.I)
+_NUMBER_DOTS = re.compile(_NUMBER_DOT, re.I)
+_DIGITS = re.compile(rf"(?:{_SPELLED})(?![^\W_])", re.I)
+_NUMBER_HINT = re.compile(rf"[0-9](?:\s*[\[({{<]\s*(?:{_DOT_WORD}|\.)|[\s,]+{_DOT_WORD}(?!\w)|_dot_)|(?<!\w){_DOT_WORD}[\s,]+[0-9]", re.I)
+
+
+def undo_number_dots(m: Mapped) -> Mapped:
+    """Write four or more numbers with dot words or bracketed dots between them as digits and dots."""
+    edits = []
+    for quad in _QUAD.finditer(m.text):
+        at = quad.start()
+        dots = [*_NUMBER_DOTS.finditer(m.text, at, quad.end()), None]
+        for dot in dots:
+            end = dot.start() if dot else quad.end()
+            octet = m.text[at:end]
+            if not octet.isdigit():
+                edits.append((at, end, "".join(_DIGIT_WORDS[w[0].lower()] for w in _DIGITS.finditer(octet))))
+            if dot:
+                if dot[0] != ".":
+                    edits.append((end, dot.end(), "."))
+                at = dot.end()
+    return m.rewrite(edits) if edits else m
+
+
 _AT = r"(?:\s*[\[({<]\s*(?:at|arroba|arobase|@)\s*[\])}>]\s*|\s+at\s+|\s*_at_\s*|\s+arroba\s+|\s+arobase\s+)"
-_DOT = r"(?:\s*[\[({<]\s*(?:dot|punkt|point|punto|\.)\s*[\])}>]\s*|\s+dot\s+|\s*_dot_\s*)"
+_DOT = r"(?:\s*[\[({<]\s*(?:dot|punkt|point|punto|\.)\s*[\])}>]\s*|\s+(?:dot|punkt|point|punto)\s+|\s*_dot_\s*)"
 _ADDRESS = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:\.|{_DOT})[A-Za-z0-9_%+-]+)*?(?P<at>{_AT}|@)[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)*(?:\.|{_DOT})[A-Za-z][A-Za-z0-9-]+", re.I)
 _BRACKET_AT = re.compile(r"\s*[\[({<]\s*(?:at|arroba|arobase|@)\s*[\])}>]\s*", re.I)
 _DOTS = re.compile(_DOT, re.I)
 _ATS = re.compile(_AT, re.I)
-_HINT = re.compile(r"[\[({<]\s*(?:at|arroba|arobase|@|dot|punkt|point|punto|\.)\s*[\])}>]|_at_|_dot_|(?<!\w)dot(?!\w)", re.I)
+_HINT = re.compile(r"[\[({<]\s*(?:at|arroba|arobase|@|dot|punkt|point|punto|\.)\s*[\])}>]|_at_|_dot_|(?<!\w)(?:dot|arroba|arobase)(?!\w)|(?:@|(?<!\w)at\s)\s*[A-Za-z0-9.-]++\s+(?:punkt|point|punto)(?!\w)", re.I)
+_ARROBA = re.compile(r"\s+(?:arroba|arobase)\s+", re.I)
+_BARE = re.compile(r"\s+(?:punkt|point|punto)\s+", re.I)
+_POINT = re.compile(r"\s+point\s+", re.I)
+#: What "at" and a bare "point" must lead to, as English prose has both ("look at this point of view").
+_POINT_ENDS = ("com", "org", "fr", "ch", "eu")
 REACH = 300
 
 
 def undo_at_dot(m: Mapped) -> Mapped:
     """Write at/dot disguises of an address as @ and dots.
 
-    Bare words count only with each other ("a at b dot c"); one bracketed form is enough.
+    Bare words count only with each other ("a at b dot c"); one bracketed form or a bare
+    "arroba" or "arobase" is enough. A bare "point", "punkt" or "punto" after a plain dot of
+    the domain ends the address.
     """
     edits: list[tuple[int, int, str]] = []
     done = 0
@@ -211,8 +246,16 @@ def undo_at_dot(m: Mapped) -> Mapped:
         for a in _ADDRESS.finditer(m.text, low, min(len(m.text), hint.end() + REACH)):
             inner = m.text[a.start() : a.end()]
             at = _ATS.search(inner)
-            bracketed = bool(_BRACKET_AT.search(inner))
+            bracketed = bool(_BRACKET_AT.search(inner) or _ARROBA.search(inner))
             dots = [d.span() for d in _DOTS.finditer(inner)]
+            domain = a.end("at") - a.start()
+            for s, e in dots:
+                if s >= domain and _BARE.fullmatch(inner, s, e) and "." in _DOTS.sub("", inner[domain:s]):
+                    dots = [d for d in dots if d[0] < s]
+                    break
+            else:
+                if not bracketed and at and dots and _POINT.fullmatch(inner, *dots[-1]) and inner[dots[-1][1] :].lower() not in _POINT_ENDS:
+                    continue
             if not at and a["at"] != "@" or not (bracketed or dots):
                 continue
             if at:
@@ -232,10 +275,10 @@ def spans(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
         return [], []
     base = plain(text)
     odd = not text.isascii() and bool(_disguises().search(text))
-    if not odd and not _HINT.search(text) and not _SPELLED_HINT.search(text):
+    if not odd and not _HINT.search(text) and not _SPELLED_HINT.search(text) and not _NUMBER_HINT.search(text):
         return base, []
     m = Mapped.of(text)
-    for step in (fold_look_alikes, join_spelled_digits, undo_at_dot):
+    for step in (fold_look_alikes, undo_number_dots, join_spelled_digits, undo_at_dot):
         m = step(m)
     known = set(base)
     extra = [

@@ -76,3 +76,21 @@ def test_edges(spark):
     got = rows(pii.find(table(spark, texts)))
     assert list(got.base) == ["", "", "email:0:6", "email:0:6", "", ""]
     assert pii.find(table(spark, texts).where("doc_id < 0")).count() == 0
+
+
+def test_dots_between_numbers():
+    for ip in ("192[.]168[.]1[.]1", "192 dot 168 dot 1 dot 1", "10 dot 0 dot 0 dot one", "192 (dot) 168.1 punto 1", "10 point 0 point 0 point 7", "one nine two dot 168 punkt one dot 20"):
+        assert added(f"host {ip}, up") == [("ip", ip)], ip
+    for t in ("1 dot 2 dot 3", "300 dot 1 dot 1 dot 1", "192.168.1.1 dot", "point 1 point 2", "see [1] [2]. [3]"):
+        assert added(t) == [], t
+
+
+def test_at_and_dot_words_of_other_languages():
+    assert added("mail jane arroba ejemplo punto com ya") == [("email", "jane arroba ejemplo punto com")]
+    assert added("jean point dupont arobase exemple point fr") == [("email", "jean point dupont arobase exemple point fr")]
+    assert added("jane arroba ejemplo.com") == [("email", "jane arroba ejemplo.com")]
+    assert added("an jane at beispiel punkt de bitte") == [("email", "jane at beispiel punkt de")]
+    assert added("jane at exemple point fr") == [("email", "jane at exemple point fr")]
+    assert added("jane@exemple point fr") == [("email", "jane@exemple point fr")]
+    for t in ("he looked at that point in time", "una arroba de trigo punto", "jane@example.com punto final", "write jane@example.com point of contact"):
+        assert added(t) == [], t
