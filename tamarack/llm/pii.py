@@ -165,24 +165,31 @@ _DIGIT_WORDS = {
 }
 _SPELLED = "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True))
 _MARK = {"plus": "+", "dot": ".", "point": ".", "punkt": ".", "punto": ".", "dash": "-", "hyphen": "-"}
-_ITEM = rf"(?:{_SPELLED}|{'|'.join(_MARK)}|[0-9]|[+.])"
-_RUN = re.compile(rf"(?<!\w)(?:\+|plus[\s,-]+)?(?:{_ITEM}(?!\w)[\s,_-]*){{4,}}", re.I)
-_ITEMS = re.compile(rf"(?<!\w)({_SPELLED}|{'|'.join(_MARK)})(?!\w)|[0-9]|[+.]", re.I)
+_ITEM = rf"(?:(?:{_SPELLED}|{'|'.join(_MARK)}|[0-9]++)(?!\w)|[+.])"
+_RUN = re.compile(rf"(?<!\w)(?:{_ITEM}[\s,_-]*+){{2,}}+", re.I)
+_ITEMS = re.compile(rf"(?<!\w)({_SPELLED}|{'|'.join(_MARK)})(?!\w)|[0-9]+|[+.]", re.I)
 
 
 def join_spelled_digits(m: Mapped) -> Mapped:
-    """Write runs of at least four digits as digits, if a word spells any of them."""
+    """Write spelled digits as digits where they stand beside numerals or a plus sign, or four or more in a run.
+
+    The checks of the identifiers (length, Luhn, range) reject runs that are none. Blanks
+    between numerals of several digits stay as they are.
+    """
     edits = []
     for run in _RUN.finditer(m.text):
         found = list(_ITEMS.finditer(run[0]))
         spelled = [f for f in found if f[0].lower() in _DIGIT_WORDS]
-        if len(spelled) < 4:
+        if not spelled or len(spelled) < 4 and not any(f[0].isdigit() or _MARK.get(f[0].lower(), f[0]) == "+" for f in found):
             continue
         at = run.start()
         for i, f in enumerate(found):
             w = f[0].lower()
-            edits.append((run.start() + f.start(), run.start() + f.end(), _DIGIT_WORDS.get(w) or _MARK.get(w) or w))
+            if w in _DIGIT_WORDS or w in _MARK:
+                edits.append((run.start() + f.start(), run.start() + f.end(), _DIGIT_WORDS.get(w) or _MARK[w]))
             at = run.start() + f.end()
+            if i + 1 < len(found) and w.isdigit() and found[i + 1][0].isdigit() and len(w + found[i + 1][0]) > 2:
+                continue
             if i + 1 < len(found) and (gap := run.start() + found[i + 1].start()) > at:
                 edits.append((at, gap, ""))
     return m.rewrite(edits) if edits else m
@@ -266,7 +273,7 @@ def undo_at_dot(m: Mapped) -> Mapped:
     return m.rewrite(edits) if edits else m
 
 
-_SPELLED_HINT = re.compile(rf"(?<!\w)(?:{_SPELLED})[\s,_-]+(?:{_SPELLED}|dot|point|punkt|punto)(?!\w)", re.I)
+_SPELLED_HINT = re.compile(rf"(?<!\w)(?:(?:{_SPELLED})[\s,_-]+(?:(?:{_SPELLED}|{_DOT_WORD})(?!\w)|[0-9])|plus[\s,_-]+(?:{_SPELLED})(?!\w))|[0-9+][\s,_-]*+(?<!\w)(?:{_SPELLED})(?!\w)", re.I)
 
 
 def spans(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -280,6 +287,8 @@ def spans(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
     m = Mapped.of(text)
     for step in (fold_look_alikes, undo_number_dots, join_spelled_digits, undo_at_dot):
         m = step(m)
+    if not any(m.new):
+        return base, []
     known = set(base)
     extra = [
         span

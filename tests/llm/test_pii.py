@@ -94,3 +94,14 @@ def test_at_and_dot_words_of_other_languages():
     assert added("jane@exemple point fr") == [("email", "jane@exemple point fr")]
     for t in ("he looked at that point in time", "una arroba de trigo punto", "jane@example.com punto final", "write jane@example.com point of contact"):
         assert added(t) == [], t
+
+
+def test_few_spelled_digits():
+    assert added("ip one dot two dot three dot 4 ok") == [("ip", "one dot two dot three dot 4")]
+    assert added("card 4111 1111 1111 one one one 1 ok") == [("card", "4111 1111 1111 one one one 1")]
+    assert added("card 411111111111111 one ok") == [("card", "411111111111111 one")]
+    assert added("card four 111 1111 1111 1111 ok") == [("card", "four 111 1111 1111 1111")]
+    assert added("call +49 30 one two 3456 now") == [("phone", "+49 30 one two 3456")]
+    assert added("call plus four 9 30 123456 now") == [("phone", "plus four 9 30 123456")]
+    for t in ("chapter 3 one day", "2 one-way streets", "4111 1111 1111 one one one 2", "1, 2, 3, four", "plus one more"):
+        assert added(t) == [], t
