@@ -237,6 +237,14 @@ _POINT_ENDS = ("com", "org", "fr", "ch", "eu")
 REACH = 300
 
 
+def _addresses(text: str, low: int, high: int) -> Iterator[re.Match[str]]:
+    """Addresses that start between ``low`` and ``high``, each to its own end."""
+    while low < high and (cut := _ADDRESS.search(text, low, high)):
+        whole = _ADDRESS.match(text, cut.start())  # the window may have cut it
+        yield whole
+        low = whole.end()
+
+
 def undo_at_dot(m: Mapped) -> Mapped:
     """Write at/dot disguises of an address as @ and dots.
 
@@ -250,7 +258,7 @@ def undo_at_dot(m: Mapped) -> Mapped:
         if hint.start() < done:
             continue
         low = max(done, hint.start() - REACH)
-        for a in _ADDRESS.finditer(m.text, low, min(len(m.text), hint.end() + REACH)):
+        for a in _addresses(m.text, low, min(len(m.text), hint.end() + REACH)):
             inner = m.text[a.start() : a.end()]
             at = _ATS.search(inner)
             bracketed = bool(_BRACKET_AT.search(inner) or _ARROBA.search(inner))

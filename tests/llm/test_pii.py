@@ -105,3 +105,10 @@ def test_few_spelled_digits():
     assert added("call plus four 9 30 123456 now") == [("phone", "plus four 9 30 123456")]
     for t in ("chapter 3 one day", "2 one-way streets", "4111 1111 1111 one one one 2", "1, 2, 3, four", "plus one more"):
         assert added(t) == [], t
+
+
+def test_dense_lists_are_not_cut():
+    """Addresses that lie over the end of a search window keep their whole domain."""
+    for pad in range(45):
+        each = [f"jo [at] {'x' * (pad + 1)} dot com"] + [f"user{i} [at] mail dot example dot com" for i in range(40)]
+        assert added("; ".join(each)) == [("email", e) for e in each], pad
