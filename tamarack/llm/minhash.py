@@ -7,8 +7,13 @@ sets agree in a register about as often as their Jaccard similarity J. Registers
 banded into keys; sets that share a key are candidates. A candidate pair's J is estimated
 from its agreeing registers, less the agreement that truncation alone would give, and a
 pair whose estimate lies six standard errors under the threshold is dropped. All others
-are confirmed on the full sets, so no false link can arise; a true link at J = 0.75 is
-missed with probability below (1 - 0.75**5)**56, about 3e-7, and less for larger J.
+are confirmed on the full sets, so no false link can arise. Where buckets are full, a true
+link at J = 0.75 is missed with probability (1 - 0.75**5)**56, about 3e-7.
+
+Sets of under ``SMALL`` members fill few buckets, and bands repeat what they borrow. Links
+of such sets are found exactly instead, by a prefix filter: members are ordered from rare to
+common, and linked sets share one among the first n - ceil(0.75 n) + 1. Sets that a small
+one can be linked to give these keys as well. No estimate is asked of a small set.
 
 Scale: equal sets collapse to one representative before banding. Within a band key all
 members are compared to one leader (the one that shares most keys), which joins a large
@@ -37,6 +42,8 @@ MANTISSA_BITS = 3
 EMPTY = 255
 COLLISION = 1 / 3 / 2**MANTISSA_BITS  # two geometric counts agree with probability 1/3
 NUMERATOR, DENOMINATOR = 75, 100
+SMALL = 32
+WIDE = (SMALL - 1) * DENOMINATOR // NUMERATOR  # the largest set that a small one can be linked to
 BLOCK = 384
 _PROBES = np.random.default_rng(20240601).integers(0, REGISTERS, (24, REGISTERS))
 
@@ -84,9 +91,10 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def margin(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    """Six standard errors of ``estimate`` at the threshold, given how many buckets the sets fill."""
-    effective = np.minimum(0.6 * REGISTERS, np.minimum(n_a, n_b))
-    return 6 * np.sqrt(0.25 / np.maximum(effective, 1))
+    """Six standard errors of ``estimate`` at the threshold, given how many buckets the sets fill; 1 for small sets."""
+    least = np.minimum(n_a, n_b)
+    effective = np.minimum(0.6 * REGISTERS, least)
+    return np.where(least < SMALL, 1, 6 * np.sqrt(0.25 / np.maximum(effective, 1)))
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,8 +109,9 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                     pa.array([r.tobytes() for r in reg], pa.binary()),
+                    pa.array([s.view(np.int64) if 0 < len(s) <= WIDE else None for s in sets], pa.list_(pa.int64())),
                 ],
-                ["doc_id", "n_shingles", "set_key", "registers"],
+                ["doc_id", "n_shingles", "set_key", "registers", "few"],
             )
 
 
@@ -139,8 +148,23 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, set_key, registers`` of each text; equal sets have equal keys."""
-    return docs.select("doc_id", "text").mapInArrow(_sketch, "doc_id long, n_shingles long, set_key binary, registers binary")
+    """``doc_id, n_shingles, set_key, registers`` of each text, and the members ``few`` of sets up to ``WIDE``; equal sets have equal keys."""
+    return docs.select("doc_id", "text").mapInArrow(_sketch, "doc_id long, n_shingles long, set_key binary, registers binary, few array<long>")
+
+
+def _prefixes(reps: DataFrame) -> DataFrame:
+    """``key, rep`` of sets up to ``WIDE``: their rarest members, of which linked sets share one.
+
+    Members of one set only come first in that order and are counted, not joined. Keys are
+    negative, those of bands are not.
+    """
+    each = reps.where(F.col("n_shingles") <= WIDE).select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("few").alias("member"))
+    each = materialize(each, "few")
+    common = materialize(each.groupBy("member").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1"), "common")
+    own = each.join(common, "member").groupBy("rep").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("sets", "member"))).alias("of"))
+    length = F.expr(f"n - (n * {NUMERATOR} + {DENOMINATOR - 1}) div {DENOMINATOR} + 1 - (n - size(of))").cast("int")
+    rarest = own.where(length > 0).select("rep", F.explode(F.slice("of", F.lit(1), length)).alias("m"))
+    return rarest.select(F.col("m.member").bitwiseOR(F.lit(-(2**63)).cast("long")).alias("key"), "rep")
 
 
 def _fits(a: str, b: str) -> F.Column:
@@ -203,7 +227,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = materialize(sketches(docs), "sketches")
     classes = materialize(signed.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
     reps = signed.where("n_shingles > 0").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    bands = materialize(reps.select("doc_id", "registers").mapInArrow(_bands, "key long, rep long"), "bands")
+    bands = reps.where(F.col("n_shingles") >= SMALL).select("doc_id", "registers").mapInArrow(_bands, "key long, rep long")
+    bands = materialize(bands.unionByName(_prefixes(reps)), "bands")
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     live = materialize(bands.join(materialize(shared, "shared"), "key"), "live")
     release(bands)

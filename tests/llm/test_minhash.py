@@ -105,3 +105,28 @@ def test_estimate_is_unbiased(j):
         r = minhash.registers([np.unique(np.r_[both, o]) for o in own])
         err.append(minhash.estimate(r[:1], r[1:])[0] - j)
     assert abs(np.mean(err)) < 0.02
+
+
+def short_texts(pairs):
+    """Texts of 8 and 7 words with 4 and 3 shingles, J = 0.75, and of other short lengths."""
+    texts = []
+    for i in range(pairs):
+        w = [f"s{i}x{j}" for j in range(8)]
+        texts += [" ".join(w), " ".join(w[:7])]
+    return texts
+
+
+def test_links_of_short_texts_are_exact(spark):
+    texts = short_texts(2000)
+    got = rows(minhash.near_duplicates(table(spark, texts)))
+    assert list(got.component_id) == [i - i % 2 for i in range(len(texts))]
+
+
+def test_short_texts_with_common_members(spark):
+    rng = random.Random(11)
+    line = [f"c{i}" for i in range(6)]
+    texts = []
+    for n in (*range(1, 12), 20, 31, 34, 35, 36, 37, 40, 44, 45, 46, 50):
+        base = line + [f"t{rng.randrange(10**6)}" for _ in range(n)]
+        texts += [" ".join(base), " ".join(base[:-1]), " ".join([*base, "tail"]), " ".join([*base, *(f"e{n}y{i}" for i in range(n // 4))])]
+    check(rows(minhash.near_duplicates(table(spark, texts))), brute(list(enumerate(texts))))
