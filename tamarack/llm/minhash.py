@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import materialize, release
 from .graph import connected_components
@@ -161,10 +162,13 @@ def _prefixes(reps: DataFrame) -> DataFrame:
     each = reps.where(F.col("n_shingles") <= WIDE).select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("few").alias("member"))
     each = materialize(each, "few")
     common = materialize(each.groupBy("member").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1"), "common")
-    own = each.join(common, "member").groupBy("rep").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("sets", "member"))).alias("of"))
-    length = F.expr(f"n - (n * {NUMERATOR} + {DENOMINATOR - 1}) div {DENOMINATOR} + 1 - (n - size(of))").cast("int")
-    rarest = own.where(length > 0).select("rep", F.explode(F.slice("of", F.lit(1), length)).alias("m"))
-    return rarest.select(F.col("m.member").bitwiseOR(F.lit(-(2**63)).cast("long")).alias("key"), "rep")
+    one = Window.partitionBy("rep")
+    own = each.join(common, "member").withColumn("of", F.count(F.lit(1)).over(one)).withColumn("place", F.row_number().over(one.orderBy("sets", "member")))
+    length = F.expr(f"n - (n * {NUMERATOR} + {DENOMINATOR - 1}) div {DENOMINATOR} + 1 - (n - of)")
+    rarest = own.where(F.col("place") <= length).select(F.col("member").bitwiseOR(F.lit(-(2**63)).cast("long")).alias("key"), "rep")
+    out = materialize(rarest, "prefixes")
+    release(each)
+    return out
 
 
 def _fits(a: str, b: str) -> F.Column:
@@ -228,7 +232,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = materialize(signed.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
     reps = signed.where("n_shingles > 0").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     bands = reps.where(F.col("n_shingles") >= SMALL).select("doc_id", "registers").mapInArrow(_bands, "key long, rep long")
-    bands = materialize(bands.unionByName(_prefixes(reps)), "bands")
+    bands = materialize(bands, "bands").unionByName(_prefixes(reps))
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     live = materialize(bands.join(materialize(shared, "shared"), "key"), "live")
     release(bands)
