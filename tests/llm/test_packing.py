@@ -1,6 +1,8 @@
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -44,12 +46,43 @@ def test_whole_table(spark, sf_dir):
 def test_edges(spark):
     texts = [None, "", "don't STOP, café 123  x y z", "same", "same", "café\n\ttab", "word " * 20_000, "x" * 9000, "<|endoftext|> a"]
     got = rows(packing.pack(table(spark, texts), PATH))
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    check(got, [(i, [*t.encode(x or "", add_special_tokens=False).ids, 1]) for i, x in enumerate(texts)])
+    check(got, list(enumerate(direct(texts))))
     assert packing.pack(table(spark, texts).where("doc_id < 0"), PATH).count() == 0
 
 
+PIECES = [*"abzAZ09 \t\n.,;:!?'%$-_|<>/@İıßéÉµªºΣσς²½\u00ad\u00a0\u0085\u0300\u0301\u200b", "'s", "'LL", "  ", "don't", "İ?", "Ǆ", "日本", "😀", "한", "Å", "ﬁ", "\u1100\u1161", "\x1c", "\r\n", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "the", "x" * 70]
+
+
+def test_ids_of_random_texts():
+    rng = random.Random(11)
+    texts = ["".join(rng.choice(PIECES) for _ in range(rng.randrange(12))) for _ in range(20_000)]
+    encoder = packing.WordEncoder(PATH)
+    assert encoder.merges
+    for at in range(0, len(texts), 5000):  # later chunks meet remembered parts
+        own = texts[at : at + 5000]
+        flat, bounds = encoder.encode(pa.array(own))
+        assert [[*flat[a:b].tolist(), 1] for a, b in zip(bounds, bounds[1:])] == direct(own)
+
+
+def test_forgetting(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE", 20)
+    encoder = packing.WordEncoder(PATH)
+    for i in range(30):
+        own = [f"word{j} anew{i % 7} same" for j in range(i, i + 15)]
+        flat, bounds = encoder.encode(pa.array(own))
+        assert [[*flat[a:b].tolist(), 1] for a, b in zip(bounds, bounds[1:])] == direct(own)
+        assert len(encoder.young) <= 10 + 50
+
+
+def test_other_tokenizer():
+    path = tokenizer_file("byte_bpe_50k.json")
+    assert packing.merge_ranks(path) is None
+    texts = ["Two  blanks kept", "", None, "end\n"]
+    flat, bounds = packing.WordEncoder(path).encode(pa.array(texts))
+    t = Tokenizer.from_file(path)
+    assert [flat[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
 def bins_of(counts, capacity):
     fill = {}
     for n, _, many, first, each, offset in packing.plan(counts, capacity):
