@@ -99,7 +99,7 @@ MIX_WEIGHTS = {("crawl",): 5.0, ("books",): 3.0, ("forum",): 2.0} | {(d, "en"):
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read_table(spark, sf_dir, "documents"), MIX_WEIGHTS)
+    return mixing.mix(read_table(spark, sf_dir, "documents"), MIX_WEIGHTS, tokenizer_path=tokenizer_file("word_bpe_49k.json"))
 
 
 def op8_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
