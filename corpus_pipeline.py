@@ -1,4 +1,10 @@
-"""Corpus preparation in five stages; each is written as Parquet and read by the next."""
+"""Corpus preparation in five stages; each is written as Parquet and read by the next.
+
+Every stage takes the columns of ``documents``; further columns pass through whatever their
+names, the last stage leaves them out. Whole texts are read, however long; an empty table
+gives an empty result; ``doc_id`` must be unique. Equal texts are documents of their own
+until the near-duplicate stage.
+"""
 
 from __future__ import annotations
 
@@ -11,12 +17,18 @@ from tamarack.llm.queries import MIX_WEIGHTS, tokenizer_file
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reject documents whose toxicity score is 0.5 or more."""
+    """Reject documents whose toxicity score is 0.5 or more (ties go).
+
+    Null and empty texts hold no clause and stay; null labels are ignored.
+    """
     return toxicity.reject(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep each repeated line in its first document only; every document stays."""
+    """Keep each repeated line in its first document only; every document stays.
+
+    A null or empty text becomes one empty line; a text may lose all its lines and be empty.
+    """
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     packed = docs.select("doc_id", "text", F.struct(F.lit(1).alias("_"), *rest).alias("_rest"))  # one column, so no name can clash
     out = linededup.dedup_lines(packed, carry=("_rest",))
@@ -26,19 +38,26 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each near-duplicate class."""
+    """Keep one document of each near-duplicate class, the one with the smallest ``doc_id``.
+
+    Null, empty and blank texts are in no class and all stay.
+    """
     kept = minhash.near_duplicates(docs).where("kept").select("doc_id")
     return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spread four fifths of the tokens over sources by weight; no document is repeated."""
-    chosen = mixing.mix(docs, MIX_WEIGHTS, fraction=0.8, max_epochs=1).select("doc_id")
+    """Spread four fifths of the tokens over sources by weight; no document is repeated.
+
+    Null ``source`` and ``lang`` count as ``unknown``; null and empty texts have no tokens
+    and are taken where a source's prefix passes them.
+    """
+    chosen = mixing.mix(docs, MIX_WEIGHTS, fraction=0.8, max_epochs=1, tokenizer_path=tokenizer_file("word_bpe_49k.json")).select("doc_id")
     return docs.join(chosen, "doc_id", "left_semi").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack the documents' tokens into sequences of 4096."""
+    """Pack the documents' tokens into sequences of 4096; null and empty texts hold the end mark alone."""
     return packing.pack(docs, tokenizer_file("word_bpe_49k.json"))
 
 
