@@ -23,13 +23,15 @@ EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966,
 TRACK_ENTRY, AUDIO, BLOCK_GROUP, CUE_POINT, CUE_POSITIONS = 0xAE, 0xE1, 0xA0, 0xBB, 0xB7
 SIMPLE_BLOCK, BLOCK, TIMESTAMP, SCALE, DURATION = 0xA3, 0xA1, 0xE7, 0x2AD7B1, 0x4489
 TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC, RATE, CHANNELS, BIT_DEPTH = 0xD7, 0x73C5, 0x83, 0x86, 0xB5, 0x9F, 0x6264
-CUE_TIME, CUE_TRACK, CUE_CLUSTER, BLOCK_DURATION = 0xB3, 0xF7, 0xF1, 0x9B
+CUE_TIME, CUE_TRACK, CUE_CLUSTER = 0xB3, 0xF7, 0xF1
+DEFAULT_DURATION, BLOCK_DURATION, REFERENCE_BLOCK = 0x23E383, 0x9B, 0xFB
 DOC_TYPE, DOC_VERSION, READ_VERSION, MUXER, WRITER = 0x4282, 0x4287, 0x4285, 0x4D80, 0x5741
 MASTERS = {EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES, TRACK_ENTRY, AUDIO, BLOCK_GROUP, CUE_POINT, CUE_POSITIONS}
 TOP = {INFO, TRACKS, CLUSTER, CUES, 0x114D9B74, 0x1043A770, 0x1941A469, 0x1254C367}  # ends an element of unknown size
 
 SAMPLE_RATE, FRAME, LACED, BLOCKS_PER_CLUSTER = 8000, 512, 8, 8
 FRAME_MS = FRAME * 1000 // SAMPLE_RATE
+MS = 1_000_000  # nanoseconds
 
 
 def _id(x: int) -> bytes:
@@ -73,7 +75,7 @@ def mux(payload: bytes) -> bytes:
     frames = [payload[i : i + FRAME] for i in range(0, len(payload), FRAME)]
     info = element(INFO, uint(SCALE, 1_000_000) + element(DURATION, struct.pack(">d", len(payload) * 1000 / SAMPLE_RATE)) + element(MUXER, b"tamarack") + element(WRITER, b"tamarack"))
     audio = element(AUDIO, element(RATE, struct.pack(">d", float(SAMPLE_RATE))) + uint(CHANNELS, 1) + uint(BIT_DEPTH, 8))
-    tracks = element(TRACKS, element(TRACK_ENTRY, uint(TRACK_NUMBER, 1) + uint(TRACK_UID, 1) + uint(TRACK_TYPE, 2) + element(CODEC, b"A_PCM/INT/LIT") + audio))
+    tracks = element(TRACKS, element(TRACK_ENTRY, uint(TRACK_NUMBER, 1) + uint(TRACK_UID, 1) + uint(TRACK_TYPE, 2) + uint(DEFAULT_DURATION, FRAME_MS * MS) + element(CODEC, b"A_PCM/INT/LIT") + audio))
     at, clusters, cues = len(info) + len(tracks), [], []
     for c in range(0, len(frames), LACED * BLOCKS_PER_CLUSTER):
         base = c * FRAME_MS
@@ -103,6 +105,7 @@ class Packet:
     start: int
     end: int
     keyframe: bool
+    duration: int | None = None  # milliseconds, where the file tells
 
 
 @dataclass
@@ -157,17 +160,27 @@ def unlace(data: bytes, at: int, end: int, kind: int) -> list[tuple[int, int]]:
 
 
 def demux(data: bytes) -> Media:
-    """Packet table, tracks and cues of a Matroska file."""
+    """Packet table, tracks and cues of a Matroska file.
+
+    Frames of a lace follow each other by the track's default duration, else by an even
+    share of the block's own duration, else they share a timestamp. A simple block says by
+    a flag whether it is a key frame, a block of a group by having no reference to others.
+    """
     media = Media()
-    frame_ms: dict[int, int] = {}
     segment, cluster_time = 0, 0
 
-    def block(at: int, end: int, simple: bool) -> None:
+    def block(at: int, end: int, simple: bool, duration: int | None = None, refers: bool = False) -> None:
         track, at, _ = read_vint(data, at)
         when, flags = struct.unpack(">hB", data[at : at + 3])
-        for i, (s, e) in enumerate(unlace(data, at + 3, end, flags >> 1 & 3)):
-            step = frame_ms.get(track, 0)
-            media.packets.append(Packet(track, (cluster_time + when) * media.scale // 1_000_000 + i * step, s, e, bool(flags & 0x80) or not simple))
+        frames = unlace(data, at + 3, end, flags >> 1 & 3)
+        begin = (cluster_time + when) * media.scale
+        step = int(media.tracks.get(track, {}).get("default_duration", 0))
+        whole = None if duration is None else duration * media.scale
+        step = step or (whole or 0) // len(frames)
+        key = bool(flags & 0x80) if simple else not refers
+        for i, (s, e) in enumerate(frames):
+            own = step if whole is None else min(step, max(0, whole - i * step))
+            media.packets.append(Packet(track, (begin + i * step) // MS, s, e, key, own // MS if step else None))
 
     def walk(at: int, end: int, parent: dict[str, object]) -> None:
         nonlocal segment, cluster_time
@@ -197,18 +210,22 @@ def demux(data: bytes) -> Media:
             if kind == TRACK_ENTRY:
                 entry: dict[str, object] = {}
                 walk(at, stop, entry)
-                number = int(entry.get("number", 0))
-                media.tracks[number] = entry
-                if entry.get("codec") == "A_PCM/INT/LIT" and entry.get("rate"):
-                    frame_ms[number] = FRAME * 1000 // int(entry["rate"])
+                media.tracks[int(entry.get("number", 0))] = entry
+            elif kind == BLOCK_GROUP:
+                group: dict[str, object] = {}
+                walk(at, stop, group)
+                if "block" in group:
+                    block(*group["block"], False, group.get("block_duration"), "reference" in group)
             elif kind == CUE_POINT:
                 cue: dict[str, object] = {}
                 walk(at, stop, cue)
                 media.cues.append((int(cue.get("time", 0)), int(cue.get("track", 0)), segment + int(cue.get("cluster", 0))))
             elif kind in MASTERS:
                 walk(at, stop, parent)
-            elif kind in (SIMPLE_BLOCK, BLOCK):
-                block(at, stop, kind == SIMPLE_BLOCK)
+            elif kind == SIMPLE_BLOCK:
+                block(at, stop, True)
+            elif kind == BLOCK:
+                parent["block"] = (at, stop)
             elif kind == TIMESTAMP:
                 cluster_time = int.from_bytes(own, "big")
             elif kind == SCALE:
@@ -228,6 +245,7 @@ def demux(data: bytes) -> Media:
 
 
 _NUMBERS = {TRACK_NUMBER: "number", TRACK_TYPE: "type", CHANNELS: "channels", BIT_DEPTH: "bits", CUE_TIME: "time", CUE_TRACK: "track", CUE_CLUSTER: "cluster"}
+_NUMBERS |= {DEFAULT_DURATION: "default_duration", BLOCK_DURATION: "block_duration", REFERENCE_BLOCK: "reference"}
 
 
 def payload_of(data: bytes, media: Media, track: int = 1) -> bytes:
@@ -258,7 +276,7 @@ def store(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-PACKET_SCHEMA = "doc_id long, track int, packet int, timestamp_ms long, start long, end long, keyframe boolean"
+PACKET_SCHEMA = "doc_id long, track int, packet int, timestamp_ms long, start long, end long, keyframe boolean, duration_ms long"
 
 
 def packets(media: DataFrame) -> DataFrame:
@@ -268,9 +286,10 @@ def packets(media: DataFrame) -> DataFrame:
         for b in batches:
             for doc, data in zip(b["doc_id"].to_pylist(), b["media"], strict=True):
                 ps = demux(data.as_py()).packets if data.is_valid else []
-                cols = [[doc] * len(ps), [p.track for p in ps], list(range(len(ps))), [p.timestamp for p in ps], [p.start for p in ps], [p.end for p in ps], [p.keyframe for p in ps]]
-                types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "track", "packet", "timestamp_ms", "start", "end", "keyframe"])
+                cols = [[doc] * len(ps), [p.track for p in ps], list(range(len(ps))), [p.timestamp for p in ps], [p.start for p in ps], [p.end for p in ps], [p.keyframe for p in ps], [p.duration for p in ps]]
+                types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()]
+                names = ["doc_id", "track", "packet", "timestamp_ms", "start", "end", "keyframe", "duration_ms"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
     return media.select("doc_id", "media").mapInArrow(run, PACKET_SCHEMA)
 
@@ -281,8 +300,9 @@ def digest(data: bytes) -> tuple[int, str, int, int, str, str]:
     if any(c[2] not in media.clusters for c in media.cues):
         raise ValueError("a cue points past the clusters")
     payload = payload_of(data, media)
-    last = media.packets[-1]
-    feature = f"packets={len(media.packets)};clusters={len(media.clusters)};cues={len(media.cues)};last_ms={last.timestamp};last_range={last.start}-{last.end};mean={sum(payload) / len(payload):.6f}"
+    last = media.packets[-1] if media.packets else Packet(0, 0, 0, 0, False)
+    mean = sum(payload) / max(1, len(payload))
+    feature = f"packets={len(media.packets)};clusters={len(media.clusters)};cues={len(media.cues)};last_ms={last.timestamp};last_range={last.start}-{last.end};mean={mean:.6f}"
     return len(payload), hashlib.sha256(payload).hexdigest(), crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature
 
 
@@ -290,11 +310,16 @@ DIGEST_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 s
 
 
 def digests(media: DataFrame) -> DataFrame:
-    """Per file of a media column: what its packets hold, read back from the stored bytes."""
+    """Per file of a media column: what its packets hold, read back from the stored bytes.
+
+    A null file has nulls only; one without packets has an empty payload. Files of any
+    length are read whole; equal files give equal rows. Extra columns are ignored, whatever
+    their names; an empty table gives an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = list(zip(*(digest(d.as_py()) for d in b["media"]), strict=True)) or [()] * 6
+            rows = list(zip(*(digest(d.as_py()) if d.is_valid else (None,) * 6 for d in b["media"]), strict=True)) or [()] * 6
             types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["n_bytes"], *(pa.array(c, t) for c, t in zip(rows, types, strict=True))], ["doc_id", "n_bytes", *names])

@@ -65,3 +65,90 @@ def test_cues_and_damage():
         M.demux(data[:-10])
     for x in (0, 126, 127, 128, 16382, 16383, 2**21, 2**40):
         assert M.read_vint(M.vint(x), 0)[0] == x
+
+
+def track(*extra):
+    return M.element(M.TRACKS, M.element(M.TRACK_ENTRY, M.uint(M.TRACK_NUMBER, 1) + M.uint(M.TRACK_TYPE, 1) + b"".join(extra)))
+
+
+def test_durations_and_key_frames():
+    flags, body = M.lace([b"ab", b"cde", b"f"], "ebml")
+    head = M.vint(1) + struct.pack(">hB", 10, flags)
+    group = lambda *more: M.element(M.BLOCK_GROUP, b"".join([M.element(M.BLOCK, head + body), *more]))
+    cluster = M.element(M.CLUSTER, M.uint(M.TIMESTAMP, 100) + group(M.uint(M.BLOCK_DURATION, 60)) + group(M.element(M.REFERENCE_BLOCK, b"\xf6")) + M.element(M.SIMPLE_BLOCK, M.vint(1) + struct.pack(">hB", 0, 0) + b"x"))
+    seen = lambda data: [(p.timestamp, p.keyframe, p.duration) for p in M.demux(data).packets]
+    # by the track's default: 40 ms a frame, the last of a known block is shorter; not a sample rate's business
+    audio = M.element(M.AUDIO, M.element(M.RATE, struct.pack(">d", 8000.0)))
+    data = M.element(M.SEGMENT, track(M.uint(M.DEFAULT_DURATION, 40_000_000), M.element(M.CODEC, b"A_PCM/INT/LIT"), audio) + cluster)
+    assert seen(data) == [(110, True, 40), (150, True, 20), (190, True, 0), (110, False, 40), (150, False, 40), (190, False, 40), (100, False, 40)]
+    # without one: the block's own duration, or no telling
+    data = M.element(M.SEGMENT, track() + cluster)
+    assert seen(data) == [(110, True, 20), (130, True, 20), (150, True, 20), (110, False, None), (110, False, None), (110, False, None), (100, False, None)]
+    # a scale of 2 ms
+    data = M.element(M.SEGMENT, M.element(M.INFO, M.uint(M.SCALE, 2_000_000)) + track() + cluster)
+    assert [p[0] for p in seen(data)][:3] == [220, 260, 300]
+
+
+def naive_feature(data):
+    """Packets by a second, plain walk: sizes by hand, laces by their three rules."""
+    def num(at, keep):
+        n = 1
+        while not data[at] & 0x80 >> n - 1:
+            n += 1
+        v = int.from_bytes(data[at : at + n], "big")
+        return (v if keep else v - (1 << 7 * n)), at + n, n
+
+    clusters, cues, ranges, time, times = 0, 0, [], 0, []
+    todo = [(0, len(data))]
+    while todo:
+        at, end = todo.pop()
+        if at >= end:
+            continue
+        kind, a, _ = num(at, True)
+        size, a, _ = num(a, False)
+        todo.append((a + size, end))
+        if kind in (0x18538067, 0x1F43B675, 0xA0, 0x1C53BB6B):
+            clusters += kind == 0x1F43B675
+            todo.append((a, a + size))
+        cues += kind == 0xBB
+        if kind == 0xE7:
+            time = int.from_bytes(data[a : a + size], "big")
+        if kind in (0xA1, 0xA3):
+            start = time + struct.unpack(">h", data[a + 1 : a + 3])[0]
+            lacing, p, stop = data[a + 3] >> 1 & 3, a + 4, a + size
+            n = data[p] + 1 if lacing else 1
+            p += lacing > 0
+            sizes = []
+            for i in range(n - 1):
+                if lacing == 1:
+                    sizes.append(0)
+                    while data[p] == 255:
+                        sizes[-1], p = sizes[-1] + 255, p + 1
+                    sizes[-1], p = sizes[-1] + data[p], p + 1
+                elif lacing == 3:
+                    v, p, w = num(p, False)
+                    sizes.append(v if not i else sizes[-1] + v - 2 ** (7 * w - 1) + 1)
+            sizes = [(stop - p) // n] * n if lacing == 2 else [*sizes, stop - p - sum(sizes)]
+            for i, s in enumerate(sizes):
+                ranges.append((p, p + s))
+                times.append(start + 64 * i)
+                p += s
+    body = b"".join(data[a:b] for a, b in ranges)
+    return body, f"packets={len(ranges)};clusters={clusters};cues={cues};last_ms={times[-1]};last_range={ranges[-1][0]}-{ranges[-1][1]};mean={sum(body) / len(body):.6f}"
+
+
+def test_features_of_stored_bytes(spark):
+    texts = ["", "one", "é" * 5000, "y" * 40_000, "abc" * 100_000]
+    stored = M.store(table(spark, texts))
+    got = rows(M.digests(stored))
+    for r, (text, data) in zip(got.itertuples(), [(t, bytes(x.media)) for t, x in zip(texts, rows(stored).itertuples())], strict=True):
+        body, feature = naive_feature(data)
+        assert hashlib.sha256(body).hexdigest() == r.payload_sha256 == expect(text)[2]
+        assert (r.feature, r.media_bytes, r.media_sha256) == (feature, len(data), hashlib.sha256(data).hexdigest())
+
+
+def test_null_files(spark):
+    df = spark.createDataFrame([(1, 0, None, "x"), (2, 0, M.element(M.EBML, b""), "x")], "doc_id long, n_bytes long, media binary, feature string")
+    got = rows(M.digests(df))
+    assert got.payload_bytes.isna().tolist() == [True, False] and got.payload_bytes[1] == 0 and got.feature[0] is None
+    assert M.packets(df).count() == 0
