@@ -224,25 +224,37 @@ def undo_number_dots(m: Mapped) -> Mapped:
 
 _AT = r"(?:\s*[\[({<]\s*(?:at|arroba|arobase|@)\s*[\])}>]\s*|\s+at\s+|\s*_at_\s*|\s+arroba\s+|\s+arobase\s+)"
 _DOT = r"(?:\s*[\[({<]\s*(?:dot|punkt|point|punto|\.)\s*[\])}>]\s*|\s+(?:dot|punkt|point|punto)\s+|\s*_dot_\s*)"
-_ADDRESS = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:\.|{_DOT})[A-Za-z0-9_%+-]+)*?(?P<at>{_AT}|@)[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)*(?:\.|{_DOT})[A-Za-z][A-Za-z0-9-]+", re.I)
+_AT_ANY = re.compile(rf"{_AT}|@", re.I)
+_LOCAL_CHAIN = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:\.|{_DOT})[A-Za-z0-9_%+-]+)*", re.I)
+_DOMAIN_CHAIN = re.compile(rf"[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)*(?:\.|{_DOT})[A-Za-z][A-Za-z0-9-]+", re.I)
 _BRACKET_AT = re.compile(r"\s*[\[({<]\s*(?:at|arroba|arobase|@)\s*[\])}>]\s*", re.I)
 _DOTS = re.compile(_DOT, re.I)
-_ATS = re.compile(_AT, re.I)
 _HINT = re.compile(r"[\[({<]\s*(?:at|arroba|arobase|@|dot|punkt|point|punto|\.)\s*[\])}>]|_at_|_dot_|(?<!\w)(?:dot|arroba|arobase)(?!\w)|(?:@|(?<!\w)at\s)\s*[A-Za-z0-9.-]++\s+(?:punkt|point|punto)(?!\w)", re.I)
 _ARROBA = re.compile(r"\s+(?:arroba|arobase)\s+", re.I)
 _BARE = re.compile(r"\s+(?:punkt|point|punto)\s+", re.I)
 _POINT = re.compile(r"\s+point\s+", re.I)
 #: What "at" and a bare "point" must lead to, as English prose has both ("look at this point of view").
 _POINT_ENDS = ("com", "org", "fr", "ch", "eu")
-REACH = 300
 
 
-def _addresses(text: str, low: int, high: int) -> Iterator[re.Match[str]]:
-    """Addresses that start between ``low`` and ``high``, each to its own end."""
-    while low < high and (cut := _ADDRESS.search(text, low, high)):
-        whole = _ADDRESS.match(text, cut.start())  # the window may have cut it
-        yield whole
-        low = whole.end()
+def _addresses(text: str) -> Iterator[tuple[int, int, int, int]]:
+    """Start, at sign's start and end, and end of what may be a disguised address, left to right.
+
+    A chain of names joined by dots before an at sign reaches back to the at sign (or the
+    address) before it at most, so that texts are read in linear time, however long names are.
+    """
+    low = 0
+    for at in _AT_ANY.finditer(text):
+        if at.start() < low:
+            continue
+        name = None
+        for name in _LOCAL_CHAIN.finditer(text, low, at.start()):
+            pass
+        domain = _DOMAIN_CHAIN.match(text, at.end()) if name and name.end() == at.start() else None
+        low = at.end()
+        if domain:
+            yield name.start(), at.start(), at.end(), domain.end()
+            low = domain.end()
 
 
 def undo_at_dot(m: Mapped) -> Mapped:
@@ -253,30 +265,21 @@ def undo_at_dot(m: Mapped) -> Mapped:
     the domain ends the address.
     """
     edits: list[tuple[int, int, str]] = []
-    done = 0
-    for hint in _HINT.finditer(m.text):
-        if hint.start() < done:
-            continue
-        low = max(done, hint.start() - REACH)
-        for a in _addresses(m.text, low, min(len(m.text), hint.end() + REACH)):
-            inner = m.text[a.start() : a.end()]
-            at = _ATS.search(inner)
-            bracketed = bool(_BRACKET_AT.search(inner) or _ARROBA.search(inner))
-            dots = [d.span() for d in _DOTS.finditer(inner)]
-            domain = a.end("at") - a.start()
-            for s, e in dots:
-                if s >= domain and _BARE.fullmatch(inner, s, e) and "." in _DOTS.sub("", inner[domain:s]):
-                    dots = [d for d in dots if d[0] < s]
-                    break
-            else:
-                if not bracketed and at and dots and _POINT.fullmatch(inner, *dots[-1]) and inner[dots[-1][1] :].lower() not in _POINT_ENDS:
-                    continue
-            if not at and a["at"] != "@" or not (bracketed or dots):
+    for start, at, domain, end in _addresses(m.text) if _HINT.search(m.text) else ():
+        inner = m.text[start:end]
+        sign = m.text[at:domain]
+        bracketed = bool(_BRACKET_AT.search(inner) or _ARROBA.search(inner))
+        dots = [(start + d.start(), start + d.end()) for d in _DOTS.finditer(inner)]
+        for s, e in dots:
+            if s >= domain and _BARE.fullmatch(m.text, s, e) and "." in _DOTS.sub("", m.text[domain:s]):
+                dots = [d for d in dots if d[0] < s]
+                break
+        else:
+            if not bracketed and sign != "@" and dots and _POINT.fullmatch(m.text, *dots[-1]) and m.text[dots[-1][1] : end].lower() not in _POINT_ENDS:
                 continue
-            if at:
-                edits.append((a.start() + at.start(), a.start() + at.end(), "@"))
-            edits += [(a.start() + s, a.start() + e, ".") for s, e in dots]
-            done = a.end()
+        if bracketed or dots:
+            edits += [] if sign == "@" else [(at, domain, "@")]
+            edits += [(s, e, ".") for s, e in dots]
     edits.sort()
     return m.rewrite(edits) if edits else m
 

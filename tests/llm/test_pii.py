@@ -1,6 +1,9 @@
 import hashlib
 import random
 import re
+import time
+
+import pytest
 
 from tamarack.llm import pii
 from tamarack.llm.queries import op9_pii
@@ -112,3 +115,18 @@ def test_dense_lists_are_not_cut():
     for pad in range(45):
         each = [f"jo [at] {'x' * (pad + 1)} dot com"] + [f"user{i} [at] mail dot example dot com" for i in range(40)]
         assert added("; ".join(each)) == [("email", e) for e in each], pad
+
+
+def test_addresses_of_any_length():
+    for n in (10, 299, 300, 320, 5000):
+        text = f"write to joe [at] {'a' * n} [dot] com today"
+        assert ("email", 9, len(text) - 6) in pii.spans(text)[1]
+        text = f"write to {'b' * n} (dot) c at mail dot example dot org today"
+        assert ("email", 9, len(text) - 6) in pii.spans(text)[1]
+
+
+@pytest.mark.parametrize("text", ["x dot ", "x at ", "a dot b at ", "[at] ", "x [dot] ", " [at]      ", "one dot "])
+def test_linear_time(text):
+    began = time.perf_counter()
+    pii.spans(text * 40_000)
+    assert time.perf_counter() - began < 20
