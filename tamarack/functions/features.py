@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+import unicodedata
+from collections.abc import Callable
+from functools import cache, reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from . import fixed
-from .sanitize import FLAGS, _trim
-
-_PUNCT = "[" + "".join("\\" + c for c in fixed.PUNCTUATION) + "]"
+from .sanitize import FLAGS, _trim, folded, may_match
 
 
 def rule_hits(s: Column, rules: tuple[str, ...], flags: str = FLAGS) -> Column:
-    """How many of the rules match."""
-    return reduce(lambda a, r: a + s.rlike(flags + r).cast("int"), rules, F.lit(0))
+    """How many of the rules match; a rule is tried on texts that hold one of its literals."""
+    low = folded(s)
+    return reduce(lambda a, r: a + (may_match(low, [r]) & s.rlike(flags + r)).cast("int"), rules, F.lit(0))
 
 
 def regex_heuristic_score(s: Column) -> Column:
@@ -36,67 +41,117 @@ def any_rule(s: Column) -> Column:
     return F.when(s.rlike(FLAGS + "|".join(fixed.ANY_RULES)), 1.0).otherwise(0.0)
 
 
-def _share(s: Column, pattern: str, n: Column) -> Column:
-    return F.regexp_count(s, F.lit(pattern)) / n
+_TABLE = 0x3000  # code points that are counted by table; higher ones singly
+_CLASSES: dict[str, Callable[[str], bool]] = {
+    "space": lambda c: c == " ",
+    "punct": lambda c: c in fixed.PUNCTUATION,
+    "digit": lambda c: unicodedata.category(c) == "Nd",
+    "upper": lambda c: unicodedata.category(c) == "Lu",
+    "uppercase": str.isupper,
+    "non_ascii": lambda c: c > "\x7f",
+}
 
 
-def entropy(s: Column, epsilon: float = 0.0, n: Column | None = None) -> Column:
-    """Bits per character of a text's character distribution; 0 for an empty text.
+@cache
+def _class_table(names: tuple[str, ...]) -> np.ndarray:
+    return np.array([[_CLASSES[n](chr(c)) for n in names] for c in range(_TABLE)], np.int64)
 
-    One pass over the sorted characters; a run of equal ones is added where it ends. The
-    length is carried in the state, as nothing outside is computed once inside a lambda.
-    """
-    n = n if n is not None else F.length(s)
-    chars = F.array_sort(F.split(s, ""))
-    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0.0).alias("bits"), n.cast("double").alias("n"))
-    part = lambda a: F.when(a["run"] > 0, a["run"] / a["n"] * F.log2(a["run"] / a["n"] + epsilon)).otherwise(0.0)
 
-    def step(a: Column, c: Column) -> Column:
-        same = F.struct(a["last"].alias("last"), (a["run"] + 1).alias("run"), a["bits"].alias("bits"), a["n"].alias("n"))
-        other = F.struct(c.alias("last"), F.lit(1).alias("run"), (a["bits"] + part(a)).alias("bits"), a["n"].alias("n"))
-        return F.when(c == a["last"], same).otherwise(other)
+def character_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct code points of a text and how often each occurs."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    if len(codes) and codes.max() < _TABLE:
+        counts = np.bincount(codes)
+        found = np.flatnonzero(counts)
+        return found, counts[found]
+    return np.unique(codes, return_counts=True)
+
+
+def _bits(counts: np.ndarray, n: int, epsilon: float) -> float:
+    share = counts / n
+    return float(-(share * np.log2(share + epsilon)).sum()) if len(counts) else 0.0
+
 
-    return F.when(F.length(s) > 0, F.aggregate(chars, start, step, lambda a: -(a["bits"] + part(a)))).otherwise(0.0)
+def _statistics(classes: tuple[str, ...], epsilon: float, lower: bool) -> Callable[[Column], Column]:
+    """Struct of a trimmed text's ``length``, shares of ``classes`` and entropy in ``bits`` per character."""
+
+    @F.pandas_udf(StructType([StructField("length", IntegerType()), *(StructField(c, DoubleType()) for c in (*classes, "bits"))]))
+    def run(s: pd.Series) -> pd.DataFrame:
+        table, rows = _class_table(classes), []
+        for text in s:
+            if text is None:
+                rows.append((None,) * (len(classes) + 2))
+                continue
+            text = text.strip()
+            n = max(1, len(text))
+            codes, counts = character_counts(text)
+            low = codes < _TABLE
+            hits = counts[low] @ table[codes[low]]
+            for code, many in zip(codes[~low].tolist(), counts[~low].tolist(), strict=True):
+                hits = hits + [many * _CLASSES[c](chr(code)) for c in classes]
+            if lower:
+                counts = character_counts(text.lower())[1]
+            rows.append((len(text), *(hits / n), _bits(counts, n, epsilon)))
+        return pd.DataFrame(rows, columns=["length", *classes, "bits"])
+
+    return run
+
+
+_ENGINEERED = ("space", "punct", "digit", "upper", "non_ascii")
+_engineered = _statistics(_ENGINEERED, 1e-12, False)
+_heuristic = _statistics(("punct", "uppercase"), 0.0, True)
 
 
 def engineered_features(text: Column) -> dict[str, Column]:
-    """Length, five character shares and entropy of a trimmed text."""
-    s = _trim(F.coalesce(text, F.lit("")))
-    n = F.greatest(F.lit(1), F.length(s))
-    return {
-        "n_chars": F.length(s),
-        "space_ratio": _share(s, " ", n),
-        "punct_ratio": _share(s, _PUNCT, n),
-        "digit_ratio": _share(s, r"\p{Nd}", n),
-        "upper_ratio": _share(s, r"\p{Lu}", n),
-        "non_ascii_ratio": _share(s, r"[^\x00-\x7F]", n),
-        "entropy": entropy(s, 1e-12),
-    }
+    """Length, five character shares and entropy of a trimmed text; null counts as empty.
+
+    One Arrow pass counts each text's characters; all features are read off these counts.
+    """
+    s = _engineered(F.coalesce(text, F.lit("")))
+    return {"n_chars": s["length"]} | {f"{c}_ratio": s[c] for c in _ENGINEERED} | {"entropy": s["bits"]}
 
 
 def heuristic_score(text: Column) -> dict[str, Column]:
-    """The weighted heuristic: probability, matched rules and what it was made of."""
+    """The weighted heuristic: probability, matched rules and what it was made of; null for a null text.
+
+    Rules run on texts that hold one of their literals.
+    """
     t = _trim(text)
-    n = F.greatest(F.length(t), F.lit(1))
-    matched = F.array_compact(F.array(*(F.when(t.rlike(FLAGS + r), F.lit(i)) for i, r in enumerate(fixed.HEURISTIC_RULES))))
-    rules = F.size(matched)
-    bits = entropy(F.lower(t), 0.0, n)
-    punct, upper = _share(t, _PUNCT, n), _share(t, r"\p{IsUppercase}", n)
-    newline = t.rlike("(?iu)" + fixed.NEWLINE_COMMAND).cast("int")
+    s = _heuristic(text)
+    low = folded(t)
+    n = F.greatest(s["length"], F.lit(1))
+    hits = [may_match(low, [r]) & t.rlike(FLAGS + r) for r in fixed.HEURISTIC_RULES]
+    rules = reduce(lambda a, h: a + h.cast("int"), hits, F.lit(0))
+    matched = F.array_compact(F.array(*(F.when(h, F.lit(i)) for i, h in enumerate(hits))))
+    punct, upper, bits = s["punct"], s["uppercase"], s["bits"]
+    newline = (may_match(low, [fixed.NEWLINE_COMMAND]) & t.rlike("(?iu)" + fixed.NEWLINE_COMMAND)).cast("int")
     raw = rules * 0.55 + F.when(n > 300, 0.15).otherwise(0.0) + punct * 0.8 + upper * 0.4 + newline * 0.3 - bits * 0.04
-    return {"prob": 1 / (1 + F.exp(-raw + 1.2)), "rule_score": rules, "matched": matched, "length": n, "entropy": bits, "punct_density": punct, "upper_ratio": upper, "has_newline_cmd": newline == 1}
+    return {
+        "prob": 1 / (1 + F.exp(-raw + 1.2)), "rule_score": rules, "matched": matched, "length": n, "word_count": token_count(t),
+        "entropy": bits, "punct_density": punct, "upper_ratio": upper, "has_newline_cmd": newline == 1,
+    }
 
 
-def tokens(s: Column) -> Column:
+_ASCII_WORD = re.compile("[A-Za-z0-9]+")
+_MARKERS = {"enc", "base64", "hex", "url"}
+
+
+def token_set(text: str) -> set[str]:
     """Distinct lower-case ASCII words, without the names of decoding markers."""
-    found = F.regexp_extract_all(F.lower(s), F.lit("[A-Za-z0-9]+"), F.lit(0))
-    return F.array_distinct(F.filter(found, lambda t: ~t.isin("enc", "base64", "hex", "url")))
+    return set(_ASCII_WORD.findall(text.lower())) - _MARKERS
+
+
+@F.pandas_udf(DoubleType())
+def recovery_rate(original: pd.Series, canonical: pd.Series) -> pd.Series:
+    """Share of the original's words that the canonical text has; 0 without words, null if either is null."""
 
+    def rate(a: str | None, b: str | None) -> float | None:
+        if a is None or b is None:
+            return None
+        own = token_set(a)
+        return len(own & token_set(b)) / len(own) if own else 0.0
 
-def recovery_rate(original: Column, canonical: Column) -> Column:
-    """Share of the original's words that the canonical text has."""
-    own = tokens(original)
-    return F.when(F.size(own) == 0, 0.0).otherwise(F.size(F.array_intersect(own, tokens(canonical))) / F.size(own))
+    return pd.Series([rate(a, b) for a, b in zip(original, canonical, strict=True)], dtype="float64")
 
 
 def token_count(s: Column) -> Column:

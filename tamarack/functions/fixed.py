@@ -22,6 +22,10 @@ LJE = "љ"
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
+#: What Python's ``str.strip`` removes and its ``\\s`` matches, as characters and as a Java class.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+BLANK = r"[\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+
 # --- decoding gates ---------------------------------------------------------------
 MAX_DECODE_PASSES = 3
 MIN_ENCODED_CHARS = 12

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterable
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,14 +14,66 @@ from . import fixed
 FLAGS = "(?iuU)"
 
 
+@cache
+def needed(rule: str) -> frozenset[str] | None:
+    """Literals, lower-cased, of which every match of ``rule`` holds at least one; None if none can be told."""
+
+    def best(options: list[frozenset[str]]) -> frozenset[str] | None:
+        return max(options, key=lambda o: (min(map(len, o)), -len(o), sorted(o)), default=None)
+
+    def of(items: Iterable) -> frozenset[str] | None:
+        found, run = [], ""
+        for op, arg in [*items, (None, None)]:
+            name = str(op)
+            if name == "LITERAL" and arg < 128:
+                run += chr(arg).lower()
+                continue
+            if run:
+                found.append(frozenset([run]))
+            run = ""
+            if name == "SUBPATTERN":
+                inner = of(arg[-1])
+            elif name == "BRANCH":
+                each = [of(x) for x in arg[1]]
+                inner = frozenset().union(*each) if all(each) else None
+            elif name == "MAX_REPEAT" and arg[0] > 0:
+                inner = of(arg[2])
+            else:
+                inner = None
+            if inner:
+                found.append(inner)
+        return best(found)
+
+    return of(re._parser.parse(rule, re.I))
+
+
+def folded(s: Column) -> Column:
+    """Lower case in which a letter that matches an ASCII one regardless of case is that one."""
+    return F.lower(F.translate(s, "\u017f\u212a\u0131\u0130", "skii"))
+
+
+def may_match(low: Column, rules: Iterable[str], always: str = "") -> Column:
+    """Whether any of the rules can match a text, given its ``folded`` form: a cheap test before the regexes.
+
+    Literals inside ``always`` (what an earlier rule may have put in) count as present.
+    """
+    words = [needed(r) for r in rules]
+    if any(w is None or any(x in always for x in w) for w in words):
+        return F.lit(True)
+    return reduce(lambda a, w: a | low.contains(w), sorted(frozenset().union(*words)), F.lit(False))
+
+
 def _trim(s: Column) -> Column:
-    return F.regexp_replace(s, r"(?U)\A[\s\x1C-\x1F]+|[\s\x1C-\x1F]+\z", "")
+    return F.btrim(s, F.lit(fixed.BLANKS))
 
 
 def rule_strip(s: Column) -> Column:
+    """Replace what the rules match; the regexes run on texts that hold one of their literals."""
+    out = s
     for rule in fixed.STRIP_RULES:
-        s = F.regexp_replace(s, FLAGS + rule, "[STRIPPED]")
-    return _trim(F.regexp_replace(s, r"(?U)[\s\x1C-\x1F]+", " "))
+        out = F.regexp_replace(out, FLAGS + rule, "[STRIPPED]")
+    out = F.when(may_match(folded(s), fixed.STRIP_RULES), out).otherwise(s)
+    return _trim(F.regexp_replace(out, fixed.BLANK + "+", " "))
 
 
 def context_isolation(s: Column) -> Column:
@@ -44,16 +98,26 @@ MODES = ("off", "rule_strip", "context_isolation", "llm_rewrite_optional")
 def demo_rule_strip(s: Column) -> Column:
     """Struct ``redacted, fired``: rules in turn, and the indexes of those that changed the text.
 
-    The rules are folded over an array so that each step's text is computed once.
+    The rules are folded over an array so that each step's text is computed once. Texts
+    without any literal of the rules skip the fold, others the rules whose literals they lack.
     """
+    mark = "[REDACTED]"
+    low = folded(s)
+    flags = [may_match(low, [r], mark.lower()) for r in fixed.DEMO_RULES]
     rules = F.array(*(F.lit(FLAGS + r) for r in fixed.DEMO_RULES))
-    start = F.struct(s.alias("redacted"), F.array().cast("array<int>").alias("fired"))
+    none = F.array().cast("array<int>")
+    start = F.struct(s.alias("redacted"), none.alias("fired"), F.array(*flags).alias("flags"))
 
     def step(acc: Column, i: Column) -> Column:
-        new = F.regexp_replace(acc["redacted"], F.element_at(rules, i), F.lit("[REDACTED]"))
-        return F.struct(new.alias("redacted"), F.when(new != acc["redacted"], F.array_append(acc["fired"], i - 1)).otherwise(acc["fired"]).alias("fired"))
+        new = F.when(F.element_at(acc["flags"], i), F.regexp_replace(acc["redacted"], F.element_at(rules, i), F.lit(mark))).otherwise(acc["redacted"])
+        fired = F.when(new != acc["redacted"], F.array_append(acc["fired"], i - 1)).otherwise(acc["fired"])
+        return F.struct(new.alias("redacted"), fired.alias("fired"), acc["flags"].alias("flags"))
+
+    def result(acc: Column) -> Column:
+        return F.struct(acc["redacted"].alias("redacted"), acc["fired"].alias("fired"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(len(fixed.DEMO_RULES))), start, step)
+    some = may_match(low, fixed.DEMO_RULES)
+    return F.when(some, F.aggregate(F.sequence(F.lit(1), F.lit(len(fixed.DEMO_RULES))), start, step, result)).otherwise(F.struct(s.alias("redacted"), none.alias("fired")))
 
 
 def demo_isolation(s: Column) -> Column:

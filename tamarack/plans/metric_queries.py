@@ -375,36 +375,20 @@ def dedup_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 _SIM = (
-    "tok AS (SELECT doc_id, unnest(list_slice(regexp_extract_all(lower(text), '[a-z0-9_]+'), 1, 256)) AS token FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')), "
+    "tok AS (SELECT doc_id, unnest(list_slice(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), 1, 256)) AS token FROM documents), "
     "b AS (SELECT doc_id, unnest(range(64)) AS i, md5(token) AS h FROM tok), "
     "v AS (SELECT doc_id, i, sum(CASE WHEN (CAST(('0x' || substr(h, CAST(1 + 8 * (i // 32) AS INTEGER), 8)) AS BIGINT) >> CAST(31 - i % 32 AS BIGINT)) & 1 = 1 THEN 1 ELSE -1 END) AS s FROM b GROUP BY 1, 2), "
-    "sim AS (SELECT doc_id, CAST(sum(CASE WHEN s >= 0 THEN CASE WHEN i = 0 THEN CAST(-9223372036854775808 AS HUGEINT) ELSE CAST(power(2, 63 - i) AS HUGEINT) END ELSE 0 END) AS BIGINT) AS simhash FROM v GROUP BY doc_id)"
+    "sim AS (SELECT doc_id, CAST(sum(CASE WHEN s >= 0 THEN CASE WHEN i = 0 THEN CAST(-9223372036854775808 AS HUGEINT) ELSE CAST(power(2, 63 - i) AS HUGEINT) END ELSE 0 END) AS BIGINT) AS simhash FROM v GROUP BY doc_id UNION ALL SELECT doc_id, CAST(-1 AS BIGINT) FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '[\\p{L}\\p{N}_]'))"
 )
 
 
-def _ascii_docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]") & F.col("text").rlike("[A-Za-z0-9_]"))
-
-
 @query(f"WITH {_SIM} SELECT doc_id, simhash FROM sim")
 def simhash(spark: SparkSession, d: str) -> DataFrame:
-    return integrity.simhash64(_ascii_docs(spark, d))
+    return integrity.simhash64(table(spark, d, "documents"))
 
 
 @query(f"WITH {_SIM} SELECT x.doc_id AS a, y.doc_id AS b, CAST(bit_count(xor(x.simhash, y.simhash)) AS INTEGER) AS distance FROM sim x JOIN sim y ON x.doc_id < y.doc_id AND ((x.simhash >> 48) & 65535) = ((y.simhash >> 48) & 65535) WHERE bit_count(xor(x.simhash, y.simhash)) <= 3")
 def near_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return integrity.near_dup_pairs(integrity.simhash64(_ascii_docs(spark, d)))
-
-
-@query()
-def simhash_whole(spark: SparkSession, d: str) -> DataFrame:
-    """``simhash`` of every document; words in any script."""
-    return integrity.simhash64(table(spark, d, "documents"))
-
-
-@query()
-def near_dup_pairs_whole(spark: SparkSession, d: str) -> DataFrame:
-    """``near_dup_pairs`` over every document."""
     return integrity.near_dup_pairs(integrity.simhash64(table(spark, d, "documents")))
 
 
@@ -483,17 +467,8 @@ def closest_runs(spark: SparkSession, d: str) -> DataFrame:
     return reports.within(e, last, "ts", "t").select("event_id", F.floor("seconds").cast("long").alias("seconds"))
 
 
-@query("SELECT doc_id AS id, text, CAST(1 AS INTEGER) AS label FROM documents WHERE doc_id % 11 = 0 UNION ALL SELECT item_id, text, 0 FROM benchmark")
-def union_labeled(spark: SparkSession, d: str) -> DataFrame:
-    from ..sources.corpus import union_labeled as union
-
-    docs = table(spark, d, "documents").where("doc_id % 11 = 0").select(F.col("doc_id").alias("id"), "text")
-    return union(docs, table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text"))
-
-
 @query("SELECT doc_id AS id, text, CAST(1 AS INTEGER) AS label FROM documents UNION ALL SELECT item_id, text, 0 FROM benchmark")
-def union_labeled_whole(spark: SparkSession, d: str) -> DataFrame:
-    """``union_labeled`` of both whole tables."""
+def union_labeled(spark: SparkSession, d: str) -> DataFrame:
     from ..sources.corpus import union_labeled as union
 
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")

@@ -26,61 +26,30 @@ def fold_confusables(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", canonical.fold_confusables(bad).alias("folded"))
 
 
-def _collapse_sql(s: str) -> str:
-    for c in fixed.PUNCTUATION:
-        if c != "_":
-            s = f"regexp_replace({s}, {lit(chr(92) + c + '{3,}')}, {lit(c if c != chr(92) else chr(92) * 2)}, 'g')"
-    return f"regexp_replace(regexp_replace({s}, {lit('[ ' + chr(9) + ']{2,}')}, ' ', 'g'), {lit(chr(10) + '{3,}')}, chr(10) || chr(10), 'g')"
-
-
-@query(f"SELECT doc_id, {_collapse_sql('t')} AS collapsed FROM (SELECT doc_id, 'A!!!!  b.... ??  ' || text AS t FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F\\p{{L}}]'))")
+@query()
 def collapse_runs(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F\p{L}]"))
-    return _collapsed(docs)
-
+    """DuckDB has no back-reference to say this for marks beyond ASCII."""
+    return table(spark, d, "documents").select("doc_id", canonical.collapse_runs(F.concat(F.lit("A!!!!  b.... ??  "), "text")).alias("collapsed"))
 
-def _collapsed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", canonical.collapse_runs(F.concat(F.lit("A!!!!  b.... ??  "), "text")).alias("collapsed"))
 
-
-@query()
-def collapse_runs_whole(spark: SparkSession, d: str) -> DataFrame:
-    """``collapse_runs`` over every document; DuckDB has no back-reference to say it in SQL."""
-    return _collapsed(table(spark, d, "documents"))
+_PRINTED = rf"CASE WHEN length(text) > 0 AND length(regexp_replace(replace(translate(text, chr(9) || chr(10), '  '), ' ', 'x'), '[\p{{C}}\p{{Z}}]', '', 'g')) >= {fixed.MIN_PRINTABLE} * length(text) THEN text END"
 
 
-@query("SELECT doc_id, substr(text, 1, 60) AS decoded FROM documents WHERE length(text) >= 60 AND NOT regexp_matches(substr(text, 1, 60), '[^ -~]')")
+@query(f"SELECT doc_id, {_PRINTED} AS decoded FROM documents")
 def decode_base64(spark: SparkSession, d: str) -> DataFrame:
-    head = F.substring("text", 1, 60)
-    docs = table(spark, d, "documents").where((F.length("text") >= 60) & ~head.rlike("[^ -~]"))
-    span = F.regexp_replace(F.base64(head.cast("binary")), r"\s", "")
-    return docs.select("doc_id", canonical.decode_base64(span).alias("decoded"))
-
-
-@query("SELECT doc_id, substr(text, 1, 60) AS decoded FROM documents WHERE length(text) >= 60 AND NOT regexp_matches(substr(text, 1, 60), '[^ -~]')")
-def decode_hex(spark: SparkSession, d: str) -> DataFrame:
-    head = F.substring("text", 1, 60)
-    docs = table(spark, d, "documents").where((F.length("text") >= 60) & ~head.rlike("[^ -~]"))
-    return docs.select("doc_id", canonical.decode_hex(F.hex(head.cast("binary"))).alias("decoded"))
-
-
-@query()
-def decode_base64_whole(spark: SparkSession, d: str) -> DataFrame:
-    """``decode_base64`` of every whole text."""
     span = F.regexp_replace(F.base64(F.col("text").cast("binary")), r"\s", "")
     return table(spark, d, "documents").select("doc_id", canonical.decode_base64(span).alias("decoded"))
 
 
-@query()
-def decode_hex_whole(spark: SparkSession, d: str) -> DataFrame:
-    """``decode_hex`` of every whole text."""
+@query(f"SELECT doc_id, {_PRINTED} AS decoded FROM documents")
+def decode_hex(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", canonical.decode_hex(F.hex(F.col("text").cast("binary"))).alias("decoded"))
 
 
-@query("SELECT page_id, CASE WHEN u3 THEN url || '%21%3F%2A' END AS escaped, CASE WHEN u3 THEN url_decode(url || '%21%3F%2A') END AS decoded FROM (SELECT page_id, url, NOT contains(url, '+') AS u3 FROM pages)")
+@query("SELECT page_id, url || '%21%3F%2A' AS escaped, url_decode(replace(url, '+', '%2B') || '%21%3F%2A') AS decoded FROM pages")
 def decode_url(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "pages")
-    escaped = F.when(~F.col("url").contains("+"), F.concat("url", F.lit("%21%3F%2A")))
+    escaped = F.concat("url", F.lit("%21%3F%2A"))
     return pages.select("page_id", escaped.alias("escaped"), canonical.decode_url(escaped).alias("decoded"))
 
 
@@ -237,20 +206,10 @@ def demo_rule_strip(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"WITH {PROMPTS}, s AS (SELECT doc_id, text, {_strip_sql()} AS stripped FROM prompts) SELECT doc_id, length(text) AS length_before, length(stripped) AS length_after, "
-    "length(text) - length(stripped) AS delta, lower(substr(stripped, 1, 120)) AS head FROM s WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')"
+    "length(text) - length(stripped) AS delta, lower(substr(stripped, 1, 120)) AS head FROM s"
 )
 def sanitize_report(spark: SparkSession, d: str) -> DataFrame:
-    return _report(prompts(spark, d).where(~F.col("text").rlike(r"[^\x00-\x7F]")))
-
-
-@query()
-def sanitize_report_whole(spark: SparkSession, d: str) -> DataFrame:
-    """``sanitize_report`` over every prompt."""
-    return _report(prompts(spark, d))
-
-
-def _report(rows: DataFrame) -> DataFrame:
-    rows = rows.withColumn("stripped", sanitize.rule_strip(F.col("text")))
+    rows = prompts(spark, d).withColumn("stripped", sanitize.rule_strip(F.col("text")))
     before, after = F.length("text").cast("long"), F.length("stripped").cast("long")
     return rows.select("doc_id", before.alias("length_before"), after.alias("length_after"), (before - after).alias("delta"), F.lower(F.substring("stripped", 1, 120)).alias("head"))
 
@@ -336,25 +295,14 @@ _HEUR = " + ".join(f"CAST(regexp_matches(t, {_RE2(r)}) AS INTEGER)" for r in fix
 
 
 @query(
-    f"WITH {PROMPTS}, t0 AS (SELECT doc_id, {_S} AS t FROM prompts), u AS (SELECT doc_id, t, CAST(greatest(1, length(t)) AS DOUBLE) AS n FROM t0 WHERE NOT regexp_matches(t, '[^\\x00-\\x7F]')), "
+    f"WITH {PROMPTS}, t0 AS (SELECT doc_id, {_S} AS t FROM prompts), u AS (SELECT doc_id, t, CAST(greatest(1, length(t)) AS DOUBLE) AS n FROM t0), "
     "e AS (SELECT doc_id, sum(-(c / n) * log2(c / n)) AS bits FROM (SELECT doc_id, n, ch, count(*) AS c FROM (SELECT doc_id, n, unnest(string_split(lower(t), '')) AS ch FROM u) GROUP BY ALL) GROUP BY doc_id), "
     f"f AS (SELECT doc_id, n, {_HEUR} AS hits, {_COUNT(_PUNCT, 't')} / n AS punct, {_COUNT(lit(chr(92) + 'P{Lu}'), 't')} / n AS upper_, bits, CAST(regexp_matches(t, {_RE2(fixed.NEWLINE_COMMAND)}) AS INTEGER) AS nl FROM u JOIN e USING (doc_id)) "
     "SELECT doc_id, CAST(hits AS INTEGER) AS rule_score, round(1 / (1 + exp(-(hits * 0.55 + CASE WHEN n > 300 THEN 0.15 ELSE 0.0 END + punct * 0.8 + upper_ * 0.4 + nl * 0.3 - bits * 0.04) + 1.2)), 6) AS prob FROM f"
 )
 def heuristic_score(spark: SparkSession, d: str) -> DataFrame:
-    rows = prompts(spark, d).where(~sanitize._trim(F.col("text")).rlike(r"[^\x00-\x7F]"))
-    return _heuristic(rows)
-
-
-@query()
-def heuristic_score_whole(spark: SparkSession, d: str) -> DataFrame:
-    """``heuristic_score`` over every prompt."""
-    return _heuristic(prompts(spark, d))
-
-
-def _heuristic(rows: DataFrame) -> DataFrame:
     h = features.heuristic_score(F.col("text"))
-    return rows.select("doc_id", h["rule_score"].cast("int").alias("rule_score"), R6(h["prob"]).alias("prob"))
+    return prompts(spark, d).select("doc_id", h["rule_score"].cast("int").alias("rule_score"), R6(h["prob"]).alias("prob"))
 
 
 @query(f"WITH {PROMPTS} SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS BIGINT) AS n_tokens FROM prompts")
@@ -373,8 +321,8 @@ def length_bins(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_][a-z0-9_]+')) AS term FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')), "
-    "n AS (SELECT count(DISTINCT doc_id) AS docs FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')), "
+    "WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_][\\p{L}\\p{N}_]+')) AS term FROM documents), "
+    "n AS (SELECT count(DISTINCT doc_id) AS docs FROM documents), "
     "t AS (SELECT term, count(*) AS total, count(DISTINCT doc_id) AS df FROM w GROUP BY term) "
     "SELECT term, total, df, round(ln((1.0 + docs) / (1.0 + df)) + 1, 6) AS idf FROM t, n ORDER BY total DESC, term LIMIT 5000"
 )
@@ -382,15 +330,6 @@ def tfidf_terms(spark: SparkSession, d: str) -> DataFrame:
     """The vocabulary of the word features: the 5000 commonest terms with smoothed idf."""
     from ..operators.models import vocabulary
 
-    docs = table(spark, d, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return vocabulary(docs, most=5000)
-
-
-@query()
-def tfidf_terms_whole(spark: SparkSession, d: str) -> DataFrame:
-    """``tfidf_terms`` over every document; words in any script."""
-    from ..operators.models import vocabulary
-
     return vocabulary(table(spark, d, "documents"), most=5000)
 
 

@@ -1,4 +1,4 @@
-"""Queries over whole tables against plain Python, on texts that SQL twins leave out."""
+"""Queries against plain Python, on texts of many scripts."""
 
 import hashlib
 import math
@@ -45,9 +45,9 @@ def fingerprint(text):
 
 def test_simhash_and_pairs(spark, odd_dir):
     want = [fingerprint(t) for t in TEXTS]
-    got = run(spark, odd_dir, "simhash_whole")
+    got = run(spark, odd_dir, "simhash")
     assert [got[i].simhash % 2**64 for i in range(len(TEXTS))] == want
-    pairs = {(r.a, r.b, r.distance) for r in QUERIES["near_dup_pairs_whole"](spark, odd_dir).collect()}
+    pairs = {(r.a, r.b, r.distance) for r in QUERIES["near_dup_pairs"](spark, odd_dir).collect()}
     far = lambda a, b: bin(want[a] ^ want[b]).count("1")
     n = len(TEXTS)
     assert pairs == {(a, b, far(a, b)) for a in range(n) for b in range(a + 1, n) if want[a] >> 48 == want[b] >> 48 and far(a, b) <= 3}
@@ -55,7 +55,7 @@ def test_simhash_and_pairs(spark, odd_dir):
 
 
 def test_collapse(spark, odd_dir):
-    got = run(spark, odd_dir, "collapse_runs_whole")
+    got = run(spark, odd_dir, "collapse_runs")
     for i, t in enumerate(TEXTS):
         if t is not None:
             once = re.sub(r"([^\w\s])\1{2,}", r"\1", "A!!!!  b.... ??  " + t)
@@ -66,12 +66,12 @@ def test_collapse(spark, odd_dir):
 def test_terms(spark, odd_dir):
     words = [re.findall(r"\w\w+", (t or "").lower()) for t in TEXTS]
     total, df = Counter(w for ws in words for w in ws), Counter(w for ws in words for w in set(ws))
-    got = run(spark, odd_dir, "tfidf_terms_whole", "term")
+    got = run(spark, odd_dir, "tfidf_terms", "term")
     assert {w: (r.total, r.df, r.idf) for w, r in got.items()} == {w: (total[w], df[w], round(math.log((1 + len(TEXTS)) / (1 + df[w])) + 1, 6)) for w in total}
 
 
 def test_heuristic(spark, odd_dir):
-    got = QUERIES["heuristic_score_whole"](spark, odd_dir).collect()
+    got = QUERIES["heuristic_score"](spark, odd_dir).collect()
     assert len(got) == len(TEXTS)
     want = []
     for i in range(len(TEXTS)):
@@ -89,7 +89,7 @@ def test_heuristic(spark, odd_dir):
 
 
 def test_report(spark, odd_dir):
-    got = run(spark, odd_dir, "sanitize_report_whole")
+    got = run(spark, odd_dir, "sanitize_report")
     assert len(got) == len(TEXTS)
     for i in range(len(TEXTS)):
         s = t = prompt(i)
@@ -103,7 +103,7 @@ def test_report(spark, odd_dir):
 
 def test_decoded(spark, odd_dir):
     """Every whole text comes back, if nine tenths of it are printable."""
-    for name in ("decode_base64_whole", "decode_hex_whole"):
+    for name in ("decode_base64", "decode_hex"):
         got = run(spark, odd_dir, name)
         for i, t in enumerate(TEXTS):
             good = t and sum(c.isprintable() or c in "\t\n" for c in t) >= fixed.MIN_PRINTABLE * len(t)
@@ -130,5 +130,5 @@ def test_random_changes_reach_the_end(spark, odd_dir):
 
 def test_union(spark, sf_dir):
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet").count() for t in ("documents", "benchmark"))
-    got = QUERIES["union_labeled_whole"](spark, sf_dir)
+    got = QUERIES["union_labeled"](spark, sf_dir)
     assert {r.label: r["count"] for r in got.groupBy("label").count().collect()} == {1: docs, 0: items}
