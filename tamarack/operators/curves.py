@@ -25,7 +25,11 @@ def usable(preds: DataFrame) -> DataFrame:
 def score_table(preds: DataFrame, by: list[str]) -> DataFrame:
     """Per distinct score, from high to low: ``pos, neg``, running ``tp, fp`` and totals ``n_pos, n_neg``."""
     pos, neg = F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")
-    scores = usable(preds).groupBy(*by, "p").agg(pos, neg)
+    return cumulated(usable(preds).groupBy(*by, "p").agg(pos, neg), by)
+
+
+def cumulated(scores: DataFrame, by: list[str]) -> DataFrame:
+    """A score table from ``pos`` and ``neg`` per distinct score."""
     scores = scores.withColumn("_b", F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("p"))) * BUCKETS).cast("int"))
     buckets = scores.groupBy(*by, "_b").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
     down, whole = Window.partitionBy(*by).orderBy(F.desc("_b")), Window.partitionBy(*by)
@@ -110,12 +114,30 @@ def roc_points(preds: DataFrame, by: list[str]) -> DataFrame:
 
 def trapezoid_pr_area(preds: DataFrame, by: list[str]) -> DataFrame:
     """Area under the precision-recall curve by trapezoids, from (0, 1)."""
-    pts = roc_points(preds, by)
-    pts = pts.withColumn("_b", F.floor("p"))
-    w = Window.partitionBy(*by).orderBy(F.desc("p"))
-    last = lambda c, start: F.coalesce(F.lag(c).over(w), F.lit(start))
-    area = (F.col("tpr") - last("tpr", 0.0)) * (F.col("precision") + last("precision", 1.0)) / 2
-    return pts.withColumn("area", area).groupBy(*by).agg(F.sum("area").alias("pr_area"))
+    t = score_table(preds, by)
+    tp, fp = F.col("tp") - F.col("pos"), F.col("fp") - F.col("neg")  # the point before: all higher scores
+    precision = F.col("tp") / (F.col("tp") + F.col("fp"))
+    before = F.when(tp + fp > 0, tp / (tp + fp)).otherwise(1.0)
+    return t.groupBy(*by).agg(F.sum(F.try_divide(F.col("pos"), F.col("n_pos")) * (precision + before) / 2).alias("pr_area"))
+
+
+def tuned_threshold(preds: DataFrame, by: list[str], target: float = 0.01, rule: str = "first", split: str = "split", use: str = "val") -> DataFrame:
+    """``by, threshold``: a threshold for each group, chosen on one split to be carried to another.
+
+    By ``first`` it is the top score if that keeps the false-positive rate within the
+    target, by ``roc`` the lowest score that does; 1 where no score does.
+    """
+    t = score_table(preds.where(F.col(split) == use), by)
+    if rule == "first":
+        return t.groupBy(*by).agg(first_threshold(target)[0].alias("threshold"))
+    within = F.when(F.try_divide(F.col("fp"), F.greatest("n_neg", F.lit(1))) <= target, F.col("p"))
+    return t.groupBy(*by).agg(F.coalesce(F.min(within), F.lit(1.0)).alias("threshold"))
+
+
+def rates(threshold: Column) -> tuple[Column, Column]:
+    """Recall and realised false-positive rate at a threshold, to aggregate predictions; null without such rows."""
+    hit = (F.col("p") >= threshold).cast("int")
+    return F.avg(F.when(F.col("y") == 1, hit)), F.avg(F.when(F.col("y") == 0, hit))
 
 
 def confusion(preds: DataFrame, by: list[str], threshold: Column | float = 0.5) -> DataFrame:
@@ -177,9 +199,11 @@ def fairness_gap(preds: DataFrame, by: list[str], group: str, threshold: Column
 def mcnemar(preds: DataFrame, model: str, reference: DataFrame, key: str = "row_id") -> DataFrame:
     """Each model against its reference (columns ``model, reference``): discordant counts and corrected chi-square.
 
-    ``b01`` counts rows where only the model errs not, ``b10`` rows where only the reference errs not.
+    ``b01`` counts rows where only the model errs not, ``b10`` rows where only the reference
+    errs not. Each model decides at its own ``threshold`` (a column), or at 0.5 without one.
     """
-    right = usable(preds).select(model, key, ((F.col("p") >= 0.5).cast("int") == F.col("y")).alias("ok"))
+    threshold = F.col("threshold") if "threshold" in preds.columns else F.lit(0.5)
+    right = usable(preds).select(model, key, ((F.col("p") >= threshold).cast("int") == F.col("y")).alias("ok"))
     a = right.join(reference, model).where(F.col(model) != F.col("reference"))
     b = right.select(F.col(model).alias("reference"), key, F.col("ok").alias("ref_ok"))
     n01 = F.sum(F.when(F.col("ok") & ~F.col("ref_ok"), 1).otherwise(0)).cast("long")

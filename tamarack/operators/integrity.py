@@ -70,19 +70,26 @@ def hamming64(a: Column, b: Column) -> Column:
 
 
 def near_dup_pairs(hashes: DataFrame, key: str = "doc_id", bits: int = fixed.NEAR_PREFIX_BITS, most: int = fixed.NEAR_DISTANCE) -> DataFrame:
-    """Pairs ``a < b`` in the same prefix block within ``most`` differing bits, with the distance.
+    """Classes of equal fingerprints that share a prefix block and differ in at most ``most`` bits.
 
-    Equal fingerprints are grouped first and blocks join distinct fingerprints only; pairs
-    of equal fingerprints come from their group, so a hot fingerprint is not joined to itself bit by bit.
+    One row ``a, b, distance, n_a, n_b, pairs`` for each pair of classes, named by their
+    smallest keys (``a < b``) with their sizes and the number of row pairs they stand for;
+    a class of several rows also has a row with itself, at distance 0. So copies are counted
+    and not multiplied; ``near_dup_members`` tells who is in a class.
     """
-    block = F.shiftrightunsigned("simhash", 64 - bits)
-    uniq = hashes.select("simhash").distinct().withColumn("block", block)
-    near = uniq.alias("x").join(uniq.alias("y"), (F.col("x.block") == F.col("y.block")) & (F.col("x.simhash") <= F.col("y.simhash")))
-    near = near.select(F.col("x.simhash").alias("h1"), F.col("y.simhash").alias("h2"), hamming64(F.col("x.simhash"), F.col("y.simhash")).alias("distance")).where(F.col("distance") <= most)
-    one = hashes.select(F.col("simhash").alias("h1"), F.col(key).alias("k1"))
-    two = hashes.select(F.col("simhash").alias("h2"), F.col(key).alias("k2"))
-    pairs = near.join(one, "h1").join(two, "h2").where((F.col("h1") != F.col("h2")) | (F.col("k1") < F.col("k2")))
-    return pairs.select(F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b"), "distance")
+    classes = hashes.groupBy("simhash").agg(F.min(key).alias("rep"), F.count(F.lit(1)).alias("n")).withColumn("block", F.shiftrightunsigned("simhash", 64 - bits))
+    x, y = classes.alias("x"), classes.alias("y")
+    far = hamming64(F.col("x.simhash"), F.col("y.simhash"))
+    near = x.join(y, (F.col("x.block") == F.col("y.block")) & (F.col("x.rep") < F.col("y.rep"))).select(
+        F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), far.alias("distance"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"), (F.col("x.n") * F.col("y.n")).alias("pairs")
+    )
+    own = classes.where("n > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(0).alias("distance"), F.col("n").alias("n_a"), F.col("n").alias("n_b"), F.expr("n * (n - 1) div 2").alias("pairs"))
+    return near.where(F.col("distance") <= most).unionByName(own)
+
+
+def near_dup_members(hashes: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``key, rep``: each row's class, the smallest key with the same fingerprint."""
+    return hashes.join(hashes.groupBy("simhash").agg(F.min(key).alias("rep")), "simhash").select(key, "rep")
 
 
 def stratified_split(df: DataFrame, label: str, key: str, test: float = 0.15, val: float = 0.15, seed: int = 1337) -> DataFrame:

@@ -76,8 +76,9 @@ def unpivot_fairness(wide: DataFrame) -> DataFrame:
 
 
 def explode_curves(df: DataFrame) -> DataFrame:
-    """Curve arrays to one row per point: ``model, i, fpr, tpr``."""
-    return df.select("model", F.posexplode(F.arrays_zip("fpr", "tpr")).alias("i", "z")).select("model", "i", "z.fpr", "z.tpr")
+    """Curve arrays to one row per point: ``model, i, fpr, tpr``; a part of a curve begins at its ``first``, if it has one."""
+    first = F.col("first") if "first" in df.columns else F.lit(0)
+    return df.select("model", first.alias("first"), F.posexplode(F.arrays_zip("fpr", "tpr")).alias("i", "z")).select("model", (F.col("first") + F.col("i")).alias("i"), "z.fpr", "z.tpr")
 
 
 def within(df: DataFrame, anchors: DataFrame, ts: str, anchor: str, seconds: int = 7200) -> DataFrame:

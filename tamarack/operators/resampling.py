@@ -7,6 +7,7 @@ one Arrow batch; ``poisson_bootstrap`` is the form for models too large for that
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -66,18 +67,31 @@ def bootstrap_ci(preds: DataFrame, by: list[str], n_boot: int = 200, seed: int =
     return curves.usable(preds).select(*by, key, "y", "p").groupBy(*by).applyInPandas(run, schema)
 
 
-def poisson_bootstrap(preds: DataFrame, by: list[str], n_boot: int = 50, seed: int = 7, key: str = "row_id") -> DataFrame:
-    """AUROC interval by Poisson(1) weights: each row's weight in a replicate is drawn from a
-    hash, so the resample is a weighted score table and never a gathered group."""
-    u = (F.pmod(F.xxhash64(key, "rep", F.lit(seed)), F.lit(1_000_003)) + 0.5) / 1_000_003
-    weight, total = F.lit(0), 0.0
-    for k in range(8):
-        total += math.exp(-1) / math.factorial(k)
-        weight = weight + (u > total).cast("int")
-    rows = curves.usable(preds).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).withColumn("w", weight).where("w > 0")
-    many = rows.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("w"))))
-    per = curves.score_table(many, [*by, "rep"]).groupBy(*by, "rep").agg(curves.auroc().alias("a"))
-    return per.groupBy(*by).agg(F.percentile("a", 0.025).alias("auroc_low"), F.percentile("a", 0.975).alias("auroc_high"))
+def poisson_bootstrap(preds: DataFrame, by: list[str], n_boot: int = 50, seed: int = 7) -> DataFrame:
+    """2.5 and 97.5 percentiles of AUROC and average precision by Poisson weights, for models of any size.
+
+    Rows are first counted by score and label. The weight of such a group of c rows in a
+    replicate is Poisson(c), the sum of its rows' Poisson(1) weights; it is drawn from a
+    generator seeded by group, score and label, so draws need no order and no task holds a
+    model. Replicates are score tables of their own.
+    """
+    counts = curves.usable(preds).groupBy(*by, "p", "y").agg(F.count(F.lit(1)).alias("rows")).withColumn("_seed", F.xxhash64(*by, "p", "y", F.lit(seed)))
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), 2000):
+                part = pdf.iloc[at : at + 2000]
+                many = np.stack([np.random.default_rng([s & (2**63 - 1), int(s < 0)]).poisson(n, n_boot) for s, n in zip(part["_seed"], part["rows"], strict=True)])
+                i, rep = np.nonzero(many)
+                out = part.iloc[i][[*by, "p", "y"]].reset_index(drop=True)
+                yield out.assign(rep=rep.astype("int32"), w=many[i, rep].astype("int64"))
+
+    schema = ", ".join([f"`{c}` {counts.schema[c].dataType.simpleString()}" for c in (*by, "p", "y")] + ["rep int", "w long"])
+    drawn = counts.mapInPandas(draw, schema)
+    scores = drawn.groupBy(*by, "rep", "p").agg(F.sum(F.col("w") * F.col("y")).alias("pos"), F.sum(F.col("w") * (1 - F.col("y"))).alias("neg"))
+    per = curves.cumulated(scores, [*by, "rep"]).groupBy(*by, "rep").agg(curves.auroc().alias("auroc"), curves.average_precision().alias("auprc"))
+    ends = [F.percentile(m, q).alias(f"{m}_{e}") for m in ("auroc", "auprc") for e, q in (("low", 0.025), ("high", 0.975))]  # n_boot values a group
+    return per.groupBy(*by).agg(*ends)
 
 
 @F.pandas_udf(DoubleType())

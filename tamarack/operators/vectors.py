@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import fixed
 
-BROADCAST_ROWS = 50_000
+SHARD, BLOCK = 4096, 1024  # bank vectors and queries that one task multiplies
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -24,20 +26,41 @@ def normalised(v: Column) -> Column:
 def knn_topk(queries: DataFrame, bank: DataFrame, k: int = 5, query: str = "query_id", item: str = "vec_id") -> DataFrame:
     """The k bank vectors with the largest inner product: ``query, rank, item, score``.
 
-    ``queries`` has ``query, qv`` and ``bank`` ``item, bv``. A bank of at most 50,000
-    vectors (checked) is broadcast; a larger one is dealt to shards that each meet all
-    queries in blocks, and partial top-k lists are merged. Ties go to the smaller id.
+    ``queries`` has ``query, qv`` and ``bank`` ``item, bv``. Both sides are dealt to blocks of
+    bounded size; a task multiplies one block of queries with one shard of the bank in Arrow
+    and keeps k of each query, and the shards' lists are merged. Products are added in
+    index order, as ``dot`` does. Ties go to the smaller id. Nulls take no part; vectors of
+    one table have one length.
     """
-    many = bank.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS
+    queries, bank = queries.select(query, "qv").dropna(), bank.select(item, "bv").dropna()
+    blocks, shards = max(1, -(-queries.count() // BLOCK)), max(1, -(-bank.count() // SHARD))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select("*", deal(query, blocks).alias("block"), every(shards).alias("shard"))
+    right = bank.select("*", deal(item, shards).alias("shard"), every(blocks).alias("block"))
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        names = (query, item, "score")
+        if not a.num_rows or not b.num_rows:
+            return pa.table({n: pa.array([], t) for n, t in zip(names, (a[query].type, b[item].type, pa.float64()), strict=True)})
+        order = b[item].combine_chunks().to_numpy(zero_copy_only=False).argsort(kind="stable")
+        q, v = _matrix(a["qv"]), _matrix(b["bv"])[order]
+        score = np.zeros((len(q), len(v)))
+        for d in range(q.shape[1]):
+            score += q[:, d, None] * v[:, d]
+        top = np.argsort(-score, axis=1, kind="stable")[:, :k]  # a stable sort leaves ties in order of ids
+        rows = np.repeat(np.arange(len(q)), top.shape[1])
+        return pa.table({query: a[query].take(pa.array(rows)), item: b[item].take(pa.array(order[top.ravel()])), "score": pa.array(score[rows, top.ravel()])})
+
+    schema = f"`{query}` {queries.schema[query].dataType.simpleString()}, `{item}` {bank.schema[item].dataType.simpleString()}, score double"
+    found = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInArrow(best, schema)
     order = Window.partitionBy(query).orderBy(F.desc("score"), item)
-    if not many:
-        pairs = queries.join(F.broadcast(bank))
-    else:
-        shards = 64
-        left = queries.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-        pairs = left.join(bank.withColumn("_s", F.pmod(F.xxhash64(item), F.lit(shards)).cast("int")), "_s")
-    scored = pairs.select(query, item, dot(F.col("qv"), F.col("bv")).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(query, "rank", item, "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(query, "rank", item, "score")
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    lists = column.combine_chunks()
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
 
 
 def retrieval_features(attack: DataFrame, benign: DataFrame, query: str = "query_id") -> DataFrame:

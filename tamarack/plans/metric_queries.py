@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import coerce, features, perturb
 from ..operators import curves, integrity, reports, resampling, vectors
@@ -101,17 +102,24 @@ def ece_confidence(spark: SparkSession, d: str) -> DataFrame:
     return curves.ece_confidence(preds(spark, d), ["model"]).select("model", R6(F.col("ece")).alias("ece"))
 
 
-_REFERENCE = f"a AS (SELECT model, {AUROC_SQL} AS auroc FROM c GROUP BY model), r AS (SELECT arg_max(model, (auroc, model)) AS reference FROM a)"
-_MCNEMAR = f"{_CURVE}, {_REFERENCE}, k AS (SELECT model, row_id, CAST(p >= 0.5 AS INTEGER) = y AS ok FROM preds), j AS (SELECT a.model, r.reference, CAST(sum(CASE WHEN a.ok AND NOT b.ok THEN 1 ELSE 0 END) AS BIGINT) AS b01, CAST(sum(CASE WHEN NOT a.ok AND b.ok THEN 1 ELSE 0 END) AS BIGINT) AS b10 FROM k a CROSS JOIN r JOIN k b ON b.model = r.reference AND a.row_id = b.row_id WHERE a.model <> r.reference GROUP BY 1, 2)"
+_TUNED = "vg AS (SELECT model, p, sum(y) AS pos, sum(1 - y) AS neg FROM preds WHERE split = 'val' GROUP BY model, p), vs AS (SELECT *, sum(neg) OVER (PARTITION BY model ORDER BY p DESC) AS fp, sum(neg) OVER (PARTITION BY model) AS n_neg FROM vg), tuned AS (SELECT model, CASE WHEN arg_max(neg, p) / CAST(greatest(1, max(n_neg)) AS DOUBLE) <= 0.01 THEN max(p) ELSE 1.0 END AS first_thr, coalesce(min(CASE WHEN fp / CAST(greatest(1, n_neg) AS DOUBLE) <= 0.01 THEN p END), 1.0) AS roc_thr FROM vs GROUP BY model)"
+_TESTS = "tests AS (SELECT * FROM preds WHERE split = 'test'), " + curve_sql("model", "tests").replace("g AS", "tg AS").replace("c AS", "tc AS").replace("FROM g)", "FROM tg)")
+_VERSUS = f"{_TUNED}, {_TESTS}, a AS (SELECT model, {AUROC_SQL} AS auroc FROM tc GROUP BY model), r AS (SELECT arg_max(model, (auroc, model)) AS reference FROM a), k AS (SELECT model, row_id, CAST(p >= first_thr AS INTEGER) = y AS ok FROM tests JOIN tuned USING (model)), j AS (SELECT a.model, r.reference, CAST(sum(CASE WHEN a.ok AND NOT b.ok THEN 1 ELSE 0 END) AS BIGINT) AS b01, CAST(sum(CASE WHEN NOT a.ok AND b.ok THEN 1 ELSE 0 END) AS BIGINT) AS b10 FROM k a CROSS JOIN r JOIN k b ON b.model = r.reference AND a.row_id = b.row_id WHERE a.model <> r.reference GROUP BY 1, 2)"
+
+
+def _tuned(p: DataFrame, rule: str = "first") -> DataFrame:
+    """The rows of the test split with their model's threshold, chosen on the other."""
+    return p.where("split = 'test'").join(curves.tuned_threshold(p, ["model"], rule=rule), "model")
 
 
 def _against_best(p: DataFrame) -> DataFrame:
-    area = curves.score_table(p, ["model"]).groupBy("model").agg(curves.auroc().alias("auroc"))
+    rows = _tuned(p)
+    area = curves.score_table(rows, ["model"]).groupBy("model").agg(curves.auroc().alias("auroc"))
     best = area.agg(F.max_by("model", F.struct(F.coalesce("auroc", F.lit(-1.0)), "model")).alias("reference"))
-    return curves.mcnemar(p, "model", p.select("model").distinct().join(F.broadcast(best)))
+    return curves.mcnemar(rows, "model", area.select("model").join(F.broadcast(best)))  # one row
 
 
-@query(f"{_MCNEMAR} SELECT *, round(CASE WHEN b01 + b10 > 0 THEN power(abs(b01 - b10) - 1, 2) / CAST(b01 + b10 AS DOUBLE) ELSE 0.0 END, 6) AS chi2 FROM j")
+@query(f"WITH {PREDS}, {_VERSUS} SELECT *, round(CASE WHEN b01 + b10 > 0 THEN power(abs(b01 - b10) - 1, 2) / CAST(b01 + b10 AS DOUBLE) ELSE 0.0 END, 6) AS chi2 FROM j")
 def mcnemar(spark: SparkSession, d: str) -> DataFrame:
     return _against_best(preds(spark, d)).withColumn("chi2", R6(F.col("chi2")))
 
@@ -159,10 +167,18 @@ def probe_sensitivity(spark: SparkSession, d: str) -> DataFrame:
 
 
 # --- rates and groups -------------------------------------------------------------
-@query(f"WITH {PREDS} SELECT model, count(*) AS n, round(avg(CASE WHEN p >= 0.5 THEN 1.0 ELSE 0.0 END), 6) AS overdef_fpr FROM preds WHERE y = 0 GROUP BY model")
+@query(f"WITH {PREDS}, {_TUNED} SELECT model, round(max(first_thr), 6) AS threshold, round(avg(CASE WHEN y = 1 THEN CAST(p >= first_thr AS INTEGER) END), 6) AS recall, round(avg(CASE WHEN y = 0 THEN CAST(p >= first_thr AS INTEGER) END), 6) AS realized_fpr FROM preds JOIN tuned USING (model) WHERE split = 'test' GROUP BY model")
+def recall_at_tuned_threshold(spark: SparkSession, d: str) -> DataFrame:
+    """Recall on the test split at the threshold that the validation split gives a model."""
+    recall, fpr = curves.rates(F.col("threshold"))
+    return _tuned(preds(spark, d)).groupBy("model").agg(R6(F.max("threshold")).alias("threshold"), R6(recall).alias("recall"), R6(fpr).alias("realized_fpr"))
+
+
+@query(f"WITH {PREDS}, {_TUNED} SELECT model, count(*) AS n, round(avg(CASE WHEN p >= first_thr THEN 1.0 ELSE 0.0 END), 6) AS overdef_fpr FROM preds JOIN tuned USING (model) WHERE split = 'test' AND y = 0 GROUP BY model")
 def overdefense_fpr(spark: SparkSession, d: str) -> DataFrame:
-    benign = preds(spark, d).where("y = 0")
-    return benign.groupBy("model").agg(F.count(F.lit(1)).alias("n"), R6(F.avg((F.col("p") >= 0.5).cast("double"))).alias("overdef_fpr"))
+    """Benign rows flagged at a model's tuned threshold."""
+    benign = _tuned(preds(spark, d)).where("y = 0")
+    return benign.groupBy("model").agg(F.count(F.lit(1)).alias("n"), R6(F.avg((F.col("p") >= F.col("threshold")).cast("double"))).alias("overdef_fpr"))
 
 
 @query(f"{_CURVE}, t AS (SELECT * FROM (VALUES (0.001), (0.01), (0.05), (0.1)) v(target)), x AS (SELECT model, target, min(CASE WHEN CAST(fp AS DOUBLE) / n_neg <= target THEN p END) AS thr FROM c CROSS JOIN t GROUP BY 1, 2) SELECT x.model, CAST(target AS DOUBLE) AS target, round(coalesce(max(thr), 1.0), 6) AS threshold, round(avg(CASE WHEN p >= coalesce(thr, 1.0) THEN 1.0 ELSE 0.0 END), 6) AS overdef_fpr FROM x JOIN preds USING (model) WHERE y = 0 GROUP BY 1, 2")
@@ -176,11 +192,18 @@ def overdef_sweep(spark: SparkSession, d: str) -> DataFrame:
     return p.where("y = 0").join(thr, "model").groupBy("model", "target", R6(F.col("threshold")).alias("threshold")).agg(R6(rate).alias("overdef_fpr"))
 
 
-@query(f"WITH {PREDS} SELECT model, round(avg(CASE WHEN y = 1 THEN CAST(p >= 0.6 AS INTEGER) END), 6) AS tpr, round(avg(CASE WHEN y = 0 THEN CAST(p >= 0.6 AS INTEGER) END), 6) AS fpr, CAST(sum(y) AS BIGINT) AS n_harmful, CAST(sum(1 - y) AS BIGINT) AS n_benign FROM preds GROUP BY model")
+@query(
+    f"WITH {PREDS}, {_TUNED}, {_TESTS}, area AS (SELECT model, round({AUROC_SQL}, 6) AS auroc, round({AP_SQL}, 6) AS auprc FROM tc GROUP BY model) "
+    "SELECT model, round(avg(CASE WHEN y = 1 THEN CAST(p >= roc_thr AS INTEGER) END), 6) AS tpr, round(avg(CASE WHEN y = 0 THEN CAST(p >= roc_thr AS INTEGER) END), 6) AS fpr, "
+    "CAST(sum(y) AS BIGINT) AS n_harmful, CAST(sum(1 - y) AS BIGINT) AS n_benign, max(auroc) AS auroc, max(auprc) AS auprc FROM tests JOIN tuned USING (model) JOIN area USING (model) GROUP BY model"
+)
 def jailbreak_rates(spark: SparkSession, d: str) -> DataFrame:
-    hit = (F.col("p") >= 0.6).cast("int")
-    rate = lambda y: R6(F.avg(F.when(F.col("y") == y, hit)))
-    return preds(spark, d).groupBy("model").agg(rate(1).alias("tpr"), rate(0).alias("fpr"), F.sum("y").alias("n_harmful"), F.sum(1 - F.col("y")).alias("n_benign"))
+    """Rates at a model's tuned threshold, and its areas, on other rows than those it was tuned on."""
+    rows = _tuned(preds(spark, d), "roc")
+    tpr, fpr = curves.rates(F.col("threshold"))
+    rates = rows.groupBy("model").agg(R6(tpr).alias("tpr"), R6(fpr).alias("fpr"), F.sum("y").alias("n_harmful"), F.sum(1 - F.col("y")).alias("n_benign"))
+    areas = curves.score_table(rows, ["model"]).groupBy("model").agg(R6(curves.auroc()).alias("auroc"), R6(curves.average_precision()).alias("auprc"))
+    return rates.join(areas, "model")
 
 
 def _gap_sql(group: str) -> str:
@@ -306,14 +329,11 @@ def sig_marker(spark: SparkSession, d: str) -> DataFrame:
     return preds(spark, d).select("model", "row_id", coerce.significance_marker(F.col("p")).alias("marker"), (F.col("p") >= 0.5).cast("int").alias("decision"))
 
 
-@query(f"WITH {PREDS}, t AS (SELECT model, quantile_disc(p, 0.9) AS thr FROM preds WHERE split = 'val' GROUP BY model) SELECT p.model, lang, round(avg(CASE WHEN y = 1 THEN CAST(p.p >= thr AS INTEGER) END), 6) AS recall_at_thr, round(avg(CASE WHEN y = 0 THEN CAST(p.p >= thr AS INTEGER) END), 6) AS realized_fpr FROM preds p JOIN t USING (model) WHERE split = 'test' GROUP BY 1, 2")
+@query(f"WITH {PREDS}, {_TUNED} SELECT model, lang, CAST(sum(y) AS BIGINT) AS n_pos, CAST(sum(1 - y) AS BIGINT) AS n_neg, round(avg(CASE WHEN y = 1 THEN CAST(p >= roc_thr AS INTEGER) END), 6) AS recall_at_thr, round(avg(CASE WHEN y = 0 THEN CAST(p >= roc_thr AS INTEGER) END), 6) AS realized_fpr FROM preds JOIN tuned USING (model) WHERE split = 'test' GROUP BY 1, 2")
 def threshold_transfer(spark: SparkSession, d: str) -> DataFrame:
     """Thresholds chosen on one split, applied to each language of the other."""
-    p = preds(spark, d)
-    thr = p.where("split = 'val'").groupBy("model").agg(F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY p)").alias("thr"))
-    hit = (F.col("p") >= F.col("thr")).cast("int")
-    rate = lambda y: R6(F.avg(F.when(F.col("y") == y, hit)))
-    return p.where("split = 'test'").join(thr, "model").groupBy("model", "lang").agg(rate(1).alias("recall_at_thr"), rate(0).alias("realized_fpr"))
+    recall, fpr = curves.rates(F.col("threshold"))
+    return _tuned(preds(spark, d), "roc").groupBy("model", "lang").agg(F.sum("y").alias("n_pos"), F.sum(1 - F.col("y")).alias("n_neg"), R6(recall).alias("recall_at_thr"), R6(fpr).alias("realized_fpr"))
 
 
 @query(f"{_ROBUST_CURVE}, {_GRID} SELECT transform, min(model) AS first_model, round(avg(auroc), 4) AS mean, round(stddev_samp(auroc), 4) AS std FROM grid GROUP BY transform")
@@ -344,9 +364,11 @@ def unpivot_fairness(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{_CURVE} SELECT model, CAST(row_number() OVER (PARTITION BY model ORDER BY p DESC) - 1 AS INTEGER) AS i, round(CAST(fp AS DOUBLE) / n_neg, 6) AS fpr, round(CAST(tp AS DOUBLE) / n_pos, 6) AS tpr FROM c")
 def explode_curves(spark: SparkSession, d: str) -> DataFrame:
-    pts = curves.roc_points(preds(spark, d), ["model"])
-    packed = pts.groupBy("model").agg(F.sort_array(F.collect_list(F.struct((-F.col("p")).alias("o"), R6(F.col("fpr")).alias("fpr"), R6(F.col("tpr")).alias("tpr")))).alias("a"))
-    packed = packed.select("model", F.transform("a", lambda x: x["fpr"]).alias("fpr"), F.transform("a", lambda x: x["tpr"]).alias("tpr"))
+    """Curves are packed by score bucket, so no array holds a model's whole curve."""
+    pts = curves.roc_points(preds(spark, d), ["model"]).withColumn("part", -F.floor(F.col("p") * curves.BUCKETS))
+    packed = pts.groupBy("model", "part").agg(F.sort_array(F.collect_list(F.struct((-F.col("p")).alias("o"), R6(F.col("fpr")).alias("fpr"), R6(F.col("tpr")).alias("tpr")))).alias("a"))
+    before = F.sum(F.size("a")).over(Window.partitionBy("model").orderBy("part")) - F.size("a")
+    packed = packed.select("model", before.cast("int").alias("first"), F.transform("a", lambda x: x["fpr"]).alias("fpr"), F.transform("a", lambda x: x["tpr"]).alias("tpr"))
     return reports.explode_curves(packed)
 
 
@@ -387,11 +409,16 @@ def simhash(spark: SparkSession, d: str) -> DataFrame:
     return integrity.simhash64(table(spark, d, "documents"))
 
 
-@query(f"WITH {_SIM} SELECT x.doc_id AS a, y.doc_id AS b, CAST(bit_count(xor(x.simhash, y.simhash)) AS INTEGER) AS distance FROM sim x JOIN sim y ON x.doc_id < y.doc_id AND ((x.simhash >> 48) & 65535) = ((y.simhash >> 48) & 65535) WHERE bit_count(xor(x.simhash, y.simhash)) <= 3")
+@query(f"WITH {_SIM}, cl AS (SELECT simhash, min(doc_id) AS rep, count(*) AS n FROM sim GROUP BY simhash) SELECT x.rep AS a, y.rep AS b, CAST(bit_count(xor(x.simhash, y.simhash)) AS INTEGER) AS distance, x.n AS n_a, y.n AS n_b, CASE WHEN x.rep = y.rep THEN x.n * (x.n - 1) // 2 ELSE x.n * y.n END AS pairs FROM cl x JOIN cl y ON (x.rep < y.rep OR x.rep = y.rep AND x.n > 1) AND ((x.simhash >> 48) & 65535) = ((y.simhash >> 48) & 65535) WHERE bit_count(xor(x.simhash, y.simhash)) <= 3")
 def near_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
     return integrity.near_dup_pairs(integrity.simhash64(table(spark, d, "documents")))
 
 
+@query(f"WITH {_SIM} SELECT doc_id, min(doc_id) OVER (PARTITION BY simhash) AS rep FROM sim")
+def near_dup_members(spark: SparkSession, d: str) -> DataFrame:
+    return integrity.near_dup_members(integrity.simhash64(table(spark, d, "documents")))
+
+
 _SPLIT = "r AS (SELECT doc_id, toxic, row_number() OVER (PARTITION BY toxic ORDER BY md5(doc_id || ':1337'), doc_id) AS rn, count(*) OVER (PARTITION BY toxic) AS n FROM labels), sp AS (SELECT doc_id, toxic, CASE WHEN rn <= ceil(n * 0.15) THEN 'test' WHEN rn <= ceil(n * 0.15) + ceil(n * 0.15) THEN 'val' ELSE 'train' END AS split FROM r)"
 
 
@@ -481,7 +508,7 @@ def predicates(spark: SparkSession, d: str) -> DataFrame:
     return _models(spark, d).groupBy(hybrid).agg(F.count(F.lit(1)).alias("n"), R6(F.max("auroc")).alias("best"))
 
 
-@query(f"{_SCORES}, r AS (SELECT arg_max(model, (auroc, model)) AS reference FROM m), k AS (SELECT model, row_id, CAST(p >= 0.5 AS INTEGER) = y AS ok FROM preds), j AS (SELECT a.model, sum(CASE WHEN a.ok AND NOT b.ok THEN 1 ELSE 0 END) AS b01, sum(CASE WHEN NOT a.ok AND b.ok THEN 1 ELSE 0 END) AS b10 FROM k a CROSS JOIN r JOIN k b ON b.model = r.reference AND a.row_id = b.row_id WHERE a.model <> r.reference GROUP BY 1) SELECT m.model, round(auroc, 6) AS auroc, CASE WHEN b01 + b10 > 0 AND power(abs(b01 - b10) - 1, 2) / CAST(b01 + b10 AS DOUBLE) > 3.841459 THEN 'differs' ELSE '' END AS versus_best FROM m LEFT JOIN j USING (model)")
+@query(f"{_SCORES}, {_VERSUS} SELECT m.model, round(m.auroc, 6) AS auroc, CASE WHEN b01 + b10 > 0 AND power(abs(b01 - b10) - 1, 2) / CAST(b01 + b10 AS DOUBLE) > 3.841459 THEN 'differs' ELSE '' END AS versus_best FROM m LEFT JOIN j USING (model)")
 def main_table(spark: SparkSession, d: str) -> DataFrame:
     """Main results with a default for models that have no test."""
     differs = F.when(F.col("chi2") > 3.841459, "differs").otherwise("")

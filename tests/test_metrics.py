@@ -69,10 +69,18 @@ def test_calibration():
 
 
 def test_near_dup_pairs(spark):
-    rows = [(1, 0), (2, 1), (3, 7), (4, 15), (5, 0), (6, -1), (7, -2)]
-    got = sorted(tuple(r) for r in integrity.near_dup_pairs(spark.createDataFrame(rows, "doc_id long, simhash long")).collect())
+    rows = [(1, 0), (2, 1), (3, 7), (4, 15), (5, 0), (6, -1), (7, -2), (8, 0)]
+    hashes = spark.createDataFrame(rows, "doc_id long, simhash long")
+    members = {}
+    for r in integrity.near_dup_members(hashes).collect():
+        members.setdefault(r.rep, []).append(r.doc_id)
+    got = []
+    for r in integrity.near_dup_pairs(hashes).collect():
+        each = {(min(x, y), max(x, y), r.distance) for x in members[r.a] for y in members[r.b] if x != y}
+        assert (r.n_a, r.n_b, r.pairs) == (len(members[r.a]), len(members[r.b]), len(each))
+        got += each
     want = sorted((a, b, bin((x ^ y) & (2**64 - 1)).count("1")) for i, (a, x) in enumerate(rows) for b, y in rows[i + 1 :] if (x >> 48) == (y >> 48) and bin((x ^ y) & (2**64 - 1)).count("1") <= 3)
-    assert got == want
+    assert sorted(got) == want
 
 
 def test_split_sizes(spark):
@@ -88,10 +96,37 @@ def test_reports(spark):
     assert reports.naming_decision(0.9, 0.8, None)["beats_baseline"] is False
 
 
-def test_knn_large_bank(spark, monkeypatch):
+def test_knn_against_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(3)
-    v = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)]) for i in range(60)], "vec_id long, bv array<double>")
-    q = v.limit(5).select(F.col("vec_id").alias("query_id"), F.col("bv").alias("qv"))
-    small = sorted(map(tuple, vectors.knn_topk(q, v).collect()))
-    monkeypatch.setattr(vectors, "BROADCAST_ROWS", 10)
-    assert sorted(map(tuple, vectors.knn_topk(q, v).collect())) == small
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, 4)]) for i in range(60)]  # many ties
+    v = spark.createDataFrame([*rows, (60, None)], "vec_id long, bv array<double>")
+    q = v.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("bv").alias("qv"))
+    want = [(i, r + 1, j, s) for i, x in rows[:5] for r, (s, j) in enumerate(sorted(((float(np.dot(x, y)), j) for j, y in rows), key=lambda t: (-t[0], t[1]))[:5])]
+    assert sorted(map(tuple, vectors.knn_topk(q, v).collect())) == want
+    monkeypatch.setattr(vectors, "SHARD", 7)
+    monkeypatch.setattr(vectors, "BLOCK", 2)
+    assert sorted(map(tuple, vectors.knn_topk(q, v).collect())) == want
+    assert vectors.knn_topk(q, v.where("vec_id > 99")).count() == 0
+
+
+def test_tuned_threshold(spark):
+    rows = [("m", "val", 0, 0.2), ("m", "val", 0, 0.4), ("m", "val", 1, 0.6), ("m", "val", 1, 0.9), ("n", "val", 0, 0.8), ("n", "val", 1, 0.7), ("m", "test", 1, 0.65), ("m", "test", 0, 0.95)]
+    df = spark.createDataFrame(rows, "model string, split string, y int, p double")
+    first = {r.model: r.threshold for r in curves.tuned_threshold(df, ["model"]).collect()}
+    low = {r.model: r.threshold for r in curves.tuned_threshold(df, ["model"], rule="roc").collect()}
+    assert first == {"m": 0.9, "n": 1.0} and low == {"m": 0.6, "n": 1.0}
+    recall, fpr = curves.rates(F.lit(0.6))
+    assert tuple(df.where("split = 'test'").agg(recall, fpr).first()) == (1.0, 1.0)
+
+
+def test_poisson_bootstrap_centres_on_the_value(spark):
+    rng = np.random.default_rng(5)
+    y = rng.integers(0, 2, 3000)
+    p = np.round(np.clip(0.5 + 0.2 * (y - 0.5) + rng.normal(0, 0.2, 3000), 0, 1), 2)
+    df = spark.createDataFrame([("m", i, int(a), float(b)) for i, (a, b) in enumerate(zip(y, p))], "model string, row_id long, y int, p double")
+    ci = resampling.poisson_bootstrap(df, ["model"], 100).first()
+    by_rows = resampling.bootstrap_ci(df, ["model"], 100).first()
+    assert ci.auroc_low < resampling._auroc(y, p) < ci.auroc_high
+    assert (ci.auroc_high - ci.auroc_low) == pytest.approx(by_rows.auroc_high - by_rows.auroc_low, rel=0.4)
+    assert (ci.auprc_high - ci.auprc_low) == pytest.approx(by_rows.auprc_high - by_rows.auprc_low, rel=0.4)
+    assert ci == resampling.poisson_bootstrap(df.repartition(7), ["model"], 100).first()

@@ -47,11 +47,13 @@ def test_simhash_and_pairs(spark, odd_dir):
     want = [fingerprint(t) for t in TEXTS]
     got = run(spark, odd_dir, "simhash")
     assert [got[i].simhash % 2**64 for i in range(len(TEXTS))] == want
-    pairs = {(r.a, r.b, r.distance) for r in QUERIES["near_dup_pairs"](spark, odd_dir).collect()}
+    rep = {i: r.rep for i, r in run(spark, odd_dir, "near_dup_members").items()}
+    pairs = {(r.a, r.b): (r.distance, r.pairs) for r in QUERIES["near_dup_pairs"](spark, odd_dir).collect()}
     far = lambda a, b: bin(want[a] ^ want[b]).count("1")
     n = len(TEXTS)
-    assert pairs == {(a, b, far(a, b)) for a in range(n) for b in range(a + 1, n) if want[a] >> 48 == want[b] >> 48 and far(a, b) <= 3}
-    assert (9, 10, 0) in pairs
+    close = [(a, b) for a in range(n) for b in range(a + 1, n) if want[a] >> 48 == want[b] >> 48 and far(a, b) <= 3]
+    assert set(pairs) == {tuple(sorted((rep[a], rep[b]))) for a, b in close} and sum(m for _, m in pairs.values()) == len(close)
+    assert rep[10] == 9 and pairs[9, 9] == (0, 1)
 
 
 def test_collapse(spark, odd_dir):
