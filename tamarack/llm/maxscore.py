@@ -1,28 +1,41 @@
-"""Exact top-k inner products by MaxScore over sharded dimension lists.
+"""Exact top-k inner products by MaxScore over sharded, blocked posting lists.
 
 Vectors are dealt to shards and queries to blocks of bounded size; a task scores one block
-against one shard. In a shard each dimension is a posting list with a contribution bound
-per query (its largest possible gain over its smallest). Dimensions are ordered by bound:
-the leading, essential ones are traversed for all vectors; once the bounds of the rest
-leave few vectors able to reach a query's k-th best score, only these are probed in the
-non-essential dimensions. Shard results are merged by rank. Sums are exact: in doubles
-while products and sums stay below 2**53, else in Python integers.
+of queries against one shard. Both are ordered along the shard's main direction; the shard
+is cut into blocks of rows and the queries into groups of neighbours. In a block of rows
+each dimension has a base (its commonest value) and a posting list of the rows that differ
+from it, with the largest gain over the base that the list can give a query of either sign.
+
+A group goes through the blocks with a bar for each query, its k-th best score so far, which
+rises from block to block. Dimensions are ordered by gain; the trailing ones whose gains
+together cannot lift a row over the bar of any query are non-essential. Only rows in an
+essential list become candidates; then lists are read in strides for the rows and queries
+that are still competitive, that is, where the sum so far plus the most that the unread
+lists can add reaches the bar. That most is the smaller of the gains' sum and the product of
+the unread parts' norms. When few pairs are left, they are probed one by one. Shard results
+are merged by rank. Sums are exact: in doubles while products and sums stay below 2**53,
+else in Python integers.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import materialize, slices
 
 SHARD = 8192
 BLOCK = 1024
-STRIDE = 8
-FEW = 0.02  # share of vectors under which the rest is probed one by one
+ROWS = 1024
+GROUP = 64
+STRIDE = 16
+FEW = 0.5  # share of pairs under which they are probed one by one
+NEVER = float("-inf")
 
 
 def quantised(embedding: Column, scale: int = 64) -> Column:
@@ -41,49 +54,149 @@ def _dense(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return out
 
 
-def top_k(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best (query id, vector id, score) of each query but itself; ties to the smaller id."""
-    order = np.argsort(ids, kind="stable")
-    vectors, ids = vectors[order], ids[order]
-    m, n, width = len(queries), len(ids), vectors.shape[1]
-    top = max(abs(int(queries.min(initial=0))), abs(int(queries.max(initial=0)))) * max(abs(int(vectors.min(initial=0))), abs(int(vectors.max(initial=0)))) * max(width, 1)
-    kind = float if 4 * top < 2**53 else object
-    q, x = queries.astype(kind), np.ascontiguousarray(vectors.T.astype(kind))
-    low, high = (x.min(1), x.max(1)) if n else (np.zeros(width, kind), np.zeros(width, kind))
-    least = np.minimum(q * low, q * high)  # a dimension's smallest contribution to each query
-    bound = np.maximum(q * low, q * high) - least
-    dims = np.argsort(-bound.sum(0).astype(np.float64), kind="stable")
-    q, x, least, bound = q[:, dims], x[dims], least[:, dims], bound[:, dims]
-    rest = np.concatenate([np.cumsum(bound[:, ::-1], 1)[:, ::-1], np.zeros((m, 1), kind)], 1)
-    floor = least.sum(1)
-    own = query_ids[:, None] == ids
-    # a first bar: the k-th best of a few whole scores
-    seed = np.linspace(0, n - 1, min(n, max(4 * k, 256))).astype(int) if n else np.empty(0, int)
-    never = -4 * top - 1  # under any score
-    first = np.where(own[:, seed], kind(never) if kind is float else never, q @ x[:, seed])
-    bar = np.sort(first, 1)[:, -k] if len(seed) >= k else np.full(m, never)
-    partial = np.zeros((m, n), kind)
-    done, alive = 0, ~own
-    while done < width:
-        step = slice(done, min(width, done + STRIDE))
-        partial = partial + q[:, step] @ x[step]
-        done = step.stop
-        # what is read so far, plus the least and the most of all lists still unread
-        slack = (floor - least[:, :done].sum(1) + rest[:, done])[:, None]
-        alive = ~own & (partial + slack >= bar[:, None])
-        if done < width and alive.mean() <= FEW:
-            break
-    rows, cols = np.nonzero(alive)
-    scores = partial[rows, cols]
-    if done < width and len(rows):
-        for s in range(0, len(rows), 200_000):
-            e = slice(s, s + 200_000)
-            scores[e] = scores[e] + (q[rows[e], done:] * x[done:, cols[e]].T).sum(1)
-    scores = scores.astype(np.int64)
-    best = np.lexsort((ids[cols], -scores, rows))
-    rows, cols, scores = rows[best], cols[best], scores[best]
-    keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
-    return query_ids[rows[keep]], ids[cols[keep]], scores[keep]
+@dataclass
+class Postings:
+    """The lists of one block of rows; a list of more than half of the rows is kept as a column."""
+
+    ids: np.ndarray
+    own: np.ndarray  # differences from the base, one row per vector
+    base: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    lists: dict[int, np.ndarray]
+
+    @classmethod
+    def of(cls, vectors: np.ndarray, ids: np.ndarray, kind: type) -> Postings:
+        base = np.zeros(vectors.shape[1], np.int64)
+        lists = {}
+        for d in range(len(base)):
+            values, counts = np.unique(vectors[:, d], return_counts=True)
+            if 2 * counts.max() >= len(ids):
+                base[d] = values[counts.argmax()]
+                lists[d] = np.flatnonzero(vectors[:, d] != base[d])
+        own = (vectors.astype(object) - base).astype(kind) if kind is object else vectors.astype(float) - base
+        low, high = (np.minimum(own.min(0), 0), np.maximum(own.max(0), 0))
+        return cls(ids, own, base.astype(kind), low, high, lists)
+
+    def best(self, queries: np.ndarray, bars: np.ndarray, tally: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs (query, row) that can reach the query's bar, with their scores."""
+        gain = np.maximum(queries * self.low, queries * self.high)
+        order = np.argsort(-gain.sum(0).astype(float), kind="stable")
+        floor = queries @ self.base
+        q, gain, width = queries[:, order], gain[:, order], len(order)
+        rest = np.concatenate([np.cumsum(gain[:, ::-1], 1)[:, ::-1], np.zeros_like(gain[:, :1])], 1)  # what the lists from each on can add
+        tally["cells"] += len(q) * self.own.size
+        which, rows = np.arange(len(q)), np.arange(len(self.ids))
+        essential = int((floor[:, None] + rest[:, :-1] >= bars[:, None]).sum(1).max(initial=0))  # without these no row reaches a bar
+        total = np.zeros((len(q), len(rows)), self.own.dtype)
+        done = 0
+        if all(int(d) in self.lists for d in order[:essential]):
+            for d in range(essential):
+                of = self.lists[int(order[d])]
+                total[:, of] = total[:, of] + q[:, d, None] * self.own[of, order[d]]
+                tally["read"] += len(q) * len(of)
+            if (floor + rest[:, essential] < bars).all():  # else even a row in no list counts
+                rows = np.unique(np.concatenate([np.empty(0, np.int64), *(self.lists[int(d)] for d in order[:essential])]))
+            total, done = total[:, rows], essential
+        exact = self.own.dtype == object
+        x = self.own[np.ix_(rows, order)]
+        if not exact:
+            left = np.concatenate([np.cumsum(x[:, ::-1] ** 2, 1)[:, ::-1], np.zeros((len(rows), 1))], 1)
+            weight = np.concatenate([np.cumsum(q[:, ::-1] ** 2, 1)[:, ::-1], np.zeros((len(q), 1))], 1)
+
+        def competitive() -> np.ndarray:
+            """Bounds at ``done``; a margin covers rounding of the norms."""
+            need = (bars[which] - floor[which])[:, None]
+            alive = total + rest[which, done, None] >= need
+            if not exact and done < width:
+                alive &= total + np.sqrt(weight[which, done])[:, None] * np.sqrt(left[rows_in, done]) * (1 + 1e-9) + 1 >= need
+            return alive
+
+        rows_in = np.arange(len(rows))
+        alive = competitive()
+        while done < width and alive.any():
+            if not exact and alive.mean() <= FEW:
+                break
+            some_q, some_x = alive.any(1), alive.any(0)
+            if some_q.mean() < 0.8 or some_x.mean() < 0.8:
+                which, rows_in, total = which[some_q], rows_in[some_x], total[np.ix_(some_q, some_x)]
+            stop = min(width, done + STRIDE)
+            total = total + q[which, done:stop] @ x[rows_in, done:stop].T
+            tally["read"] += len(which) * len(rows_in) * (stop - done)
+            done = stop
+            alive = competitive()
+        i, j = np.nonzero(alive)
+        scores = total[i, j]
+        who, of = which[i], rows_in[j]
+        while done < width and len(who):  # few pairs: probe their unread lists, dropping those that fall behind
+            stop = min(width, done + STRIDE)
+            scores = scores + np.concatenate([(q[who[s:e], done:stop] * x[of[s:e], done:stop]).sum(1) for s, e in slices(len(who), 20_000)])
+            tally["read"] += len(who) * (stop - done)
+            done = stop
+            most = np.minimum(rest[who, done], np.sqrt(weight[who, done] * left[of, done]) * (1 + 1e-9) + 1)
+            keep = scores + floor[who] + most >= bars[who]
+            who, of, scores = who[keep], of[keep], scores[keep]
+        return who, rows[of], scores + floor[who]
+
+
+def _keep(k: int, who: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each ``who``, best first; ties to the smaller id."""
+    if scores.dtype == object:
+        place = np.array(sorted(range(len(who)), key=lambda i: (who[i], -scores[i], ids[i])), np.int64)
+    else:
+        place = np.lexsort((ids, -scores, who))
+    who, ids, scores = who[place], ids[place], scores[place]
+    keep = np.arange(len(who)) - np.searchsorted(who, who) < k
+    return who[keep], ids[keep], scores[keep]
+
+
+def top_k(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, tally: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best (query id, vector id, score) of each query but itself; ties to the smaller id.
+
+    ``tally`` gets the number of ``cells`` (query, vector, dimension) and how many were ``read``.
+    """
+    tally = {} if tally is None else tally
+    tally.update(cells=tally.get("cells", 0), read=tally.get("read", 0))
+    top = max(abs(int(queries.min(initial=0))), abs(int(queries.max(initial=0)))) * max(abs(int(vectors.min(initial=0))), abs(int(vectors.max(initial=0)))) * max(vectors.shape[1], 1)
+    kind = float if 8 * top < 2**53 else object
+    if len(ids) > ROWS:  # neighbours along the main direction share blocks, so that gains differ between blocks
+        centre = vectors.mean(0)
+        spread = vectors - centre
+        main = np.linalg.eigh(spread.T @ spread)[1][:, -1]
+        order = np.argsort(spread @ main, kind="stable")
+        vectors, ids = vectors[order], ids[order]
+        order = np.argsort((queries - centre) @ main, kind="stable")
+        queries, query_ids = queries[order], query_ids[order]
+    blocks = [Postings.of(vectors[s:e], ids[s:e], kind) for s, e in slices(len(ids), ROWS)]
+    found = []
+    for a, z in slices(len(query_ids), GROUP):
+        group, own_ids = queries[a:z].astype(kind), query_ids[a:z]
+        best = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, kind)
+        bars = np.full(len(group), NEVER, kind if kind is float else object)
+        # the block that lies farthest the group's way first, so that the bars rise early
+        middle = group.sum(0)
+        promise = [float((np.maximum(middle * b.low, middle * b.high) + middle * b.base).sum()) for b in blocks]
+        for at in np.argsort(-np.array(promise), kind="stable"):
+            who, rows, scores = blocks[at].best(group, bars, tally)
+            cand = blocks[at].ids[rows]
+            other = cand != own_ids[who]
+            if kind is float and len(who) > 4 * k * len(group):  # many rows and no bar yet: drop what k others pass
+                other &= scores >= _kth(k, who, np.where(other, scores, NEVER), len(group))[who]
+            best = _keep(k, *(np.concatenate([x, y[other]]) for x, y in zip(best, (who, cand, scores), strict=True)))
+            last = np.arange(len(best[0])) - np.searchsorted(best[0], best[0]) == k - 1
+            bars[best[0][last]] = best[2][last]
+        found.append((own_ids[best[0]], best[1], best[2].astype(np.int64)))
+    return tuple(np.concatenate([f[i] for f in found] or [np.empty(0, np.int64)]) for i in range(3))
+
+
+def _kth(k: int, who: np.ndarray, scores: np.ndarray, n: int) -> np.ndarray:
+    """The k-th best score of each of ``n`` queries; ``who`` is sorted."""
+    out = np.full(n, NEVER)
+    starts = np.searchsorted(who, np.arange(n + 1))
+    for i, (s, e) in enumerate(zip(starts, starts[1:], strict=False)):
+        if e - s > k:
+            out[i] = np.partition(scores[s:e], e - s - k)[e - s - k]
+    return out
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:

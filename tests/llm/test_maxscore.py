@@ -49,9 +49,10 @@ def test_whole_table(spark, sf_dir):
 
 
 @pytest.mark.parametrize("seed", range(12))
-def test_kernel(seed):
+def test_kernel(seed, monkeypatch):
     """Every exit of the kernel: early and late, small and huge numbers."""
     rng = np.random.default_rng(seed)
+    monkeypatch.setattr(maxscore, "ROWS", int(rng.integers(20, 300)))
     n, width, k = int(rng.integers(1, 900)), int(rng.integers(1, 70)), int(rng.integers(1, 25))
     scale = [8, 64, 3 * 10**7][seed % 3]
     x = (rng.normal(0, 1, (n, width)) * scale * rng.random(width) ** (seed % 4 * 3)).astype(np.int64)
@@ -64,3 +65,27 @@ def test_kernel(seed):
         s = sorted((-sum(int(a) * int(b) for a, b in zip(x[i], x[j])), int(ids[j])) for j in range(n) if j != i)
         want += [(int(ids[i]), j, -v) for v, j in s[:k]]
     assert sorted(got) == sorted(want)
+
+
+def share_read(x, k=20, queries=100):
+    tally = {}
+    ids = np.arange(len(x))
+    got = list(zip(*(a.tolist() for a in maxscore.top_k(x[:queries], ids[:queries], x, ids, k, tally))))
+    want = []
+    for i in range(queries):
+        s = x @ x[i]
+        want += [(i, int(j), int(s[j])) for j in np.lexsort((ids, -s)) if j != i][:k]
+    assert sorted(got) == sorted(want)
+    return tally["read"] / tally["cells"]
+
+
+def test_lists_are_skipped_where_bounds_help():
+    rng = np.random.default_rng(3)
+    sparse = np.zeros((6000, 200), np.int64)  # a few terms each, some of them rare
+    for row in sparse:
+        row[(rng.random(6) ** 2 * 200).astype(int)] = rng.integers(1, 50, 6)
+    assert share_read(sparse) < 0.2
+    centres = rng.normal(0, 40, (12, 64))
+    assert share_read((centres[rng.integers(0, 12, 6000)] + rng.normal(0, 6, (6000, 64))).astype(np.int64)) < 0.7
+    falling = (rng.normal(0, 60, (6000, 64)) * 0.9 ** np.arange(64)).astype(np.int64)
+    assert share_read(falling) < 0.7
