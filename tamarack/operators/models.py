@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.ml import Model, Pipeline
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, NGram, Normalizer, RegexTokenizer, SQLTransformer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, HashingTF, NGram, Normalizer, RegexTokenizer, SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from . import curves
 
 
 class Scorer(Protocol):
@@ -35,6 +38,18 @@ def vocabulary(docs: DataFrame, text: str = "text", most: int = 5000) -> DataFra
     return terms.join(F.broadcast(n)).select("term", "total", "df", F.round(idf, 6).alias("idf")).orderBy(F.desc("total"), "term").limit(most)
 
 
+class ShiftedIDF(Estimator):
+    """Weights ``log((1 + docs) / (1 + df)) + 1``; fitted, it is a product by constants."""
+
+    def __init__(self, inputCol: str, outputCol: str) -> None:  # noqa: N803  as Spark names them
+        super().__init__()
+        self.columns = {"inputCol": inputCol, "outputCol": outputCol}
+
+    def _fit(self, dataset: DataFrame) -> ElementwiseProduct:
+        idf = IDF(**self.columns).fit(dataset).idf
+        return ElementwiseProduct(scalingVec=Vectors.dense(idf.toArray() + 1), **self.columns)
+
+
 def _ngrams(size: int) -> list:
     """Word uni- and bigrams as counts; idf is shifted by one so that no term vanishes."""
     return [
@@ -43,7 +58,7 @@ def _ngrams(size: int) -> list:
         NGram(n=2, inputCol="_w", outputCol="_b"),
         SQLTransformer(statement="SELECT *, concat(_w, _b) AS _t FROM __THIS__"),
         CountVectorizer(inputCol="_t", outputCol="_tf", vocabSize=size),
-        IDF(inputCol="_tf", outputCol="_idf"),
+        ShiftedIDF(inputCol="_tf", outputCol="_idf"),
         Normalizer(inputCol="_idf", outputCol="features"),
     ]
 
@@ -85,6 +100,8 @@ def hashed_embedding(size: int = 256) -> Pipeline:
 def probabilities(model: Model, df: DataFrame) -> DataFrame:
     """Add ``p``: the probability of label 1, or the logistic of a margin."""
     out = model.transform(df)
+    if "p" in out.columns and "p" not in df.columns:
+        return out
     if "probability" in out.columns:
         return out.withColumn("p", vector_to_array("probability")[1])
     return out.withColumn("p", 1 / (1 + F.exp(-vector_to_array("rawPrediction")[1])))
@@ -112,11 +129,81 @@ def judged(df: DataFrame, client: Callable[[], Callable[[str], str]], text: str
     return df.withColumn("p", judge_probability(ask(F.col(text))))
 
 
+def calibrated(model: Model, held_out: DataFrame, label: str = "label") -> Model:
+    """A margin model followed by a logistic map of its margin, fitted on rows that it has not seen."""
+    scored = model.transform(held_out).withColumn("_margin", vector_to_array("rawPrediction")[1]).select(F.col(label).alias("label"), "_margin")
+    fit = Pipeline(stages=[VectorAssembler(inputCols=["_margin"], outputCol="features"), LogisticRegression(maxIter=50, regParam=1e-6)]).fit(scored).stages[-1]
+    return Calibrated(model, float(fit.coefficients[0]), float(fit.intercept))
+
+
+class Calibrated(Model):
+    """Adds ``p``, the logistic of a scaled margin."""
+
+    def __init__(self, model: Model, slope: float, offset: float) -> None:
+        super().__init__()
+        self.model, self.slope, self.offset = model, slope, offset
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        z = vector_to_array("rawPrediction")[1] * self.slope + self.offset
+        return self.model.transform(dataset).withColumn("p", 1 / (1 + F.exp(-z)))
+
+
+def _with_embedding(columns: list[str], size: int) -> list:
+    return [*hashed_embedding(size).getStages(), *_scaled([*columns, "embedding"])]
+
+
+def ensemble(rules: str = "rules", size: int = 128) -> Pipeline:
+    """Rule score and embedding stacked into a logistic regression."""
+    return Pipeline(stages=[*_with_embedding([rules], size), LogisticRegression(maxIter=100, regParam=1e-3)])
+
+
+def multifeature_mlp(columns: list[str], size: int = 256, hidden: tuple[int, ...] = (128, 64), seed: int = 1337) -> Pipeline:
+    """Embedding and engineered features into a perceptron."""
+    net = MultilayerPerceptronClassifier(layers=[len(columns) + size, *hidden, 2], seed=seed, maxIter=60)
+    return Pipeline(stages=[*_with_embedding(columns, size), net])
+
+
+#: Detectors by name: a function that builds the pipeline to fit.
+DETECTORS: dict[str, Callable[..., Pipeline]] = {
+    "tfidf_logreg": tfidf_logreg, "tfidf_svm": tfidf_svm, "features_logreg": features_logreg, "features_mlp": features_mlp, "ensemble": ensemble, "multifeature_mlp": multifeature_mlp
+}
+
+
+def detector(name: str, **settings: object) -> Pipeline:
+    if name not in DETECTORS:
+        raise ValueError(f"no detector {name!r}; there are {sorted(DETECTORS)}")
+    return DETECTORS[name](**settings)
+
+
+def search(build: Callable[..., Pipeline], grid: list[dict[str, object]], train: DataFrame, held_out: DataFrame, key: str = "row_id", label: str = "label") -> DataFrame:
+    """Fit every setting of a grid: ``trial, settings, auprc, auroc`` on the held-out rows, best first (average precision, then order)."""
+    rows = None
+    for i, settings in enumerate(grid):
+        scored = probabilities(build(**settings).fit(train), held_out).select(F.lit(i).alias("trial"), F.lit(json.dumps(settings, sort_keys=True)).alias("settings"), F.col(label).cast("int").alias("y"), "p")
+        rows = scored if rows is None else rows.unionByName(scored)
+    t = curves.score_table(rows, ["trial", "settings"]).groupBy("trial", "settings")
+    return t.agg(curves.average_precision().alias("auprc"), curves.auroc().alias("auroc")).orderBy(F.desc("auprc"), "trial")
+
+
+def save(model: Model, path: str, config: dict[str, object]) -> None:
+    """Write a fitted pipeline and the settings it was built with, over what is there."""
+    model.write().overwrite().save(f"{path}/model")
+    spark = SparkSession.active()
+    spark.createDataFrame([(json.dumps(config, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/config")
+
+
+def load(path: str) -> tuple[Model, dict[str, object]]:
+    return PipelineModel.load(f"{path}/model"), json.loads(SparkSession.active().read.text(f"{path}/config").first()[0])
+
+
 ABLATIONS = ("no_rules", "no_embedding", "no_features", "no_retrieval", "no_veto", "constant_prior")
 
 
 def ablate(df: DataFrame, ablation: str, groups: dict[str, list[str]]) -> DataFrame:
-    """Neutralise one branch: its feature columns become 0. Unknown names raise."""
+    """Neutralise one branch: its feature columns become 0, with ``constant_prior`` all branches' do. Unknown names raise."""
+    if ablation == "constant_prior":
+        every = {c for own in groups.values() for c in own}
+        return df.select(*(F.lit(0.0).alias(c) if c in every else F.col(c) for c in df.columns))
     branch = ablation.removeprefix("no_")
     if branch not in groups:
         raise ValueError(f"no branch {branch!r}; there are {sorted(groups)}")

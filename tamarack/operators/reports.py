@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import curves
+
 
 def placed(df: DataFrame, order: list[Column]) -> DataFrame:
     """Add ``place`` from 1. For summary tables of one row per model or group."""
@@ -44,6 +49,57 @@ def headline(df: DataFrame) -> DataFrame:
     return df.agg(a.alias("best_hybrid"), b.alias("best_other"), (x - y).alias("delta"))
 
 
+def results_table(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Size, areas, the decision metrics at each group's own ``threshold`` (a column), Brier score and calibration error."""
+    hit, y = F.col("p") >= F.col("threshold"), F.col("y")
+    cell = lambda label, flagged: F.sum(((y == label) & (hit == flagged)).cast("long"))
+    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    counts = curves.usable(rows).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.max("threshold").alias("threshold"), cell(1, True).alias("_tp"), cell(0, True).alias("_fp"), cell(1, False).alias("_fn"), F.sum(1 - y).alias("_neg"), curves.brier().alias("brier")
+    )
+    tp, fp, fn = F.col("_tp"), F.col("_fp"), F.col("_fn")
+    areas = curves.score_table(rows, by).groupBy(*by).agg(curves.auroc().alias("auroc"), curves.average_precision().alias("auprc"))
+    out = counts.join(areas, by).join(curves.ece_main(rows, by), by)
+    return out.select(
+        *by, "n", "auroc", "auprc", "threshold", ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"),
+        F.try_divide(fp, F.col("_neg")).alias("realized_fpr"), "brier", "ece",
+    )
+
+
+def best_per_metric(df: DataFrame, metrics: Mapping[str, int], key: str = "model") -> DataFrame:
+    """``metric, key, value``: where each metric is largest (direction 1, ties to the last key) or least (-1, to the first)."""
+    long = df.select(key, F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.lit(up).alias("up"), F.col(m).cast("double").alias("value")) for m, up in metrics.items()))).alias("e"))
+    by = F.struct(F.col("e.value"), F.col(key))
+    top, low = F.max(F.when((F.col("e.up") > 0) & F.col("e.value").isNotNull(), by)), F.min(F.when((F.col("e.up") < 0) & F.col("e.value").isNotNull(), by))
+    got = long.groupBy(F.col("e.metric").alias("metric")).agg(F.coalesce(top, low).alias("best"))
+    return got.select("metric", F.col(f"best.{key}").alias(key), F.col("best.value").alias("value"))
+
+
+def spread(df: DataFrame, group: str, metrics: tuple[str, ...], digits: int = 6) -> DataFrame:
+    """Number of seeds, and mean and sample deviation (0 for one seed) of each metric."""
+    each = [F.round(f, digits).alias(f"{m}_{n}") for m in metrics for n, f in (("mean", F.avg(m)), ("std", F.coalesce(F.stddev_samp(m), F.lit(0.0))))]
+    return df.groupBy(group).agg(F.count(F.lit(1)).alias("seeds"), *each)
+
+
+def recall_fold(wide: DataFrame, low: float = 1.5, high: float = 1000.0, key: str = "model") -> DataFrame:
+    """Add ``fold``, canonical over perturbed recall where it lies between the limits, and ``headline`` for the largest."""
+    ratio = F.try_divide(F.col("canonical"), F.col("perturbed"))
+    out = wide.withColumn("fold", F.when((F.col("perturbed") > 0) & (ratio > low) & (ratio < high), ratio))
+    top = out.where("fold is not null").agg(F.max(F.struct(F.round("fold", 9), F.col(key).alias("name"))).alias("_top"))
+    return out.join(F.broadcast(top)).withColumn("headline", F.coalesce(F.col(key) == F.col("_top.name"), F.lit(False))).drop("_top")  # one row
+
+
+def robustness_headline(drops: DataFrame) -> DataFrame:
+    """One row from a table of ``model, transform, auroc, auroc_drop``: what is hardest, who stands best, who loses most."""
+    rows = drops.where(F.col("transform") != "none")
+    mean = lambda c: rows.groupBy(F.col(c).alias("name")).agg(F.round(F.avg("auroc"), 9).alias("m"))
+    hard = mean("transform").agg(F.min(F.struct("m", "name")).alias("x")).select(F.col("x.name").alias("hardest_transform"))
+    best = mean("model").agg(F.max(F.struct("m", "name")).alias("x")).select(F.col("x.name").alias("most_robust_model"))
+    lost = rows.agg(F.max(F.struct(F.round("auroc_drop", 9), "model")).alias("x"), F.max("auroc_drop").alias("largest_drop"), F.avg("auroc").alias("mean_auroc"))
+    one = [hard, best, lost.select(F.col("x.model").alias("largest_drop_model"), "largest_drop", "mean_auroc")]
+    return reduce(lambda a, b: a.join(F.broadcast(b)), one)  # one row each
+
+
 def robust_drop(grid: DataFrame) -> DataFrame:
     """AUROC lost against the untransformed run of the same model; 0 where there is none."""
     base = F.max(F.when(F.col("transform") == "none", F.col("auroc"))).over(Window.partitionBy("model"))
@@ -92,11 +148,13 @@ def within(df: DataFrame, anchors: DataFrame, ts: str, anchor: str, seconds: int
 
 
 def or_placeholder(df: DataFrame, note: str) -> DataFrame:
-    """The table, or one row that says why it is empty."""
+    """The table with its own schema, or one row of nulls that says in ``note`` why it is empty.
+
+    ``note`` is a column of both forms (null in the first), so the schema does not depend on the data.
+    """
     if not df.isEmpty():
-        return df
-    first = df.columns[0]
-    return df.sparkSession.range(1).select(*(F.lit(note if c == first else None).cast("string").alias(c) for c in df.columns))
+        return df.withColumn("note", F.lit(None).cast("string"))
+    return df.sparkSession.range(1).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema), F.lit(note).alias("note"))
 
 
 def backfill(df: DataFrame, columns: list[str], kind: str = "double") -> DataFrame:

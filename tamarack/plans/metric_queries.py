@@ -377,6 +377,93 @@ def value_counts(spark: SparkSession, d: str) -> DataFrame:
     return preds(spark, d).agg(F.countDistinct("model").alias("n_models"), R6(F.avg((F.col("p") >= 0.9).cast("double"))).alias("saturated"), F.countDistinct("lang").alias("n_langs"))
 
 
+# --- report tables ----------------------------------------------------------------
+_ECE_TESTS = "eb AS (SELECT model, " + " + ".join(f"CAST(p >= CAST({i} AS DOUBLE) / 15 AS INTEGER)" for i in range(1, 15)) + " AS bin, count(*) AS n, avg(p) AS conf, avg(CASE WHEN CAST(p >= 0.5 AS INTEGER) = y THEN 1.0 ELSE 0.0 END) AS acc FROM tests GROUP BY 1, 2), ee AS (SELECT model, sum(n * abs(acc - conf)) / CAST(sum(n) AS DOUBLE) AS ece FROM eb GROUP BY model)"
+_RESULTS = (
+    f"WITH {PREDS}, {_TUNED}, {_TESTS}, {_ECE_TESTS}, area AS (SELECT model, {AUROC_SQL} AS auroc, {AP_SQL} AS auprc FROM tc GROUP BY model), "
+    "cell AS (SELECT model, max(roc_thr) AS threshold, count(*) AS n, sum(CASE WHEN y = 1 AND p >= roc_thr THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN y = 0 AND p >= roc_thr THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN y = 1 AND p < roc_thr THEN 1 ELSE 0 END) AS fn, sum(1 - y) AS n_neg, avg((p - y) * (p - y)) AS brier FROM tests JOIN tuned USING (model) GROUP BY model), "
+    "results AS (SELECT model, split_part(model, '_seed', 1) AS variant, n, auroc, auprc, threshold, CASE WHEN tp + fp > 0 THEN CAST(tp AS DOUBLE) / (tp + fp) ELSE 0.0 END AS precision, CASE WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE) / (tp + fn) ELSE 0.0 END AS recall, "
+    "CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0.0 END AS f1, CAST(fp AS DOUBLE) / n_neg AS realized_fpr, brier, ece FROM cell JOIN area USING (model) JOIN ee USING (model))"
+)
+_NUMBERS = ("auroc", "auprc", "threshold", "precision", "recall", "f1", "realized_fpr", "brier", "ece")
+
+
+def _results(spark: SparkSession, d: str) -> DataFrame:
+    return reports.results_table(_tuned(preds(spark, d), "roc"), ["model"]).withColumn("variant", coerce.parse_variant(F.col("model")))
+
+
+@query(f"{_RESULTS} SELECT model, variant, n, " + ", ".join(f"round({c}, 6) AS {c}" for c in _NUMBERS) + " FROM results")
+def results_table(spark: SparkSession, d: str) -> DataFrame:
+    """All numbers of a model on the test split, at the threshold that the other split gave it."""
+    return _results(spark, d).select("model", "variant", "n", *(R6(F.col(c)).alias(c) for c in _NUMBERS))
+
+
+_BEST = {"auroc": 1, "auprc": 1, "recall": 1, "f1": 1, "brier": -1, "ece": -1, "realized_fpr": -1}
+
+
+@query(f"{_RESULTS} " + " UNION ALL ".join(f"SELECT '{m}' AS metric, arg_{'max' if up > 0 else 'min'}(model, (round({m}, 9), model)) AS model, round({'max' if up > 0 else 'min'}({m}), 6) AS value FROM results" for m, up in _BEST.items()))
+def best_per_metric(spark: SparkSession, d: str) -> DataFrame:
+    """The best model by each metric; of equals the last name where more is better, the first where less is."""
+    return reports.best_per_metric(_results(spark, d).select("model", *(F.round(m, 9).alias(m) for m in _BEST)), _BEST).withColumn("value", R6(F.col("value")))
+
+
+@query(f"{_RESULTS} SELECT variant, count(*) AS seeds, " + ", ".join(f"round(avg({m}), 6) AS {m}_mean, round(coalesce(stddev_samp({m}), 0.0), 6) AS {m}_std" for m in ("auroc", "recall", "ece")) + " FROM results GROUP BY variant")
+def variant_spread(spark: SparkSession, d: str) -> DataFrame:
+    """Mean and sample deviation over the seeds of a variant; 0 for a single seed."""
+    return reports.spread(_results(spark, d), "variant", ("auroc", "recall", "ece"))
+
+
+@query(
+    f"WITH {ROBUST}, {curve_sql('model, transform')}, k AS (SELECT model, transform, coalesce(max(CASE WHEN CAST(fp AS DOUBLE) / n_neg <= 0.05 THEN CAST(tp AS DOUBLE) / n_pos END), 0.0) AS recall FROM c GROUP BY 1, 2), "
+    "w AS (SELECT model, max(CASE WHEN transform = 'homoglyph' THEN recall END) AS perturbed, max(CASE WHEN transform = 'none' THEN recall END) AS canonical FROM k GROUP BY model), "
+    "f AS (SELECT *, CASE WHEN perturbed > 0 AND canonical / perturbed > 1.05 AND canonical / perturbed < 1000 THEN canonical / perturbed END AS fold FROM w) "
+    "SELECT model, round(perturbed, 6) AS perturbed, round(canonical, 6) AS canonical, round(fold, 6) AS fold, coalesce(model = (SELECT arg_max(model, (round(fold, 9), model)) FROM f WHERE fold IS NOT NULL), false) AS headline FROM f"
+)
+def recall_fold(spark: SparkSession, d: str) -> DataFrame:
+    """How much recall comes back between two conditions, within limits, and the model where most does."""
+    t = curves.score_table(robust_preds(spark, d), ["model", "transform"]).groupBy("model", "transform").agg(curves.recall_at_fpr_roc(0.05).alias("recall"))
+    wide = t.groupBy("model").pivot("transform", ["homoglyph", "none"]).agg(F.first("recall")).select("model", F.col("homoglyph").alias("perturbed"), F.col("none").alias("canonical"))
+    out = reports.recall_fold(wide, low=1.05)
+    return out.select("model", *(R6(F.col(c)).alias(c) for c in ("perturbed", "canonical", "fold")), "headline")
+
+
+_BY_VARIANT = "grid AS (SELECT model, transform, {} AS auroc FROM c GROUP BY model, transform), rb AS (SELECT split_part(model, '_seed', 1) AS variant, avg(auroc) FILTER (WHERE transform <> 'none') AS robust FROM grid GROUP BY 1)".format(AUROC_SQL)
+
+
+@query(
+    f"WITH {ROBUST}, {curve_sql('model, transform')}, {_BY_VARIANT}, own AS (SELECT split_part(model, '_seed', 1) AS variant, avg(auroc) FILTER (WHERE transform = 'none') AS auroc FROM grid GROUP BY 1) "
+    "SELECT variant, round(auroc, 6) AS auroc, round(robust, 6) AS robust, length(variant) * 0.5 AS latency, CAST(row_number() OVER (ORDER BY auroc DESC, robust DESC, length(variant), variant) AS INTEGER) AS place FROM own LEFT JOIN rb USING (variant)"
+)
+def robust_variant_rank(spark: SparkSession, d: str) -> DataFrame:
+    """Variants joined with their mean area under perturbation and a latency, ranked by all of them."""
+    v = coerce.parse_variant(F.col("model")).alias("variant")
+    grid = _grid(spark, d)
+    mean = lambda c, name: grid.where(c).groupBy(v).agg(F.avg("auroc").alias(name))
+    rows = mean(F.col("transform") == "none", "auroc").join(mean(F.col("transform") != "none", "robust"), "variant", "left")
+    rows = rows.withColumn("recall", F.lit(0.0)).withColumn("od", F.lit(0.0)).withColumn("latency", F.length("variant") * 0.5)
+    return reports.variant_rank(rows).select("variant", R6(F.col("auroc")).alias("auroc"), R6(F.col("robust")).alias("robust"), "latency", "place")
+
+
+@query(
+    f"WITH {ROBUST}, {curve_sql('model, transform')}, {_GRID}, drops AS (SELECT g.model, g.transform, g.auroc, b.auroc - g.auroc AS lost FROM grid g JOIN grid b ON b.model = g.model AND b.transform = 'none' WHERE g.transform <> 'none') "
+    "SELECT (SELECT arg_min(transform, (round(m, 9), transform)) FROM (SELECT transform, avg(auroc) AS m FROM drops GROUP BY 1)) AS hardest_transform, (SELECT arg_max(model, (round(m, 9), model)) FROM (SELECT model, avg(auroc) AS m FROM drops GROUP BY 1)) AS most_robust_model, "
+    "(SELECT arg_max(model, (round(lost, 9), model)) FROM drops) AS largest_drop_model, round((SELECT max(lost) FROM drops), 6) AS largest_drop, round((SELECT avg(auroc) FROM drops), 6) AS mean_auroc"
+)
+def robustness_headline(spark: SparkSession, d: str) -> DataFrame:
+    """Hardest transform, most robust model, largest drop and mean area under perturbation."""
+    out = reports.robustness_headline(reports.robust_drop(_grid(spark, d)))
+    return out.select("hardest_transform", "most_robust_model", "largest_drop_model", R6(F.col("largest_drop")).alias("largest_drop"), R6(F.col("mean_auroc")).alias("mean_auroc"))
+
+
+_SPLIT10 = "SELECT doc_id, CASE WHEN rn <= ceil(n * 0.1) THEN 'test' ELSE 'train' END AS split FROM (SELECT doc_id, toxic, row_number() OVER (PARTITION BY toxic ORDER BY md5(doc_id || ':1337'), doc_id) AS rn, count(*) OVER (PARTITION BY toxic) AS n FROM labels)"
+
+
+@query(_SPLIT10)
+def stratified_tenth(spark: SparkSession, d: str) -> DataFrame:
+    """The form of the split without validation rows."""
+    return integrity.stratified_split(table(spark, d, "labels").select("doc_id", "toxic"), "toxic", "doc_id", test=0.1, val=0.0).select("doc_id", "split")
+
+
 # --- integrity --------------------------------------------------------------------
 _HASH = "md5(trim(regexp_replace(text, '\\s+', ' ', 'g')))"
 
@@ -538,7 +625,8 @@ def retrieval_logreg(spark: SparkSession, d: str) -> DataFrame:
     """Retrieval features, logistic regression and the veto."""
     from ..operators import models
 
-    f = _rav(spark, d).withColumn("label", (F.col("query_id") % 2).cast("int"))
+    own = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), (F.col("label") % 2).cast("int").alias("label"))
+    f = _rav(spark, d).join(own, "query_id")
     model = models.features_logreg([c for c in f.columns if c not in ("query_id", "label")]).fit(f)
     scored = models.probabilities(model, f)
     return scored.select("query_id", F.round(vectors.veto(F.col("p"), F.col("margin")), 4).alias("p"))
@@ -555,3 +643,51 @@ def rules_and_features_mlp(spark: SparkSession, d: str) -> DataFrame:
     return models.probabilities(model, rows).select("doc_id", "label", (F.col("p") >= 0.5).cast("int").alias("decision"))
 
 
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    cols = features.engineered_features(F.col("text"))
+    rows = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id")
+    return rows.select(F.col("doc_id").alias("row_id"), "text", F.col("toxic").alias("label"), features.rule_score(F.col("text")).alias("rules"), *(c.cast("double").alias(k) for k, c in cols.items()))
+
+
+_TRAIN, _HELD = "row_id % 10 >= 3", "row_id % 10 < 3"  # the split of ``preds``
+
+
+@query()
+def tfidf_svm_calibrated(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators import models
+
+    rows = _labelled(spark, d).select("row_id", "text", "label")
+    model = models.tfidf_svm(size=2000).fit(rows.where(_TRAIN))
+    model = models.calibrated(model, rows.where(_HELD))
+    return models.probabilities(model, rows.where(_HELD)).select("row_id", "label", F.round("p", 4).alias("p"))
+
+
+@query()
+def ensemble_stack(spark: SparkSession, d: str) -> DataFrame:
+    """Rule score and embedding in a stacked regression."""
+    from ..operators import models
+
+    rows = _labelled(spark, d)
+    model = models.detector("ensemble").fit(rows.where(_TRAIN))
+    return models.probabilities(model, rows.where(_HELD)).select("row_id", "label", F.round("p", 4).alias("p"))
+
+
+@query()
+def multifeature_mlp(spark: SparkSession, d: str) -> DataFrame:
+    """Embedding and engineered features in a perceptron."""
+    from ..operators import models
+
+    rows = _labelled(spark, d)
+    columns = [c for c in rows.columns if c not in ("row_id", "text", "label", "rules")]
+    model = models.detector("multifeature_mlp", columns=columns, size=64, hidden=(16, 8)).fit(rows.where(_TRAIN))
+    return models.probabilities(model, rows.where(_HELD)).select("row_id", "label", (F.col("p") >= 0.5).cast("int").alias("decision"))
+
+
+@query()
+def search_logreg(spark: SparkSession, d: str) -> DataFrame:
+    """Settings of the word model, ranked on held-out rows."""
+    from ..operators import models
+
+    rows = _labelled(spark, d).select("row_id", "text", "label")
+    grid = [{"size": 500, "reg": reg} for reg in (1e-3, 1e-1)]
+    return models.search(models.tfidf_logreg, grid, rows.where(_TRAIN), rows.where(_HELD)).select("trial", "settings", F.round("auprc", 4).alias("auprc"), F.round("auroc", 4).alias("auroc"))

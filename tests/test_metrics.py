@@ -92,7 +92,9 @@ def test_split_sizes(spark):
 def test_reports(spark):
     df = spark.createDataFrame([("x", 0.9, None, 0.1), ("y", 0.9, 0.5, None), ("z", None, 0.9, 0.0)], "variant string, auroc double, recall double, od double")
     assert [r.variant for r in reports.variant_rank(df).orderBy("place").collect()] == ["y", "x", "z"]
-    assert reports.or_placeholder(df.where("auroc > 2"), "none").first().variant == "none"
+    empty = reports.or_placeholder(df.where("auroc > 2"), "none")
+    assert empty.first().note == "none" and empty.first().variant is None and empty.schema.names == reports.or_placeholder(df, "none").schema.names
+    assert [f.dataType for f in empty.schema][:4] == [f.dataType for f in df.schema]
     assert reports.naming_decision(0.9, 0.8, None)["beats_baseline"] is False
 
 
