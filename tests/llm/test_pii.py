@@ -130,3 +130,52 @@ def test_linear_time(text):
     began = time.perf_counter()
     pii.spans(text * 40_000)
     assert time.perf_counter() - began < 20
+
+
+AT_FORMS = [" [at] ", "(at)", " at ", " {at} ", "[@]", "_at_", " arroba "]
+DOT_FORMS = [" [dot] ", "(dot)", " dot ", "[.]", "_dot_"]
+NAMES = "alex kim jordan sam river ash noor wren".split()
+SPELL = "zero one two three four five six seven eight nine".split()
+ALIKE = dict(zip(pii.LOOK_ALIKE.values(), pii.LOOK_ALIKE))
+
+
+def disguised(rng):
+    """One identifier in disguise: kind and text."""
+    kind = rng.choice(pii.KINDS)
+    if kind == "email":
+        at = rng.choice(AT_FORMS)
+        dot = rng.choice(DOT_FORMS[:2] if at == "_at_" else DOT_FORMS)
+        return kind, f"{rng.choice(NAMES)}{rng.randrange(100)}{at}{rng.choice(NAMES)}{dot}{rng.choice(['com', 'org', 'net'])}"
+    if kind == "ip":
+        return kind, rng.choice([" dot ", "[.]", "(dot)", " [dot] "]).join(str(rng.randrange(256)) for _ in range(4))
+    if kind == "card":
+        digits = "4" + "".join(rng.choice("0123456789") for _ in range(14))
+        digits += next(c for c in "0123456789" if pii.luhn(digits + c))
+        if rng.random() < 0.5:
+            return kind, " ".join(SPELL[int(c)] for c in digits)
+        return kind, "".join(chr(0xFF10 + int(c)) for c in digits)
+    digits = "".join(rng.choice("123456789") for _ in range(11))
+    if rng.random() < 0.5:
+        return kind, "plus " + " ".join(SPELL[int(c)] for c in digits)
+    return kind, "+" + "".join(chr(0x660 + int(c)) for c in digits)
+
+
+def test_planted_disguises_have_their_source_spans():
+    rng = random.Random(13)
+    for _ in range(3000):
+        before, after = ("".join(rng.choice(["the note says: ", "écrit; ", "wir sehen: ", "\n", "«x» "]) for _ in range(rng.randrange(3))) for _ in range(2))
+        kind, hidden = disguised(rng)
+        text = f"{before}; {hidden}; {after}"
+        at = len(before) + 2
+        base, added = pii.spans(text)
+        assert (kind, at, at + len(hidden)) in added, text
+        assert base == pii.plain(text)
+
+
+def test_look_alikes_in_an_address():
+    rng = random.Random(14)
+    for _ in range(300):
+        plain = f"{rng.choice(NAMES)}@{rng.choice(NAMES)}.com"
+        hidden = "".join(ALIKE.get(c, c) if rng.random() < 0.4 else c for c in plain)
+        if hidden != plain:
+            assert ("email", 3, 3 + len(hidden)) in pii.spans(f"a: {hidden} b")[1], hidden
