@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,8 +86,11 @@ def ablation_label(slug: Column) -> Column:
     )
 
 
-def friendly_name(model: Column) -> Column:
-    """``HG_<VARIANT>`` with an optional seed as words; other names stay."""
+def friendly_name(model: Column, names: Mapping[str, str] | None = None) -> Column:
+    """The name given in ``names``, else ``HG_<VARIANT>`` with an optional seed as words; other names stay."""
+    if names:
+        given = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
+        return F.coalesce(F.try_element_at(given, model), friendly_name(model))
     shape = r"^HG_([A-Z_]+?)(?:_seed([0-9]+))?$"
     variant, seed = F.regexp_extract(model, shape, 1), F.regexp_extract(model, shape, 2)
     name = F.concat(F.lit("Hybrid "), variant)

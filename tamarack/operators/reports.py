@@ -166,3 +166,38 @@ def naming_decision(auroc: float, baseline: float, p_value: float | None) -> dic
     """Whether a variant may be called better: a significant test and a larger AUROC; no test, no claim."""
     better = p_value is not None and p_value < 0.05 and auroc > baseline
     return {"beats_baseline": better, "reason": "no test" if p_value is None else f"p={p_value:.4g}, delta={auroc - baseline:+.4f}"}
+
+
+# What a report file is, by a part of its name, else by the columns that it must have.
+_KIND_BY_NAME = (
+    ("main_results", "main_results"), ("ablation", "ablation"), ("robust", "robustness"), ("calibration", "calibration"), ("fairness", "fairness"), ("jailbreak", "jailbreak"),
+    ("overdef", "overdefense"), ("sanit", "sanitization"), ("variant_selection", "variant_selection"), ("selection_rank", "variant_selection"),
+)
+_KIND_BY_COLUMNS = (
+    ("threshold_1pctfpr recall_at_1pctfpr", "main_results"), ("ablation", "ablation"), ("transform auroc auprc", "robustness"),
+    ("ece brier", "calibration"), ("worst_lang worst_len", "fairness"), ("sanitize_mode", "sanitization"),
+)
+
+
+def table_kind(file_name: str, columns: list[str]) -> str:
+    """The kind of a report table: its name decides, then its columns; ``generic`` if neither tells."""
+    low, have = file_name.lower(), {c.lower() for c in columns}
+    by_name = (kind for part, kind in _KIND_BY_NAME if part in low)
+    by_columns = (kind for need, kind in _KIND_BY_COLUMNS if have.issuperset(need.split()))
+    return next(by_name, None) or next(by_columns, "generic")
+
+
+def is_placeholder(df: DataFrame) -> bool:
+    """Whether a table only says why it has no results: by its ``note``, or by models named n/a in at most three rows."""
+    if "note" not in df.columns:
+        return False
+    says = F.max(F.lower("note").rlike("unavailable|not loaded|run section|placeholder|see section"))
+    none = F.max(F.lower(F.col("model").cast("string")).contains("n/a")) if "model" in df.columns else F.lit(False)
+    got = df.agg(F.coalesce(says, F.lit(False)).alias("says"), (F.coalesce(none, F.lit(False)) & (F.count(F.lit(1)) <= 3)).alias("none")).first()
+    return bool(got["says"] or got["none"])
+
+
+def selection(ranked: DataFrame, key: str = "variant") -> DataFrame:
+    """The chosen variant as JSON: the first place, and all places in order."""
+    rows = F.transform(F.sort_array(F.collect_list(F.struct("place", key))), lambda x: x[key])  # one row a variant
+    return ranked.agg(rows.alias("order")).select(F.to_json(F.struct(F.element_at("order", 1).alias("selected"), "order")).alias("selection"))

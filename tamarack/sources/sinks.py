@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 import zipfile
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -90,3 +91,24 @@ def metrics_json(df: DataFrame, key: str) -> str:
 def methods_markdown(values: dict[str, object]) -> str:
     """The methods paragraph of a report from its settings."""
     return "## Methods\n\n" + "\n".join(f"- **{k}**: {v}" for k, v in values.items()) + "\n"
+
+
+def export(df: DataFrame, kind: str, path: str, caption: str = "", label: str = "") -> None:
+    """A small report as ``csv`` or ``tex``; other kinds raise."""
+    if kind == "csv":
+        write_csv(df, path, single=True)
+    elif kind == "tex":
+        text = df.sparkSession.createDataFrame([(latex_table(df, caption, label),)], "value string")
+        text.coalesce(1).write.mode("overwrite").option("lineSep", "\n").text(path)
+    else:
+        raise ValueError(f"no export as {kind!r}; there are csv and tex")
+
+
+def in_parts(df: DataFrame, work: Callable[[DataFrame], DataFrame], path: str, key: str, parts: int = 16) -> DataFrame:
+    """Slow work on a table, part by part: a restart goes on after the parts that were written.
+
+    Rows are dealt to ``parts`` by a hash of ``key``; ``work`` must treat rows independently.
+    """
+    deal = F.pmod(F.xxhash64(key), F.lit(parts))
+    done = [write_once(work(df.where(deal == i)), f"{path}/part-{i:05d}") for i in range(parts)]
+    return reduce(DataFrame.unionByName, done)

@@ -1,7 +1,13 @@
 import json
+import shutil
 import zipfile
 
-from tamarack.sources import corpus, sinks
+import pytest
+from pyspark.sql import functions as F
+
+from tamarack.functions import coerce
+from tamarack.operators import models, reports
+from tamarack.sources import corpus, fixtures, sinks
 from tamarack.streaming import canonical_stream
 
 
@@ -46,3 +52,61 @@ def test_stream(spark, sf_dir, tmp_path):
     q = out.writeStream.format("memory").queryName("scored").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("scored").count() == 40
+
+
+def test_fixtures_and_kinds(spark):
+    one, two = fixtures.tables(spark), fixtures.tables(spark)
+    assert len(one) == 8
+    for name, df in one.items():
+        assert sorted(df.collect()) == sorted(two[name].collect())
+        assert reports.table_kind("x.csv", df.columns) == (name if name in ("main_results", "robustness", "ablation", "calibration") else "generic")
+        assert reports.table_kind(f"{name}.csv", []) == (name if name not in ("latency", "curves") else "generic")
+    assert reports.table_kind("Variant_Selection.csv", []) == "variant_selection" and reports.table_kind("a", ["WORST_LANG", "worst_len"]) == "fairness"
+    main = one["main_results"]
+    empty = reports.or_placeholder(main.where("auroc > 2"), "table unavailable: no run")
+    assert reports.is_placeholder(empty) and not reports.is_placeholder(reports.or_placeholder(main, "x")) and not reports.is_placeholder(main)
+    names = dict(main.select("model", coerce.friendly_name(F.col("model"), {"regex_rules": "Rules"}).alias("n")).collect())
+    assert names["regex_rules"] == "Rules" and names["HG_ALPHA_seed1"] == "Hybrid ALPHA (seed 1)" and names["tfidf_logreg"] == "tfidf_logreg"
+    ranked = reports.placed(main.withColumnRenamed("model", "variant"), [F.desc("auroc"), F.col("variant")])
+    chosen = json.loads(reports.selection(ranked).first()[0])
+    assert chosen["selected"] == chosen["order"][0] == ranked.where("place = 1").first().variant and len(chosen["order"]) == 4
+
+
+def test_exports_and_parts(spark, tmp_path):
+    df = spark.range(40).selectExpr("id", "id * 0.5D as half")
+    sinks.export(df, "csv", str(tmp_path / "c"))
+    sinks.export(df.limit(2), "tex", str(tmp_path / "t"), "cap", "tab:x")
+    assert spark.read.csv(str(tmp_path / "c"), header=True).count() == 40
+    text = "\n".join(r.value for r in spark.read.text(str(tmp_path / "t")).collect())
+    assert "\\caption{cap}" in text and "0.500" in text
+    with pytest.raises(ValueError):
+        sinks.export(df, "png", str(tmp_path / "p"))
+    calls = []
+
+    def work(part):
+        calls.append(1)
+        return part.withColumn("twice", F.col("half") * 2)
+
+    first = sinks.in_parts(df, work, str(tmp_path / "w"), "id", parts=3)
+    assert sorted(r.id for r in first.collect()) == list(range(40)) and all(r.twice == r.id for r in first.collect())
+    shutil.rmtree(tmp_path / "w" / "part-00001")
+    again = sinks.in_parts(df.withColumn("half", F.lit(0.0)), work, str(tmp_path / "w"), "id", parts=3)
+    redone = {r.id for r in again.where("half = 0 and id > 0").collect()}
+    assert 0 < len(redone) < 39 and again.count() == 40
+
+
+def test_saved_detector(spark, tmp_path):
+    rows = spark.createDataFrame([(i, "bad words here" if i % 3 == 0 else f"fine text {i % 5}", int(i % 3 == 0)) for i in range(60)], "row_id long, text string, label int")
+    model = models.detector("tfidf_logreg", size=50).fit(rows)
+    models.save(model, str(tmp_path / "m"), {"size": 50})
+    back, config = models.load(str(tmp_path / "m"))
+    assert config == {"size": 50}
+    p = lambda m: [round(r.p, 9) for r in models.probabilities(m, rows).orderBy("row_id").collect()]
+    assert p(model) == p(back) and p(model)[0] > 0.5 > p(model)[1]
+    common = rows.select(F.lit("same words").alias("text"), "label", "row_id")
+    weights = models.Pipeline(stages=models._ngrams(10)).fit(common).transform(common).first().features
+    assert weights.numNonzeros() == 3  # a term of every document keeps weight 1
+    zero = models.ablate(spark.createDataFrame([(1.0, 2.0, 3)], "a double, b double, k int"), "constant_prior", {"rules": ["a"], "features": ["b"]}).first()
+    assert tuple(zero) == (0.0, 0.0, 3)
+    with pytest.raises(ValueError):
+        models.detector("none")
