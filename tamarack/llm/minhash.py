@@ -19,7 +19,8 @@ Scale: equal sets collapse to one representative before banding. Within a band k
 members are compared to one leader (the one that shares most keys), which joins a large
 group of near copies in one pass. Members that met the same leader and are still in
 different components are then compared to each other in blocks of about 384 documents:
-a task reads two blocks and returns links only, so pairs are never rows.
+a task reads two blocks and returns one link for each pair of components that it finds
+linked, so neither pairs nor the links between two large components are rows.
 """
 
 from __future__ import annotations
@@ -188,7 +189,7 @@ def _confirmed(pairs: DataFrame, signed: DataFrame, sets: DataFrame) -> DataFram
 
 
 def _block_links(table: pa.Table) -> pa.Table:
-    """Links between the two blocks of one task, among documents of different components."""
+    """Links between the two blocks of one task: one for each pair of components that are linked there."""
     ids, comp, block = (table[c].to_numpy() for c in ("rep", "c", "block"))
     sets = [np.asarray(m.values if hasattr(m, "values") else m, np.int64).view(np.uint64) for m in table["members"].combine_chunks()]
     n = np.array([len(s) for s in sets])
@@ -215,7 +216,8 @@ def _block_links(table: pa.Table) -> pa.Table:
             for s, e in zip(begin[end - begin > 1], end[end - begin > 1], strict=True):
                 common[owner[s:e, None], owner[s:e]] += 1
             i, j = np.nonzero(wanted & (common.astype(np.int64) * DENOMINATOR >= (n[:, None] + n - common) * NUMERATOR))
-            src, dst = ids[i], ids[j]
+            _, one = np.unique(np.sort(np.stack([comp[i], comp[j]], 1), 1), axis=0, return_index=True)
+            src, dst = ids[i[one]], ids[j[one]]
     return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
 
 

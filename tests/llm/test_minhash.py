@@ -130,3 +130,33 @@ def test_short_texts_with_common_members(spark):
         base = line + [f"t{rng.randrange(10**6)}" for _ in range(n)]
         texts += [" ".join(base), " ".join(base[:-1]), " ".join([*base, "tail"]), " ".join([*base, *(f"e{n}y{i}" for i in range(n // 4))])]
     check(rows(minhash.near_duplicates(table(spark, texts))), brute(list(enumerate(texts))))
+
+
+def test_every_link_of_small_sets(spark):
+    """All sizes of 2 to 12 members against each other, at, over and just under the threshold."""
+    texts = []
+    for n in range(2, 13):
+        for m in range(n, 13):
+            for both in {n, n - 1, -(-3 * (n + m) // 7), (3 * (n + m) - 1) // 7} - {0}:
+                if both <= n:
+                    stem = [f"p{n}x{m}y{both}z{i}" for i in range(both + 4)]
+                    texts += [" ".join([*stem, *(f"{side}{len(texts)}v{i}" for i in range(size - both))]) for side, size in (("l", n), ("r", m))]
+    check(rows(minhash.near_duplicates(table(spark, texts))), brute(list(enumerate(texts))))
+
+
+def test_patterned_long_words_differ():
+    """Words that collide under any polynomial hash modulo a power of two."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    b = a.translate({97: 98, 98: 97})
+    one, two = shingle_sets([f"w x {a} y z", f"w x {b} y z"])
+    assert one != two
+
+
+def test_one_link_for_a_pair_of_components():
+    import pyarrow as pa
+
+    stem = [f"w{i}" for i in range(60)]
+    sets = shingle_sets([" ".join([*stem, f"e{i}"]) for i in range(40)])
+    n = len(sets)
+    got = minhash._block_links(pa.table({"leader": [0] * n, "lo": [0] * n, "hi": [0] * n, "block": [0] * n, "rep": list(range(n)), "c": [i % 2 for i in range(n)], "members": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))}))
+    assert got.num_rows == 1
