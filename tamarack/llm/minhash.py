@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, release
+from .common import materialize, release, settings
 from .graph import connected_components
 from .shingles import mix64, shingle_sets
 
@@ -221,15 +221,21 @@ def _block_links(table: pa.Table) -> pa.Table:
     return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, batch_rows: int = 2000) -> DataFrame:
     """Near-duplicate class of every document: ``doc_id, n_shingles, component_id, kept``.
 
     Two documents are linked when ``100 * |A & B| >= 75 * |A | B|`` on their full shingle
     sets; ``component_id`` is the smallest ``doc_id`` reachable over links and ``kept``
     marks the document that has it. Null, empty and blank texts have an empty set and are
     linked with nothing. Other columns of ``docs`` are ignored, whatever their names; an
-    empty table gives an empty result. ``doc_id`` must be unique and not null.
+    empty table gives an empty result. ``doc_id`` must be unique and not null. Whole texts
+    are read, ``batch_rows`` at a time, which bounds what a worker holds.
     """
+    with settings(docs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(batch_rows)}):
+        return _near_duplicates(docs)
+
+
+def _near_duplicates(docs: DataFrame) -> DataFrame:
     signed = materialize(sketches(docs), "sketches")
     classes = materialize(signed.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
     reps = signed.where("n_shingles > 0").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")

@@ -2,15 +2,20 @@
 
 A text is lower-cased on A-Z only and cut into words ``[^\\x20\\x09-\\x0D]+``. Its set holds
 the distinct runs of five words; with one to four words, the whole sequence is the only
-member; without words the set is empty. Members are 64-bit hashes of their bytes (words
-joined by one space), so two texts share a member when they share its words.
+member; without words the set is empty. Members are 64-bit hashes: a word's bytes give a
+word hash (a polynomial one up to ``LONG`` bytes, where its known collisions of long
+patterned strings cannot arise, else BLAKE2), and a member mixes the hashes of its words,
+weighed by place and count.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 
 WORDS = 5
+LONG = 64
 _WS = np.zeros(256, bool)
 _WS[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -28,6 +33,7 @@ def mix64(x: np.ndarray, salt: int = 0) -> np.ndarray:
 
 
 _BYTE = mix64(np.arange(256, dtype=np.uint64), 7)
+_PLACE = mix64(np.arange(64, dtype=np.uint64), 8) | np.uint64(1)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -44,7 +50,7 @@ class _Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > self.n:
-            self.n = max(n, 1 << 20)
+            self.n = max(n, 1 << 19)
             self.up, self.down = _powers(_BASE, self.n), _powers(_BASE_INV, self.n)
         return self.up[:n], self.down[:n]
 
@@ -57,9 +63,9 @@ def shingle_sets(texts: list[str | None], k: int = WORDS) -> list[np.ndarray]:
     raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
     out: list[np.ndarray] = []
     at = 0
-    while at < len(raw):  # about 2 MB of bytes at a time, or one longer text
+    while at < len(raw):  # about 500 kB at a time, or one longer text
         end, size = at, 0
-        while end < len(raw) and (end == at or size + len(raw[end]) < 2_000_000):
+        while end < len(raw) and (end == at or size + len(raw[end]) < 500_000):
             size += len(raw[end]) + 1
             end += 1
         out += _sets(raw[at:end], k)
@@ -84,6 +90,14 @@ def _sets(raw: list[bytes], k: int) -> list[np.ndarray]:
     total = np.zeros(len(text) + 1, np.uint64)
     np.cumsum(_BYTE[text] * up, out=total[1:])
     first, last = place[starts], place[ends]  # a word is text[first:last]
+    size = last - first
+    word_hash = mix64((total[last] - total[first]) * down[first], 1) ^ size.astype(np.uint64)
+    for w in np.flatnonzero(size > LONG).tolist():
+        word_hash[w] = int.from_bytes(blake2b(text[first[w] : last[w]].tobytes(), digest_size=8).digest(), "little")
+    runs = np.zeros(max(0, len(starts) - k + 1), np.uint64)
+    for j in range(k):
+        runs += word_hash[j : j + len(runs)] * _PLACE[j]
+    runs = mix64(runs, k)
     bound = np.searchsorted(starts, doc_start)
     out = []
     for i in range(len(raw)):
@@ -91,6 +105,6 @@ def _sets(raw: list[bytes], k: int) -> list[np.ndarray]:
         if a == b:
             out.append(np.empty(0, np.uint64))
             continue
-        s, e = (first[a : b - k + 1], last[a + k - 1 : b]) if b - a >= k else (first[a : a + 1], last[b - 1 : b])
-        out.append(np.unique(mix64((total[e] - total[s]) * down[s], 1) ^ (e - s).astype(np.uint64)))
+        members = runs[a : b - k + 1] if b - a >= k else mix64((word_hash[a:b] * _PLACE[: b - a]).sum(keepdims=True), int(b - a))
+        out.append(np.unique(members))
     return out
