@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Callable
 from functools import cache, reduce
 
@@ -154,6 +156,20 @@ def recovery_rate(original: pd.Series, canonical: pd.Series) -> pd.Series:
     return pd.Series([rate(a, b) for a, b in zip(original, canonical, strict=True)], dtype="float64")
 
 
+@F.pandas_udf(DoubleType())
+def bag_cosine(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Cosine of two texts' counts of lower-case ASCII words, a stand-in for a sentence encoder; 0 if either has none, null if either is null."""
+
+    def one(x: str | None, y: str | None) -> float | None:
+        if x is None or y is None:
+            return None
+        p, q = (Counter(_ASCII_WORD.findall(t.lower())) for t in (x, y))
+        size = math.sqrt(sum(n * n for n in p.values())) * math.sqrt(sum(n * n for n in q.values()))
+        return sum(n * q[w] for w, n in p.items()) / size if size else 0.0
+
+    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
 def token_count(s: Column) -> Column:
     return F.regexp_count(F.coalesce(s, F.lit("")), F.lit(r"(?U)\S+"))
 

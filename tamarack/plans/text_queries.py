@@ -227,6 +227,7 @@ def safe_excerpt(spark: SparkSession, d: str) -> DataFrame:
 
 
 _LONG = "CASE WHEN length({}) > 800 THEN 0.5 ELSE 0.0 END"
+_WORDS = lambda s: f"len(list_filter(regexp_split_to_array({s}, '\\s+'), lambda v: v <> ''))"
 _BASE = lambda s: f"1.0 / (1.0 + exp(-(({_HITS(fixed.BASELINE_RULES, s)}) + CAST({_LONG.format(s)} AS DOUBLE) - 1.5)))"
 
 
@@ -235,9 +236,13 @@ _BASE = lambda s: f"1.0 / (1.0 + exp(-(({_HITS(fixed.BASELINE_RULES, s)}) + CAST
 m AS (SELECT doc_id, text, p0, 'off' AS mode, text AS t FROM b UNION ALL SELECT doc_id, text, p0, 'rule_strip', {_strip_sql()} FROM b
 UNION ALL SELECT doc_id, text, p0, 'context_isolation', 'UNTRUSTED_TEXT_BEGIN' || chr(10) || regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') || chr(10) || 'UNTRUSTED_TEXT_END' || chr(10) FROM b
 UNION ALL SELECT doc_id, text, p0, 'llm_rewrite_optional', text FROM b),
-f AS (SELECT mode, text, p0, CASE WHEN p0 >= 0.5 THEN t ELSE text END AS s FROM m),
-a AS (SELECT mode, text, s, p0, {_BASE('s')} AS p1 FROM f)
-SELECT mode, count(*) AS n, round(avg(CASE WHEN p0 >= 0.5 THEN 1.0 ELSE 0.0 END), 6) AS frac_sanitized,
+f AS (SELECT mode, doc_id, text, p0, CASE WHEN p0 >= 0.5 THEN t ELSE text END AS s FROM m),
+x AS (SELECT mode, doc_id, w, count(*) AS c FROM (SELECT mode, doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM f) GROUP BY ALL),
+y AS (SELECT mode, doc_id, w, count(*) AS c FROM (SELECT mode, doc_id, unnest(regexp_extract_all(lower(s), '[a-z0-9]+')) AS w FROM f) GROUP BY ALL),
+dots AS (SELECT mode, doc_id, sum(x.c * y.c) AS d FROM x JOIN y USING (mode, doc_id, w) GROUP BY ALL),
+sizes AS (SELECT mode, doc_id, sqrt(CAST(p AS DOUBLE)) * sqrt(CAST(q AS DOUBLE)) AS z FROM (SELECT mode, doc_id, sum(c * c) AS p FROM x GROUP BY ALL) JOIN (SELECT mode, doc_id, sum(c * c) AS q FROM y GROUP BY ALL) USING (mode, doc_id)),
+a AS (SELECT f.*, {_BASE('s')} AS p1, coalesce(d / z, 0.0) AS sim, {_WORDS('text')} AS k0, {_WORDS('s')} AS k1 FROM f LEFT JOIN dots USING (mode, doc_id) LEFT JOIN sizes USING (mode, doc_id))
+SELECT mode, round(avg(sim), 6) AS similarity, round(avg(k1 / CAST(greatest(1, k0) AS DOUBLE)), 6) AS token_retention, count(*) AS n, round(avg(CASE WHEN p0 >= 0.5 THEN 1.0 ELSE 0.0 END), 6) AS frac_sanitized,
 round(coalesce(avg(p0 - p1) FILTER (WHERE p0 >= 0.5), 0.0), 6) AS delta_sanitized, round(avg(p0 - p1), 6) AS delta_all,
 round(avg(length(s) / CAST(greatest(1, length(text)) AS DOUBLE)), 6) AS length_retention FROM a GROUP BY mode"""
 )
@@ -247,7 +252,10 @@ def sanitize_tradeoff(spark: SparkSession, d: str) -> DataFrame:
     each = F.array(*(F.struct(F.lit(m).alias("mode"), F.when(flagged, sanitize.sanitize(F.col("text"), m)).otherwise(F.col("text")).alias("s")) for m in sanitize.MODES))
     rows = rows.withColumn("e", F.explode(each)).select("text", "p0", "e.mode", "e.s").withColumn("p1", features.regex_heuristic_score(F.col("s")))
     delta = F.col("p0") - F.col("p1")
+    kept = features.token_count(F.col("s")) / F.greatest(F.lit(1), features.token_count(F.col("text")))
+    rows = rows.withColumn("sim", features.bag_cosine(F.col("text"), F.col("s")))
     return rows.groupBy("mode").agg(
+        R6(F.avg("sim")).alias("similarity"), R6(F.avg(kept)).alias("token_retention"),
         F.count(F.lit(1)).alias("n"), R6(F.avg(flagged.cast("double"))).alias("frac_sanitized"), R6(F.coalesce(F.avg(F.when(flagged, delta)), F.lit(0.0))).alias("delta_sanitized"),
         R6(F.avg(delta)).alias("delta_all"), R6(F.avg(F.length("s") / F.greatest(F.lit(1), F.length("text")))).alias("length_retention"),
     )
@@ -321,13 +329,14 @@ def length_bins(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_][\\p{L}\\p{N}_]+')) AS term FROM documents), "
+    "WITH ws AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_][\\p{L}\\p{N}_]+') AS w FROM documents), "
+    "w AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM ws), "
     "n AS (SELECT count(DISTINCT doc_id) AS docs FROM documents), "
     "t AS (SELECT term, count(*) AS total, count(DISTINCT doc_id) AS df FROM w GROUP BY term) "
     "SELECT term, total, df, round(ln((1.0 + docs) / (1.0 + df)) + 1, 6) AS idf FROM t, n ORDER BY total DESC, term LIMIT 5000"
 )
 def tfidf_terms(spark: SparkSession, d: str) -> DataFrame:
-    """The vocabulary of the word features: the 5000 commonest terms with smoothed idf."""
+    """The vocabulary of the word features: the 5000 commonest words and word pairs with smoothed idf."""
     from ..operators.models import vocabulary
 
     return vocabulary(table(spark, d, "documents"), most=5000)

@@ -67,6 +67,7 @@ def test_collapse(spark, odd_dir):
 
 def test_terms(spark, odd_dir):
     words = [re.findall(r"\w\w+", (t or "").lower()) for t in TEXTS]
+    words = [ws + [f"{a} {b}" for a, b in zip(ws, ws[1:])] for ws in words]
     total, df = Counter(w for ws in words for w in ws), Counter(w for ws in words for w in set(ws))
     got = run(spark, odd_dir, "tfidf_terms", "term")
     assert {w: (r.total, r.df, r.idf) for w, r in got.items()} == {w: (total[w], df[w], round(math.log((1 + len(TEXTS)) / (1 + df[w])) + 1, 6)) for w in total}
