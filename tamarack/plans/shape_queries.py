@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import coerce
-from ..operators import reports
+from ..operators import curves, reports
 from .base import _MODELS_SQL, _TRANSFORMS_SQL, MODELS, PREDS, TRANSFORMS, preds, query, table
 
 _PURPOSE = "CASE CAST(doc_id % 4 AS INTEGER) WHEN 0 THEN 'Main training set' WHEN 1 THEN 'Jailbreak probes' WHEN 2 THEN 'NotInject benign' ELSE 'held out' END"
@@ -48,10 +48,14 @@ def pivot_condition(spark: SparkSession, d: str) -> DataFrame:
     return out.select("model", *(F.round(c, 6).alias(c) for c in ("en", "fr", "de")))
 
 
-@query(f"WITH {PREDS} SELECT lang, round(avg(CASE WHEN y = 1 THEN CAST(p >= 0.5 AS INTEGER) END), 6) AS recall, CAST(sum(y) AS BIGINT) AS n_pos FROM preds GROUP BY lang")
+@query(
+    f"WITH {PREDS}, t AS (SELECT model, lang, p, sum(y) AS pos, sum(1 - y) AS neg FROM preds GROUP BY 1, 2, 3), c AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER g AS n_pos, sum(neg) OVER g AS n_neg FROM t WINDOW w AS (PARTITION BY model, lang ORDER BY p DESC), g AS (PARTITION BY model, lang)) "
+    "SELECT model, lang, round(CASE WHEN max(n_pos) > 0 AND max(n_neg) > 0 THEN coalesce(max(CASE WHEN fp / CAST(n_neg AS DOUBLE) <= 0.01 THEN tp / CAST(n_pos AS DOUBLE) END), 0.0) END, 6) AS recall, CAST(max(n_pos) AS BIGINT) AS n_pos FROM c GROUP BY 1, 2"
+)
 def recall_by_language(spark: SparkSession, d: str) -> DataFrame:
-    hit = F.when(F.col("y") == 1, (F.col("p") >= 0.5).cast("int"))
-    return preds(spark, d).groupBy("lang").agg(F.round(F.avg(hit), 6).alias("recall"), F.sum("y").alias("n_pos"))
+    """Recall at one false alarm in a hundred, within each language."""
+    t = curves.score_table(preds(spark, d), ["model", "lang"]).groupBy("model", "lang")
+    return t.agg(F.round(curves.recall_at_fpr_roc(), 6).alias("recall"), F.max("n_pos").alias("n_pos"))
 
 
 @query("SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean_value, CAST(max(epoch_us(ts)) - min(epoch_us(ts)) AS BIGINT) AS span_us FROM events GROUP BY event_type")
