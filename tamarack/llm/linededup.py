@@ -1,26 +1,31 @@
 """Line dedup over levelled sorted runs of line hashes. DataFrame operations only.
 
 The index is a set of runs. A run holds the 128-bit hash of lines and the smallest
-document that has each, sorted by hash; no hash is in two runs. Batches come in ascending
-order of ``doc_id``. A batch reduces its lines to one row per hash (a partial aggregate,
-so a line that fills a third of the corpus stays one row per task), merge-joins the runs
-once, and hashes that no run has become a new run of level 0. When a level has ``fanout``
-runs they are compacted into one run of the next level, so after n batches there are
-O(fanout * log n) runs.
+document that has each; no hash is in two runs. It is a table of sorted buckets, as many as
+the session has shuffle partitions, so a join reads it in order without moving or sorting
+it. Batches come in ascending order of ``doc_id``; there are more of them as lines grow, by
+the logarithm. A batch reduces its lines to one row per hash (a partial aggregate, so a
+line that fills a third of the corpus stays one row per task), which are shuffled and
+sorted once and merge-joined to each run in turn; hashes that no run has become a new run
+of level 0. When a level has ``fanout`` runs they are compacted, bucket by bucket, into one
+run of the next level, so after n batches there are O(fanout * log n) runs.
 """
 
 from __future__ import annotations
 
+import math
 import string
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path, release
+from .common import materialize, new_path, release, settings
 
 MIN_CHARS = 10
 BLANKS = " \t\n\x0b\x0c\r"
+_IN_ORDER = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 
 def split_lines(text: Column) -> Column:
@@ -38,39 +43,69 @@ def line_key(line: Column) -> Column:
 
 
 class LineRuns:
-    """The levelled index; its tables are in the session's shared checkpoint folder."""
+    """The levelled index. Its tables lie in the session's shared checkpoint folder and have
+    a catalogue entry (which is where Spark keeps buckets) until ``close``."""
 
-    def __init__(self, spark: SparkSession, fanout: int = 3) -> None:
+    def __init__(self, spark: SparkSession, fanout: int = 2) -> None:
         self.spark = spark
         self.fanout = fanout
-        self.levels: list[list[DataFrame]] = [[]]
-
-    def _run(self, rows: DataFrame, name: str) -> DataFrame:
-        path = new_path(self.spark, name)
-        rows.repartition("h1", "h2").sortWithinPartitions("h1", "h2").write.parquet(path)
-        return self.spark.read.schema(rows.schema).parquet(path)
-
-    def runs(self) -> list[DataFrame]:
+        initial = spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
+        self.buckets = int(initial or spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: list[list[str]] = [[]]
+        self.paths: dict[str, str] = {}
+
+    def _write(self, rows: DataFrame, *split: str) -> str:
+        name = f"tamarack_run_{uuid.uuid4().hex}"
+        self.paths[name] = new_path(self.spark, name)
+        writer = rows.write.format("parquet").option("path", self.paths[name]).bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
+        (writer.partitionBy(*split) if split else writer).saveAsTable(name)
+        return name
+
+    def _drop(self, name: str) -> None:
+        table = self.spark.table(name)
+        release(table)
+        self.spark.sql(f"DROP TABLE {name}")
+        del self.paths[name]
+
+    def _fresh(self, name: str) -> DataFrame:
+        """The rows of a run: what its batch had anew."""
+        return self.spark.table(name).where("fresh").select("h1", "h2", "owner")
+
+    def runs(self) -> list[str]:
         return [r for level in self.levels for r in level]
 
     def ingest(self, keyed: DataFrame) -> DataFrame:
         """Add a batch of ``h1, h2, doc_id, pos`` rows; returns its dropped ``doc_id, pos``.
 
-        Every document of the batch must come after all earlier ones by ``doc_id``.
+        Every document of the batch must come after all earlier ones by ``doc_id``. Levels
+        that are full are compacted first.
         """
-        keys = keyed.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-        if self.runs():
-            known = reduce(DataFrame.unionByName, self.runs())
-            keys = keys.join(known.hint("merge"), ["h1", "h2"], "left")
-        else:
-            keys = keys.withColumn("owner", F.lit(None).cast("long"))
-        marked = materialize(keys, "keys")
-        self.levels[0].append(self._run(marked.where("owner is null").select("h1", "h2", F.col("first").alias("owner")), "run0"))
         self._compact()
-        repeated = marked.where("owner is not null or first < last").select("h1", "h2", F.coalesce("owner", "first").alias("owner"))
-        dropped = keyed.join(repeated, ["h1", "h2"]).where("doc_id <> owner").select("doc_id", "pos")
-        out = materialize(dropped, "dropped")
-        release(marked)
+        # one file in a bucket is read in its order
+        with settings(self.spark, {_IN_ORDER: "true", "spark.sql.autoBroadcastJoinThreshold": "-1"}):
+            keys = keyed.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+            owner = F.lit(None).cast("long")
+            for i, run in enumerate(self.runs()):
+                known = self._fresh(run).withColumnRenamed("owner", f"_owner{i}")
+                keys = keys.join(known.hint("merge"), ["h1", "h2"], "left")
+                owner = F.coalesce(owner, F.col(f"_owner{i}"))
+            keys = keys.select("h1", "h2", "first", "last", owner.alias("known"))
+            run = self._write(keys.select("h1", "h2", F.coalesce("known", "first").alias("owner"), (F.col("first") < F.col("last")).alias("many"), F.col("known").isNull().alias("fresh")), "fresh")
+        self.levels[0].append(run)
+        # read as plain files: lines of a hot key must be split over tasks, not follow the buckets
+        plain = self.spark.read.schema(self.spark.table(run).schema).parquet(self.paths[run])
+        repeated = plain.where("not fresh or many").select("h1", "h2", "owner")
+        out = materialize(keyed.join(repeated, ["h1", "h2"]).where("doc_id <> owner").select("doc_id", "pos"), "dropped")
+        return out
+
+    def _merge(self, one: str, two: str) -> str:
+        """One run of two, bucket by bucket; both are dropped."""
+        with settings(self.spark, {_IN_ORDER: "true"}):
+            left, right = self._fresh(one).withColumnRenamed("owner", "_one"), self._fresh(two).withColumnRenamed("owner", "_two")
+            rows = left.join(right.hint("merge"), ["h1", "h2"], "full")
+            out = self._write(rows.select("h1", "h2", F.coalesce("_one", "_two").alias("owner"), F.lit(True).alias("fresh")), "fresh")
+        for run in (one, two):
+            self._drop(run)
         return out
 
     def _compact(self) -> None:
@@ -78,14 +113,21 @@ class LineRuns:
             if len(self.levels[at]) >= self.fanout:
                 if at + 1 == len(self.levels):
                     self.levels.append([])
-                old = self.levels[at]
-                self.levels[at + 1].append(self._run(reduce(DataFrame.unionByName, old), f"run{at + 1}"))
+                self.levels[at + 1].append(reduce(self._merge, self.levels[at]))
                 self.levels[at] = []
-                for run in old:
-                    release(run)
+
+    def close(self) -> None:
+        for run in self.runs():
+            self._drop(run)
+        self.levels = [[]]
+
+
+def batches_for(documents: int) -> int:
+    """Four batches up to a million documents, and one more for each doubling."""
+    return 4 + max(0, math.ceil(math.log2(max(1, documents) / 1e6)))
 
 
-def dedup_lines(docs: DataFrame, batches: int = 4, fanout: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+def dedup_lines(docs: DataFrame, batches: int | None = None, fanout: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:
     """Drop repeated lines: ``doc_id, n_lines, n_dropped, kept_text`` per document.
 
     A line whose key has at least 10 code points and occurs in at least two documents is
@@ -98,8 +140,10 @@ def dedup_lines(docs: DataFrame, batches: int = 4, fanout: int = 3, carry: tuple
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text")
     wide = docs.select("doc_id", "text", *carry)
-    cuts = texts.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10_000).alias("c")).first()["c"] or []
-    batch = reduce(lambda a, c: a + F.when(F.col("doc_id") > c, 1).otherwise(0), sorted(set(cuts)), F.lit(0))
+    batches = batches or batches_for(docs.count())
+    cuts = texts.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10_000).alias("c")).first()["c"] if batches > 1 else []
+    cuts = sorted(set(cuts or []))
+    batch = reduce(lambda a, c: a + F.when(F.col("doc_id") > c, 1).otherwise(0), cuts, F.lit(0))
     key = F.col("key")
     keyed = (
         texts.select("doc_id", F.posexplode(split_lines(F.col("text"))).alias("pos", "line"))
@@ -112,7 +156,10 @@ def dedup_lines(docs: DataFrame, batches: int = 4, fanout: int = 3, carry: tuple
     keyed.write.partitionBy("batch").parquet(path)
     stored = spark.read.schema(keyed.schema).parquet(path)
     index = LineRuns(spark, fanout)
-    dropped = [index.ingest(stored.where(F.col("batch") == i).drop("batch")) for i in range(len(set(cuts)) + 1)]
+    try:
+        dropped = [index.ingest(stored.where(F.col("batch") == i).drop("batch")) for i in range(len(cuts) + 1)]
+    finally:
+        index.close()
     gone = reduce(DataFrame.unionByName, dropped).groupBy("doc_id").agg(F.collect_list("pos").alias("gone"))
     none = F.array().cast("array<int>")
     joined = wide.join(gone.withColumnRenamed("gone", "_gone"), "doc_id", "left").select(
