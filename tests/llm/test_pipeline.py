@@ -35,7 +35,8 @@ def test_stages_against_brute_force(spark, sf_dir):
     before, after = got["mixing"]
     from tamarack.llm.queries import MIX_WEIGHTS
 
-    assert set(after.doc_id) == {i for i, _ in mix_brute(list(zip(before.doc_id, before.text, before.lang, before.source)), MIX_WEIGHTS, 0.8, 1)}
+    tokens = {t or "": len(ids) - 1 for t, ids in zip(before.text, direct(before.text))}
+    assert set(after.doc_id) == {i for i, _ in mix_brute(list(zip(before.doc_id, before.text, before.lang, before.source)), MIX_WEIGHTS, 0.8, 1, tokens.get)}
     before, after = got["packing"]
     pack_check(after, list(zip(before.doc_id, direct(before.text))))
 
