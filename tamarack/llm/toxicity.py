@@ -31,6 +31,8 @@ from .transducer import Transducer, compose
 
 MAX_LABELLED = 3000  # rows of each label that are read to fit, at most
 STEM_CHARS = range(3, 11)
+CLEAN_COST = 10.0  # toxic rows that a stem must bring for each clean one, both as rates
+LEAST_GAIN = 0.005  # share of the toxic rows with any stem that one more must cover anew
 LEAST_RATIO = 20.0  # how much oftener than clean rows toxic ones must have a stem
 
 WORDS = {
@@ -258,9 +260,13 @@ def log_ratio(t: F.Column, c: F.Column, n_t: int, n_c: int) -> F.Column:
     return part(t, F.lit(n_t)) + part(c, F.lit(n_c))
 
 
-def cover(rows: list[set[str]], strength: dict[str, float]) -> list[str]:
-    """Stems that cover the toxic rows twice, greedily; of stems in the same rows the longest."""
-    inside = {s: np.zeros(len(rows), bool) for s in strength}
+def cover(rows: list[set[str]], worth: dict[str, float]) -> list[str]:
+    """Stems that cover the toxic rows twice, greedily by new rows times ``worth``.
+
+    Of stems in the same rows the longest counts; beginnings and longer forms of a chosen
+    stem are no longer looked at.
+    """
+    inside = {s: np.zeros(len(rows), bool) for s in worth}
     for i, own in enumerate(rows):
         for s in own:
             inside[s][i] = True
@@ -270,19 +276,19 @@ def cover(rows: list[set[str]], strength: dict[str, float]) -> list[str]:
             best[has.tobytes()] = s
     names = sorted(best.values())
     table = np.array([inside[s] for s in names]).reshape(len(names), len(rows))
-    weight, size = np.array([strength[s] for s in names]), table.sum(1)
+    weight, size = np.array([worth[s] for s in names]), table.sum(1)
     count = np.zeros(len(rows), int)
     out: list[str] = []
     while len(names):
         gain = (table & (count < 2)).sum(1)
-        gain = np.where(gain >= np.maximum(2, 0.02 * size), gain * weight, 0)
+        gain = np.where(gain >= np.maximum(max(2, LEAST_GAIN * len(rows)), 0.02 * size), gain * weight, 0)
         top = int(gain.argmax())
         if not gain[top]:
             break
         out.append(names[top])
         count += table[top]
-        table[top] = False
-    return sorted(s for s in out if not any(o != s and s.startswith(o) for o in out))
+        table[[s.startswith(names[top]) or names[top].startswith(s) for s in names]] = False
+    return sorted(out)
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, spread: float = 2.0, steps: int = 30) -> np.ndarray:
@@ -330,7 +336,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Grammar
     t, c = F.col("t"), F.col("c")
     rate_t, rate_c = t / n_t, (c + F.lit(0.3)) / (n_c + 1)
     passed = counts.where((rate_t >= LEAST_RATIO * rate_c) & (log_ratio(t, c, n_t, n_c) >= float(np.log(max(2, counts.count())))))
-    strength = {r["stem"]: r["strength"] for r in passed.select("stem", ((rate_t - rate_c) / (rate_t + rate_c)).alias("strength")).collect()}
+    found = passed.select("stem", ((rate_t - rate_c) / (rate_t + rate_c)).alias("strength"), (1 - CLEAN_COST * rate_c / rate_t).alias("worth")).collect()
+    strength, worth = ({r["stem"]: r[c] for r in found} for c in ("strength", "worth"))
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -338,7 +345,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Grammar
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string()))], ["stems"])
 
     hits = rows.where("toxic = 1").select("text").mapInArrow(present, "stems array<string>").where("size(stems) > 0")
-    grammar = Grammar({s: strength[s] for s in cover([set(r["stems"]) for r in hits.collect()], strength)})
+    grammar = Grammar({s: strength[s] for s in cover([set(r["stems"]) for r in hits.collect()], worth)})
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
