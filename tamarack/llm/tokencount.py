@@ -6,14 +6,17 @@ there. Ties are the tokenizer's: among equal scores the piece that begins first
 character that no piece covers scores ten under the worst piece and counts as one token
 per UTF-8 byte (byte fallback).
 
-Scores of the vocabulary file are whole numbers, so sums are exact in any order, and a
-text may be cut wherever no piece reaches across: before a word mark that follows another
-character, and around characters that are in no longer piece. Counts of the parts are
-looked up once known.
+A unigram file's own scores are taken. A BPE file has merge ranks instead, which are no log
+probabilities; they are read as ranks of frequency, and Zipf and Mandelbrot's law gives the
+scores, ``-ln(rank + 100)`` in thousandths. These are whole numbers, so sums are exact in any
+order, and a text may be cut wherever no piece reaches across: before a word mark that
+follows another character, and around characters that are in no longer piece. Counts of the
+parts are looked up once known.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import cache
@@ -32,7 +35,14 @@ def load_pieces(path: str) -> list[tuple[str, float]]:
 
     sp = SentencePieceProcessor(model_file=path)
     plain = (i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)))
-    return [(sp.id_to_piece(i), float(sp.get_score(i))) for i in plain]
+    pieces = [(sp.id_to_piece(i), float(sp.get_score(i))) for i in plain]
+    return zipf(pieces) if all(s.is_integer() for _, s in pieces) else pieces  # only ranks are whole numbers
+
+
+def zipf(pieces: list[tuple[str, float]], shift: int = 100) -> list[tuple[str, float]]:
+    """Pieces, from the highest score down, with the log frequency that their place stands for, in whole thousandths."""
+    order = sorted(pieces, key=lambda p: (-p[1], p[0]))
+    return [(piece, -float(round(1000 * math.log(rank + shift)))) for rank, (piece, _) in enumerate(order)]
 
 
 class ViterbiCounter:
@@ -47,16 +57,25 @@ class ViterbiCounter:
         self.unknown = min((s for _, s in pieces), default=0.0) - UNKNOWN_PENALTY
         whole = all(float(s).is_integer() for _, s in pieces)
         marks = all(MARK not in p.lstrip(MARK) for p, _ in pieces)
+        self.singles = {p for p, _ in pieces if len(p) == 1}
         self.units = re.compile("(?s).+")
         if whole and marks:
             joint = {c for p, _ in pieces if len(p) > 1 for c in p}
-            alone = "".join(re.escape(c) for c in "\n\r\t\x0b\x0c| " if c not in joint)
+            alone = "".join(re.escape(c) for c in "\n\r\t\x0b\x0c| " if c not in joint)
             self.units = re.compile(f"(?s)[{alone}]|{MARK}*[^{MARK}{alone}]+|{MARK}+" if alone else f"(?s){MARK}*[^{MARK}]+|{MARK}+")
         self.known: dict[str, int] = {}
 
     def unit(self, text: str) -> int:
         """Pieces on the best path through one unit."""
         n = len(text)
+        if self.singles.issuperset(text):  # some piece ends at every character
+            top, pieces = [0.0] + [float("-inf")] * n, [0] * (n + 1)
+            for end, (size, score) in self.automaton.iter(text):  # by end, the earliest beginning first
+                begin = end + 1 - size
+                total = top[begin] + score
+                if total > top[end + 1]:
+                    top[end + 1], pieces[end + 1] = total, pieces[begin] + 1
+            return pieces[n]
         ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
         for end, match in self.automaton.iter(text):
             ends[end].append(match)
@@ -99,8 +118,9 @@ def counter_of(vocabulary: str) -> ViterbiCounter:
 def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     """``doc_id, n_tokens`` of every whole text under the vocabulary file at ``vocabulary``.
 
-    Null and empty texts have no tokens; extra columns are ignored; an empty table gives
-    an empty result.
+    Null and empty texts have no tokens; a text of any length is counted whole, in time
+    proportional to it; equal texts have equal counts, each row its own. Extra columns are
+    ignored, whatever their names; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,10 +1,12 @@
+import math
 import random
 
 import pytest
+from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer, models
 
 from tamarack.llm import tokencount
-from tamarack.llm.queries import tokenizer_file
+from tamarack.llm.queries import op5_token_counts, tokenizer_file
 
 from .helpers import documents, rows, table
 
@@ -23,15 +25,31 @@ def both():
     return tokencount.ViterbiCounter(pieces), pieces
 
 
+def library_counts(pieces, texts):
+    lib = reference(pieces)
+    return [len(lib.encode(tokencount.MARK + t.replace(" ", tokencount.MARK)).ids) if t else 0 for t in texts]
+
+
 def test_against_library(both, sf_dir):
     counter, pieces = both
-    lib = Tokenizer(models.Unigram([("<unk>", 0.0), *pieces], unk_id=0, byte_fallback=False))
     rng = random.Random(3)
-    known = sorted({c for p, _ in pieces if len(p) == 1 for c in p if c.isalpha() and c.isascii()})
-    texts = documents(sf_dir).text.tolist()[:60] + ["".join(rng.choice(known + [" ", " "]) for _ in range(80)) for _ in range(50)]
-    for t in texts:
-        if all(c in known or c in " ,." for c in t):
-            assert counter.count(t) == len(lib.encode(tokencount.MARK + t.replace(" ", tokencount.MARK)).ids)
+    known = sorted({c for p, _ in pieces if len(p) == 1 for c in p})
+    texts = ["".join(rng.choice(known + [" ", " ", "😀", "𐍈", "\n"]) for _ in range(rng.randrange(1, 120))) for _ in range(300)]
+    assert [counter.count(t) for t in texts] == library_counts(pieces, texts)
+
+
+def test_whole_table(spark, both, sf_dir):
+    d = documents(sf_dir)
+    got = rows(op5_token_counts(spark, sf_dir))
+    assert dict(zip(got.doc_id, got.n_tokens)) == dict(zip(d.doc_id, library_counts(both[1], d.text)))
+
+
+def test_ranks_become_log_frequencies(both):
+    pieces = dict(both[1])
+    assert len(pieces) > 30_000 and max(pieces.values()) == -round(1000 * math.log(100))
+    counter, texts = both[0], ["The cat sat on the mat and looked at the old house by the river."] * 3
+    own = SentencePieceProcessor(model_file=PATH).encode(texts, num_threads=1)
+    assert [counter.count(t) for t in texts] == [len(x) for x in own]
 
 
 def path_count(pieces, text):
