@@ -13,7 +13,6 @@ and Spark cuts and joins the strings.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -62,26 +61,25 @@ def encode(texts: list[str]) -> Runs:
     return Runs(start, before, text_start)
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sizes = [len(t.as_py() or "") for t in batch["text"]]
-        at = 0
-        while at < batch.num_rows or not batch.num_rows:
-            end, size = at, 0
-            while end < batch.num_rows and (end == at or size + sizes[end] < CHUNK):  # about CHUNK code points, or one longer text
-                size += sizes[end]
-                end += 1
-            part = batch.slice(at, end - at)
-            runs = encode([t or "" for t in part["text"].to_pylist()])
-            before = runs.units_before()
-            n = np.diff(before)
-            a, b = (part[h].to_numpy(zero_copy_only=False).astype(np.int64) % (n + 1) for h in ("h1", "h2"))
-            low, high = (runs.offsets(before[:-1] + f(a, b)) - runs.text_start[:-1] for f in (np.minimum, np.maximum))
-            names = [c for c in batch.schema.names if c not in ("h1", "h2")]
-            yield pa.RecordBatch.from_arrays([*(part[c] for c in names), pa.array(n), pa.array(low), pa.array(high)], [*names, "n", "low", "high"])
-            at = end
-            if not batch.num_rows:
-                break
+@F.arrow_udf("struct<n:long,low:long,high:long>")
+def places(text: pa.Array, h1: pa.Array, h2: pa.Array) -> pa.StructArray:
+    """Units of a text, and the code points before its two cuts, drawn from ``h1`` and ``h2``."""
+    texts = [t or "" for t in text.to_pylist()]
+    draws = [h.to_numpy(zero_copy_only=False).astype(np.int64) for h in (h1, h2)]
+    out = np.zeros((3, len(texts)), np.int64)
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) < CHUNK):  # about CHUNK code points, or one longer text
+            size += len(texts[end])
+            end += 1
+        runs = encode(texts[at:end])
+        before = runs.units_before()
+        n = np.diff(before)
+        a, b = (d[at:end] % (n + 1) for d in draws)
+        out[:, at:end] = n, *(runs.offsets(before[:-1] + f(a, b)) - runs.text_start[:-1] for f in (np.minimum, np.maximum))
+        at = end
+    return pa.StructArray.from_arrays([pa.array(x) for x in out], ["n", "low", "high"])
 
 
 def draws(key: Column, seed: str = "1:") -> list[Column]:
@@ -101,11 +99,11 @@ def transform(docs: DataFrame, plain_from: int = PLAIN_FROM, spm_below: int = SP
     empty table gives an empty result.
     """
     h = draws(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), seed)
-    drawn = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *(h[i].alias(f"h{i + 1}") for i in range(2)), (h[2] % 100).alias("c"), (h[3] % 100).alias("s"))
-    placed = drawn.mapInArrow(_places, "doc_id long, text string, c long, s long, n long, low long, high long")
+    text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (h[2] % 100).alias("c"), (h[3] % 100).alias("s"), h[0].alias("h1"), h[1].alias("h2"))
+    placed = text.withColumn("at", places("text", "h1", "h2")).select("doc_id", "text", "c", "s", "at.n", F.col("at.low").cast("int").alias("low"), F.col("at.high").cast("int").alias("high"))
     marked = (F.col("text") == "") | F.contains("text", F.lit(PREFIX)) | F.contains("text", F.lit(SUFFIX)) | F.contains("text", F.lit(MIDDLE))
     form = F.when(marked | (F.col("c") >= plain_from), "plain").when(F.col("s") < spm_below, "spm").otherwise("psm")
-    low, high = F.col("low").cast("int"), F.col("high").cast("int")
+    low, high = F.col("low"), F.col("high")
     pieces = placed.select(
         "doc_id", "n", form.alias("form"), "low", "high", "text",
         F.substring("text", F.lit(1), low).alias("p"), F.substring("text", low + 1, high - low).alias("m"), F.substring("text", high + 1, F.char_length("text")).alias("s"),
@@ -114,7 +112,7 @@ def transform(docs: DataFrame, plain_from: int = PLAIN_FROM, spm_below: int = SP
     spm = F.concat(F.lit(SUFFIX), "s", F.lit(PREFIX), "p", F.lit(MIDDLE), "m")
     cut = F.col("form") != "plain"
     return pieces.select(
-        "doc_id", "n", "form", F.when(cut, F.col("low")).alias("prefix_chars"), F.when(cut, F.col("high") - F.col("low")).alias("middle_chars"),
+        "doc_id", "n", "form", F.when(cut, low.cast("long")).alias("prefix_chars"), F.when(cut, (high - low).cast("long")).alias("middle_chars"),
         F.when(~cut, F.col("text")).when(F.col("form") == "psm", psm).otherwise(spm).alias("output"),
     )
 
