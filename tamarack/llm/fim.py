@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"  # fixed values of the format
 PLAIN_FROM, SPM_BELOW = 90, 20  # per cent
@@ -61,8 +62,8 @@ def encode(texts: list[str]) -> Runs:
     return Runs(start, before, text_start)
 
 
-@F.arrow_udf("struct<n:long,low:long,high:long>")
-def places(text: pa.Array, h1: pa.Array, h2: pa.Array) -> pa.StructArray:
+@F.arrow_udf(StructType([StructField(c, LongType()) for c in ("n", "low", "high")]))
+def places(text: pa.Array, h1: pa.Array, h2: pa.Array) -> pa.Array:
     """Units of a text, and the code points before its two cuts, drawn from ``h1`` and ``h2``."""
     texts = [t or "" for t in text.to_pylist()]
     draws = [h.to_numpy(zero_copy_only=False).astype(np.int64) for h in (h1, h2)]
