@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fim, linededup, matroska, maxscore, minhash, mixing, packing, pii, tokencount, toxicity, warc
+from . import fim, linededup, matroska, maxscore, minhash, mixing, ngramjoin, packing, pii, tokencount, toxicity, warc
 from .common import read_table
 
 
@@ -146,9 +146,13 @@ FROM p
 """
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.similar_documents(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_toxicity, op3_warc, op4_maxscore, op5_token_counts,
     op6_minhash, op7_mixing, op8_matroska, op9_pii, op10_packing,
-    op12_fim,
+    op12_fim, op13_ngram_join,
 )}
 ORACLE_SQL = {"op1_line_dedup": OP1_SQL, "op3_warc": OP3_SQL, "op4_maxscore": OP4_SQL, "op12_fim": OP12_SQL}
