@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fim, linededup, matroska, maxscore, minhash, mixing, ngramjoin, packing, pii, tokencount, toxicity, warc
+from . import erasure, fim, linededup, matroska, maxscore, minhash, mixing, ngramjoin, packing, pii, tokencount, toxicity, warc
 from .common import read_table
 
 
@@ -116,6 +116,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op11_erasure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return erasure.shop_cascade(*(read_table(spark, sf_dir, t) for t in ("clients", "clicks", "sales", "sale_lines")))
+
+
 def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fim.transform(read_table(spark, sf_dir, "documents"))
     digest = lambda c: F.sha2(c.cast("binary"), 256)
@@ -153,6 +157,6 @@ def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_toxicity, op3_warc, op4_maxscore, op5_token_counts,
     op6_minhash, op7_mixing, op8_matroska, op9_pii, op10_packing,
-    op12_fim, op13_ngram_join,
+    op11_erasure, op12_fim, op13_ngram_join,
 )}
 ORACLE_SQL = {"op1_line_dedup": OP1_SQL, "op3_warc": OP3_SQL, "op4_maxscore": OP4_SQL, "op12_fim": OP12_SQL}
