@@ -47,9 +47,10 @@ def test_empty_table(spark):
     assert ngramjoin.similar_documents(table(spark, ["x"]).where("doc_id < 0")).count() == 0
 
 
-@pytest.mark.parametrize("num,most", [(80, 4), (80, 1), (60, 3)])
-def test_random_groups(spark, num, most):
+@pytest.mark.parametrize("num,most,block", [(80, 4, 384), (80, 1, 7), (60, 3, 5)])
+def test_random_groups(spark, monkeypatch, num, most, block):
     """Edited copies at and about the threshold, passages that many share, short texts and chains."""
+    monkeypatch.setattr(ngramjoin, "BLOCK", block)
     rng = random.Random(num + most)
     vocabulary = [f"v{i}" for i in range(3000)]
     text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
