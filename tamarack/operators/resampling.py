@@ -1,70 +1,158 @@
-"""Bootstrap intervals, calibration fits and p-values, one model per group.
-
-These are iterative or need a random generator, so each model's ``y, p`` columns go to
-one Arrow batch; ``poisson_bootstrap`` is the form for models too large for that.
+"""Bootstrap intervals with resamples that all models share, and p-values.
+
+A row's weight in a replicate is Poisson(1), read from the MD5 of seed, row key and replicate:
+it depends on nothing else, so every model sees the same resample wherever its rows lie, and
+differences between models are paired. A replicate is never listed row by row. Rows are dealt
+to score ranges, and a range is up to three segments: its first score, its last score, and
+what lies between. Segments add up their weights for all replicates at once, and running sums
+over segments give what lies above each. A score that fills many ranges is one segment, for
+which these sums are enough; the rows between are read once more, with what lies above them.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
+from pyspark.sql.window import Window
 
-from ..functions import fixed
 from . import curves
+from .scratch import kept
 
-
-def _auroc(y: np.ndarray, p: np.ndarray) -> float:
-    n_pos = int(y.sum())
-    n_neg = len(y) - n_pos
-    if not n_pos or not n_neg:
-        return float("nan")
-    ranks = pd.Series(p).rank().to_numpy()
-    return float((ranks[y == 1].sum() - n_pos * (n_pos + 1) / 2) / (n_pos * n_neg))
+#: A 16-bit draw u gives as many as there are bounds at or under it: floor(65536 * P(X <= k)) of a Poisson variable of mean 1.
+BOUNDS = [math.floor(65536 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(8)]
+PER_DIGEST = 8
 
 
-def _auprc(y: np.ndarray, p: np.ndarray) -> float:
-    if not y.any():
-        return float("nan")
-    order = np.argsort(-p, kind="stable")
-    y, p = y[order], p[order]
-    tp = np.cumsum(y)
-    last = np.r_[p[1:] != p[:-1], True]
-    tp, n = tp[last], np.flatnonzero(last) + 1
-    return float((np.diff(np.r_[0, tp]) / y.sum() * tp / n).sum())
+def weights(keys: list[object], n_boot: int, seed: int) -> np.ndarray:
+    """A row of ``n_boot`` weights for each key: the 16-bit groups of the MD5 of ``seed:key:block``, eight to a block."""
+    blocks = range(-(-n_boot // PER_DIGEST))
+    raw = b"".join(md5(f"{seed}:{k}:{b}".encode()).digest() for k in keys for b in blocks)
+    draws = np.frombuffer(raw, ">u2").reshape(len(keys), -1)[:, :n_boot]
+    return np.searchsorted(BOUNDS, draws, side="right").astype(np.int64)
 
 
-def _f1(y: np.ndarray, p: np.ndarray) -> float:
-    hit = p >= 0.5
-    tp = int((hit & (y == 1)).sum())
-    wrong = int((hit != (y == 1)).sum())
-    return 2 * tp / (2 * tp + wrong) if tp else 0.0
+METRICS = ("auroc", "auprc", "recall", "f1")
 
 
-def bootstrap_ci(preds: DataFrame, by: list[str], n_boot: int = 200, seed: int = 1337, key: str = "row_id", skip_one_class: bool = False) -> DataFrame:
-    """2.5 and 97.5 percentiles of AUROC, average precision and F1 over resamples with replacement."""
-    fields = [f"{m}_{e}" for m in ("auroc", "auprc", "f1") for e in ("low", "high")]
+def replicates(preds: DataFrame, by: list[str], n_boot: int = 200, seed: int = 1337, key: str = "row_id", target: float = 0.01, batch: int = 4096) -> DataFrame:
+    """``by, rep`` and AUROC, average precision, best recall within a false-positive rate of ``target``, and F1 at one half.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        y, p = pdf.y.to_numpy(), pdf.p.to_numpy()
-        rng = np.random.default_rng(seed)
-        got = []
-        for _ in range(n_boot):
-            i = rng.integers(0, len(y), len(y))
-            if skip_one_class and len(set(y[i])) < 2:
-                continue
-            got.append((_auroc(y[i], p[i]), _auprc(y[i], p[i]), _f1(y[i], p[i])))
-        q = np.nanpercentile(np.array(got), [2.5, 97.5], axis=0).T.ravel() if got else [math.nan] * 6
-        return pd.DataFrame([[*pdf[by].iloc[0], *q]], columns=[*by, *fields])
-
-    schema = ", ".join([f"`{c}` {preds.schema[c].dataType.simpleString()}" for c in by] + [f"{c} double" for c in fields])
-    return curves.usable(preds).select(*by, key, "y", "p").groupBy(*by).applyInPandas(run, schema)
+    Rows of like ``key`` have like weights in every group of ``by``. Tied scores count as ties.
+    Null where a replicate holds one class only; F1 is 0 without a hit. Null and NaN scores and
+    null labels take no part. A group or a score of any size is read in ranges, ``batch`` rows
+    at a time; only sums by range and replicate are brought together.
+    """
+    parts = int(preds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = curves.usable(preds).select(*by, F.col(key).cast("string").alias("_key"), "y", "p")
+    dealt = rows.repartitionByRange(parts, *by, F.desc("p"), F.xxhash64("_key")).withColumn("_range", F.spark_partition_id())
+    dealt = kept(dealt.sortWithinPartitions(*by, F.desc("p")), "ranges")
+    ends = dealt.groupBy(*by, "_range").agg(F.max("p").alias("_first"), F.min("p").alias("_last"))  # a row for each range and group
+    between = (F.col("p") < F.col("_first")) & (F.col("p") > F.col("_last"))
+    dealt = dealt.join(ends, [*by, "_range"]).select(*by, "_key", "y", "p", F.when(between, F.col("_first")).otherwise(F.col("p")).alias("_from"), between.alias("_between"))
+    names = [*by, "_from", "_between"]
+    kinds = ", ".join(f"`{c}` {dealt.schema[c].dataType.simpleString()}" for c in names)
+    counted = ("pos", "neg", "tp5", "fp5")
+
+    def sums(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for k, part in pdf.groupby(names, dropna=False, sort=False):
+                total = np.zeros((4, n_boot), np.int64)
+                for at in range(0, len(part), batch):
+                    cut = part.iloc[at : at + batch]
+                    w, y, hit = weights(cut["_key"].tolist(), n_boot, seed), cut["y"].to_numpy(), cut["p"].to_numpy() >= 0.5
+                    for i, mask in enumerate((y == 1, y == 0, (y == 1) & hit, (y == 0) & hit)):
+                        total[i] += w[mask].sum(0)
+                yield pd.DataFrame([[*k, *(x.tolist() for x in total)]], columns=[*names, *counted])
+
+    arrays = ", ".join(f"{c} array<long>" for c in counted)
+    each = dealt.mapInPandas(sums, f"{kinds}, {arrays}").select(*names, F.posexplode(F.arrays_zip(*counted)).alias("rep", "s"))
+    each = each.groupBy(*names, "rep").agg(*(F.sum(f"s.{c}").alias(c) for c in counted))  # a row for each segment and replicate
+    down, all_ = Window.partitionBy(*by, "rep").orderBy(F.desc("_from"), "_between"), Window.partitionBy(*by, "rep")
+    above = each.select(
+        *names, "rep", "pos", "neg",
+        (F.sum("pos").over(down) - F.col("pos")).alias("tp"), (F.sum("neg").over(down) - F.col("neg")).alias("fp"),
+        *(F.sum(c).over(all_).alias(n) for c, n in (("pos", "n_pos"), ("neg", "n_neg"), ("tp5", "tp5"), ("fp5", "fp5"))),
+    )
+    above = kept(above, "above")
+    fields = ("tp", "fp", "n_pos", "n_neg")
+    carried = above.where("_between").groupBy(*names).agg(F.sort_array(F.collect_list(F.struct("rep", *fields))).alias("above"))  # as many as there are replicates
+    carried = carried.select(*names, *(F.col("above")[c].alias(c) for c in fields))
+
+    def walk(pdf: pd.DataFrame, carry: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("p", ascending=False, kind="stable")
+        tp, fp, n_pos, n_neg = (np.array(carry[c].iloc[0], np.int64) for c in fields)
+        wins, ap, best = np.zeros(n_boot), np.zeros(n_boot), np.zeros(n_boot)
+        p = pdf["p"].to_numpy()
+        starts = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
+        ends = np.r_[starts[1:], len(p)]
+        k = 0
+        while k < len(starts):
+            last = max(k, int(np.searchsorted(ends, starts[k] + batch, side="right")) - 1)  # whole scores, about a batch of rows
+            pos, neg = np.zeros((last - k + 1, n_boot), np.int64), np.zeros((last - k + 1, n_boot), np.int64)
+            for low in range(starts[k], ends[last], batch):
+                cut = pdf.iloc[low : min(ends[last], low + batch)]
+                w = weights(cut["_key"].tolist(), n_boot, seed)
+                at = np.searchsorted(starts[k : last + 1], np.arange(low, low + len(cut)), side="right") - 1
+                y = cut["y"].to_numpy()[:, None]
+                np.add.at(pos, at, w * y)
+                np.add.at(neg, at, w * (1 - y))
+            up_pos, up_neg = tp + np.cumsum(pos, 0), fp + np.cumsum(neg, 0)
+            wins += (pos * (n_neg - up_neg + neg / 2)).sum(0)
+            ap += (pos * up_pos / np.maximum(up_pos + up_neg, 1)).sum(0)
+            best = np.maximum(best, np.where(up_neg <= target * n_neg, up_pos, 0).max(0))
+            tp, fp, k = up_pos[-1], up_neg[-1], last + 1
+        return pd.DataFrame([[*(pdf[c].iloc[0] for c in names), wins.tolist(), ap.tolist(), best.tolist()]], columns=[*names, "wins", "ap", "best"])
+
+    walked = dealt.where("_between").groupBy(*names).cogroup(carried.groupBy(*names)).applyInPandas(walk, f"{kinds}, wins array<double>, ap array<double>, best array<double>")
+    inner = walked.select(*by, F.posexplode(F.arrays_zip("wins", "ap", "best")).alias("rep", "s")).select(*by, "rep", "s.*")
+    up_pos, up_neg = F.col("tp") + F.col("pos"), F.col("fp") + F.col("neg")
+    single = above.where("not _between").select(
+        *by, "rep", (F.col("pos") * (F.col("n_neg") - up_neg + F.col("neg") / 2)).alias("wins"), (F.col("pos") * up_pos / F.greatest(up_pos + up_neg, F.lit(1))).alias("ap"),
+        F.when(up_neg <= F.lit(target) * F.col("n_neg"), up_pos).otherwise(0).cast("double").alias("best"),
+    )
+    parts_of = inner.unionByName(single).groupBy(*by, "rep").agg(F.sum("wins").alias("wins"), F.sum("ap").alias("ap"), F.max("best").alias("best"))
+    whole = above.groupBy(*by, "rep").agg(*(F.first(c).alias(c) for c in ("n_pos", "n_neg", "tp5", "fp5")))
+    both = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
+    of = lambda c: F.when(both, c)
+    n_pos, n_neg = F.col("n_pos"), F.col("n_neg")
+    f1 = F.when(F.col("tp5") > 0, 2 * F.col("tp5") / (n_pos + F.col("tp5") + F.col("fp5"))).otherwise(0.0)
+    return parts_of.join(whole, [*by, "rep"]).select(
+        *by, "rep", of(F.try_divide("wins", n_pos * n_neg)).alias("auroc"), of(F.try_divide("ap", n_pos)).alias("auprc"), of(F.try_divide("best", n_pos)).alias("recall"), of(f1).alias("f1")
+    )
+
+
+def intervals(reps: DataFrame, by: list[str], level: float = 0.95) -> DataFrame:
+    """``<metric>_low, <metric>_high`` of each group over its replicates."""
+    ends = [F.percentile(m, q).alias(f"{m}_{e}") for m in METRICS for e, q in (("low", (1 - level) / 2), ("high", (1 + level) / 2))]
+    return reps.groupBy(*by).agg(*ends)
+
+
+def bootstrap_ci(preds: DataFrame, by: list[str], n_boot: int = 200, seed: int = 1337, key: str = "row_id") -> DataFrame:
+    """2.5 and 97.5 percentiles of AUROC, average precision, recall at 1 % false positives and F1."""
+    return intervals(replicates(preds, by, n_boot, seed, key), by)
+
+
+def bootstrap_paired(reps: DataFrame, reference: DataFrame, model: str = "model", level: float = 0.95) -> DataFrame:
+    """Intervals of each model's difference to its reference (columns ``model, reference``) over shared replicates.
+
+    ``<metric>_diff_low, _diff_high``, and ``<metric>_wins``: the share of replicates in which
+    the model is ahead. Replicates without a value on either side take no part.
+    """
+    a = reps.join(reference, model).where(F.col(model) != F.col("reference"))
+    b = reps.select(F.col(model).alias("reference"), "rep", *(F.col(m).alias(f"_{m}") for m in METRICS))
+    both = a.join(b, ["reference", "rep"])
+    told = []
+    for m in METRICS:
+        gap = F.col(m) - F.col(f"_{m}")
+        told += [F.percentile(gap, (1 - level) / 2).alias(f"{m}_diff_low"), F.percentile(gap, (1 + level) / 2).alias(f"{m}_diff_high"), F.avg((F.round(gap, 9) > 0).cast("int")).alias(f"{m}_wins")]
+    return both.groupBy(model, "reference").agg(*told)
 
 
 def poisson_bootstrap(preds: DataFrame, by: list[str], n_boot: int = 50, seed: int = 7) -> DataFrame:
@@ -98,122 +186,3 @@ def poisson_bootstrap(preds: DataFrame, by: list[str], n_boot: int = 50, seed: i
 def chi2_p_value(chi2: pd.Series) -> pd.Series:
     """Upper tail of chi-square with one degree of freedom."""
     return chi2.map(lambda x: None if x is None or x != x else math.erfc(math.sqrt(x / 2)))
-
-
-def logits(p: np.ndarray, clip: float = 1e-6) -> np.ndarray:
-    p = np.clip(p, clip, 1 - clip)
-    return np.log(p / (1 - p))
-
-
-def sigmoid(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-z))
-
-
-def temperature_by_descent(y: np.ndarray, p: np.ndarray, rate: float = 0.05, steps: int = 200, floor: float = 0.05) -> float:
-    """Temperature by plain gradient steps; the step that would move it less than 1e-6 is not taken."""
-    z, t = logits(p), 1.0
-    for _ in range(steps):
-        slope = ((sigmoid(z / t) - y) * (-z / t**2)).sum() / max(1.0, len(y))
-        new = max(floor, t - rate * slope)
-        if abs(new - t) < 1e-6:
-            break
-        t = new
-    return t
-
-
-def temperature_by_search(y: np.ndarray, p: np.ndarray, low: float = 0.05, high: float = 10.0) -> float:
-    """Temperature of least negative log-likelihood, by golden sections."""
-    z = logits(p, 1e-7)
-
-    def loss(t: float) -> float:
-        q = np.clip(sigmoid(z / t), 1e-12, 1 - 1e-12)
-        return float(-(y * np.log(q) + (1 - y) * np.log(1 - q)).mean())
-
-    g = (math.sqrt(5) - 1) / 2
-    a, b = low, high
-    c, d = b - g * (b - a), a + g * (b - a)
-    fc, fd = loss(c), loss(d)
-    for _ in range(80):
-        if fc < fd:
-            b, d, fd = d, c, fc
-            c = b - g * (b - a)
-            fc = loss(c)
-        else:
-            a, c, fc = c, d, fd
-            d = a + g * (b - a)
-            fd = loss(d)
-    return (a + b) / 2
-
-
-def platt(y: np.ndarray, p: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic fit on logits, nearly without penalty."""
-    x = np.column_stack([logits(p, 1e-7), np.ones(len(p))])
-
-    def loss(w: np.ndarray) -> float:
-        z = x @ w
-        return float((np.logaddexp(0, z) - y * z).sum() + 5e-7 * w[0] ** 2)
-
-    w = np.array([1.0, 0.0])
-    for _ in range(50):
-        q = sigmoid(np.clip(x @ w, -35, 35))
-        grad = x.T @ (q - y) + np.array([1e-6, 0.0]) * w
-        hess = (x * (q * (1 - q))[:, None]).T @ x + np.diag([1e-6, 1e-9])
-        step = np.linalg.solve(hess, grad)
-        while loss(w - step) > loss(w) and np.abs(step).max() > 1e-12:
-            step = step / 2
-        w = w - step
-        if np.abs(step).max() < 1e-9:
-            break
-    return float(w[0]), float(w[1])
-
-
-def isotonic(y: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots of a non-decreasing least-squares fit: pooled blocks over the sorted scores."""
-    xs, where = np.unique(p, return_inverse=True)
-    weight = np.bincount(where).astype(float)
-    value = np.bincount(where, y) / weight
-    level: list[list[float]] = []
-    for v, w in zip(value, weight, strict=True):
-        level.append([v, w, 1])
-        while len(level) > 1 and level[-2][0] >= level[-1][0]:
-            (v1, w1, n1), (v2, w2, n2) = level[-2:]
-            level[-2:] = [[(v1 * w1 + v2 * w2) / (w1 + w2), w1 + w2, n1 + n2]]
-    return xs, np.repeat([v for v, _, _ in level], [int(n) for *_, n in level])
-
-
-def ece_std(y: np.ndarray, p: np.ndarray, bins: int = fixed.ECE_BINS) -> float:
-    conf = np.maximum(p, 1 - p)
-    at = np.clip(np.digitize(conf, np.linspace(0, 1, bins + 1)[1:-1]), 0, bins - 1)
-    right = ((p >= 0.5).astype(int) == y).astype(float)
-    return float(sum((at == b).mean() * abs(right[at == b].mean() - conf[at == b].mean()) for b in range(bins) if (at == b).any()))
-
-
-def best_calibration(preds: DataFrame, by: list[str], split: str = "split") -> DataFrame:
-    """Temperature, Platt and isotonic maps fitted on ``val``, the best of them by the standard
-    calibration error there, and that error on ``test`` before and after."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v, t = pdf[pdf[split] == "val"], pdf[pdf[split] == "test"]
-        y, p = v.y.to_numpy(), v.p.to_numpy()
-        temp = temperature_by_search(y, p)
-        a, b = platt(y, p)
-        xs, ys = isotonic(y, p)
-        maps = {
-            "temperature": lambda q: sigmoid(logits(q, 1e-7) / temp),
-            "platt": lambda q: sigmoid(a * logits(q, 1e-7) + b),
-            "isotonic": lambda q: np.interp(q, xs, ys),
-        }
-        errors = {k: ece_std(y, f(p)) for k, f in maps.items()}
-        best = min(errors, key=lambda k: (errors[k], k))
-        q, w = t.p.to_numpy(), t.y.to_numpy()
-        row = [*pdf[by].iloc[0], best, temp, temperature_by_descent(y, p), ece_std(y, p), errors[best], ece_std(w, q), ece_std(w, maps[best](q))]
-        return pd.DataFrame([row], columns=[*by, *names])
-
-    names = ["method", "temperature", "temperature_descent", "val_ece", "val_ece_best", "test_ece", "test_ece_best"]
-    schema = ", ".join([f"`{c}` {preds.schema[c].dataType.simpleString()}" for c in by] + ["method string"] + [f"{c} double" for c in names[1:]])
-    return curves.usable(preds).select(*by, split, "y", "p").groupBy(*by).applyInPandas(run, schema)
-
-
-def apply_temperature(p: Column, t: Column) -> Column:
-    c = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), p))
-    return 1 / (1 + F.exp(-F.log(c / (1 - c)) / t))

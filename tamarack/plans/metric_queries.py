@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import coerce, features, perturb
-from ..operators import curves, integrity, reports, resampling, vectors
+from ..operators import calibration, curves, integrity, reports, resampling, vectors
 from .base import AP_SQL, AUROC_SQL, PREDS, R6, ROBUST, curve_sql, lit, preds, prompts, query, robust_preds, table
 
 _CURVE = f"WITH {PREDS}, {curve_sql('model')}"
@@ -130,9 +130,38 @@ def mcnemar_p_values(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("marker", coerce.significance_marker(F.col("p_value")))
 
 
-@query()
+_BOOT = 200
+_REPS = f"""WITH {PREDS},
+keys AS (SELECT DISTINCT row_id FROM preds),
+drawn AS (
+  SELECT row_id, rep, CAST('0x' || substr(md5('1337:' || row_id || ':' || (rep // 8)), 1 + 4 * (rep % 8), 4) AS INTEGER) AS u
+  FROM keys, range({_BOOT}) r(rep)),
+w AS (SELECT row_id, rep, {" + ".join(f"CAST(u >= {b} AS INTEGER)" for b in resampling.BOUNDS)} AS w FROM drawn),
+s AS (SELECT model, rep, p, sum(w * y) AS pos, sum(w * (1 - y)) AS neg FROM preds JOIN w USING (row_id) GROUP BY ALL),
+c AS (SELECT *, sum(pos) OVER v AS tp, sum(neg) OVER v AS fp, sum(pos) OVER x AS n_pos, sum(neg) OVER x AS n_neg FROM s
+      WINDOW v AS (PARTITION BY model, rep ORDER BY p DESC), x AS (PARTITION BY model, rep)),
+reps AS (
+  SELECT model, rep, {AUROC_SQL} AS auroc, sum(CAST(pos AS DOUBLE) / n_pos * tp / greatest(tp + fp, 1)) AS auprc,
+         max(CASE WHEN fp <= 0.01::DOUBLE * n_neg THEN CAST(tp AS DOUBLE) / n_pos ELSE 0 END) AS recall,
+         2 * CAST(sum(CASE WHEN p >= 0.5 THEN pos ELSE 0 END) AS DOUBLE) / (max(n_pos) + sum(CASE WHEN p >= 0.5 THEN pos + neg ELSE 0 END)) AS f1
+  FROM c GROUP BY model, rep)"""
+
+
+@query(f"{_REPS} SELECT model, " + ", ".join(f"round(quantile_cont({m}, {q}), 6) AS {m}_{e}" for m in resampling.METRICS for e, q in (("low", 0.025), ("high", 0.975))) + " FROM reps GROUP BY model")
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    return resampling.bootstrap_ci(preds(spark, d), ["model"])
+    out = resampling.bootstrap_ci(preds(spark, d), ["model"], _BOOT)
+    return out.select("model", *(R6(F.col(c)).alias(c) for c in out.columns if c != "model"))
+
+
+_PAIRED = ", ".join(f"round(quantile_cont(a.{m} - b.{m}, 0.025), 6) AS {m}_diff_low, round(quantile_cont(a.{m} - b.{m}, 0.975), 6) AS {m}_diff_high, round(avg(CAST(round(a.{m} - b.{m}, 9) > 0 AS INTEGER)), 6) AS {m}_wins" for m in resampling.METRICS)
+
+
+@query(f"{_REPS} SELECT a.model, b.model AS reference, {_PAIRED} FROM reps a JOIN reps b USING (rep) WHERE b.model = 'regex_rules' AND a.model <> b.model GROUP BY 1, 2")
+def bootstrap_paired(spark: SparkSession, d: str) -> DataFrame:
+    """Every model against the rules, on resamples that all of them share."""
+    p = preds(spark, d)
+    out = resampling.bootstrap_paired(resampling.replicates(p, ["model"], _BOOT), p.select("model", F.lit("regex_rules").alias("reference")).distinct())
+    return out.select("model", "reference", *(R6(F.col(c)).alias(c) for c in out.columns if c not in ("model", "reference")))
 
 
 @query()
@@ -142,13 +171,13 @@ def bootstrap_poisson(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def best_calibration(spark: SparkSession, d: str) -> DataFrame:
-    return resampling.best_calibration(preds(spark, d), ["model"])
+    return calibration.best_calibration(preds(spark, d), ["model"])
 
 
 @query(f"WITH {PREDS}, b AS (SELECT *, greatest(1e-6, least(1 - 1e-6, p)) AS q FROM preds) SELECT model, row_id, round(1 / (1 + exp(-(ln(q / (1 - q)) + CASE WHEN y = 1 THEN -0.25 ELSE 0.25 END))), 6) AS probed, round(1 / (1 + exp(-ln(q / (1 - q)) / 1.7)), 6) AS scaled FROM b")
 def logit_probe(spark: SparkSession, d: str) -> DataFrame:
     p = F.col("p")
-    return preds(spark, d).select("model", "row_id", R6(perturb.logit_probe(p, F.col("y"))).alias("probed"), R6(resampling.apply_temperature(p, F.lit(1.7))).alias("scaled"))
+    return preds(spark, d).select("model", "row_id", R6(perturb.logit_probe(p, F.col("y"))).alias("probed"), R6(calibration.apply_temperature(p, F.lit(1.7))).alias("scaled"))
 
 
 @query(

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from tamarack.operators import curves, integrity, reports, resampling, vectors
 
+from . import kernels
+
 ROWS = [("a", 0, 1, 0.9), ("a", 1, 0, 0.9), ("a", 2, 1, 0.4), ("a", 3, 0, 0.1), ("one", 0, 1, 0.5), ("one", 1, 1, 0.7), ("same", 0, 1, 0.5), ("same", 1, 0, 0.5)]
 
 
@@ -31,13 +33,11 @@ def test_against_numpy(spark):
     y, p = rng.integers(0, 2, 500), np.round(rng.random(500), 2)
     df = spark.createDataFrame([("m", i, int(a), float(b)) for i, (a, b) in enumerate(zip(y, p))], "model string, row_id long, y int, p double")
     got = curves.curve_metrics(df, ["model"]).first()
-    assert got.auroc == pytest.approx(resampling._auroc(y, p)) and got.auprc == pytest.approx(resampling._auprc(y, p))
-    assert curves.prf(df, ["model"]).first().f1 == pytest.approx(resampling._f1(y, p))
-    assert curves.ece_confidence(df, ["model"]).first().ece == pytest.approx(resampling.ece_std(y, p))
+    assert got.auroc == pytest.approx(kernels.auroc(y, p)) and got.auprc == pytest.approx(kernels.auprc(y, p))
+    assert curves.prf(df, ["model"]).first().f1 == pytest.approx(kernels.f1(y, p))
+    assert curves.ece_confidence(df, ["model"]).first().ece == pytest.approx(kernels.ece_std(y, p))
     ci = resampling.bootstrap_ci(df, ["model"], 50).first()
     assert ci.auroc_low <= got.auroc <= ci.auroc_high
-    ci = resampling.poisson_bootstrap(df, ["model"], 30).first()
-    assert ci.auroc_low <= got.auroc <= ci.auroc_high
     order = np.lexsort((np.arange(500), -p))
     for target in (0.01, 0.1, 0.5):
         fpr = np.cumsum(1 - y[order]) / (1 - y).sum()
@@ -56,18 +56,6 @@ def test_fairness_and_mcnemar(preds, spark):
     assert p[0][0] == 1.0 and p[1][0] == pytest.approx(0.05, abs=1e-5)
 
 
-def test_calibration():
-    rng = np.random.default_rng(1)
-    z = rng.normal(0, 2, 4000)
-    y = (rng.random(4000) < 1 / (1 + np.exp(-z))).astype(int)
-    p = 1 / (1 + np.exp(-3 * z))
-    assert resampling.temperature_by_search(y, p) == pytest.approx(3, abs=0.4)
-    a, b = resampling.platt(y, p)
-    assert a == pytest.approx(1 / 3, abs=0.05) and abs(b) < 0.15
-    xs, ys = resampling.isotonic(y, p)
-    assert (np.diff(ys) >= -1e-12).all() and len(xs) == len(ys)
-
-
 def test_near_dup_pairs(spark):
     rows = [(1, 0), (2, 1), (3, 7), (4, 15), (5, 0), (6, -1), (7, -2), (8, 0)]
     hashes = spark.createDataFrame(rows, "doc_id long, simhash long")
@@ -121,14 +109,52 @@ def test_tuned_threshold(spark):
     assert tuple(df.where("split = 'test'").agg(recall, fpr).first()) == (1.0, 1.0)
 
 
-def test_poisson_bootstrap_centres_on_the_value(spark):
+def weighted(y, p, w, target=0.01):
+    """Metrics of one replicate, by repeating rows."""
+    i = np.repeat(np.arange(len(y)), w)
+    y, p = y[i], p[i]
+    if len(set(y)) < 2:
+        return None
+    order = np.argsort(-p, kind="stable")
+    ends = np.r_[p[order][1:] != p[order][:-1], True]
+    tp, fp = np.cumsum(y[order])[ends], np.cumsum(1 - y[order])[ends]
+    return kernels.auroc(y, p), kernels.auprc(y, p), max([0, *tp[fp <= target * (1 - y).sum()]]) / y.sum(), kernels.f1(y, p)
+
+
+@pytest.mark.parametrize("batch", [7, 4096])
+def test_replicates(spark, batch):
+    """Every replicate is that of repeated rows, also where one score fills many ranges."""
     rng = np.random.default_rng(5)
-    y = rng.integers(0, 2, 3000)
-    p = np.round(np.clip(0.5 + 0.2 * (y - 0.5) + rng.normal(0, 0.2, 3000), 0, 1), 2)
-    df = spark.createDataFrame([("m", i, int(a), float(b)) for i, (a, b) in enumerate(zip(y, p))], "model string, row_id long, y int, p double")
-    ci = resampling.poisson_bootstrap(df, ["model"], 100).first()
-    by_rows = resampling.bootstrap_ci(df, ["model"], 100).first()
-    assert ci.auroc_low < resampling._auroc(y, p) < ci.auroc_high
-    assert (ci.auroc_high - ci.auroc_low) == pytest.approx(by_rows.auroc_high - by_rows.auroc_low, rel=0.4)
-    assert (ci.auprc_high - ci.auprc_low) == pytest.approx(by_rows.auprc_high - by_rows.auprc_low, rel=0.4)
-    assert ci == resampling.poisson_bootstrap(df.repartition(7), ["model"], 100).first()
+    y = rng.integers(0, 2, 400)
+    models = {"ties": np.round(rng.random(400), 1), "one": np.full(400, 0.5), "hot": np.where(rng.random(400) < 0.6, 1.0, rng.random(400)), "fine": np.clip(0.5 + 0.3 * (y - 0.5) + rng.normal(0, 0.2, 400), 0, 1)}
+    rows = [(m, i, int(a), float(b)) for m, p in models.items() for i, (a, b) in enumerate(zip(y, p, strict=True))] + [("small", 0, 1, 0.3), ("small", 1, 0, 0.3), ("null", 1, None, 0.3)]
+    df = spark.createDataFrame(rows, "model string, row_id long, y int, p double")
+    out = resampling.replicates(df, ["model"], 11, seed=3, target=0.1, batch=batch)
+    got = {(r.model, r.rep): (r.auroc, r.auprc, r.recall, r.f1) for r in out.collect()}
+    w = resampling.weights(list(range(400)), 11, 3)
+    assert w.mean() == pytest.approx(1, abs=0.05) and w.var() == pytest.approx(1, abs=0.1)
+    for m, p in models.items():
+        for rep in range(11):
+            assert got[m, rep] == pytest.approx(weighted(y, p, w[:, rep], 0.1)), (m, rep)
+    for rep in range(11):
+        want = weighted(np.array([1, 0]), np.array([0.3, 0.3]), w[:2, rep], 0.1)
+        assert got["small", rep] == (pytest.approx(want) if want else (None,) * 4)
+    assert {m for m, _ in got} == {*models, "small"}
+
+
+def test_bootstrap_intervals(spark):
+    rng = np.random.default_rng(5)
+    y = rng.integers(0, 2, 1500)
+    a, b = (np.round(np.clip(0.5 + s * (y - 0.5) + rng.normal(0, 0.2, 1500), 0, 1), 2) for s in (0.2, 0.26))
+    df = spark.createDataFrame([(m, i, int(u), float(v)) for m, p in (("a", a), ("b", b)) for i, (u, v) in enumerate(zip(y, p, strict=True))], "model string, row_id long, y int, p double")
+    reps = resampling.replicates(df, ["model"], 100)
+    ci = {r.model: r for r in resampling.intervals(reps, ["model"]).collect()}
+    assert ci["a"].auroc_low < kernels.auroc(y, a) < ci["a"].auroc_high and ci["b"].auprc_low < kernels.auprc(y, b) < ci["b"].auprc_high
+    drawn = [kernels.auroc(y[i], a[i]) for i in (rng.integers(0, 1500, 1500) for _ in range(200))]
+    assert ci["a"].auroc_high - ci["a"].auroc_low == pytest.approx(np.subtract(*np.percentile(drawn, [97.5, 2.5])), rel=0.4)
+    pair = resampling.bootstrap_paired(reps, spark.createDataFrame([("b", "a"), ("a", "a")], "model string, reference string")).collect()
+    assert [r.model for r in pair] == ["b"] and pair[0].auroc_diff_low < kernels.auroc(y, b) - kernels.auroc(y, a) < pair[0].auroc_diff_high
+    score_wise = {r.model: r for r in resampling.poisson_bootstrap(df, ["model"], 100).collect()}
+    assert score_wise["a"].auroc_high - score_wise["a"].auroc_low == pytest.approx(ci["a"].auroc_high - ci["a"].auroc_low, rel=0.4)
+    again = resampling.intervals(resampling.replicates(df.repartition(7), ["model"], 100), ["model"]).orderBy("model").collect()
+    assert again[0].asDict() == pytest.approx(ci["a"].asDict())
