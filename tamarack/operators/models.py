@@ -4,19 +4,22 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Protocol
 
 import pandas as pd
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, HashingTF, NGram, Normalizer, RegexTokenizer, SQLTransformer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, HashingTF, NGram, Normalizer, RegexTokenizer, SQLTransformer, StandardScaler, VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
+from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from . import curves
+from .embedding import ByteConvolution, TokenVectors
 
 
 class Scorer(Protocol):
@@ -131,14 +134,32 @@ def judged(df: DataFrame, client: Callable[[], Callable[[str], str]], text: str
     return df.withColumn("p", judge_probability(ask(F.col(text))))
 
 
-def calibrated(model: Model, held_out: DataFrame, label: str = "label") -> Model:
+def calibrated(model: Model, held_out: DataFrame, label: str = "label") -> Calibrated:
     """A margin model followed by a logistic map of its margin, fitted on rows that it has not seen."""
-    scored = model.transform(held_out).withColumn("_margin", vector_to_array("rawPrediction")[1]).select(F.col(label).alias("label"), "_margin")
-    fit = Pipeline(stages=[VectorAssembler(inputCols=["_margin"], outputCol="features"), LogisticRegression(maxIter=50, regParam=1e-6)]).fit(scored).stages[-1]
-    return Calibrated(model, float(fit.coefficients[0]), float(fit.intercept))
+    return Calibrated(model, *_margin_map(model.transform(held_out), label))
 
 
-class Calibrated(Model):
+def _margin_map(scored: DataFrame, label: str) -> tuple[float, float]:
+    rows = scored.withColumn("_margin", vector_to_array("rawPrediction")[1]).select(F.col(label).cast("double").alias("label"), "_margin")
+    fit = Pipeline(stages=[VectorAssembler(inputCols=["_margin"], outputCol="features"), LogisticRegression(maxIter=50, regParam=1e-6)]).fit(rows).stages[-1]
+    return float(fit.coefficients[0]), float(fit.intercept)
+
+
+def cross_calibrated(build: Pipeline, train: DataFrame, key: str = "row_id", folds: int = 3, label: str = "label") -> Calibrated:
+    """Fit on all rows, with a logistic map fitted on margins that models without a row's fold gave it.
+
+    Folds go by a hash of ``key``; a fold of one class, or a rest of one, is left out of the map.
+    """
+    fold = F.pmod(F.xxhash64(key), F.lit(folds))
+    parts = []
+    for k in range(folds):
+        rest, own = train.where(fold != k), train.where(fold == k)
+        if rest.select(label).distinct().count() > 1:
+            parts.append(build.fit(rest).transform(own).select(label, "rawPrediction"))
+    return Calibrated(build.fit(train), *_margin_map(reduce(DataFrame.unionByName, parts), label))
+
+
+class Calibrated(Model, MLReadable, MLWritable):
     """Adds ``p``, the logistic of a scaled margin."""
 
     def __init__(self, model: Model, slope: float, offset: float) -> None:
@@ -149,9 +170,35 @@ class Calibrated(Model):
         z = vector_to_array("rawPrediction")[1] * self.slope + self.offset
         return self.model.transform(dataset).withColumn("p", 1 / (1 + F.exp(-z)))
 
+    def write(self) -> MLWriter:
+        return _CalibratedWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _CalibratedReader()
+
+
+class _CalibratedWriter(MLWriter):
+    def __init__(self, model: Calibrated) -> None:
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:  # noqa: N802
+        m = self.model
+        DefaultParamsWriter.saveMetadata(m, path, self.sparkSession, extraMetadata={"slope": m.slope, "offset": m.offset})
+        m.model.write().overwrite().save(f"{path}/model")
+
+
+class _CalibratedReader(MLReader):
+    def load(self, path: str) -> Calibrated:
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        model = Calibrated(PipelineModel.load(f"{path}/model"), metadata["slope"], metadata["offset"])
+        model._resetUid(metadata["uid"])
+        return model
+
 
 def _with_embedding(columns: list[str], size: int) -> list:
-    return [*hashed_embedding(size).getStages(), *_scaled([*columns, "embedding"])]
+    return [TokenVectors(dims=size), VectorSizeHint(inputCol="embedding", size=size), *_scaled([*columns, "embedding"])]
 
 
 def ensemble(rules: str = "rules", size: int = 128) -> Pipeline:
@@ -165,9 +212,16 @@ def multifeature_mlp(columns: list[str], size: int = 256, hidden: tuple[int, ...
     return Pipeline(stages=[*_with_embedding(columns, size), net])
 
 
+def conv_embedding_mlp(size: int = 128, hidden: tuple[int, ...] = (128,), seed: int = 1337) -> Pipeline:
+    """Byte convolution and embedding, scaled, into a perceptron."""
+    net = MultilayerPerceptronClassifier(layers=[2 * size, *hidden, 2], seed=seed, maxIter=200)
+    return Pipeline(stages=[ByteConvolution(size=size), VectorSizeHint(inputCol="bytes", size=size), TokenVectors(dims=size), VectorSizeHint(inputCol="embedding", size=size), *_scaled(["bytes", "embedding"]), net])
+
+
 #: Detectors by name: a function that builds the pipeline to fit.
 DETECTORS: dict[str, Callable[..., Pipeline]] = {
-    "tfidf_logreg": tfidf_logreg, "tfidf_svm": tfidf_svm, "features_logreg": features_logreg, "features_mlp": features_mlp, "ensemble": ensemble, "multifeature_mlp": multifeature_mlp
+    "tfidf_logreg": tfidf_logreg, "tfidf_svm": tfidf_svm, "features_logreg": features_logreg, "features_mlp": features_mlp, "ensemble": ensemble, "multifeature_mlp": multifeature_mlp,
+    "conv_embedding_mlp": conv_embedding_mlp,
 }
 
 
@@ -195,7 +249,8 @@ def save(model: Model, path: str, config: dict[str, object]) -> None:
 
 
 def load(path: str) -> tuple[Model, dict[str, object]]:
-    return PipelineModel.load(f"{path}/model"), json.loads(SparkSession.active().read.text(f"{path}/config").first()[0])
+    """A written model, of the class that its metadata name, and its settings."""
+    return DefaultParamsReader.loadParamsInstance(f"{path}/model", SparkSession.active()), json.loads(SparkSession.active().read.text(f"{path}/config").first()[0])
 
 
 ABLATIONS = ("no_rules", "no_embedding", "no_features", "no_retrieval", "no_veto", "constant_prior")

@@ -683,11 +683,11 @@ _TRAIN, _HELD = "row_id % 10 >= 3", "row_id % 10 < 3"  # the split of ``preds``
 
 @query()
 def tfidf_svm_calibrated(spark: SparkSession, d: str) -> DataFrame:
+    """Margins mapped to probabilities by three folds of the training rows; the rows scored are in neither."""
     from ..operators import models
 
     rows = _labelled(spark, d).select("row_id", "text", "label")
-    model = models.tfidf_svm(size=2000).fit(rows.where(_TRAIN))
-    model = models.calibrated(model, rows.where(_HELD))
+    model = models.cross_calibrated(models.tfidf_svm(size=2000), rows.where(_TRAIN))
     return models.probabilities(model, rows.where(_HELD)).select("row_id", "label", F.round("p", 4).alias("p"))
 
 
