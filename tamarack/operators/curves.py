@@ -2,8 +2,9 @@
 
 Input is a prediction table with integer ``y``, double ``p`` and grouping columns ``by``
 (dataset, model, transform ...). Rows are first reduced to one per distinct score, so ties
-are exact, and sums run over scores in two levels: over 1024 score buckets, and inside a
-bucket. A single model of any size therefore never sorts in one task. Null ``p``, NaN
+are exact, and sums run over scores in two levels: over at most a million score cells, and
+inside a cell. Cells are of equal width in log odds, so that the scores of a saturated model,
+near 0 and 1, are spread over many. A single model of any size never sorts in one task. Null ``p``, NaN
 ``p`` and null ``y`` rows take no part.
 """
 
@@ -15,7 +16,7 @@ from pyspark.sql.window import Window
 
 from ..functions import fixed
 
-BUCKETS = 1024
+CELLS, REACH = 1 << 20, 40.0
 
 
 def usable(preds: DataFrame) -> DataFrame:
@@ -28,9 +29,15 @@ def score_table(preds: DataFrame, by: list[str]) -> DataFrame:
     return cumulated(usable(preds).groupBy(*by, "p").agg(pos, neg), by)
 
 
+def cell(p: Column) -> Column:
+    """Number of a score's cell, which never falls as the score rises."""
+    odds = F.when(p <= 0, -REACH).when(p >= 1, REACH).otherwise(F.log(F.try_divide(p, 1 - p)))
+    return F.floor((F.greatest(F.lit(-REACH), F.least(F.lit(REACH), odds)) + REACH) / (2 * REACH) * CELLS).cast("int")
+
+
 def cumulated(scores: DataFrame, by: list[str]) -> DataFrame:
     """A score table from ``pos`` and ``neg`` per distinct score."""
-    scores = scores.withColumn("_b", F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("p"))) * BUCKETS).cast("int"))
+    scores = scores.withColumn("_b", cell(F.col("p")))
     buckets = scores.groupBy(*by, "_b").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
     down, whole = Window.partitionBy(*by).orderBy(F.desc("_b")), Window.partitionBy(*by)
     above = buckets.select(
@@ -112,6 +119,25 @@ def roc_points(preds: DataFrame, by: list[str]) -> DataFrame:
     return t.select(*by, "p", F.try_divide(F.col("fp"), F.col("n_neg")).alias("fpr"), F.try_divide(F.col("tp"), F.col("n_pos")).alias("tpr"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
 
 
+def roc_points_thin(preds: DataFrame, by: list[str]) -> DataFrame:
+    """``by, p, fpr, tpr, precision`` of the points where the curve bends, and of both ends.
+
+    A point goes if the step to it and the step from it add the same numbers of either class:
+    the area under what stays is that of the whole curve. The next step of a cell's last
+    score is the first one of the next cell that has scores.
+    """
+    t = score_table(preds, by).withColumn("_b", cell(F.col("p")))
+    step = F.struct("pos", "neg")
+    firsts = t.groupBy(*by, "_b").agg(F.max_by(step, "p").alias("_first"))
+    coming = firsts.select(*by, "_b", F.lead("_first").over(Window.partitionBy(*by).orderBy(F.desc("_b"))).alias("_coming"))
+    inside = Window.partitionBy(*by, "_b").orderBy(F.desc("p"))
+    after = F.coalesce(F.lead(step).over(inside), F.col("_coming"))
+    first = (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
+    bends = t.join(coming, [*by, "_b"]).withColumn("_after", after).where(first | F.col("_after").isNull() | (F.col("_after") != step))
+    tp, fp = F.col("tp"), F.col("fp")
+    return bends.select(*by, "p", F.try_divide(fp, F.col("n_neg")).alias("fpr"), F.try_divide(tp, F.col("n_pos")).alias("tpr"), (tp / (tp + fp)).alias("precision"))
+
+
 def trapezoid_pr_area(preds: DataFrame, by: list[str]) -> DataFrame:
     """Area under the precision-recall curve by trapezoids, from (0, 1)."""
     t = score_table(preds, by)

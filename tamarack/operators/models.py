@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import math
+import random
+import time
 from collections.abc import Callable, Iterator
 from functools import reduce
 from typing import Protocol
@@ -18,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..sources.sinks import is_done
 from . import curves
 from .embedding import ByteConvolution, TokenVectors
 
@@ -112,24 +116,39 @@ def probabilities(model: Model, df: DataFrame) -> DataFrame:
     return out.withColumn("p", 1 / (1 + F.exp(-vector_to_array("rawPrediction")[1])))
 
 
-def judged(df: DataFrame, client: Callable[[], Callable[[str], str]], text: str = "text", tries: int = 3) -> DataFrame:
-    """Add ``p`` from an outside judge: ``client()`` is made once per task, failures give 0.5."""
+_MADE: dict[str, object] = {}
+
+
+def per_worker(key: str, make: Callable[[], object]) -> object:
+    """What ``make`` gives, made once in a Python worker and kept for its later tasks."""
+    if key not in _MADE:
+        _MADE[key] = make()
+    return _MADE[key]
+
+
+def asked(call: Callable[[str], str], text: str, tries: int = 3, pause: float = 0.5, longest: float = 30.0, sleep: Callable[[float], None] = time.sleep) -> str:
+    """The answer of a service, or an empty one after ``tries`` failures, between which it waits ever twice as long."""
+    for k in range(tries):
+        try:
+            return call(text)
+        except Exception:  # noqa: BLE001  an outside service may fail in any way
+            if k + 1 < tries:
+                sleep(min(longest, pause * 2**k))
+    return ""
+
+
+def judged(df: DataFrame, client: Callable[[], Callable[[str], str]], text: str = "text", tries: int = 3, key: str = "judge", pause: float = 0.5) -> DataFrame:
+    """Add ``p`` from an outside judge of the first 4000 characters; failures give 0.5.
+
+    ``client()`` is made once in each worker, under ``key``.
+    """
     from ..functions.coerce import judge_probability
 
     @F.pandas_udf("string")
     def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        call = client()
-
-        def one(t: str | None) -> str:
-            for _ in range(tries):
-                try:
-                    return call((t or "")[:4000])
-                except Exception:  # noqa: BLE001  an outside service may fail in any way
-                    continue
-            return ""
-
+        call = per_worker(key, client)
         for s in batches:
-            yield s.map(one)
+            yield s.map(lambda t: asked(call, (t or "")[:4000], tries, pause))
 
     return df.withColumn("p", judge_probability(ask(F.col(text))))
 
@@ -241,6 +260,50 @@ def search(build: Callable[..., Pipeline], grid: list[dict[str, object]], train:
     return t.agg(curves.average_precision().alias("auprc"), curves.auroc().alias("auroc")).orderBy(F.desc("auprc"), "trial")
 
 
+#: Ranges of settings: ("log", low, high), ("uniform", low, high), ("int", low, high) or ("choice", value, ...).
+Space = dict[str, tuple]
+
+
+def drawn(space: Space, seed: int, trial: int) -> dict[str, object]:
+    """Settings of a trial: they depend on seed and number only."""
+    rng = random.Random(f"{seed}:{trial}")
+    one = {"log": lambda a, b: math.exp(rng.uniform(math.log(a), math.log(b))), "uniform": rng.uniform, "int": rng.randint, "choice": lambda *v: rng.choice(v)}
+    return {name: one[kind](*rest) for name, (kind, *rest) in sorted(space.items())}
+
+
+HISTORY = "rung int, trial int, share double, settings string, auprc double, auroc double"
+
+
+def halving_search(
+    build: Callable[..., Pipeline], space: Space, train: DataFrame, held_out: DataFrame, path: str, trials: int = 9, eta: int = 3, seed: int = 1337, key: str = "row_id", label: str = "label"
+) -> DataFrame:
+    """Successive halving: all trials on a small share of the rows, the best ``1 / eta`` of them on ``eta`` times as many, until all rows.
+
+    Shares are nested, by a hash of ``key``. A trial's result (average precision, then area,
+    then number) on the held-out rows is written below ``path`` as soon as it is known; a
+    restart fits only what is not there. Returns the history, with the rung of each fit.
+    """
+    spark = train.sparkSession
+    rungs = 1 + int(math.log(trials, eta) + 1e-9)
+    left, rows = list(range(trials)), []
+    for rung in range(rungs):
+        share = float(eta) ** (rung + 1 - rungs)
+        part = train.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < round(share * 1_000_000))
+        told = []
+        for trial in left:
+            at, settings = f"{path}/{rung}-{trial}", drawn(space, seed, trial)
+            if not is_done(spark, at):
+                scored = probabilities(build(**settings).fit(part), held_out).select(F.lit(trial).alias("trial"), F.col(label).cast("int").alias("y"), "p")
+                got = curves.score_table(scored, ["trial"]).groupBy("trial").agg(curves.average_precision().alias("auprc"), curves.auroc().alias("auroc"))
+                got = got.select(F.lit(rung).alias("rung"), "trial", F.lit(share).alias("share"), F.lit(json.dumps(settings, sort_keys=True)).alias("settings"), "auprc", "auroc")
+                got.coalesce(1).write.mode("overwrite").parquet(at)
+            told.append(spark.read.schema(HISTORY).parquet(at).first())
+        rows += told
+        told.sort(key=lambda r: (-(r.auprc or 0.0), -(r.auroc or 0.0), r.trial))
+        left = [r.trial for r in told[: max(1, len(told) // eta)]]
+    return spark.createDataFrame(rows, HISTORY)
+
+
 def save(model: Model, path: str, config: dict[str, object]) -> None:
     """Write a fitted pipeline and the settings it was built with, over what is there."""
     model.write().overwrite().save(f"{path}/model")

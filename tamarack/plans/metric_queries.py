@@ -73,6 +73,11 @@ def roc_points(spark: SparkSession, d: str) -> DataFrame:
     return curves.roc_points(preds(spark, d), ["model"]).select("model", *(R6(F.col(c)).alias(c) for c in ("p", "fpr", "tpr", "precision")))
 
 
+@query(f"{_CURVE}, s AS (SELECT *, row_number() OVER w AS k, lead(pos) OVER w AS pos2, lead(neg) OVER w AS neg2 FROM c WINDOW w AS (PARTITION BY model ORDER BY p DESC)) SELECT model, round(p, 6) AS p, round(CAST(fp AS DOUBLE) / n_neg, 6) AS fpr, round(CAST(tp AS DOUBLE) / n_pos, 6) AS tpr, round(CAST(tp AS DOUBLE) / (tp + fp), 6) AS precision FROM s WHERE k = 1 OR pos2 IS NULL OR pos2 <> pos OR neg2 <> neg")
+def roc_points_thin(spark: SparkSession, d: str) -> DataFrame:
+    return curves.roc_points_thin(preds(spark, d), ["model"]).select("model", *(R6(F.col(c)).alias(c) for c in ("p", "fpr", "tpr", "precision")))
+
+
 @query(f"{_CURVE}, {_FIRST} " + " UNION ALL ".join(f"SELECT model, {t} AS target, round(CASE WHEN CAST(neg AS DOUBLE) / n_neg <= {t} THEN CAST(pos AS DOUBLE) / n_pos ELSE 0.0 END, 6) AS recall FROM t" for t in (0.01, 0.05, 0.1)))
 def operating_points(spark: SparkSession, d: str) -> DataFrame:
     targets = (0.01, 0.05, 0.1)
@@ -394,7 +399,7 @@ def unpivot_fairness(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{_CURVE} SELECT model, CAST(row_number() OVER (PARTITION BY model ORDER BY p DESC) - 1 AS INTEGER) AS i, round(CAST(fp AS DOUBLE) / n_neg, 6) AS fpr, round(CAST(tp AS DOUBLE) / n_pos, 6) AS tpr FROM c")
 def explode_curves(spark: SparkSession, d: str) -> DataFrame:
     """Curves are packed by score bucket, so no array holds a model's whole curve."""
-    pts = curves.roc_points(preds(spark, d), ["model"]).withColumn("part", -F.floor(F.col("p") * curves.BUCKETS))
+    pts = curves.roc_points(preds(spark, d), ["model"]).withColumn("part", -F.floor(curves.cell(F.col("p")) / 1024))
     packed = pts.groupBy("model", "part").agg(F.sort_array(F.collect_list(F.struct((-F.col("p")).alias("o"), R6(F.col("fpr")).alias("fpr"), R6(F.col("tpr")).alias("tpr")))).alias("a"))
     before = F.sum(F.size("a")).over(Window.partitionBy("model").orderBy("part")) - F.size("a")
     packed = packed.select("model", before.cast("int").alias("first"), F.transform("a", lambda x: x["fpr"]).alias("fpr"), F.transform("a", lambda x: x["tpr"]).alias("tpr"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import zipfile
 from collections.abc import Callable, Iterable
-from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -107,8 +106,9 @@ def export(df: DataFrame, kind: str, path: str, caption: str = "", label: str =
 def in_parts(df: DataFrame, work: Callable[[DataFrame], DataFrame], path: str, key: str, parts: int = 16) -> DataFrame:
     """Slow work on a table, part by part: a restart goes on after the parts that were written.
 
-    Rows are dealt to ``parts`` by a hash of ``key``; ``work`` must treat rows independently.
+    Rows are dealt to ``parts`` files in one scan, and each is a batch of a stream; ``work``
+    must treat rows independently.
     """
-    deal = F.pmod(F.xxhash64(key), F.lit(parts))
-    done = [write_once(work(df.where(deal == i)), f"{path}/part-{i:05d}") for i in range(parts)]
-    return reduce(DataFrame.unionByName, done)
+    from ..streaming.resumable import scored
+
+    return scored(df, work, path, key, parts)

@@ -47,6 +47,25 @@ def test_against_numpy(spark):
         assert row.threshold == tau and row.recall == pytest.approx(y[p >= tau].sum() / y.sum() if tau is not None else 0.0)
 
 
+def test_thin_curves(spark):
+    """Collinear points go as in one sequential pass, and the area stays, also where scores are saturated."""
+    rng = np.random.default_rng(2)
+    models = {
+        "steps": (np.arange(300) // 30 % 2, np.arange(300) / 300), "ties": (rng.integers(0, 2, 300), np.round(rng.random(300), 1)), "one": (np.array([0, 1]), np.array([0.5, 0.5])),
+        "saturated": (rng.integers(0, 2, 300), 1 - 10.0 ** -rng.uniform(1, 15, 300)), "outside": (np.arange(9) % 2, np.arange(9) - 4.0),
+    }
+    rows = [(m, int(a), float(b)) for m, (y, p) in models.items() for a, b in zip(y, p, strict=True)]
+    got = curves.roc_points_thin(spark.createDataFrame(rows, "model string, y int, p double"), ["model"]).toPandas()
+    for m, (y, p) in models.items():
+        xs = np.unique(p)[::-1]
+        pos, neg = (np.array([((p == x) & (y == k)).sum() for x in xs]) for k in (1, 0))
+        keep = [i for i in range(len(xs)) if i in (0, len(xs) - 1) or (pos[i], neg[i]) != (pos[i + 1], neg[i + 1])]
+        mine = got[got.model == m].sort_values("p", ascending=False)
+        assert mine.p.tolist() == xs[keep].tolist(), m
+        area = np.trapezoid(np.r_[0, mine.tpr], np.r_[0, mine.fpr])
+        assert area == pytest.approx(kernels.auroc(y, p)), m
+
+
 def test_fairness_and_mcnemar(preds, spark):
     assert by_model(curves.fairness_gap(preds, ["model"], "model"))["a"].worst == ""
     ref = spark.createDataFrame([("one", "same")], "model string, reference string")
