@@ -99,9 +99,20 @@ def fan_out(df: DataFrame, transforms: dict[str, Callable[[Column], Column]], te
     return df.withColumn("_each", F.explode(each)).select(*df.columns, "_each.transform", f"_each.{out}")
 
 
+def attack_texts() -> list[str]:
+    """Every attack in each of the surface variants."""
+    return [p + (a.lower() if low else a) + s for a in fixed.ATTACKS for p, low, s in fixed.VARIANTS]
+
+
+def planted(number: Column, carrier: Column) -> Column:
+    """An attack text, chosen by a number in turn, before a carrier text (null counts as empty)."""
+    texts = attack_texts()
+    return F.concat(F.element_at(F.array(*map(F.lit, texts)), (F.pmod(number, F.lit(len(texts))) + 1).cast("int")), F.lit(" "), F.coalesce(carrier, F.lit("")))
+
+
 def attack_corpus(spark: SparkSession, size: int = 400) -> DataFrame:
     """Attack texts in ten surface variants, repeated in order up to ``size`` rows: ``ordinal, text``."""
-    base = [(i * len(fixed.VARIANTS) + j, p + (a.lower() if low else a) + s) for i, a in enumerate(fixed.ATTACKS) for j, (p, low, s) in enumerate(fixed.VARIANTS)]
+    base = list(enumerate(attack_texts()))
     rows = spark.createDataFrame(base, "n long, text string")
     again = F.sequence(F.lit(0), F.lit((size - 1) // len(base)))
     return rows.withColumn("r", F.explode(again)).select((F.col("r") * len(base) + F.col("n")).alias("ordinal"), "text").where(F.col("ordinal") < size)

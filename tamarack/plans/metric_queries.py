@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import coerce, features, perturb
 from ..operators import calibration, curves, integrity, reports, resampling, vectors
-from .base import AP_SQL, AUROC_SQL, PREDS, R6, ROBUST, curve_sql, lit, preds, prompts, query, robust_preds, table
+from .base import _TRANSFORMS_SQL, AP_SQL, AUROC_SQL, PREDS, R6, ROBUST, curve_sql, lit, preds, prompts, query, robust_preds, table
 
 _CURVE = f"WITH {PREDS}, {curve_sql('model')}"
 
@@ -370,9 +370,9 @@ def threshold_transfer(spark: SparkSession, d: str) -> DataFrame:
     return _tuned(preds(spark, d), "roc").groupBy("model", "lang").agg(F.sum("y").alias("n_pos"), F.sum(1 - F.col("y")).alias("n_neg"), R6(recall).alias("recall_at_thr"), R6(fpr).alias("realized_fpr"))
 
 
-@query(f"{_ROBUST_CURVE}, {_GRID} SELECT transform, min(model) AS first_model, round(avg(auroc), 4) AS mean, round(stddev_samp(auroc), 4) AS std FROM grid GROUP BY transform")
+@query(f"{_ROBUST_CURVE}, {_GRID} SELECT transform, min(model) AS first_model, round_even(avg(auroc), 4) AS mean, round_even(stddev_samp(auroc), 4) AS std FROM grid GROUP BY transform")
 def corpus_agg(spark: SparkSession, d: str) -> DataFrame:
-    return _grid(spark, d).groupBy("transform").agg(F.min("model").alias("first_model"), F.round(F.avg("auroc"), 4).alias("mean"), F.round(F.stddev_samp("auroc"), 4).alias("std"))
+    return _grid(spark, d).groupBy("transform").agg(F.min("model").alias("first_model"), F.bround(F.avg("auroc"), 4).alias("mean"), F.bround(F.stddev_samp("auroc"), 4).alias("std"))
 
 
 _ABL = f"{_SCORES}, ab AS (SELECT 'no_rules' AS ablation, 'HG_ALPHA_seed1' AS model, max(auroc) FILTER (WHERE model = 'HG_BETA_seed1') AS auroc FROM m UNION ALL SELECT 'only_transformer', 'HG_ALPHA_seed1', max(auroc) FILTER (WHERE model = 'regex_rules') FROM m), fm AS (SELECT coalesce((SELECT auroc FROM m WHERE model = 'HG_ALPHA_seed1'), (SELECT max(auroc) FROM ab)) AS f) SELECT ablation, CASE ablation WHEN 'no_rules' THEN 'Without Rules' WHEN 'only_transformer' THEN 'Only Transformer' ELSE 'Full Model' END AS label, round(f - auroc, 6) AS auroc_drop FROM (SELECT * FROM ab UNION ALL SELECT 'full_model', 'HG_ALPHA_seed1', f FROM fm) u, fm"
@@ -461,21 +461,20 @@ def recall_fold(spark: SparkSession, d: str) -> DataFrame:
     return out.select("model", *(R6(F.col(c)).alias(c) for c in ("perturbed", "canonical", "fold")), "headline")
 
 
-_BY_VARIANT = "grid AS (SELECT model, transform, {} AS auroc FROM c GROUP BY model, transform), rb AS (SELECT split_part(model, '_seed', 1) AS variant, avg(auroc) FILTER (WHERE transform <> 'none') AS robust FROM grid GROUP BY 1)".format(AUROC_SQL)
+_BY_VARIANT = "grid AS (SELECT model, transform, {} AS auroc FROM rc GROUP BY model, transform), rb AS (SELECT split_part(model, '_seed', 1) AS variant, avg(auroc) FILTER (WHERE transform <> 'none') AS robust FROM grid GROUP BY 1)".format(AUROC_SQL)
+_ROBUST_ROWS = f"{_TRANSFORMS_SQL}, robust AS ({ROBUST.split('preds AS (', 1)[1]}, " + curve_sql("model, transform", "robust").replace("g AS (", "rg AS (", 1).replace("c AS (SELECT", "rc AS (SELECT").replace("FROM g)", "FROM rg)")
 
 
 @query(
-    f"WITH {ROBUST}, {curve_sql('model, transform')}, {_BY_VARIANT}, own AS (SELECT split_part(model, '_seed', 1) AS variant, avg(auroc) FILTER (WHERE transform = 'none') AS auroc FROM grid GROUP BY 1) "
-    "SELECT variant, round(auroc, 6) AS auroc, round(robust, 6) AS robust, length(variant) * 0.5 AS latency, CAST(row_number() OVER (ORDER BY auroc DESC, robust DESC, length(variant), variant) AS INTEGER) AS place FROM own LEFT JOIN rb USING (variant)"
+    f"{_RESULTS}, {_ROBUST_ROWS}, {_BY_VARIANT}, own AS (SELECT variant, avg(auroc) AS auroc, avg(recall) AS recall, avg(realized_fpr) AS od, avg(ece) AS ece FROM results GROUP BY 1) "
+    "SELECT variant, round(auroc, 6) AS auroc, round(recall, 6) AS recall, round(od, 6) AS od, round(robust, 6) AS robust, CAST(row_number() OVER (ORDER BY auroc DESC, recall DESC, od, robust DESC, variant) AS INTEGER) AS place FROM own LEFT JOIN rb USING (variant)"
 )
 def robust_variant_rank(spark: SparkSession, d: str) -> DataFrame:
-    """Variants joined with their mean area under perturbation and a latency, ranked by all of them."""
+    """Variants by their test results and, joined to these, their mean area under perturbation."""
     v = coerce.parse_variant(F.col("model")).alias("variant")
-    grid = _grid(spark, d)
-    mean = lambda c, name: grid.where(c).groupBy(v).agg(F.avg("auroc").alias(name))
-    rows = mean(F.col("transform") == "none", "auroc").join(mean(F.col("transform") != "none", "robust"), "variant", "left")
-    rows = rows.withColumn("recall", F.lit(0.0)).withColumn("od", F.lit(0.0)).withColumn("latency", F.length("variant") * 0.5)
-    return reports.variant_rank(rows).select("variant", R6(F.col("auroc")).alias("auroc"), R6(F.col("robust")).alias("robust"), "latency", "place")
+    rows = _results(spark, d).groupBy("variant").agg(F.avg("auroc").alias("auroc"), F.avg("recall").alias("recall"), F.avg("realized_fpr").alias("od"))
+    robust = _grid(spark, d).where("transform <> 'none'").groupBy(v).agg(F.avg("auroc").alias("robust"))
+    return reports.variant_rank(rows.join(robust, "variant", "left")).select("variant", *(R6(F.col(c)).alias(c) for c in ("auroc", "recall", "od", "robust")), "place")
 
 
 @query(
@@ -656,13 +655,13 @@ def tfidf_logreg(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def retrieval_logreg(spark: SparkSession, d: str) -> DataFrame:
-    """Retrieval features, logistic regression and the veto."""
+    """Retrieval features, logistic regression and the veto; fitted on seven rows of ten, applied to the others."""
     from ..operators import models
 
     own = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), (F.col("label") % 2).cast("int").alias("label"))
     f = _rav(spark, d).join(own, "query_id")
-    model = models.features_logreg([c for c in f.columns if c not in ("query_id", "label")]).fit(f)
-    scored = models.probabilities(model, f)
+    model = models.features_logreg([c for c in f.columns if c not in ("query_id", "label")]).fit(f.where("query_id % 10 >= 3"))
+    scored = models.probabilities(model, f.where("query_id % 10 < 3"))
     return scored.select("query_id", F.round(vectors.veto(F.col("p"), F.col("margin")), 4).alias("p"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import coerce
 from ..operators import curves, reports
-from .base import _MODELS_SQL, _TRANSFORMS_SQL, MODELS, PREDS, TRANSFORMS, preds, query, table
+from .base import _TRANSFORMS_SQL, PREDS, TRANSFORMS, preds, query, table
 
 _PURPOSE = "CASE CAST(doc_id % 4 AS INTEGER) WHEN 0 THEN 'Main training set' WHEN 1 THEN 'Jailbreak probes' WHEN 2 THEN 'NotInject benign' ELSE 'held out' END"
 _SLUG = "CASE CAST(doc_id % 3 AS INTEGER) WHEN 0 THEN 'no_rules' WHEN 1 THEN 'only_rules' ELSE 'full_model' END"
@@ -19,11 +19,11 @@ def purpose_and_label(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", coerce.purpose_type(F.expr(_PURPOSE)).alias("kind"), coerce.ablation_label(F.expr(_SLUG)).alias("label"))
 
 
-@query(f"WITH {_MODELS_SQL}, {_TRANSFORMS_SQL} SELECT model, transform FROM models CROSS JOIN transforms")
+@query(f"WITH {PREDS}, {_TRANSFORMS_SQL}, n AS (SELECT model, lang, count(*) AS rows_to_score FROM preds GROUP BY 1, 2) SELECT model, lang, transform, rows_to_score FROM n CROSS JOIN transforms")
 def config_product(spark: SparkSession, d: str) -> DataFrame:
-    """Every detector under every condition: two fixed lists, as one array exploded twice."""
-    one = spark.range(1).select(F.explode(F.array(*(F.lit(m) for m, _ in MODELS))).alias("model"))
-    return one.select("model", F.explode(F.array(*(F.lit(t) for t, _ in TRANSFORMS))).alias("transform"))
+    """Every detector and language of the predictions under every condition, with the rows to score."""
+    found = preds(spark, d).groupBy("model", "lang").agg(F.count(F.lit(1)).alias("rows_to_score"))
+    return found.select("model", "lang", F.explode(F.array(*(F.lit(t) for t, _ in TRANSFORMS))).alias("transform"), "rows_to_score")
 
 
 @query(f"WITH {PREDS} SELECT model, row_id, CASE WHEN row_id % 3 = 0 THEN -1.0 ELSE CAST(row_id AS DOUBLE) END AS filled, CAST(NULL AS DOUBLE) AS latency FROM preds")
@@ -34,12 +34,12 @@ def backfill_numbers(spark: SparkSession, d: str) -> DataFrame:
     return reports.backfill(rows, ["filled", "latency"])
 
 
-@query(f"WITH {_MODELS_SQL}, o(model, place) AS (VALUES ('regex_rules', 1), ('HG_BETA_seed1', 2)) SELECT model, CAST(coalesce(place, 1000000000) AS INTEGER) AS place FROM models LEFT JOIN o USING (model)")
+@query(f"WITH {PREDS}, o(model, place) AS (VALUES ('regex_rules', 1), ('HG_BETA_seed1', 2)) SELECT model, round(avg(p), 6) AS mean_p, CAST(coalesce(max(place), 1000000000) AS INTEGER) AS place FROM preds LEFT JOIN o USING (model) GROUP BY model")
 def order_by_list(spark: SparkSession, d: str) -> DataFrame:
-    """Rank by a given list; names not on it come last."""
-    models = spark.range(1).select(F.explode(F.array(*(F.lit(m) for m, _ in MODELS))).alias("model"))
-    order = F.broadcast(spark.createDataFrame([("regex_rules", 1), ("HG_BETA_seed1", 2)], "model string, place int"))
-    return models.join(order, "model", "left").select("model", F.coalesce("place", F.lit(1_000_000_000)).alias("place"))
+    """The models of the predictions, ranked by a given list; names not on it come last."""
+    means = preds(spark, d).groupBy("model").agg(F.round(F.avg("p"), 6).alias("mean_p"))
+    order = F.broadcast(spark.createDataFrame([("regex_rules", 1), ("HG_BETA_seed1", 2)], "model string, place int"))  # two rows
+    return means.join(order, "model", "left").select("model", "mean_p", F.coalesce("place", F.lit(1_000_000_000)).alias("place"))
 
 
 @query(f"WITH {PREDS} SELECT model, round(max(CASE WHEN lang = 'en' THEN m END), 6) AS en, round(max(CASE WHEN lang = 'fr' THEN m END), 6) AS fr, round(max(CASE WHEN lang = 'de' THEN m END), 6) AS de FROM (SELECT model, lang, avg(p) AS m FROM preds GROUP BY 1, 2) GROUP BY model")

@@ -100,8 +100,11 @@ def token_recovery(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def recovery_report(spark: SparkSession, d: str) -> DataFrame:
-    """Mean word recovery over attack texts, by transform, before and after canonicalisation."""
-    rows = perturb.fan_out(perturb.attack_corpus(spark), perturb.script_transforms(F.col("ordinal")))
+    """Mean word recovery over users' turns with an attack before them, by transform, before and after canonicalisation."""
+    asked = table(spark, d, "conversations").where("role = 'user'")
+    number = F.col("conv_id") * 31 + F.col("turn")
+    texts = asked.select(number.alias("ordinal"), perturb.planted(number, F.col("text")).alias("text"))
+    rows = perturb.fan_out(texts, perturb.script_transforms(F.col("ordinal")))
     done = canonical.canonicalize(rows, "perturbed")
     plain = features.recovery_rate(F.col("text"), F.col("perturbed"))
     better = features.recovery_rate(F.col("text"), F.col("canonical_result.canonical"))
@@ -162,12 +165,10 @@ def perturb_fanout(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "transform", F.length("perturbed").cast("long").alias("n_chars"), F.md5(F.col("perturbed").cast("binary")).alias("digest"))
 
 
-_ATT = [(i * 10 + j, p + (a.lower() if low else a) + s) for i, a in enumerate(fixed.ATTACKS) for j, (p, low, s) in enumerate(fixed.VARIANTS)]
-
-
-@query("SELECT CAST(n + 200 * r AS BIGINT) AS ordinal, text FROM (VALUES " + ", ".join(f"({n}, {lit(t)})" for n, t in _ATT) + ") v(n, text), (VALUES (0), (1)) w(r)")
+@query("SELECT doc_id, a.text || ' ' || coalesce(d.text, '') AS text FROM documents d JOIN (VALUES " + ", ".join(f"({n}, {lit(t)})" for n, t in enumerate(perturb.attack_texts())) + f") a(n, text) ON doc_id % {len(perturb.attack_texts())} = n")
 def attack_corpus(spark: SparkSession, d: str) -> DataFrame:
-    return perturb.attack_corpus(spark)
+    """Every document with an attack before it, in turn."""
+    return table(spark, d, "documents").select("doc_id", perturb.planted(F.col("doc_id"), F.col("text")).alias("text"))
 
 
 # --- sanitising -------------------------------------------------------------------
