@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tamarack.llm import toxicity
 from tamarack.llm.queries import op2_toxicity
@@ -151,3 +152,21 @@ def test_no_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     g = toxicity.fit(docs, labels)
     assert g.stems == {} and g.score("calm") < 0.5
+
+
+def test_apostrophes_and_negative_pronouns():
+    grammar = toxicity.Grammar({"idiot": 1.0})
+    for said in ("you aren’t an idiot", "you aren't an idiot", "nobody is an idiot", "niemand ist ein idiot", "nadie es idiota"):
+        assert set(grammar.clause(next(grammar.clauses(said)))) <= {"insult_negated", "insult_negated_aimed"}, said
+    assert set(grammar.clause(next(grammar.clauses("you are an idiot")))) == {"insult_aimed"}
+    assert toxicity.words("Aren’t ’quoted’") == {"aren't", "quoted"}
+
+
+def test_cross_validation_sees_training_rows_only(spark):
+    """Labels of the held-out fold may say anything."""
+    texts = [f"word{i % 7} and so on. " + ("you idiot" if i % 2 else "fine day") for i in range(120)]
+    docs = table(spark, texts)
+    right = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, toxic int")
+    wrong = right.withColumn("toxic", F.when(toxicity.in_fold(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    a, b = (toxicity.cross_validated(docs, labels, (0.01,), folds=2) for labels in (right, wrong))
+    assert a == b == {0.01: 1.0}
