@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from hashlib import md5
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import LongType, StringType
 from pyspark.sql.window import Window
 
 from ..functions import fixed
@@ -55,14 +57,19 @@ def simhash64(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     has all bits set. Token bits are the first 64 of md5, so SQL engines agree.
     """
     words = F.slice(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(fixed.WORD + "+"), F.lit(0)), 1, SIMHASH_TOKENS)
-    long = df.select(key, F.explode_outer(words).alias("token"))
-    halves = [F.conv(F.substring(F.md5(F.col("token").cast("binary")), at, 8), 16, 10).cast("long") for at in (1, 9)]
-    bits = [F.sum(F.when(halves[i // 32].bitwiseAND(1 << (31 - i % 32)) != 0, 1).otherwise(-1)) >= 0 for i in range(64)]
-    votes = long.groupBy(key).agg(F.count("token").alias("n"), F.array(*bits).alias("bits"))
-    value = F.lit(0).cast("long")
-    for i in range(64):
-        value = value.bitwiseOR(F.when((F.col("n") == 0) | F.element_at("bits", i + 1), F.shiftleft(F.lit(1).cast("long"), 63 - i)).otherwise(F.lit(0).cast("long")))
-    return votes.select(key, value.alias("simhash"))
+    return df.select(key, _votes(words).alias("simhash"))
+
+
+@F.pandas_udf(LongType())
+def _votes(texts: pd.Series) -> pd.Series:
+    """The majority of the token digests at each of 64 bits, a tie counting as set; all bits without a token."""
+    out = np.full(len(texts), -1, np.int64)
+    for k, tokens in enumerate(texts):
+        if len(tokens):
+            raw = b"".join(md5(t.encode()).digest()[:8] for t in tokens)
+            votes = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+            out[k] = np.packbits(2 * votes >= len(tokens)).view(">i8")[0]
+    return pd.Series(out)
 
 
 def hamming64(a: Column, b: Column) -> Column:
@@ -75,12 +82,19 @@ def near_dup_pairs(hashes: DataFrame, key: str = "doc_id", bits: int = fixed.NEA
     One row ``a, b, distance, n_a, n_b, pairs`` for each pair of classes, named by their
     smallest keys (``a < b``) with their sizes and the number of row pairs they stand for;
     a class of several rows also has a row with itself, at distance 0. So copies are counted
-    and not multiplied; ``near_dup_members`` tells who is in a class.
+    and not multiplied; ``near_dup_members`` tells who is in a class. Fingerprints that differ
+    in ``most`` bits agree in one of ``most + 1`` parts of the bits behind the prefix, so the
+    join is on prefix and part.
     """
-    classes = hashes.groupBy("simhash").agg(F.min(key).alias("rep"), F.count(F.lit(1)).alias("n")).withColumn("block", F.shiftrightunsigned("simhash", 64 - bits))
-    x, y = classes.alias("x"), classes.alias("y")
+    classes = hashes.groupBy("simhash").agg(F.min(key).alias("rep"), F.count(F.lit(1)).alias("n"))
+    cuts = [64 - bits - (64 - bits) * i // (most + 1) for i in range(most + 2)]  # bits behind the prefix, in most + 1 parts
+    parts = [F.shiftrightunsigned(F.shiftleft("simhash", 64 - high), 64 - high + low) if high > low else F.lit(0).cast("long") for high, low in zip(cuts, cuts[1:], strict=False)]
+    keyed = classes.withColumn("block", F.shiftrightunsigned("simhash", 64 - bits)).withColumn("parts", F.array(*parts)).select("*", F.posexplode("parts").alias("i", "part"))
+    x, y = keyed.alias("x"), keyed.alias("y")
     far = hamming64(F.col("x.simhash"), F.col("y.simhash"))
-    near = x.join(y, (F.col("x.block") == F.col("y.block")) & (F.col("x.rep") < F.col("y.rep"))).select(
+    same = (F.col("x.block") == F.col("y.block")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.part") == F.col("y.part"))
+    first = F.col("x.i") == F.array_position(F.zip_with("x.parts", "y.parts", lambda a, b: a == b), F.lit(True)) - 1  # a pair may share several parts
+    near = x.join(y, same & (F.col("x.rep") < F.col("y.rep"))).where(first).select(
         F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), far.alias("distance"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"), (F.col("x.n") * F.col("y.n")).alias("pairs")
     )
     own = classes.where("n > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(0).alias("distance"), F.col("n").alias("n_a"), F.col("n").alias("n_b"), F.expr("n * (n - 1) div 2").alias("pairs"))

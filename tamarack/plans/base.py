@@ -25,6 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, dealt anew by id where the file gives fewer tasks than there are cores.
+
+    A file of one row group is one task, whatever is to be done with its texts. A table of
+    many files is left as it is: its texts are not shuffled.
+    """
+    df, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores, "doc_id") if df.rdd.getNumPartitions() <= cores else df
+
+
 def lit(s: str) -> str:
     """An SQL string literal."""
     return "'" + s.replace("'", "''") + "'"
@@ -40,7 +50,7 @@ PROMPTS = f"""prompts AS (
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = documents(spark, sf_dir)
     text = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit(PHRASE_A), "text")).when(F.col("doc_id") % 7 == 0, F.concat(F.lit(PHRASE_B), "text")).otherwise(F.col("text"))
     return d.select("doc_id", "lang", "source", text.alias("text"))
 

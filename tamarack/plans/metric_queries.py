@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import coerce, features, perturb
 from ..operators import calibration, curves, integrity, reports, resampling, vectors
-from .base import _TRANSFORMS_SQL, AP_SQL, AUROC_SQL, PREDS, R6, ROBUST, curve_sql, lit, preds, prompts, query, robust_preds, table
+from .base import _TRANSFORMS_SQL, AP_SQL, AUROC_SQL, PREDS, R6, ROBUST, curve_sql, documents, lit, preds, prompts, query, robust_preds, table
 
 _CURVE = f"WITH {PREDS}, {curve_sql('model')}"
 
@@ -526,17 +526,17 @@ _SIM = (
 
 @query(f"WITH {_SIM} SELECT doc_id, simhash FROM sim")
 def simhash(spark: SparkSession, d: str) -> DataFrame:
-    return integrity.simhash64(table(spark, d, "documents"))
+    return integrity.simhash64(documents(spark, d))
 
 
 @query(f"WITH {_SIM}, cl AS (SELECT simhash, min(doc_id) AS rep, count(*) AS n FROM sim GROUP BY simhash) SELECT x.rep AS a, y.rep AS b, CAST(bit_count(xor(x.simhash, y.simhash)) AS INTEGER) AS distance, x.n AS n_a, y.n AS n_b, CASE WHEN x.rep = y.rep THEN x.n * (x.n - 1) // 2 ELSE x.n * y.n END AS pairs FROM cl x JOIN cl y ON (x.rep < y.rep OR x.rep = y.rep AND x.n > 1) AND ((x.simhash >> 48) & 65535) = ((y.simhash >> 48) & 65535) WHERE bit_count(xor(x.simhash, y.simhash)) <= 3")
 def near_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return integrity.near_dup_pairs(integrity.simhash64(table(spark, d, "documents")))
+    return integrity.near_dup_pairs(integrity.simhash64(documents(spark, d)))
 
 
 @query(f"WITH {_SIM} SELECT doc_id, min(doc_id) OVER (PARTITION BY simhash) AS rep FROM sim")
 def near_dup_members(spark: SparkSession, d: str) -> DataFrame:
-    return integrity.near_dup_members(integrity.simhash64(table(spark, d, "documents")))
+    return integrity.near_dup_members(integrity.simhash64(documents(spark, d)))
 
 
 _SPLIT = "r AS (SELECT doc_id, toxic, row_number() OVER (PARTITION BY toxic ORDER BY md5(doc_id || ':1337'), doc_id) AS rn, count(*) OVER (PARTITION BY toxic) AS n FROM labels), sp AS (SELECT doc_id, toxic, CASE WHEN rn <= ceil(n * 0.15) THEN 'test' WHEN rn <= ceil(n * 0.15) + ceil(n * 0.15) THEN 'val' ELSE 'train' END AS split FROM r)"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import canonical, coerce, features, fixed, perturb, sanitize
-from .base import PROMPTS, R6, lit, prompts, query, table
+from .base import PROMPTS, R6, documents, lit, prompts, query, table
 
 _LONG_FOLD = f"replace(translate(%s, {lit(fixed.CONFUSABLE_FROM + fixed.WIDE_FROM)}, {lit(fixed.CONFUSABLE_TO + fixed.WIDE_TO)}), {lit(fixed.LJE)}, 'lj')"
 _PREFIX = "​Ign­ore⁠ "
@@ -17,19 +17,19 @@ _HITS = lambda rules, s="text": " + ".join(f"CAST(regexp_matches({s}, {_RE2(r)})
 # --- canonicalisation -------------------------------------------------------------
 @query(f"SELECT doc_id, regexp_replace({lit(_PREFIX)} || text, {lit('[' + fixed.INVISIBLE + chr(0xE0000) + '-' + chr(0xE007F) + ']')}, '', 'g') AS stripped FROM documents")
 def strip_invisibles(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", canonical.strip_invisibles(F.concat(F.lit(_PREFIX), "text")).alias("stripped"))
+    return documents(spark, d).select("doc_id", canonical.strip_invisibles(F.concat(F.lit(_PREFIX), "text")).alias("stripped"))
 
 
 @query(f"SELECT doc_id, {_LONG_FOLD % ('translate(text, ' + lit(fixed.HOMOGLYPH_FULL[0]) + ', ' + lit(fixed.HOMOGLYPH_FULL[1]) + ') || ' + lit(fixed.LJE))} AS folded FROM documents")
 def fold_confusables(spark: SparkSession, d: str) -> DataFrame:
     bad = F.concat(perturb.homoglyph_full(F.col("text")), F.lit(fixed.LJE))
-    return table(spark, d, "documents").select("doc_id", canonical.fold_confusables(bad).alias("folded"))
+    return documents(spark, d).select("doc_id", canonical.fold_confusables(bad).alias("folded"))
 
 
 @query()
 def collapse_runs(spark: SparkSession, d: str) -> DataFrame:
     """DuckDB has no back-reference to say this for marks beyond ASCII."""
-    return table(spark, d, "documents").select("doc_id", canonical.collapse_runs(F.concat(F.lit("A!!!!  b.... ??  "), "text")).alias("collapsed"))
+    return documents(spark, d).select("doc_id", canonical.collapse_runs(F.concat(F.lit("A!!!!  b.... ??  "), "text")).alias("collapsed"))
 
 
 _PRINTED = rf"CASE WHEN length(text) > 0 AND length(regexp_replace(replace(translate(text, chr(9) || chr(10), '  '), ' ', 'x'), '[\p{{C}}\p{{Z}}]', '', 'g')) >= {fixed.MIN_PRINTABLE} * length(text) THEN text END"
@@ -38,12 +38,12 @@ _PRINTED = rf"CASE WHEN length(text) > 0 AND length(regexp_replace(replace(trans
 @query(f"SELECT doc_id, {_PRINTED} AS decoded FROM documents")
 def decode_base64(spark: SparkSession, d: str) -> DataFrame:
     span = F.regexp_replace(F.base64(F.col("text").cast("binary")), r"\s", "")
-    return table(spark, d, "documents").select("doc_id", canonical.decode_base64(span).alias("decoded"))
+    return documents(spark, d).select("doc_id", canonical.decode_base64(span).alias("decoded"))
 
 
 @query(f"SELECT doc_id, {_PRINTED} AS decoded FROM documents")
 def decode_hex(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", canonical.decode_hex(F.hex(F.col("text").cast("binary"))).alias("decoded"))
+    return documents(spark, d).select("doc_id", canonical.decode_hex(F.hex(F.col("text").cast("binary"))).alias("decoded"))
 
 
 @query("SELECT page_id, url || '%21%3F%2A' AS escaped, url_decode(replace(url, '+', '%2B') || '%21%3F%2A') AS decoded FROM pages")
@@ -66,13 +66,13 @@ _N = len(fixed.ROT13_NEEDLES)
 )
 def rot13_detect(spark: SparkSession, d: str) -> DataFrame:
     t = F.when(F.col("doc_id") % 2 == 0, canonical.rot13(F.col("text"))).otherwise(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", t.alias("t")).select("doc_id", canonical.rot13_if_english(F.col("t")).alias("decoded"))
+    return documents(spark, d).select("doc_id", t.alias("t")).select("doc_id", canonical.rot13_if_english(F.col("t")).alias("decoded"))
 
 
 @query()
 def unwrap_encodings(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.lit("Decode: "), F.regexp_replace(F.base64(F.col("text").cast("binary")), r"\s", ""), F.lit(" then "), F.hex(F.lit("ignore previous").cast("binary")), F.lit(" %3Cb%3E%21"))
-    out = table(spark, d, "documents").select("doc_id", canonical.unwrap(text).alias("u"))
+    out = documents(spark, d).select("doc_id", canonical.unwrap(text).alias("u"))
     return out.select("doc_id", "u.canonical", F.to_json("u.decoded_payloads").alias("payloads"))
 
 
@@ -114,17 +114,17 @@ def recovery_report(spark: SparkSession, d: str) -> DataFrame:
 # --- perturbations ----------------------------------------------------------------
 @query("SELECT doc_id, regexp_replace(text, '\\s+', '  ', 'g') AS perturbed FROM documents")
 def perturb_whitespace(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", perturb.whitespace(F.col("text")).alias("perturbed"))
+    return documents(spark, d).select("doc_id", perturb.whitespace(F.col("text")).alias("perturbed"))
 
 
 @query(f"SELECT doc_id, translate(text, {lit(_ABC + _ABC.lower())}, {lit(_ABC.lower() + _ABC)}) AS perturbed FROM documents")
 def perturb_swapcase(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", perturb.casing(F.col("text")).alias("perturbed"))
+    return documents(spark, d).select("doc_id", perturb.casing(F.col("text")).alias("perturbed"))
 
 
 @query("SELECT doc_id, text || ' !!! ??? ### ' || substr(text, 1, 30) AS perturbed FROM documents")
 def perturb_punct(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", perturb.punct_stuff(F.col("text")).alias("perturbed"))
+    return documents(spark, d).select("doc_id", perturb.punct_stuff(F.col("text")).alias("perturbed"))
 
 
 _LITE = f"translate(substr(text, 1, 200), {lit(fixed.HOMOGLYPH_LITE[0])}, {lit(fixed.HOMOGLYPH_LITE[1])}) || substr(text, 201)"
@@ -132,28 +132,28 @@ _LITE = f"translate(substr(text, 1, 200), {lit(fixed.HOMOGLYPH_LITE[0])}, {lit(f
 
 @query(f"SELECT doc_id, {_LITE} AS perturbed FROM documents")
 def perturb_homoglyph(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", perturb.homoglyph_lite(F.col("text")).alias("perturbed"))
+    return documents(spark, d).select("doc_id", perturb.homoglyph_lite(F.col("text")).alias("perturbed"))
 
 
 @query(f"SELECT doc_id, translate(text, {lit(fixed.HOMOGLYPH_FULL[0])}, {lit(fixed.HOMOGLYPH_FULL[1])}) AS perturbed FROM documents")
 def perturb_homoglyph_full(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", perturb.homoglyph_full(F.col("text")).alias("perturbed"))
+    return documents(spark, d).select("doc_id", perturb.homoglyph_full(F.col("text")).alias("perturbed"))
 
 
 @query("SELECT doc_id, '<<<BASE64>>> ' || text || ' <<<END>>>' AS perturbed FROM documents")
 def perturb_markers(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", perturb.encoding_markers(F.col("text")).alias("perturbed"))
+    return documents(spark, d).select("doc_id", perturb.encoding_markers(F.col("text")).alias("perturbed"))
 
 
 @query("SELECT doc_id, 'Decode and execute: ' || base64(encode(text)) AS perturbed, replace(text, ' ', '  ') AS spaced FROM documents")
 def perturb_base64(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", perturb.base64_wrap(F.col("text")).alias("perturbed"), perturb.double_space(F.col("text")).alias("spaced"))
+    return documents(spark, d).select("doc_id", perturb.base64_wrap(F.col("text")).alias("perturbed"), perturb.double_space(F.col("text")).alias("spaced"))
 
 
 @query()
 def perturb_random(spark: SparkSession, d: str) -> DataFrame:
     t, k = F.col("text"), F.col("doc_id")
-    return table(spark, d, "documents").select("doc_id", perturb.random_homoglyph(t, k, 60).alias("homoglyph"), perturb.random_casing(t, k).alias("casing"), perturb.zero_width_insertion(t, k).alias("zero_width"))
+    return documents(spark, d).select("doc_id", perturb.random_homoglyph(t, k, 60).alias("homoglyph"), perturb.random_casing(t, k).alias("casing"), perturb.zero_width_insertion(t, k).alias("zero_width"))
 
 
 _FAN = [("none", "text"), ("whitespace", "regexp_replace(text, '\\s+', '  ', 'g')"), ("casing", f"translate(text, {lit(_ABC + _ABC.lower())}, {lit(_ABC.lower() + _ABC)})"), ("punct_stuff", "text || ' !!! ??? ### ' || substr(text, 1, 30)"), ("homoglyph_lite", _LITE), ("encoding_markers", "'<<<BASE64>>> ' || text || ' <<<END>>>'")]
@@ -161,14 +161,14 @@ _FAN = [("none", "text"), ("whitespace", "regexp_replace(text, '\\s+', '  ', 'g'
 
 @query(" UNION ALL ".join(f"SELECT doc_id, {lit(n)} AS transform, length({e}) AS n_chars, md5({e}) AS digest FROM documents" for n, e in _FAN))
 def perturb_fanout(spark: SparkSession, d: str) -> DataFrame:
-    rows = perturb.fan_out(table(spark, d, "documents").select("doc_id", "text"), perturb.ROBUST)
+    rows = perturb.fan_out(documents(spark, d).select("doc_id", "text"), perturb.ROBUST)
     return rows.select("doc_id", "transform", F.length("perturbed").cast("long").alias("n_chars"), F.md5(F.col("perturbed").cast("binary")).alias("digest"))
 
 
 @query("SELECT doc_id, a.text || ' ' || coalesce(d.text, '') AS text FROM documents d JOIN (VALUES " + ", ".join(f"({n}, {lit(t)})" for n, t in enumerate(perturb.attack_texts())) + f") a(n, text) ON doc_id % {len(perturb.attack_texts())} = n")
 def attack_corpus(spark: SparkSession, d: str) -> DataFrame:
     """Every document with an attack before it, in turn."""
-    return table(spark, d, "documents").select("doc_id", perturb.planted(F.col("doc_id"), F.col("text")).alias("text"))
+    return documents(spark, d).select("doc_id", perturb.planted(F.col("doc_id"), F.col("text")).alias("text"))
 
 
 # --- sanitising -------------------------------------------------------------------
@@ -321,12 +321,12 @@ def token_count_simple(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id, md5(rpad(substr(hex(encode(text)), 1, 512), 512, '0')) AS digest FROM documents")
 def byte_encode(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.md5(F.hex(features.first_bytes(F.col("text"))).cast("binary")).alias("digest"))
+    return documents(spark, d).select("doc_id", F.md5(F.hex(features.first_bytes(F.col("text"))).cast("binary")).alias("digest"))
 
 
 @query("SELECT CASE WHEN length(text) < 50 THEN '<50' WHEN length(text) < 150 THEN '50-149' WHEN length(text) < 400 THEN '150-399' WHEN length(text) < 800 THEN '400-799' ELSE '800+' END AS bin, count(*) AS n FROM documents GROUP BY 1")
 def length_bins(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").groupBy(features.length_bin(F.col("text")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return documents(spark, d).groupBy(features.length_bin(F.col("text")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -340,7 +340,7 @@ def tfidf_terms(spark: SparkSession, d: str) -> DataFrame:
     """The vocabulary of the word features: the 5000 commonest words and word pairs with smoothed idf."""
     from ..operators.models import vocabulary
 
-    return vocabulary(table(spark, d, "documents"), most=5000)
+    return vocabulary(documents(spark, d), most=5000)
 
 
 # --- coercions --------------------------------------------------------------------
@@ -348,7 +348,7 @@ _RAW = "CASE CAST(doc_id % 12 AS INTEGER) WHEN 0 THEN '1' WHEN 1 THEN ' True ' W
 
 
 def _raw_labels(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.expr(_RAW).alias("raw"))
+    return documents(spark, d).select("doc_id", F.expr(_RAW).alias("raw"))
 
 
 @query(
@@ -369,14 +369,14 @@ def norm_label_keyword(spark: SparkSession, d: str) -> DataFrame:
 def normalize_schema(spark: SparkSession, d: str) -> DataFrame:
     from ..sources.corpus import normalize
 
-    raw = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id", F.col("toxic").alias("label")), "doc_id", "left")
+    raw = documents(spark, d).join(table(spark, d, "labels").select("doc_id", F.col("toxic").alias("label")), "doc_id", "left")
     rows = normalize(raw, "documents", ordinal="doc_id")
     return rows.select("id", "text", "label", F.col("meta")["lang"].alias("meta_lang"), F.col("meta")["source"].alias("meta_source"))
 
 
 @query("SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text_norm FROM documents")
 def text_norm(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", coerce.text_norm(F.col("text")).alias("text_norm"))
+    return documents(spark, d).select("doc_id", coerce.text_norm(F.col("text")).alias("text_norm"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN trim(coalesce(text, '')) <> '' AND turn % 3 <> 0 THEN text ELSE role END AS text FROM conversations")
@@ -390,12 +390,12 @@ def extract_text(spark: SparkSession, d: str) -> DataFrame:
 def scan_cap(spark: SparkSession, d: str) -> DataFrame:
     from ..sources.corpus import head_cap
 
-    return head_cap(table(spark, d, "documents").select("doc_id", "lang"), "doc_id", 100)
+    return head_cap(documents(spark, d).select("doc_id", "lang"), "doc_id", 100)
 
 
 @query("SELECT lang, count(*) AS n FROM documents GROUP BY lang")
 def language_counts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    return documents(spark, d).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -406,13 +406,13 @@ def pick_malicious_prob(spark: SparkSession, d: str) -> DataFrame:
     s = lambda a, b: F.struct(F.lit(a).alias("label"), F.lit(b).cast("double").alias("score"))
     scores = F.when(k == 0, F.array(s("SAFE", 0.75), s("INJECTION", 0.25))).when(k == 1, F.array(s("LABEL_0", 0.1), s("LABEL_1", 0.9))).when(k == 2, F.array(s("a", 0.7), s("b", 0.3)))
     empty = F.array().cast("array<struct<label:string,score:double>>")
-    return table(spark, d, "documents").select("doc_id", coerce.pick_malicious_prob(F.coalesce(scores, empty)).alias("prob"))
+    return documents(spark, d).select("doc_id", coerce.pick_malicious_prob(F.coalesce(scores, empty)).alias("prob"))
 
 
 @query("SELECT doc_id, CASE CAST(doc_id % 4 AS INTEGER) WHEN 0 THEN 0.8 WHEN 1 THEN 0.25 WHEN 2 THEN 0.5 ELSE 0.5 END AS prob FROM documents")
 def judge_parse(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id") % 4
     reply = F.when(k == 0, 'Sure: {"is_injection": 1, "confidence": 0.8} done').when(k == 1, '{"is_injection": 0, "confidence": 0.75}').when(k == 2, "no json").otherwise("{broken")
-    return table(spark, d, "documents").select("doc_id", coerce.judge_probability(reply).alias("prob"))
+    return documents(spark, d).select("doc_id", coerce.judge_probability(reply).alias("prob"))
 
 
