@@ -179,7 +179,8 @@ class Lexicon:
 
 def lowered(text: str) -> str:
     """Lower case, with typographic apostrophes inside words as plain ones."""
-    return _APOSTROPHE.sub("'", text.lower())
+    low = text.lower()
+    return _APOSTROPHE.sub("'", low) if "’" in low or "ʼ" in low or "‘" in low else low
 
 
 def words(text: str | None) -> set[str]:
