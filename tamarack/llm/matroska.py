@@ -2,8 +2,9 @@
 
 The reader walks variable-length EBML elements (unknown sizes included), clusters, simple
 blocks and block groups, undoes Xiph, fixed-size and EBML lacing, and gives one row per
-packet with its track, timestamp and byte range in the file; cue points are read and
-checked against cluster positions. The writer stores a payload losslessly as 8-bit mono
+packet with its track, timestamp and byte range in the file; cue points are read, each
+with all its track positions, and checked against cluster positions. Damage ends the
+reading of its file alone and is told in a column. The writer stores a payload losslessly as 8-bit mono
 PCM samples, 512 to a frame, several frames laced in a block.
 """
 
@@ -112,10 +113,10 @@ class Packet:
 class Media:
     packets: list[Packet] = field(default_factory=list)
     tracks: dict[int, dict[str, object]] = field(default_factory=dict)
-    cues: list[tuple[int, int, int]] = field(default_factory=list)  # time, track, cluster position in the file
+    cues: list[tuple[int, int, int]] = field(default_factory=list)  # milliseconds, track, cluster position in the file
     clusters: list[int] = field(default_factory=list)
     scale: int = 1_000_000
-    duration: float = 0.0
+    duration: float = 0.0  # milliseconds
 
 
 def read_vint(data: bytes, at: int, keep: bool = False) -> tuple[int, int, int]:
@@ -160,14 +161,24 @@ def unlace(data: bytes, at: int, end: int, kind: int) -> list[tuple[int, int]]:
 
 
 def demux(data: bytes) -> Media:
-    """Packet table, tracks and cues of a Matroska file.
+    """Packet table, tracks and cues of a whole Matroska file; ``ValueError`` if it is damaged."""
+    media, error = read(data)
+    if error:
+        raise ValueError(error)
+    return media
+
 
-    Frames of a lace follow each other by the track's default duration, else by an even
+def read(data: bytes) -> tuple[Media, str | None]:
+    """Packet table, tracks and cues of a Matroska file up to its first damage, and what that is.
+
+    A cue point may name positions in several tracks, before or after its time; each is a
+    cue of its own. Times are in milliseconds, whatever the file's scale. Frames of a lace follow each other by the track's default duration, else by an even
     share of the block's own duration, else they share a timestamp. A simple block says by
     a flag whether it is a key frame, a block of a group by having no reference to others.
     """
     media = Media()
-    segment, cluster_time = 0, 0
+    segment, cluster_time, ticks = 0, 0, 0.0
+    points: list[tuple[int, dict[str, object]]] = []
 
     def block(at: int, end: int, simple: bool, duration: int | None = None, refers: bool = False) -> None:
         track, at, _ = read_vint(data, at)
@@ -183,7 +194,7 @@ def demux(data: bytes) -> Media:
             media.packets.append(Packet(track, (begin + i * step) // MS, s, e, key, own // MS if step else None))
 
     def walk(at: int, end: int, parent: dict[str, object]) -> None:
-        nonlocal segment, cluster_time
+        nonlocal segment, cluster_time, ticks
         while at < end:
             begin = at
             kind, at, _ = read_vint(data, at, True)
@@ -217,9 +228,14 @@ def demux(data: bytes) -> Media:
                 if "block" in group:
                     block(*group["block"], False, group.get("block_duration"), "reference" in group)
             elif kind == CUE_POINT:
-                cue: dict[str, object] = {}
-                walk(at, stop, cue)
-                media.cues.append((int(cue.get("time", 0)), int(cue.get("track", 0)), segment + int(cue.get("cluster", 0))))
+                point: dict[str, object] = {}
+                first = len(points)
+                walk(at, stop, point)
+                points[first:] = [(base, {**point, **place}) for base, place in points[first:]]
+            elif kind == CUE_POSITIONS:
+                place: dict[str, object] = {}
+                walk(at, stop, place)
+                points.append((segment, place))
             elif kind in MASTERS:
                 walk(at, stop, parent)
             elif kind == SIMPLE_BLOCK:
@@ -229,19 +245,30 @@ def demux(data: bytes) -> Media:
             elif kind == TIMESTAMP:
                 cluster_time = int.from_bytes(own, "big")
             elif kind == SCALE:
-                media.scale = int.from_bytes(own, "big")
+                media.scale = int.from_bytes(own, "big") or MS
             elif kind == DURATION:
-                media.duration = struct.unpack(">d" if len(own) == 8 else ">f", own)[0]
+                ticks = _float(own)
             elif kind in _NUMBERS:
                 parent[_NUMBERS[kind]] = int.from_bytes(own, "big")
             elif kind == RATE:
-                parent["rate"] = struct.unpack(">d" if len(own) == 8 else ">f", own)[0]
+                parent["rate"] = _float(own)
             elif kind == CODEC:
                 parent["codec"] = own.decode()
             at = stop
 
-    walk(0, len(data), {})
-    return media
+    error = None
+    try:
+        walk(0, len(data), {})
+    except (ValueError, IndexError, struct.error, RecursionError) as e:
+        error = str(e) if isinstance(e, ValueError) else f"broken element ({type(e).__name__})"
+    media.duration = ticks * media.scale / MS
+    media.cues = [(int(p.get("time", 0)) * media.scale // MS, int(p.get("track", 0)), base + int(p.get("cluster", 0))) for base, p in points]
+    return media, error
+
+
+def _float(data: bytes) -> float:
+    """An EBML float: four or eight bytes, or none for 0."""
+    return struct.unpack(">d" if len(data) == 8 else ">f", data)[0] if data else 0.0
 
 
 _NUMBERS = {TRACK_NUMBER: "number", TRACK_TYPE: "type", CHANNELS: "channels", BIT_DEPTH: "bits", CUE_TIME: "time", CUE_TRACK: "track", CUE_CLUSTER: "cluster"}
@@ -261,8 +288,9 @@ def padded(text: str | None) -> bytes:
 def store(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, media``: each text as a Matroska file in a binary column.
 
-    A null or empty text has the payload of 64 zero bytes. Extra columns are ignored; an
-    empty table gives an empty result; equal texts give equal files.
+    A null or empty text has the payload of 64 zero bytes; a very long one is one file of
+    many clusters. Extra columns are ignored; an empty table gives an empty result; equal
+    texts give equal files.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,52 +304,64 @@ def store(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-PACKET_SCHEMA = "doc_id long, track int, packet int, timestamp_ms long, start long, end long, keyframe boolean, duration_ms long"
+PACKET_SCHEMA = "doc_id long, track long, packet int, timestamp_ms long, start long, end long, keyframe boolean, duration_ms long, error string"
 
 
 def packets(media: DataFrame) -> DataFrame:
-    """The packet table of a media column: one row per packet. Null files have no packets."""
+    """The packet table of a media column: one row per packet.
+
+    Null files have no packets. A damaged file has those before its damage and one more row,
+    null but for ``doc_id`` and ``error``. Files of any length are read whole; equal files
+    give equal rows. Extra columns are ignored; an empty table gives an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for doc, data in zip(b["doc_id"].to_pylist(), b["media"], strict=True):
-                ps = demux(data.as_py()).packets if data.is_valid else []
-                cols = [[doc] * len(ps), [p.track for p in ps], list(range(len(ps))), [p.timestamp for p in ps], [p.start for p in ps], [p.end for p in ps], [p.keyframe for p in ps], [p.duration for p in ps]]
-                types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()]
-                names = ["doc_id", "track", "packet", "timestamp_ms", "start", "end", "keyframe", "duration_ms"]
+                got, error = read(data.as_py()) if data.is_valid else (Media(), None)
+                rows = [(doc, p.track, i, p.timestamp, p.start, p.end, p.keyframe, p.duration, None) for i, p in enumerate(got.packets)]
+                rows += [(doc, *[None] * 7, error)] if error else []
+                cols = list(zip(*rows, strict=True)) or [()] * 9
+                types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.string()]
+                names = ["doc_id", "track", "packet", "timestamp_ms", "start", "end", "keyframe", "duration_ms", "error"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
     return media.select("doc_id", "media").mapInArrow(run, PACKET_SCHEMA)
 
 
-def digest(data: bytes) -> tuple[int, str, int, int, str, str]:
-    """What a stored file holds, from its bytes alone."""
-    media = demux(data)
-    if any(c[2] not in media.clusters for c in media.cues):
-        raise ValueError("a cue points past the clusters")
+def digest(data: bytes) -> tuple[int | None, str | None, int | None, int, str, str | None, str | None]:
+    """What a stored file holds, from its bytes alone; of a damaged one its own size and sum, and the damage."""
+    media, error = read(data)
+    known = set(media.clusters)
+    if not error and any(c[2] not in known for c in media.cues):
+        error = "a cue points past the clusters"
+    whole = len(data), hashlib.sha256(data).hexdigest()
+    if error:
+        return None, None, None, *whole, None, error
     payload = payload_of(data, media)
     last = media.packets[-1] if media.packets else Packet(0, 0, 0, 0, False)
     mean = sum(payload) / max(1, len(payload))
     feature = f"packets={len(media.packets)};clusters={len(media.clusters)};cues={len(media.cues)};last_ms={last.timestamp};last_range={last.start}-{last.end};mean={mean:.6f}"
-    return len(payload), hashlib.sha256(payload).hexdigest(), crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature
+    return len(payload), hashlib.sha256(payload).hexdigest(), crc32(payload[-64:]), *whole, feature, None
 
 
-DIGEST_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+DIGEST_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
 
 
 def digests(media: DataFrame) -> DataFrame:
     """Per file of a media column: what its packets hold, read back from the stored bytes.
 
-    A null file has nulls only; one without packets has an empty payload. Files of any
+    A null file has nulls only; one without packets has an empty payload. A damaged file has
+    an ``error`` and, beside that, ``media_bytes`` and ``media_sha256`` alone. Files of any
     length are read whole; equal files give equal rows. Extra columns are ignored, whatever
     their names; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = list(zip(*(digest(d.as_py()) if d.is_valid else (None,) * 6 for d in b["media"]), strict=True)) or [()] * 6
-            types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+            rows = list(zip(*(digest(d.as_py()) if d.is_valid else (None,) * 7 for d in b["media"]), strict=True)) or [()] * 7
+            types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+            names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"]
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["n_bytes"], *(pa.array(c, t) for c, t in zip(rows, types, strict=True))], ["doc_id", "n_bytes", *names])
 
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, DIGEST_SCHEMA)

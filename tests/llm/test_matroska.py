@@ -152,3 +152,46 @@ def test_null_files(spark):
     got = rows(M.digests(df))
     assert got.payload_bytes.isna().tolist() == [True, False] and got.payload_bytes[1] == 0 and got.feature[0] is None
     assert M.packets(df).count() == 0
+
+
+def foreign(scale, *points):
+    """A file whose cues lie before its clusters, as other writers put them, each time with positions in several tracks."""
+    block = M.element(M.SIMPLE_BLOCK, M.vint(1) + struct.pack(">hB", 0, 0x80) + b"abc")
+    clusters = [M.element(M.CLUSTER, M.uint(M.TIMESTAMP, 100 * i) + block) for i in (1, 2)]
+    info = M.element(M.INFO, M.uint(M.SCALE, scale) + M.element(M.DURATION, struct.pack(">f", 300.0)))
+    position = lambda track, at: M.element(M.CUE_POSITIONS, M.element(M.CUE_TRACK, bytes([track])) + M.element(M.CUE_CLUSTER, at.to_bytes(4, "big")))
+    cues = lambda at: M.element(M.CUES, b"".join(M.element(M.CUE_POINT, b"".join(
+        [M.uint(M.CUE_TIME, time)] * (not late) + [position(t, at(c)) for t, c in where] + [M.uint(M.CUE_TIME, time)] * late)) for time, where, late in points))
+    size = len(info) + len(cues(lambda c: 0))
+    body = info + cues(lambda c: size + len(clusters[0]) * c) + b"".join(clusters)
+    return M.element(M.EBML, b"") + M.element(M.SEGMENT, body)
+
+
+def test_cues_of_other_writers():
+    data = foreign(500_000, (100, [(1, 0), (2, 0)], False), (200, [(2, 1), (1, 1), (3, 0)], True))
+    media = M.demux(data)
+    a, b = media.clusters
+    assert media.cues == [(50, 1, a), (50, 2, a), (100, 2, b), (100, 1, b), (100, 3, a)]
+    assert media.duration == 150.0 and [p.timestamp for p in media.packets] == [50, 100]
+    assert "cues=5;" in M.digest(data)[5]
+    assert M.digest(foreign(500_000, (100, [(1, 7)], False)))[-1] == "a cue points past the clusters"
+
+
+def test_damaged_files_do_not_stop_the_job(spark):
+    whole = M.mux(bytes(range(256)) * 1000)
+    rng = random.Random(3)
+    bad = [whole[:-10], foreign(1_000_000, (1, [(1, 9)], False)), b"\0" * 50, b"no media", whole[:70], M._id(M.SEGMENT) + M.vint(5, 8) * 400]
+    for _ in range(300):
+        broken = bytearray(whole[:3000])
+        for _ in range(rng.randrange(1, 6)):
+            broken[rng.randrange(3000)] = rng.randrange(256)
+        M.read(bytes(broken))  # any damage is told, none raises
+    df = spark.createDataFrame([(i, 0, m, "x") for i, m in enumerate([whole, *bad])], "doc_id long, n_bytes long, media binary, error string")
+    got = rows(M.digests(df))
+    assert got.error.isna().tolist() == [True] + [False] * len(bad)
+    assert got.payload_bytes.isna().tolist() == [False] + [True] * len(bad)
+    assert got.media_sha256.tolist() == [hashlib.sha256(m).hexdigest() for m in [whole, *bad]]
+    table_ = rows(M.packets(df), ["doc_id", "packet"])
+    cut = table_[table_.doc_id == 1]
+    assert cut.error.notna().sum() == 1 and cut.packet.notna().sum() == len(M.demux(whole).packets)  # the damage is in the cues
+    assert table_[table_.doc_id == 0].error.isna().all()
