@@ -211,8 +211,10 @@ def read(data: bytes) -> tuple[Media, str | None]:
                             break
                         s, p, _ = read_vint(data, p)
                         probe = p + s
-            if stop > end:
+            cut = stop > end  # of a cut-off file: what is there of its masters is read
+            if cut and kind not in MASTERS:
                 raise ValueError("element runs past its parent")
+            stop = min(stop, end)
             own = data[at:stop] if stop - at <= 64 else b""
             if kind == SEGMENT:
                 segment = at
@@ -254,6 +256,8 @@ def read(data: bytes) -> tuple[Media, str | None]:
                 parent["rate"] = _float(own)
             elif kind == CODEC:
                 parent["codec"] = own.decode()
+            if cut:
+                raise ValueError("element runs past its parent")
             at = stop
 
     error = None
