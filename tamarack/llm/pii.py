@@ -1,9 +1,8 @@
 """Personal data in disguised text, with spans in the source text.
 
 Plain identifiers are found as they stand. Then small transducers rewrite disguises -
-look-alike letters and digits, invisible characters, dots between numbers, spelled digits,
-"at" and "dot" - and
-keep for every character they write the source characters it came from. Identifiers that
+look-alike letters and digits, invisible characters, letters for digits, dots between
+numbers, spelled digits, "at" and "dot" - and keep for every character they write the source characters it came from. Identifiers that
 touch a rewritten place are mapped back to source spans (in code points) and added; a
 plain match is never moved or removed.
 """
@@ -153,6 +152,31 @@ def fold_look_alikes(m: Mapped) -> Mapped:
     return m.rewrite(edits) if edits else m
 
 
+#: ASCII letters written for digits.
+_LETTER_DIGITS = str.maketrans("OolI", "0011")
+_LETTER_DIGIT = re.compile("[OolI]")
+_NUMERAL = re.compile("[0-9OolI]+")
+_NUMERALS = re.compile(r"(?<!\w)[0-9OolI]++(?!\w)(?:[ .-][0-9OolI]++(?!\w))*+")
+_LETTER_HINT = re.compile(r"[0-9](?:[OolI]|\.[OolI](?!\w)|(?<=[OolI][0-9])|(?<=[OolI]\.[0-9]))")
+
+
+def undo_letter_digits(m: Mapped) -> Mapped:
+    """Write the letters O, o, l and I as 0 and 1 inside numerals that hold a digit, and where a dot joins one alone to such a numeral.
+
+    A word "I" beside a number stays, as a blank parts them.
+    """
+    edits = []
+    for run in _NUMERALS.finditer(m.text) if _LETTER_HINT.search(m.text) else ():
+        items = list(_NUMERAL.finditer(m.text, *run.span()))
+        digit = [any(c.isdigit() for c in i[0]) for i in items]
+        for n, item in enumerate(items):
+            before = n and digit[n - 1] and m.text[item.start() - 1] == "."
+            after = n + 1 < len(items) and digit[n + 1] and m.text[item.end()] == "."
+            if digit[n] or before or after:
+                edits += [(c.start(), c.end(), c[0].translate(_LETTER_DIGITS)) for c in _LETTER_DIGIT.finditer(m.text, *item.span())]
+    return m.rewrite(edits) if edits else m
+
+
 _DIGIT_WORDS = {
     w: str(i)
     for i, ws in enumerate(
@@ -166,7 +190,7 @@ _DIGIT_WORDS = {
 _SPELLED = "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True))
 _MARK = {"plus": "+", "dot": ".", "point": ".", "punkt": ".", "punto": ".", "dash": "-", "hyphen": "-"}
 _ITEM = rf"(?:(?:{_SPELLED}|{'|'.join(_MARK)}|[0-9]++)(?!\w)|[+.])"
-_RUN = re.compile(rf"(?<!\w)(?:{_ITEM}[\s,_-]*+){{2,}}+", re.I)
+_RUN = re.compile(rf"(?<!\w)(?<!\w-)(?:{_ITEM}[\s,_-]*+){{2,}}+", re.I)
 _ITEMS = re.compile(rf"(?<!\w)({_SPELLED}|{'|'.join(_MARK)})(?!\w)|[0-9]+|[+.]", re.I)
 
 
@@ -196,7 +220,7 @@ def join_spelled_digits(m: Mapped) -> Mapped:
 
 
 _DOT_WORD = r"(?:dot|punkt|point|punto)"
-_OCTET = rf"(?:(?<![0-9])[0-9]++|(?<!\w)(?:{_SPELLED})(?:[\s,_-]{{1,3}}(?:{_SPELLED})){{0,2}}(?![^\W_]))"
+_OCTET = rf"(?:(?<![0-9])[0-9]++|(?<!\w)(?<!\w-)(?:{_SPELLED})(?:[\s,_-]{{1,3}}(?:{_SPELLED})){{0,2}}(?![^\W_]))"
 _NUMBER_DOT = rf"(?:\.|\s*[\[({{<]\s*(?:{_DOT_WORD}|\.)\s*[\])}}>]\s*|[\s,]+{_DOT_WORD}[\s,]+|_dot_)"
 _QUAD = re.compile(rf"{_OCTET}(?:{_NUMBER_DOT}{_OCTET}){{3,}}", re.I)
 _NUMBER_DOTS = re.compile(_NUMBER_DOT, re.I)
@@ -222,15 +246,15 @@ def undo_number_dots(m: Mapped) -> Mapped:
     return m.rewrite(edits) if edits else m
 
 
-_AT = r"(?:\s*[\[({<]\s*(?:at|arroba|arobase|@)\s*[\])}>]\s*|\s+at\s+|\s*_at_\s*|\s+arroba\s+|\s+arobase\s+)"
+_AT = r"(?:\s*[\[({<]\s*(?:at|arroba|arobase|klammeraffe|@)\s*[\])}>]\s*|\s+at\s+|\s*_at_\s*|\s+(?:arroba|arobase|klammeraffe)\s+)"
 _DOT = r"(?:\s*[\[({<]\s*(?:dot|punkt|point|punto|\.)\s*[\])}>]\s*|\s+(?:dot|punkt|point|punto)\s+|\s*_dot_\s*)"
 _AT_ANY = re.compile(rf"{_AT}|@", re.I)
 _LOCAL_CHAIN = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:\.|{_DOT})[A-Za-z0-9_%+-]+)*", re.I)
 _DOMAIN_CHAIN = re.compile(rf"[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)*(?:\.|{_DOT})[A-Za-z][A-Za-z0-9-]+", re.I)
-_BRACKET_AT = re.compile(r"\s*[\[({<]\s*(?:at|arroba|arobase|@)\s*[\])}>]\s*", re.I)
+_BRACKET_AT = re.compile(r"\s*[\[({<]\s*(?:at|arroba|arobase|klammeraffe|@)\s*[\])}>]\s*", re.I)
 _DOTS = re.compile(_DOT, re.I)
-_HINT = re.compile(r"[\[({<]\s*(?:at|arroba|arobase|@|dot|punkt|point|punto|\.)\s*[\])}>]|_at_|_dot_|(?<!\w)(?:dot|arroba|arobase)(?!\w)|(?:@|(?<!\w)at\s)\s*[A-Za-z0-9.-]++\s+(?:punkt|point|punto)(?!\w)", re.I)
-_ARROBA = re.compile(r"\s+(?:arroba|arobase)\s+", re.I)
+_HINT = re.compile(r"[\[({<]\s*(?:at|arroba|arobase|klammeraffe|@|dot|punkt|point|punto|\.)\s*[\])}>]|_at_|_dot_|(?<!\w)(?:dot|arroba|arobase|klammeraffe)(?!\w)|(?:@|(?<!\w)at\s)\s*[A-Za-z0-9.-]++\s+(?:punkt|point|punto)(?!\w)", re.I)
+_ARROBA = re.compile(r"\s+(?:arroba|arobase|klammeraffe)\s+", re.I)
 _BARE = re.compile(r"\s+(?:punkt|point|punto)\s+", re.I)
 _POINT = re.compile(r"\s+point\s+", re.I)
 #: What "at" and a bare "point" must lead to, as English prose has both ("look at this point of view").
@@ -261,7 +285,7 @@ def undo_at_dot(m: Mapped) -> Mapped:
     """Write at/dot disguises of an address as @ and dots.
 
     Bare words count only with each other ("a at b dot c"); one bracketed form or a bare
-    "arroba" or "arobase" is enough. A bare "point", "punkt" or "punto" after a plain dot of
+    "arroba", "arobase" or "Klammeraffe" is enough. A bare "point", "punkt" or "punto" after a plain dot of
     the domain ends the address.
     """
     edits: list[tuple[int, int, str]] = []
@@ -284,8 +308,44 @@ def undo_at_dot(m: Mapped) -> Mapped:
     return m.rewrite(edits) if edits else m
 
 
+_HYPHENED = re.compile(r"[A-Za-z0-9._%+-]++")
+_HYPHEN_DOT = re.compile("-dot-", re.I)
+
+
+def undo_hyphens(m: Mapped) -> Mapped:
+    """Write "-at-" and "-dot-" of one unbroken word as @ and dots: the last "-at-", if a "-dot-" follows it before letters alone."""
+    edits = []
+    for word in _HYPHENED.finditer(m.text) if _HYPHEN_DOT.search(m.text) else ():
+        low = word[0].lower()
+        at = low.rfind("-at-")
+        name, domain = low[: max(at, 0)].split("-dot-"), low[at + 4 :].rstrip(".-").split("-dot-")
+        if at > 0 and len(domain) > 1 and all(name) and all(domain) and domain[-1].isalpha() and len(domain[-1]) > 1:
+            stop = word.start() + at + 4 + len("-dot-".join(domain))
+            edits += [(d.start(), d.end(), ".") for d in _HYPHEN_DOT.finditer(m.text, word.start(), stop)]
+            edits.append((word.start() + at, word.start() + at + 4, "@"))
+    return m.rewrite(sorted(edits)) if edits else m
+
+
+#: Ends of a domain written with blanks around its dots, as blanks also part sentences.
+_SPACED_ENDS = "com|org|net|edu|gov|info|io|eu|de|fr|es|it|ch|uk"
+_SPACED = re.compile(rf"(?<=[A-Za-z0-9_%+-])\s{{1,3}}@\s{{1,3}}[A-Za-z0-9-]++(?:\s{{0,3}}\.\s{{0,3}}[A-Za-z0-9-]++)*?\s{{0,3}}\.\s{{0,3}}(?:{_SPACED_ENDS})(?![\w-])")
+_SPACED_MARK = re.compile(r"\s*[@.]\s*")
+_SPACED_HINT = re.compile(r"@(?<=\s@)\s")
+
+
+def undo_blanks(m: Mapped) -> Mapped:
+    """Take out the blanks around the @ and the dots of an address ("jane @ example . com") that ends in a common domain."""
+    edits = []
+    for address in _SPACED.finditer(m.text) if _SPACED_HINT.search(m.text) else ():
+        marks = _SPACED_MARK.finditer(m.text, *address.span())
+        edits += [(k.start(), k.end(), k[0].strip()) for k in marks if len(k[0]) > 1]
+    return m.rewrite(edits) if edits else m
+
+
 _SPELLED_HINT = re.compile(rf"(?<!\w)(?:(?:{_SPELLED})[\s,_-]+(?:(?:{_SPELLED}|{_DOT_WORD})(?!\w)|[0-9])|plus[\s,_-]+(?:{_SPELLED})(?!\w))|[0-9+][\s,_-]*+(?<!\w)(?:{_SPELLED})(?!\w)", re.I)
 
+_HINTS = (_LETTER_HINT, _HINT, _SPELLED_HINT, _NUMBER_HINT, _HYPHEN_DOT, _SPACED_HINT)
+
 
 def spans(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Plain spans, and the spans that deobfuscation adds, as (kind, start, end)."""
@@ -293,10 +353,10 @@ def spans(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
         return [], []
     base = plain(text)
     odd = not text.isascii() and bool(_disguises().search(text))
-    if not odd and not _HINT.search(text) and not _SPELLED_HINT.search(text) and not _NUMBER_HINT.search(text):
+    if not odd and not any(hint.search(text) for hint in _HINTS):
         return base, []
     m = Mapped.of(text)
-    for step in (fold_look_alikes, undo_number_dots, join_spelled_digits, undo_at_dot):
+    for step in (fold_look_alikes, undo_letter_digits, undo_number_dots, join_spelled_digits, undo_hyphens, undo_blanks, undo_at_dot):
         m = step(m)
     if not any(m.new):
         return base, []

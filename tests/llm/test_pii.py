@@ -179,3 +179,33 @@ def test_look_alikes_in_an_address():
         hidden = "".join(ALIKE.get(c, c) if rng.random() < 0.4 else c for c in plain)
         if hidden != plain:
             assert ("email", 3, 3 + len(hidden)) in pii.spans(f"a: {hidden} b")[1], hidden
+
+
+def test_letters_for_digits():
+    assert added("card 4111 1111 1111 111l ok") == [("card", "4111 1111 1111 111l")]
+    assert added("card 4111 1111 1111 111l I said") == [("card", "4111 1111 1111 111l")]
+    assert added("host 1O.0.0.1, up") == [("ip", "1O.0.0.1")]
+    assert added("host 10.0.0.l up") == [("ip", "10.0.0.l")]
+    assert added("host l0.o.0.I up") == [("ip", "l0.o.0.I")]
+    assert added("host 1O dot 0 dot 0 dot 1 up") == [("ip", "1O dot 0 dot 0 dot 1")]
+    assert added("call +49 3O I23 4567 now") == [("phone", "+49 3O I23 4567")]
+    for t in ("5l of oil", "lol.lol.I.o", "on 10. I said", "4111 1111 1111 111l2x", "jane2l@example.com", "1O.2.3", "4111 1111 1111 111o"):
+        assert added(t) == [], t
+
+
+def test_hyphens_blanks_and_false_starts():
+    assert added("to jane-at-example-dot-com.") == [("email", "jane-at-example-dot-com")]
+    assert added("to jane-dot-doe-AT-mail.x-y-dot-org, ok") == [("email", "jane-dot-doe-AT-mail.x-y-dot-org")]
+    assert added("to jane @ example . com, ok") == [("email", "jane @ example . com")]
+    assert added("to j.doe @ mail.example .de") == [("email", "j.doe @ mail.example .de")]
+    assert added("an jane Klammeraffe beispiel punkt de bitte") == [("email", "jane Klammeraffe beispiel punkt de")]
+    assert added("an jane (Klammeraffe) beispiel.de bitte") == [("email", "jane (Klammeraffe) beispiel.de")]
+    for t in ("stay-at-home-mum dot", "stay-at-home", "dot-at-x-dot-1", "-at-x-dot-com", "we met @ noon . Then", "@ example . com", "twenty-one dot 10 dot 10 dot 10", "thirty-one dot two dot three dot 4", "ein Klammeraffe sitzt"):
+        assert added(t) == [], t
+
+
+def test_many_hints_are_read_in_linear_time():
+    for storm in ("1l.", "-at-a-dot-", "a @ b . ", "O1 ", "a-at-", " @ x . com", "one-", "klammeraffe "):
+        began = time.time()
+        pii.spans(storm * (240_000 // len(storm)))
+        assert time.time() - began < 5, storm
