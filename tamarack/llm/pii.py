@@ -22,7 +22,7 @@ KINDS = ("email", "ip", "card", "phone")
 
 _LOCAL = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
-_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+_IP = re.compile(r"[0-9](?<![0-9][0-9])[0-9]*+(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
@@ -134,9 +134,14 @@ def _fold(c: str) -> str:
 
 
 @cache
-def _disguises() -> re.Pattern[str]:
+def _disguised() -> frozenset[str]:
     """Every character that ``_fold`` changes."""
-    odd = [c for c in map(chr, range(0x80, 0x20000)) if not 0xD800 <= ord(c) < 0xE000 and _fold(c) != c and c not in "ªº²³¹"]
+    return frozenset(c for c in map(chr, range(0x80, 0x20000)) if not 0xD800 <= ord(c) < 0xE000 and _fold(c) != c and c not in "ªº²³¹")
+
+
+@cache
+def _disguises() -> re.Pattern[str]:
+    odd = sorted(_disguised())
     runs, i = [], 0
     while i < len(odd):
         j = i
@@ -344,7 +349,21 @@ def undo_blanks(m: Mapped) -> Mapped:
 
 _SPELLED_HINT = re.compile(rf"(?<!\w)(?:(?:{_SPELLED})[\s,_-]+(?:(?:{_SPELLED}|{_DOT_WORD})(?!\w)|[0-9])|plus[\s,_-]+(?:{_SPELLED})(?!\w))|[0-9+][\s,_-]*+(?<!\w)(?:{_SPELLED})(?!\w)", re.I)
 
-_HINTS = (_LETTER_HINT, _HINT, _SPELLED_HINT, _NUMBER_HINT, _HYPHEN_DOT, _SPACED_HINT)
+_WORD = re.compile(r"[^\W_]+")
+_DOTS_AND_ATS = frozenset("dot punkt point punto arroba arobase klammeraffe".split())
+_SPELLED_WORDS = frozenset(_DIGIT_WORDS)
+_BRACKETED = re.compile(r"[\[({<]\s*(?:at|arroba|arobase|klammeraffe|@|dot|punkt|point|punto|\.)\s*[\])}>]|[0-9]\s*[\[({<]\s*(?:dot|punkt|point|punto|\.)")
+
+
+def _hinted(text: str) -> bool:
+    """Whether a step that undoes a disguise can find anything; the set of words is looked at first, as most texts lack them."""
+    low = text.lower()
+    words = set(_WORD.findall(low))
+    if not words.isdisjoint(_DOTS_AND_ATS) and (_HINT.search(text) or _NUMBER_HINT.search(text)):
+        return True
+    if not words.isdisjoint(_SPELLED_WORDS) and _SPELLED_HINT.search(text):
+        return True
+    return "_at_" in low or "-dot-" in low or any(h.search(low) for h in (_BRACKETED, _SPACED_HINT)) or bool(_LETTER_HINT.search(text))
 
 
 def spans(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -352,8 +371,8 @@ def spans(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
     if not text:
         return [], []
     base = plain(text)
-    odd = not text.isascii() and bool(_disguises().search(text))
-    if not odd and not any(hint.search(text) for hint in _HINTS):
+    odd = not text.isascii() and not _disguised().isdisjoint(text)
+    if not odd and not _hinted(text):
         return base, []
     m = Mapped.of(text)
     for step in (fold_look_alikes, undo_letter_digits, undo_number_dots, join_spelled_digits, undo_hyphens, undo_blanks, undo_at_dot):
