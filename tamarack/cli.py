@@ -7,6 +7,7 @@ import json
 import sys
 from pathlib import Path
 
+from . import __version__
 from .functions.canonical import canonicalize
 
 
@@ -16,6 +17,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--file", help="read the text from a UTF-8 file")
     p.add_argument("--json", action="store_true", help="print all fields as JSON")
     p.add_argument("--trace", action="store_true", help="print the steps that changed the text to standard error")
+    p.add_argument("--version", action="version", version=f"tamarack {__version__}")
     return p
 
 

@@ -20,6 +20,16 @@ def casing(s: Column) -> Column:
     return F.translate(s, up + low, low + up)
 
 
+def casing_unicode(s: Column) -> Column:
+    """Swap the case of all letters that have one; a letter may become two, and a capital sigma is never a final one."""
+
+    def swapped(c: Column) -> Column:
+        up, low = F.upper(c), F.lower(c)
+        return F.when((c == up) & (c != low), low).when((c == low) & (c != up), up).otherwise(c)
+
+    return F.when(s.rlike(r"^\p{ASCII}*$"), casing(s)).when(s.isNotNull(), F.concat_ws("", F.transform(F.split(s, ""), swapped)))
+
+
 def punct_stuff(s: Column) -> Column:
     return F.concat(s, F.lit(" !!! ??? ### "), F.substring(s, 1, 30))
 

@@ -162,6 +162,74 @@ def backfill(df: DataFrame, columns: list[str], kind: str = "double") -> DataFra
     return df.select("*", *(F.lit(None).cast(kind).alias(c) for c in columns if c not in df.columns))
 
 
+# The columns of the report tables, in order.
+REPORT_COLUMNS = {
+    "jailbreak": "model recall_at_in_domain_thr fpr_at_in_domain_thr auroc auprc n latency_s_per_sample throughput_samples_per_s",
+    "robustness": "model transform auroc auprc f1 recall recall_at_1pctfpr latency_s_per_sample n",
+    "overdefense": "model overdef_fpr_at_thr n latency_s_per_sample throughput_samples_per_s",
+    "calibration": "model ece brier temp_T ece_temp_scaled brier_temp_scaled n_test",
+    "fairness": "model worst_lang worst_lang_recall lang_recall_gap worst_len worst_len_recall len_recall_gap",
+    "ablation": "model ablation auroc auprc f1 precision recall threshold_1pctfpr latency_s_total",
+}
+_TEXT_COLUMNS = {"model", "transform", "worst_lang", "worst_len", "ablation"}
+
+
+def report_table(df: DataFrame, kind: str, note: str = "no results; see the notes of the run") -> DataFrame:
+    """A table in the columns of its kind: texts and doubles, missing ones null, further ones left out.
+
+    Without rows it is one row whose texts are N/A and whose ``note`` says why; ``note`` is
+    null otherwise. Ablations with a ``status`` other than ok are left out.
+    """
+    if kind == "ablation" and "status" in df.columns:
+        df = df.where("status = 'ok'")
+    names = REPORT_COLUMNS[kind].split()
+    kinds = {c: "string" if c in _TEXT_COLUMNS else "double" for c in names}
+    out = or_placeholder(df.select(*((F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items())), note)
+    shown = lambda c: F.when(F.col("note").isNotNull(), F.lit("N/A")).otherwise(F.col(c)) if kinds[c] == "string" else F.col(c)
+    return out.select(*(shown(c).alias(c) for c in names), "note")
+
+
+def naming(main: DataFrame, tests: DataFrame, own: Column, level: float = 0.05) -> DataFrame:
+    """One row: the best own model, the best other one, and whether the first may be called better.
+
+    ``main`` holds ``model, auroc``, ``tests`` one row per tested pair (``model, reference,
+    p_value``). The pair may be tested in either direction; it must differ at ``level`` and
+    the own area be larger. Without a test nothing is claimed; without another model (N/A is
+    none) the own one stands, and ``basis`` says so. Of equal areas the last name is taken.
+    """
+    real = main.where(F.upper("model") != "N/A").withColumn("_own", own)
+    by = F.struct(F.coalesce("auroc", F.lit(-1.0)), "model")
+    side = lambda c: (F.max_by("model", F.when(c, by)), F.max(F.when(c, F.col("auroc"))))
+    (chosen, x), (baseline, y) = side(F.col("_own")), side(~F.col("_own"))
+    pair = real.agg(chosen.alias("chosen"), x.alias("chosen_auroc"), baseline.alias("baseline"), y.alias("baseline_auroc"))
+    to = (F.col("model") == F.col("chosen")) & (F.col("reference") == F.col("baseline"))
+    back = (F.col("model") == F.col("baseline")) & (F.col("reference") == F.col("chosen"))
+    some = lambda c: F.coalesce(F.sum(c.cast("int")), F.lit(0)) == 1
+    found = tests.join(F.broadcast(pair)).agg(some(to).alias("_to"), some(back).alias("_back"), F.max(F.when(to, F.col("p_value"))).alias("_p"), F.max(F.when(back, F.col("p_value"))).alias("_q"))
+    none, tested = F.col("baseline").isNull(), F.col("_to") | F.col("_back")
+    p = F.when(F.col("_to"), F.col("_p")).when(F.col("_back"), F.col("_q"))
+    basis = F.when(none, "no baseline").when(F.col("_to"), "baseline is reference").when(F.col("_back"), "chosen is reference").otherwise("no test")
+    better = tested & (p < level) & (F.col("chosen_auroc") > F.col("baseline_auroc"))
+    one = pair.join(F.broadcast(found))  # one row each
+    return one.select("chosen", "baseline", "chosen_auroc", "baseline_auroc", p.alias("p_value"), basis.alias("basis"), (none & F.col("chosen").isNotNull() | F.coalesce(better, F.lit(False))).alias("beats_baseline"))
+
+
+def metrics_document(frames: Mapping[str, DataFrame], chosen: DataFrame, settings: Mapping[str, object]) -> DataFrame:
+    """One row, ``document``: settings, the naming decision and all rows of the named report tables as nested JSON.
+
+    For tables of one row per model and group; rows stand in the order of their columns.
+    ``topline`` holds the chosen model's rows of the tables that name models.
+    """
+    keep = {"ignoreNullFields": "false"}
+    rows = lambda df, c: df.agg(F.sort_array(F.collect_list(F.struct(*df.columns))).alias(c))
+    out = chosen.select(F.struct(*(F.lit(v).alias(k) for k, v in settings.items())).alias("config"), F.struct(*chosen.columns).alias("selection"))
+    for name, df in frames.items():
+        out = out.join(F.broadcast(rows(df, name)))  # one row each
+    mine = [n for n, df in frames.items() if "model" in df.columns]
+    top = F.struct(*(F.filter(n, lambda r: r["model"] == F.col("selection.chosen")).alias(n) for n in mine))
+    return out.select(F.to_json(F.struct("config", "selection", F.struct(*frames).alias("tables"), top.alias("topline")), keep).alias("document"))
+
+
 def naming_decision(auroc: float, baseline: float, p_value: float | None) -> dict[str, object]:
     """Whether a variant may be called better: a significant test and a larger AUROC; no test, no claim."""
     better = p_value is not None and p_value < 0.05 and auroc > baseline

@@ -11,7 +11,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def _load() -> None:
-    from . import metric_queries, model_queries, shape_queries, text_queries  # noqa: F401  (they register themselves)
+    from . import metric_queries, model_queries, report_queries, shape_queries, text_queries  # noqa: F401  (they register themselves)
 
 
 _load()
