@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import fixed
 
-SHARD, BLOCK = 4096, 1024  # bank vectors and queries that one task multiplies
+SHARD, BLOCK, STRIPE = 8192, 8192, 256  # bank vectors and queries that meet in one task, and queries of one product
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -28,9 +28,10 @@ def knn_topk(queries: DataFrame, bank: DataFrame, k: int = 5, query: str = "quer
 
     ``queries`` has ``query, qv`` and ``bank`` ``item, bv``. Both sides are dealt to blocks of
     bounded size; a task multiplies one block of queries with one shard of the bank in Arrow
-    and keeps k of each query, and the shards' lists are merged. Products are added in
-    index order, as ``dot`` does. Ties go to the smaller id. Nulls take no part; vectors of
-    one table have one length.
+    and keeps k of each query, and the shards' lists are merged. A matrix product finds what may
+    be among the k within its rounding error; their scores are then added in index order, as
+    ``dot`` does. Of equal vectors of a shard only the first k are looked at. Ties go to the
+    smaller id. Nulls take no part; vectors of one table have one length.
     """
     queries, bank = queries.select(query, "qv").dropna(), bank.select(item, "bv").dropna()
     blocks, shards = max(1, -(-queries.count() // BLOCK)), max(1, -(-bank.count() // SHARD))
@@ -44,13 +45,10 @@ def knn_topk(queries: DataFrame, bank: DataFrame, k: int = 5, query: str = "quer
         if not a.num_rows or not b.num_rows:
             return pa.table({n: pa.array([], t) for n, t in zip(names, (a[query].type, b[item].type, pa.float64()), strict=True)})
         order = b[item].combine_chunks().to_numpy(zero_copy_only=False).argsort(kind="stable")
-        q, v = _matrix(a["qv"]), _matrix(b["bv"])[order]
-        score = np.zeros((len(q), len(v)))
-        for d in range(q.shape[1]):
-            score += q[:, d, None] * v[:, d]
-        top = np.argsort(-score, axis=1, kind="stable")[:, :k]  # a stable sort leaves ties in order of ids
-        rows = np.repeat(np.arange(len(q)), top.shape[1])
-        return pa.table({query: a[query].take(pa.array(rows)), item: b[item].take(pa.array(order[top.ravel()])), "score": pa.array(score[rows, top.ravel()])})
+        v = _matrix(b["bv"])[order]
+        first = _firsts(v, k)
+        rows, columns, scores = _nearest(_matrix(a["qv"]), v[first], k)
+        return pa.table({query: a[query].take(pa.array(rows)), item: b[item].take(pa.array(order[first[columns]])), "score": pa.array(scores)})
 
     schema = f"`{query}` {queries.schema[query].dataType.simpleString()}, `{item}` {bank.schema[item].dataType.simpleString()}, score double"
     found = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInArrow(best, schema)
@@ -58,6 +56,36 @@ def knn_topk(queries: DataFrame, bank: DataFrame, k: int = 5, query: str = "quer
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(query, "rank", item, "score")
 
 
+def _firsts(v: np.ndarray, k: int) -> np.ndarray:
+    """Places of the rows that fewer than k earlier rows equal, rising."""
+    _, kind = np.unique(np.ascontiguousarray(v).view(np.dtype((np.void, v.itemsize * v.shape[1]))).ravel(), return_inverse=True)
+    by = kind.argsort(kind="stable")
+    start = np.flatnonzero(np.r_[True, kind[by][1:] != kind[by][:-1]])
+    nth = np.arange(len(by)) - np.repeat(start, np.diff(np.r_[start, len(by)]))
+    return np.sort(by[nth < k])
+
+
+def _nearest(q: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row of ``q``, row of ``v`` and score of the k best of each row; ties go to the smaller row of ``v``."""
+    k, dims, parts = min(k, len(v)), q.shape[1], []
+    far = np.sqrt((v * v).sum(1).max())
+    for at in range(0, len(q), STRIPE):
+        x = q[at : at + STRIPE]
+        near = x @ v.T
+        slack = 4 * (dims + 2) * np.finfo(float).eps * np.sqrt((x * x).sum(1)) * far  # more than two orders of adding can differ by
+        bar = np.partition(near, len(v) - k, axis=1)[:, len(v) - k] - slack
+        rows, columns = np.nonzero(~(near < bar[:, None]))  # what is not a number stays in
+        score = np.zeros(len(rows))
+        for d in range(dims):
+            score += x[rows, d] * v[columns, d]
+        top = np.lexsort((columns, -score, ~np.isnan(score), rows))  # Spark takes NaN for the largest
+        rows, columns, score = rows[top], columns[top], score[top]
+        start = np.searchsorted(rows, np.arange(len(x)))
+        some = np.arange(len(rows)) - start[rows] < k
+        parts.append((at + rows[some], columns[some], score[some]))
+    return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+
+
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     lists = column.combine_chunks()
     return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)

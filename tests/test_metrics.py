@@ -3,8 +3,10 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tamarack.operators import curves, integrity, reports, resampling, vectors
+from tamarack.plans.registry import QUERIES
 
 from . import kernels
 
@@ -177,3 +179,33 @@ def test_bootstrap_intervals(spark):
     assert score_wise["a"].auroc_high - score_wise["a"].auroc_low == pytest.approx(ci["a"].auroc_high - ci["a"].auroc_low, rel=0.4)
     again = resampling.intervals(resampling.replicates(df.repartition(7), ["model"], 100), ["model"]).orderBy("model").collect()
     assert again[0].asDict() == pytest.approx(ci["a"].asDict())
+
+
+def test_knn_copies_and_odd_numbers(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.standard_normal(5).tolist()) for i in range(40)] + [(i, [1.0] * 5) for i in range(40, 90)] + [(90, [float("nan")] * 5), (91, [float("inf"), 0.0, 0.0, 0.0, 0.0])]
+    v = spark.createDataFrame(rows, "vec_id long, bv array<double>")
+    q = v.where("vec_id < 3 or vec_id = 40").select(F.col("vec_id").alias("query_id"), F.col("bv").alias("qv"))
+    pairs = q.join(v).select("query_id", "vec_id", vectors.dot(F.col("qv"), F.col("bv")).alias("score"))
+    each = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    want = sorted((r.query_id, r.rank, r.vec_id, str(r.score)) for r in pairs.withColumn("rank", each).where("rank <= 5").collect())
+    got = lambda: sorted((r.query_id, r.rank, r.vec_id, str(r.score)) for r in vectors.knn_topk(q, v).collect())
+    assert got() == want
+    monkeypatch.setattr(vectors, "SHARD", 20)
+    assert got() == want
+
+
+def test_knn_product_is_blocked():
+    """A block's scores come from matrix products over stripes of queries: far less time than a pass for each dimension."""
+    rng = np.random.default_rng(5)
+    q, v = rng.standard_normal((600, 8)), rng.standard_normal((3000, 8))
+    rows, columns, score = vectors._nearest(q, v, 5)
+    full = q @ v.T
+    want = np.argsort(-full, axis=1, kind="stable")[:, :5]
+    assert (columns.reshape(600, 5) == want).all() and np.abs(score - full[rows, columns]).max() < 1e-12
+    assert vectors._firsts(np.array([[1.0], [2.0], [1.0], [1.0]]), 2).tolist() == [0, 1, 2]
+
+
+def test_retrieval_features_are_kept_for_the_fit(spark, sf_dir):
+    plan = QUERIES["retrieval_logreg"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" not in plan
