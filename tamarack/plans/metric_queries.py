@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import coerce, features, perturb
 from ..operators import calibration, curves, integrity, reports, resampling, vectors
+from ..operators.scratch import kept
 from .base import _TRANSFORMS_SQL, AP_SQL, AUROC_SQL, PREDS, R6, ROBUST, curve_sql, documents, lit, preds, prompts, query, robust_preds, table
 
 _CURVE = f"WITH {PREDS}, {curve_sql('model')}"
@@ -659,7 +660,7 @@ def retrieval_logreg(spark: SparkSession, d: str) -> DataFrame:
     from ..operators import models
 
     own = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), (F.col("label") % 2).cast("int").alias("label"))
-    f = _rav(spark, d).join(own, "query_id")
+    f = kept(_rav(spark, d).join(own, "query_id"), "retrieval")  # read by every pass of the fit
     model = models.features_logreg([c for c in f.columns if c not in ("query_id", "label")]).fit(f.where("query_id % 10 >= 3"))
     scored = models.probabilities(model, f.where("query_id % 10 < 3"))
     return scored.select("query_id", F.round(vectors.veto(F.col("p"), F.col("margin")), 4).alias("p"))
