@@ -25,8 +25,12 @@ def usable(preds: DataFrame) -> DataFrame:
 
 def score_table(preds: DataFrame, by: list[str]) -> DataFrame:
     """Per distinct score, from high to low: ``pos, neg``, running ``tp, fp`` and totals ``n_pos, n_neg``."""
-    pos, neg = F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")
-    return cumulated(usable(preds).groupBy(*by, "p").agg(pos, neg), by)
+    return cumulated(score_counts(preds, by), by)
+
+
+def score_counts(preds: DataFrame, by: list[str]) -> DataFrame:
+    """``pos, neg`` per distinct score ``p``."""
+    return usable(preds).groupBy(*by, "p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
 
 
 def cell(p: Column) -> Column:

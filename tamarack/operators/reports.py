@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import curves
+from .scratch import kept
 
 
 def placed(df: DataFrame, order: list[Column]) -> DataFrame:
@@ -184,7 +185,8 @@ def report_table(df: DataFrame, kind: str, note: str = "no results; see the note
         df = df.where("status = 'ok'")
     names = REPORT_COLUMNS[kind].split()
     kinds = {c: "string" if c in _TEXT_COLUMNS else "double" for c in names}
-    out = or_placeholder(df.select(*((F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items())), note)
+    own = df.select(*((F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()))
+    out = or_placeholder(kept(own, f"{kind}_table"), note)  # computed once, not again to see whether it has rows
     shown = lambda c: F.when(F.col("note").isNotNull(), F.lit("N/A")).otherwise(F.col(c)) if kinds[c] == "string" else F.col(c)
     return out.select(*(shown(c).alias(c) for c in names), "note")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import perturb
 from ..operators import curves, reports, resampling
+from ..operators.scratch import kept
 from . import metric_queries as own
 from .base import AP_SQL, AUROC_SQL, PREDS, R6, documents, preds, query, robust_preds
 from .registry import ORACLE_SQL
@@ -24,11 +25,19 @@ _END = "CAST(NULL AS VARCHAR) AS note"
 )
 def robustness_table(spark: SparkSession, d: str) -> DataFrame:
     """Every model under every transform, at the threshold that the validation rows gave it."""
-    rows = robust_preds(spark, d).join(curves.tuned_threshold(preds(spark, d), ["model"], rule="roc"), "model")
     by = ["model", "transform"]
-    low = curves.score_table(rows, by).groupBy(*by).agg(R6(curves.recall_at_fpr_roc(0.01)).alias("recall_at_1pctfpr"))
-    cells = reports.results_table(rows, by)
-    return reports.report_table(cells.select(*by, "n", *(R6(F.col(c)).alias(c) for c in ("auroc", "auprc", "f1", "recall"))).join(low, by), "robustness")
+    scores = kept(curves.score_counts(robust_preds(spark, d), by), "scores")  # a row for each distinct score: all cells are read off these
+    tuned = kept(curves.tuned_threshold(preds(spark, d), ["model"], rule="roc"), "thresholds")
+    hit = F.col("p") >= F.col("threshold")
+    over = lambda c: F.sum(F.when(hit, F.col(c)).otherwise(0)).alias(f"_{c}")
+    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    cells = curves.cumulated(scores, by).join(tuned, "model").groupBy(*by).agg(
+        F.sum(F.col("pos") + F.col("neg")).alias("n"), curves.auroc().alias("auroc"), curves.average_precision().alias("auprc"), curves.recall_at_fpr_roc(0.01).alias("recall_at_1pctfpr"),
+        over("pos"), over("neg"), F.max("n_pos").alias("_all"),
+    )
+    tp, fp, pos = F.col("_pos"), F.col("_neg"), F.col("_all")
+    cells = cells.withColumn("f1", ratio(2 * tp, tp + fp + pos)).withColumn("recall", ratio(tp, pos))
+    return reports.report_table(cells.select(*by, "n", *(R6(F.col(c)).alias(c) for c in ("auroc", "auprc", "f1", "recall", "recall_at_1pctfpr"))), "robustness")
 
 
 @query(f"SELECT model, overdef_fpr AS overdef_fpr_at_thr, CAST(n AS DOUBLE) AS n, {_NO} latency_s_per_sample, {_NO} throughput_samples_per_s, {_END} FROM ({ORACLE_SQL['overdefense_fpr']})")

@@ -70,3 +70,9 @@ def test_version(capsys):
     with pytest.raises(SystemExit) as e:
         cli.main(["--version"])
     assert e.value.code == 0 and capsys.readouterr().out.startswith("tamarack ")
+
+
+def test_report_tables_are_computed_once(spark, sf_dir):
+    """What a report table is made of is read from written rows, not planned again for the test of emptiness."""
+    plan = Q.robustness_table(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
