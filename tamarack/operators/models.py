@@ -35,13 +35,15 @@ class Scorer(Protocol):
 def vocabulary(docs: DataFrame, text: str = "text", most: int = 5000) -> DataFrame:
     """The commonest words and pairs of neighbouring words with counts, document counts and smoothed idf.
 
-    Counting is two partial aggregates: within documents, then over them.
+    A document's terms are sorted, so that the first of each kind is told by its neighbour; one
+    aggregate then gives both counts, and only a task's distinct terms are shuffled. A row is a document.
     """
-    words = docs.select("doc_id", F.regexp_extract_all(F.lower(text), F.lit(fixed.WORD + "{2,}"), F.lit(0)).alias("w")).where("size(w) > 0")
+    words = docs.select(F.regexp_extract_all(F.lower(text), F.lit(fixed.WORD + "{2,}"), F.lit(0)).alias("w")).where("size(w) > 0")
     pairs = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))
-    terms = words.select("doc_id", F.explode(F.concat("w", pairs)).alias("term"))
-    per = terms.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    counts = per.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
+    sorted_ = words.select(F.sort_array(F.concat("w", pairs)).alias("t"))
+    before = F.concat(F.array(F.lit("")), F.slice("t", F.lit(1), F.size("t") - 1))
+    each = sorted_.select(F.inline(F.zip_with("t", before, lambda a, b: F.struct(a.alias("term"), (a != b).cast("long").alias("new")))))
+    counts = each.groupBy("term").agg(F.count(F.lit(1)).alias("total"), F.sum("new").alias("df"))
     n = docs.agg(F.count(F.lit(1)).alias("docs"))
     idf = F.log((1.0 + F.col("docs")) / (1.0 + F.col("df"))) + 1
     return counts.join(F.broadcast(n)).select("term", "total", "df", F.round(idf, 6).alias("idf")).orderBy(F.desc("total"), "term").limit(most)

@@ -142,3 +142,11 @@ def test_detectors_tell_attacks(rows, name, least):
     model = models.detector(name, **settings).fit(rows.where("row_id % 10 >= 3"))
     pdf = models.probabilities(model, rows.where("row_id % 10 < 3")).select("label", "p").toPandas()
     assert kernels.auroc(pdf.label.to_numpy(), pdf.p.to_numpy()) > least
+
+
+def test_vocabulary_counts_terms_in_one_shuffle(spark):
+    docs = spark.createDataFrame([(1, "aa bb aa bb"), (2, "Aa"), (3, None), (4, ""), (5, "cc aa bb")], "doc_id long, text string")
+    got = models.vocabulary(docs, most=4)
+    assert [(r.term, r.total, r.df) for r in got.collect()] == [("aa", 4, 3), ("aa bb", 3, 2), ("bb", 3, 2), ("bb aa", 1, 1)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [term") == 1
+    assert "Aggregate [doc_id" not in got._jdf.queryExecution().optimizedPlan().toString()
