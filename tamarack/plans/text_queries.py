@@ -249,16 +249,22 @@ round(avg(length(s) / CAST(greatest(1, length(text)) AS DOUBLE)), 6) AS length_r
 )
 def sanitize_tradeoff(spark: SparkSession, d: str) -> DataFrame:
     rows = prompts(spark, d).withColumn("p0", features.regex_heuristic_score(F.col("text")))
-    flagged = F.col("p0") >= 0.5
-    each = F.array(*(F.struct(F.lit(m).alias("mode"), F.when(flagged, sanitize.sanitize(F.col("text"), m)).otherwise(F.col("text")).alias("s")) for m in sanitize.MODES))
-    rows = rows.withColumn("e", F.explode(each)).select("text", "p0", "e.mode", "e.s").withColumn("p1", features.regex_heuristic_score(F.col("s")))
+    flagged, text = F.col("p0") >= 0.5, F.col("text")
+    same = {"sim": F.when(text.isNotNull(), F.lower(text).rlike("[a-z0-9]").cast("double")), "p1": F.col("p0"), "words": features.token_count(text), "chars": F.length(text)}
+    rows = rows.select("text", "p0", *(c.alias(f"same_{k}") for k, c in same.items()))
+    changing = [m for m in sanitize.MODES if m in ("rule_strip", "context_isolation")]  # the others leave a text as it is
+    rows = rows.select("*", *(F.when(flagged, sanitize.sanitize(text, m)).alias(m) for m in changing))
+    for m in changing:  # a text that passes is compared with itself in every mode: only flagged ones are read again
+        s = F.col(m)
+        new = {"sim": features.bag_cosine(F.when(flagged, text), s), "p1": features.regex_heuristic_score(s), "words": features.token_count(s), "chars": F.length(s)}
+        rows = rows.select("*", *(F.when(flagged, c).otherwise(F.col(f"same_{k}")).alias(f"{m}_{k}") for k, c in new.items()))
+    each = F.array(*(F.struct(F.lit(m).alias("mode"), *(F.col(f"{m if m in changing else 'same'}_{k}").alias(k) for k in same)) for m in sanitize.MODES))
+    rows = rows.select("p0", F.col("same_words").alias("words0"), F.col("same_chars").alias("chars0"), F.explode(each).alias("e")).select("p0", "words0", "chars0", "e.*")
     delta = F.col("p0") - F.col("p1")
-    kept = features.token_count(F.col("s")) / F.greatest(F.lit(1), features.token_count(F.col("text")))
-    rows = rows.withColumn("sim", features.bag_cosine(F.col("text"), F.col("s")))
     return rows.groupBy("mode").agg(
-        R6(F.avg("sim")).alias("similarity"), R6(F.avg(kept)).alias("token_retention"),
+        R6(F.avg("sim")).alias("similarity"), R6(F.avg(F.col("words") / F.greatest(F.lit(1), F.col("words0")))).alias("token_retention"),
         F.count(F.lit(1)).alias("n"), R6(F.avg(flagged.cast("double"))).alias("frac_sanitized"), R6(F.coalesce(F.avg(F.when(flagged, delta)), F.lit(0.0))).alias("delta_sanitized"),
-        R6(F.avg(delta)).alias("delta_all"), R6(F.avg(F.length("s") / F.greatest(F.lit(1), F.length("text")))).alias("length_retention"),
+        R6(F.avg(delta)).alias("delta_all"), R6(F.avg(F.col("chars") / F.greatest(F.lit(1), F.col("chars0")))).alias("length_retention"),
     )
 
 
