@@ -11,18 +11,20 @@ from functools import cache, reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from . import fixed
-from .sanitize import FLAGS, _trim, folded, may_match
+from .pieces import columns, in_pieces
+from .sanitize import FLAGS, _trim, compiled, folded, may_match
 
 
 def rule_hits(s: Column, rules: tuple[str, ...], flags: str = FLAGS) -> Column:
     """How many of the rules match; a rule is tried on texts that hold one of its literals."""
     low = folded(s)
-    return reduce(lambda a, r: a + (may_match(low, [r]) & s.rlike(flags + r)).cast("int"), rules, F.lit(0))
+    return reduce(lambda a, r: a + (may_match(low, [r]) & s.rlike(compiled(r, flags))).cast("int"), rules, F.lit(0))
 
 
 def regex_heuristic_score(s: Column) -> Column:
@@ -77,10 +79,11 @@ def _bits(counts: np.ndarray, n: int, epsilon: float) -> float:
 def _statistics(classes: tuple[str, ...], epsilon: float, lower: bool) -> Callable[[Column], Column]:
     """Struct of a trimmed text's ``length``, shares of ``classes`` and entropy in ``bits`` per character."""
 
-    @F.pandas_udf(StructType([StructField("length", IntegerType()), *(StructField(c, DoubleType()) for c in (*classes, "bits"))]))
-    def run(s: pd.Series) -> pd.DataFrame:
+    names = ["length", *classes, "bits"]
+
+    def run(texts: list[str | None]) -> pa.Array:
         table, rows = _class_table(classes), []
-        for text in s:
+        for text in texts:
             if text is None:
                 rows.append((None,) * (len(classes) + 2))
                 continue
@@ -94,9 +97,9 @@ def _statistics(classes: tuple[str, ...], epsilon: float, lower: bool) -> Callab
             if lower:
                 counts = character_counts(text.lower())[1]
             rows.append((len(text), *(hits / n), _bits(counts, n, epsilon)))
-        return pd.DataFrame(rows, columns=["length", *classes, "bits"])
+        return columns(names, [pa.int32(), *[pa.float64()] * (len(names) - 1)], rows)
 
-    return run
+    return in_pieces(run, StructType([StructField(c, DoubleType() if c != "length" else IntegerType()) for c in names]))
 
 
 _ENGINEERED = ("space", "punct", "digit", "upper", "non_ascii")
@@ -122,7 +125,7 @@ def heuristic_score(text: Column) -> dict[str, Column]:
     s = _heuristic(text)
     low = folded(t)
     n = F.greatest(s["length"], F.lit(1))
-    hits = [may_match(low, [r]) & t.rlike(FLAGS + r) for r in fixed.HEURISTIC_RULES]
+    hits = [may_match(low, [r]) & t.rlike(compiled(r)) for r in fixed.HEURISTIC_RULES]
     rules = reduce(lambda a, h: a + h.cast("int"), hits, F.lit(0))
     matched = F.array_compact(F.array(*(F.when(h, F.lit(i)) for i, h in enumerate(hits))))
     punct, upper, bits = s["punct"], s["uppercase"], s["bits"]
