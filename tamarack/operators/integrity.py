@@ -8,6 +8,7 @@ from hashlib import md5
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
@@ -15,6 +16,7 @@ from pyspark.sql.window import Window
 
 from ..functions import fixed
 from ..functions.coerce import text_norm
+from ..functions.pieces import in_pieces
 
 
 def text_hash(text: Column) -> Column:
@@ -60,8 +62,7 @@ def simhash64(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return df.select(key, _votes(words).alias("simhash"))
 
 
-@F.pandas_udf(LongType())
-def _votes(texts: pd.Series) -> pd.Series:
+def _majority(texts: list[list[str]]) -> pa.Array:
     """The majority of the token digests at each of 64 bits, a tie counting as set; all bits without a token."""
     out = np.full(len(texts), -1, np.int64)
     for k, tokens in enumerate(texts):
@@ -69,7 +70,10 @@ def _votes(texts: pd.Series) -> pd.Series:
             raw = b"".join(md5(t.encode()).digest()[:8] for t in tokens)
             votes = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
             out[k] = np.packbits(2 * votes >= len(tokens)).view(">i8")[0]
-    return pd.Series(out)
+    return pa.array(out)
+
+
+_votes = in_pieces(_majority, LongType())
 
 
 def hamming64(a: Column, b: Column) -> Column:
