@@ -24,6 +24,7 @@ from ..functions import fixed
 from ..sources.sinks import is_done
 from . import curves
 from .embedding import ByteConvolution, TokenVectors
+from .scratch import kept
 
 
 class Scorer(Protocol):
@@ -61,11 +62,22 @@ class ShiftedIDF(Estimator):
         return ElementwiseProduct(scalingVec=Vectors.dense(idf.toArray() + 1), **self.columns)
 
 
-def _ngrams(size: int) -> list:
-    """Word uni- and bigrams as counts; idf is shifted by one so that no term vanishes."""
+def _words() -> list:
     return [
         SQLTransformer(statement="SELECT *, coalesce(text, '') AS _text FROM __THIS__"),
         RegexTokenizer(inputCol="_text", outputCol="_w", gaps=False, pattern=r"(?U)\b\w\w+\b"),
+    ]
+
+
+def worded(rows: DataFrame) -> DataFrame:
+    """``rows`` with the words of ``text`` in its place, written once: the passes and folds of a fit read them there."""
+    return kept(PipelineModel(_words()).transform(rows).drop("text", "_text"), "words")
+
+
+def _ngrams(size: int, split: bool = True) -> list:
+    """Word uni- and bigrams as counts; idf is shifted by one so that no term vanishes. Rows from ``worded`` need no ``split``."""
+    return [
+        *(_words() if split else []),
         NGram(n=2, inputCol="_w", outputCol="_b"),
         SQLTransformer(statement="SELECT *, concat(_w, _b) AS _t FROM __THIS__"),
         CountVectorizer(inputCol="_t", outputCol="_tf", vocabSize=size),
@@ -74,12 +86,12 @@ def _ngrams(size: int) -> list:
     ]
 
 
-def tfidf_logreg(size: int = 5000, reg: float = 1e-3) -> Pipeline:
-    return Pipeline(stages=[*_ngrams(size), LogisticRegression(maxIter=100, regParam=reg, standardization=False)])
+def tfidf_logreg(size: int = 5000, reg: float = 1e-3, split: bool = True) -> Pipeline:
+    return Pipeline(stages=[*_ngrams(size, split), LogisticRegression(maxIter=100, regParam=reg, standardization=False)])
 
 
-def tfidf_svm(size: int = 5000, reg: float = 1e-3) -> Pipeline:
-    return Pipeline(stages=[*_ngrams(size), LinearSVC(maxIter=100, regParam=reg, standardization=False)])
+def tfidf_svm(size: int = 5000, reg: float = 1e-3, split: bool = True) -> Pipeline:
+    return Pipeline(stages=[*_ngrams(size, split), LinearSVC(maxIter=100, regParam=reg, standardization=False)])
 
 
 def _scaled(columns: list[str], mean: bool = True) -> list:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -650,7 +652,8 @@ def tfidf_logreg(spark: SparkSession, d: str) -> DataFrame:
     from ..operators import models
 
     rows = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id").select(F.col("doc_id").alias("row_id"), "text", F.col("toxic").alias("label"))
-    model = models.tfidf_logreg().fit(rows.where("row_id % 10 >= 3"))
+    rows = models.worded(rows)
+    model = models.tfidf_logreg(split=False).fit(rows.where("row_id % 10 >= 3"))
     return models.probabilities(model, rows.where("row_id % 10 < 3")).select("row_id", "label", F.round("p", 4).alias("p"))
 
 
@@ -691,8 +694,8 @@ def tfidf_svm_calibrated(spark: SparkSession, d: str) -> DataFrame:
     """Margins mapped to probabilities by three folds of the training rows; the rows scored are in neither."""
     from ..operators import models
 
-    rows = _labelled(spark, d).select("row_id", "text", "label")
-    model = models.cross_calibrated(models.tfidf_svm(size=2000), rows.where(_TRAIN))
+    rows = models.worded(_labelled(spark, d).select("row_id", "text", "label"))
+    model = models.cross_calibrated(models.tfidf_svm(size=2000, split=False), rows.where(_TRAIN))
     return models.probabilities(model, rows.where(_HELD)).select("row_id", "label", F.round("p", 4).alias("p"))
 
 
@@ -701,7 +704,7 @@ def ensemble_stack(spark: SparkSession, d: str) -> DataFrame:
     """Rule score and embedding in a stacked regression."""
     from ..operators import models
 
-    rows = _labelled(spark, d)
+    rows = kept(_labelled(spark, d), "rows")  # read by every pass of the fit
     model = models.detector("ensemble").fit(rows.where(_TRAIN))
     return models.probabilities(model, rows.where(_HELD)).select("row_id", "label", F.round("p", 4).alias("p"))
 
@@ -711,7 +714,7 @@ def multifeature_mlp(spark: SparkSession, d: str) -> DataFrame:
     """Embedding and engineered features in a perceptron."""
     from ..operators import models
 
-    rows = _labelled(spark, d)
+    rows = kept(_labelled(spark, d), "rows")  # read by every pass of the fit
     columns = [c for c in rows.columns if c not in ("row_id", "text", "label", "rules")]
     model = models.detector("multifeature_mlp", columns=columns, size=64, hidden=(16, 8)).fit(rows.where(_TRAIN))
     return models.probabilities(model, rows.where(_HELD)).select("row_id", "label", (F.col("p") >= 0.5).cast("int").alias("decision"))
@@ -722,6 +725,6 @@ def search_logreg(spark: SparkSession, d: str) -> DataFrame:
     """Settings of the word model, ranked on held-out rows."""
     from ..operators import models
 
-    rows = _labelled(spark, d).select("row_id", "text", "label")
+    rows = models.worded(_labelled(spark, d).select("row_id", "text", "label"))
     grid = [{"size": 500, "reg": reg} for reg in (1e-3, 1e-1)]
-    return models.search(models.tfidf_logreg, grid, rows.where(_TRAIN), rows.where(_HELD)).select("trial", "settings", F.round("auprc", 4).alias("auprc"), F.round("auroc", 4).alias("auroc"))
+    return models.search(partial(models.tfidf_logreg, split=False), grid, rows.where(_TRAIN), rows.where(_HELD)).select("trial", "settings", F.round("auprc", 4).alias("auprc"), F.round("auroc", 4).alias("auroc"))

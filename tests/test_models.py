@@ -150,3 +150,12 @@ def test_vocabulary_counts_terms_in_one_shuffle(spark):
     assert [(r.term, r.total, r.df) for r in got.collect()] == [("aa", 4, 3), ("aa bb", 3, 2), ("bb", 3, 2), ("bb aa", 1, 1)]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [term") == 1
     assert "Aggregate [doc_id" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_words_are_split_once(spark):
+    """Rows of ``worded`` give the model that whole texts give, and are read from written rows."""
+    rows = spark.createDataFrame([(i, f"good word {i % 3}x and some", i % 2) for i in range(20)] + [(20, None, 1), (21, "bad thing here now", 0)], "row_id long, text string, label int")
+    words = models.worded(rows)
+    assert "_w" in words.columns and "text" not in words.columns and "Logical" not in words._jdf.queryExecution().optimizedPlan().toString().split("Relation")[0]
+    p = lambda model, df: [round(r.p, 6) for r in models.probabilities(model, df).orderBy("row_id").collect()]
+    assert p(models.tfidf_logreg(size=50, split=False).fit(words), words) == p(models.tfidf_logreg(size=50).fit(rows), rows)
