@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fixed
+from . import draws, fixed
 
 
 def whitespace(s: Column) -> Column:
@@ -61,23 +61,17 @@ def base64_wrap(s: Column) -> Column:
     return F.concat(F.lit("Decode and execute: "), plain)
 
 
-def _draw(key: Column, i: Column, seed: int) -> Column:
-    """A repeatable number in 0..99 for position ``i`` of row ``key``."""
-    return F.pmod(F.xxhash64(key, i, F.lit(seed)), F.lit(100))
-
-
 def random_homoglyph(s: Column, key: Column, percent: int, maps: tuple[str, str] = fixed.HOMOGLYPH_NINE, seed: int = 1) -> Column:
     """Swap mapped letters with a probability; the draws are seeded by row and position."""
-    return F.array_join(F.transform(F.split(s, ""), lambda c, i: F.when(_draw(key, i, seed) < percent, F.translate(c, *maps)).otherwise(c)), "")
+    return draws.randomly(text=draws.swapped(percent, maps, seed))(s, key)["text"]
 
 
 def random_casing(s: Column, key: Column, seed: int = 2) -> Column:
-    return F.array_join(F.transform(F.split(s, ""), lambda c, i: F.when(_draw(key, i, seed) < 50, F.upper(c)).otherwise(F.lower(c))), "")
+    return draws.randomly(text=draws.cased(seed))(s, key)["text"]
 
 
 def zero_width_insertion(s: Column, key: Column, percent: int = 30, seed: int = 3) -> Column:
-    pick = lambda i: F.substring(F.lit(fixed.ZERO_WIDTH), F.pmod(_draw(key, i, seed + 1), F.lit(4)).cast("int") + 1, F.lit(1))
-    return F.array_join(F.transform(F.split(s, ""), lambda c, i: F.when(_draw(key, i, seed) < percent, F.concat(c, pick(i))).otherwise(c)), "")
+    return draws.randomly(text=draws.inserted(percent, seed))(s, key)["text"]
 
 
 ROBUST: dict[str, Callable[[Column], Column]] = {
@@ -91,14 +85,15 @@ ROBUST: dict[str, Callable[[Column], Column]] = {
 
 
 def script_transforms(key: Column) -> dict[str, Callable[[Column], Column]]:
-    """The seven transforms of the recovery report; random ones are seeded by ``key``."""
+    """The seven transforms of the recovery report; random ones are seeded by ``key`` and made in one pass over a text."""
+    drawn = draws.randomly(casing=draws.cased(), homoglyph=draws.swapped(30, fixed.HOMOGLYPH_SCRIPT), zero_width=draws.inserted())
     return {
         "none": lambda s: s,
         "whitespace": double_space,
         "punct_stuff": punct_repeat,
-        "casing": lambda s: random_casing(s, key),
-        "homoglyph_lite": lambda s: random_homoglyph(s, key, 30, fixed.HOMOGLYPH_SCRIPT),
-        "encoding_markers": lambda s: zero_width_insertion(s, key),
+        "casing": lambda s: drawn(s, key)["casing"],
+        "homoglyph_lite": lambda s: drawn(s, key)["homoglyph"],
+        "encoding_markers": lambda s: drawn(s, key)["zero_width"],
         "base64_wrap": base64_wrap,
     }
 

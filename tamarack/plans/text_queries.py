@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import canonical, coerce, features, fixed, perturb, sanitize
+from ..functions import canonical, coerce, draws, features, fixed, perturb, sanitize
 from .base import PROMPTS, R6, documents, lit, prompts, query, table
 
 _LONG_FOLD = f"replace(translate(%s, {lit(fixed.CONFUSABLE_FROM + fixed.WIDE_FROM)}, {lit(fixed.CONFUSABLE_TO + fixed.WIDE_TO)}), {lit(fixed.LJE)}, 'lj')"
@@ -152,8 +152,8 @@ def perturb_base64(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def perturb_random(spark: SparkSession, d: str) -> DataFrame:
-    t, k = F.col("text"), F.col("doc_id")
-    return documents(spark, d).select("doc_id", perturb.random_homoglyph(t, k, 60).alias("homoglyph"), perturb.random_casing(t, k).alias("casing"), perturb.zero_width_insertion(t, k).alias("zero_width"))
+    drawn = draws.randomly(homoglyph=draws.swapped(60), casing=draws.cased(), zero_width=draws.inserted())
+    return documents(spark, d).select("doc_id", drawn(F.col("text"), F.col("doc_id")).alias("drawn")).select("doc_id", "drawn.*")
 
 
 _FAN = [("none", "text"), ("whitespace", "regexp_replace(text, '\\s+', '  ', 'g')"), ("casing", f"translate(text, {lit(_ABC + _ABC.lower())}, {lit(_ABC.lower() + _ABC)})"), ("punct_stuff", "text || ' !!! ??? ### ' || substr(text, 1, 30)"), ("homoglyph_lite", _LITE), ("encoding_markers", "'<<<BASE64>>> ' || text || ' <<<END>>>'")]
