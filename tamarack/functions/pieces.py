@@ -16,14 +16,15 @@ from pyspark.sql.types import DataType
 ROWS = 256
 
 
-def in_pieces(run: Callable[[list], pa.Array], kind: DataType) -> Callable[[Column], Column]:
-    """A column function of ``run``, which turns a list of values into as many results."""
+def in_pieces(run: Callable[[list | pa.Array], pa.Array], kind: DataType, arrow: bool = False) -> Callable[[Column], Column]:
+    """A column function of ``run``, which turns a list of values (an Arrow array, if ``arrow``) into as many results."""
 
     @F.arrow_udf(kind)
     def each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
             for at in range(0, len(b), ROWS):
-                yield run(b.slice(at, ROWS).to_pylist())
+                piece = b.slice(at, ROWS)
+                yield run(piece if arrow else piece.to_pylist())
 
     return each
 

@@ -9,6 +9,7 @@ from hashlib import md5
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
@@ -17,6 +18,7 @@ from pyspark.sql.window import Window
 from ..functions import fixed
 from ..functions.coerce import text_norm
 from ..functions.pieces import in_pieces
+from .scratch import kept
 
 
 def text_hash(text: Column) -> Column:
@@ -50,30 +52,45 @@ def dedup_report(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 SIMHASH_TOKENS = 256
+_VOTERS = 1 << 16  # words whose bits are unpacked at a time
 
 
-def simhash64(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, simhash``: signs of token-hash bit sums over the first 256 words, repeats counted.
+def simhash64(df: DataFrame, key: str = "doc_id", text: str = "text", most: int | None = SIMHASH_TOKENS) -> DataFrame:
+    """``key, simhash``: signs of token-hash bit sums over the first ``most`` words (None: all), repeats counted.
 
     Bit i is set where at least half of the tokens' digests have it; a text without words
     has all bits set. Token bits are the first 64 of md5, so SQL engines agree.
     """
-    words = F.slice(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(fixed.WORD + "+"), F.lit(0)), 1, SIMHASH_TOKENS)
-    return df.select(key, _votes(words).alias("simhash"))
+    words = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(f"[^{fixed.WORD[1:-1]}]+"), F.lit(" ")))
+    if most is not None:
+        words = F.substring_index(words, " ", most)
+    return df.select(key, _votes(F.nullif(words, F.lit(""))).alias("simhash"))
 
 
-def _majority(texts: list[list[str]]) -> pa.Array:
-    """The majority of the token digests at each of 64 bits, a tie counting as set; all bits without a token."""
+def _majority(texts: list[list[str]] | pa.Array) -> pa.Array:
+    """The majority of the token digests at each of 64 bits, a tie counting as set; all bits without a token.
+
+    Each distinct token is digested once for all texts.
+    """
+    texts = pa.array(texts, pa.list_(pa.string())) if isinstance(texts, list) else texts
+    tokens = texts.flatten().dictionary_encode()
+    raw = b"".join(md5(t).digest()[:8] for t in tokens.dictionary.cast(pa.binary()).to_pylist())
+    digests, codes = np.frombuffer(raw, np.uint8).reshape(-1, 8), tokens.indices.to_numpy()
+    ends = pc.fill_null(pc.list_value_length(texts), 0).to_numpy().cumsum()
     out = np.full(len(texts), -1, np.int64)
-    for k, tokens in enumerate(texts):
-        if len(tokens):
-            raw = b"".join(md5(t.encode()).digest()[:8] for t in tokens)
-            votes = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-            out[k] = np.packbits(2 * votes >= len(tokens)).view(">i8")[0]
+    for k, (start, end) in enumerate(zip([0, *ends], ends, strict=False)):
+        if start < end:
+            votes = sum(np.unpackbits(digests[codes[at : min(at + _VOTERS, end)]], axis=1).sum(0, dtype=np.int64) for at in range(start, end, _VOTERS))
+            out[k] = np.packbits(2 * votes >= end - start).view(">i8")[0]
     return pa.array(out)
 
 
-_votes = in_pieces(_majority, LongType())
+def _split_majority(texts: pa.Array) -> pa.Array:
+    """``_majority`` of texts whose tokens have one blank between them."""
+    return _majority(pc.split_pattern(texts, " "))
+
+
+_votes = in_pieces(_split_majority, LongType(), arrow=True)
 
 
 def hamming64(a: Column, b: Column) -> Column:
@@ -88,21 +105,23 @@ def near_dup_pairs(hashes: DataFrame, key: str = "doc_id", bits: int = fixed.NEA
     a class of several rows also has a row with itself, at distance 0. So copies are counted
     and not multiplied; ``near_dup_members`` tells who is in a class. Fingerprints that differ
     in ``most`` bits agree in one of ``most + 1`` parts of the bits behind the prefix, so the
-    join is on prefix and part.
+    join is on prefix and part. The classes are written once, as all sides of the join read
+    them: the texts are gone through once.
     """
-    classes = hashes.groupBy("simhash").agg(F.min(key).alias("rep"), F.count(F.lit(1)).alias("n"))
+    classes = kept(hashes.groupBy("simhash").agg(F.min(key).alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
     cuts = [64 - bits - (64 - bits) * i // (most + 1) for i in range(most + 2)]  # bits behind the prefix, in most + 1 parts
     parts = [F.shiftrightunsigned(F.shiftleft("simhash", 64 - high), 64 - high + low) if high > low else F.lit(0).cast("long") for high, low in zip(cuts, cuts[1:], strict=False)]
-    keyed = classes.withColumn("block", F.shiftrightunsigned("simhash", 64 - bits)).withColumn("parts", F.array(*parts)).select("*", F.posexplode("parts").alias("i", "part"))
+    keyed = classes.withColumn("block", F.shiftrightunsigned("simhash", 64 - bits)).select("*", F.posexplode(F.array(*parts)).alias("i", "part"))
     x, y = keyed.alias("x"), keyed.alias("y")
     far = hamming64(F.col("x.simhash"), F.col("y.simhash"))
-    same = (F.col("x.block") == F.col("y.block")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.part") == F.col("y.part"))
-    first = F.col("x.i") == F.array_position(F.zip_with("x.parts", "y.parts", lambda a, b: a == b), F.lit(True)) - 1  # a pair may share several parts
-    near = x.join(y, same & (F.col("x.rep") < F.col("y.rep"))).where(first).select(
+    same = (F.col("x.block") == F.col("y.block")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.rep") < F.col("y.rep")) & (far <= most)
+    for i, (high, low) in enumerate(zip(cuts, cuts[1:-1], strict=False)):  # a pair may share several parts: the first counts
+        same &= (F.col("x.i") <= i) | (F.col("x.simhash").bitwiseXOR(F.col("y.simhash")).bitwiseAND(F.lit((1 << high) - (1 << low))) != 0)
+    near = x.join(y, same).select(
         F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), far.alias("distance"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"), (F.col("x.n") * F.col("y.n")).alias("pairs")
     )
     own = classes.where("n > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(0).alias("distance"), F.col("n").alias("n_a"), F.col("n").alias("n_b"), F.expr("n * (n - 1) div 2").alias("pairs"))
-    return near.where(F.col("distance") <= most).unionByName(own)
+    return near.unionByName(own)
 
 
 def near_dup_members(hashes: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -519,12 +519,15 @@ def dedup_report(spark: SparkSession, d: str) -> DataFrame:
     return integrity.dedup_report(table(spark, d, "documents"))
 
 
-_SIM = (
-    "tok AS (SELECT doc_id, unnest(list_slice(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), 1, 256)) AS token FROM documents), "
+_WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')"
+_BEGINNING = f"tok AS (SELECT doc_id, unnest(list_slice({_WORDS}, 1, 256)) AS token FROM documents), "
+_WHOLE = f"tok AS (SELECT doc_id, unnest({_WORDS}) AS token FROM documents), "
+_VOTES = (
     "b AS (SELECT doc_id, unnest(range(64)) AS i, md5(token) AS h FROM tok), "
     "v AS (SELECT doc_id, i, sum(CASE WHEN (CAST(('0x' || substr(h, CAST(1 + 8 * (i // 32) AS INTEGER), 8)) AS BIGINT) >> CAST(31 - i % 32 AS BIGINT)) & 1 = 1 THEN 1 ELSE -1 END) AS s FROM b GROUP BY 1, 2), "
     "sim AS (SELECT doc_id, CAST(sum(CASE WHEN s >= 0 THEN CASE WHEN i = 0 THEN CAST(-9223372036854775808 AS HUGEINT) ELSE CAST(power(2, 63 - i) AS HUGEINT) END ELSE 0 END) AS BIGINT) AS simhash FROM v GROUP BY doc_id UNION ALL SELECT doc_id, CAST(-1 AS BIGINT) FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '[\\p{L}\\p{N}_]'))"
 )
+_SIM = _BEGINNING + _VOTES
 
 
 @query(f"WITH {_SIM} SELECT doc_id, simhash FROM sim")
@@ -532,9 +535,10 @@ def simhash(spark: SparkSession, d: str) -> DataFrame:
     return integrity.simhash64(documents(spark, d))
 
 
-@query(f"WITH {_SIM}, cl AS (SELECT simhash, min(doc_id) AS rep, count(*) AS n FROM sim GROUP BY simhash) SELECT x.rep AS a, y.rep AS b, CAST(bit_count(xor(x.simhash, y.simhash)) AS INTEGER) AS distance, x.n AS n_a, y.n AS n_b, CASE WHEN x.rep = y.rep THEN x.n * (x.n - 1) // 2 ELSE x.n * y.n END AS pairs FROM cl x JOIN cl y ON (x.rep < y.rep OR x.rep = y.rep AND x.n > 1) AND ((x.simhash >> 48) & 65535) = ((y.simhash >> 48) & 65535) WHERE bit_count(xor(x.simhash, y.simhash)) <= 3")
+@query(f"WITH {_WHOLE}{_VOTES}, cl AS (SELECT simhash, min(doc_id) AS rep, count(*) AS n FROM sim GROUP BY simhash) SELECT x.rep AS a, y.rep AS b, CAST(bit_count(xor(x.simhash, y.simhash)) AS INTEGER) AS distance, x.n AS n_a, y.n AS n_b, CASE WHEN x.rep = y.rep THEN x.n * (x.n - 1) // 2 ELSE x.n * y.n END AS pairs FROM cl x JOIN cl y ON (x.rep < y.rep OR x.rep = y.rep AND x.n > 1) AND ((x.simhash >> 48) & 65535) = ((y.simhash >> 48) & 65535) WHERE bit_count(xor(x.simhash, y.simhash)) <= 3")
 def near_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return integrity.near_dup_pairs(integrity.simhash64(documents(spark, d)))
+    """Of fingerprints of whole texts; those of ``simhash`` and ``near_dup_members`` are of the first 256 words."""
+    return integrity.near_dup_pairs(integrity.simhash64(documents(spark, d), most=None))
 
 
 @query(f"WITH {_SIM} SELECT doc_id, min(doc_id) OVER (PARTITION BY simhash) AS rep FROM sim")
